@@ -1,0 +1,5 @@
+"""No streaming operators are in scope.
+
+The late-data guard of this engine is a batch one: see
+``quotegrid.operators.filters.mature_only``.
+"""
