@@ -10,6 +10,7 @@ MODULES = [
     "q_scan_filter",
     "q_join_agg",
     "q_window_top",
+    "q_models",
 ]
 
 for _name in MODULES:

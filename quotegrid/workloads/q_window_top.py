@@ -552,14 +552,14 @@ def sca06(spark, sf):
     f"""with {t.DAILY}, {t.MACRO}, j as (select product, date, sales, case when month(date) % 2 = 0 then 1 + tax end as cpi, qty from daily left join macro using (date)),
   f as (select product, date, sales, last_value(cpi ignore nulls) over ({OVER} rows between unbounded preceding and current row) as cpi,
    avg(qty) over ({OVER} rows between 6 preceding and current row) as qty from j)
-  select product, date, round(sales * cpi, 8) as sales, round(qty, 6) as qty from f""",
+  select product, date, sales * cpi as sales, round(qty, 6) as qty from f""",
 )
 def sca07(spark, sf):
     d = cal.gap_filled_daily(t.sales(spark, sf), "date", "premium", K).drop("sales_smooth")
     m = t.macro(spark, sf).withColumn("cpi", F.when(F.month("date") % 2 == 0, 1 + F.col("tax")))
     j = d.join(m.select("date", "cpi", "qty"), "date", "left")
     out = ft.smooth_columns(ft.scale_by_index(j, "cpi", ["sales"], K, "date"), ["qty"], K, "date", 7)
-    return out.select("product", "date", F.round("sales", 8).alias("sales"), F.round("qty", 6).alias("qty"))
+    return out.select("product", "date", "sales", F.round("qty", 6).alias("qty"))
 
 
 def _poly_sql():

@@ -36,7 +36,7 @@ def oracle_connection(sf: str) -> duckdb.DuckDBPyConnection:
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else (0.0 if v == 0 else v)
+        return "nan" if math.isnan(v) else ("-0" if v == 0 and math.copysign(1, v) < 0 else v)
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, dict):
