@@ -11,6 +11,8 @@ MODULES = [
     "q_join_agg",
     "q_window_top",
     "q_models",
+    "q_forecast",
+    "q_quality",
 ]
 
 for _name in MODULES:
