@@ -29,7 +29,7 @@ from quotegrid.operators.windows import numbered
 
 
 def _lengths(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.max("rn").cast("bigint").alias("__len"))
+    return rows.where(F.col("rn") == 1).select(*keys, F.col("n").cast("bigint").alias("__len"))
 
 
 def iid_counts(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
@@ -77,13 +77,13 @@ def replicate_blocks(
     overlap: bool = True,
 ) -> DataFrame:
     """One moment block per (key, replicate[, block_size]), shared by every model."""
-    rows = numbered(df.select(*keys, order, *columns, *([weight] if weight else [])), keys, order).drop("n")
+    rows = numbered(df.select(*keys, order, *columns, *([weight] if weight else [])), keys, order)
     rows = centre(rows, keys, list(columns))
     if block_sizes is None:
         counts, extra = iid_counts(rows, keys, replicates), ["replicate"]
     else:
         counts, extra = block_counts(rows, keys, replicates, block_sizes, overlap), ["block_size", "replicate"]
-    drawn = counts.join(rows, [*keys, "rn"])
+    drawn = counts.join(rows.drop("n"), [*keys, "rn"])
     return weighted_blocks(drawn, [*keys, *extra], columns, weight, "__count")
 
 
@@ -96,7 +96,7 @@ def poisson_blocks(
     reduces each task to at most keys x replicates blocks before the shuffle, so a
     hot key costs nothing extra.
     """
-    rows = centre(df.select(*keys, row_id, *columns, *([weight] if weight else [])), keys, list(columns))
+    rows = centre(df.select(*keys, row_id, *columns, *([weight] if weight else [])), keys, list(columns), raw=True)
     drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = drawn.withColumn("__count", X.poisson_one(X.draw(row_id, "replicate"))).where(F.col("__count") > 0)
     return weighted_blocks(drawn, [*keys, "replicate"], columns, weight, "__count")

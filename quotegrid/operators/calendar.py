@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotegrid.functions.exprs import col, exact_sum, week_ending_sunday
-from quotegrid.operators.windows import trailing_mean, trailing_mean_strict
+from quotegrid.operators.windows import series_window, trailing_mean, trailing_mean_strict
 
 
 def date_spine(spark: SparkSession, start: str, end: str, step_days: int = 1) -> DataFrame:
@@ -25,6 +25,25 @@ def spine_of(df: DataFrame, date_col: str, keys: Sequence[str] = (), step_days:
     return bounds.select(*keys, F.explode(days).alias(date_col))
 
 
+def fill_gaps(df: DataFrame, date_col: str, keys: Sequence[str] = (), step_days: int = 1, end: Column | None = None) -> DataFrame:
+    """Repeat each row of a dated series up to the day before the next one.
+
+    ``df`` has one row per key and date. ``__first`` marks the original rows; the last
+    row of a series runs to ``end`` when given. The window that finds the next date uses
+    the partitioning later windows need, so filling costs no join and no extra shuffle.
+    """
+    following = F.lead(date_col).over(series_window(keys, date_col))
+    last = F.coalesce(F.date_sub(following, step_days), F.col(date_col) if end is None else end)
+    days = F.sequence(F.col(date_col), F.greatest(last, F.col(date_col)), F.make_dt_interval(F.lit(step_days)))
+    cols = [c for c in df.columns if c != date_col]
+    return (
+        df.withColumn("__days", days)
+        .select(*cols, F.col(date_col).alias("__from"), F.explode("__days").alias(date_col))
+        .withColumn("__first", F.col(date_col) == F.col("__from"))
+        .drop("__from")
+    )
+
+
 def daily_total(df: DataFrame, date: str | Column, value: str | Column, keys: Sequence[str], out: str) -> DataFrame:
     return df.groupBy(*keys, col(date).cast("date").alias("date")).agg(exact_sum(value).alias(out))
 
@@ -33,9 +52,8 @@ def gap_filled_daily(
     df: DataFrame, date: str | Column, value: str | Column, keys: Sequence[str], out: str = "sales", smooth: int = 14
 ) -> DataFrame:
     """Daily sums with absent days as 0, and the trailing mean of the filled series."""
-    totals = daily_total(df, date, value, keys, "__raw")
-    grid = spine_of(totals, "date", keys).join(totals, [*keys, "date"], "left")
-    grid = grid.select(*keys, "date", F.coalesce("__raw", F.lit(0.0)).alias(out))
+    grid = fill_gaps(daily_total(df, date, value, keys, "__raw"), "date", keys)
+    grid = grid.select(*keys, "date", F.when(F.col("__first"), F.coalesce("__raw", F.lit(0.0))).otherwise(0.0).alias(out))
     return grid.withColumn(f"{out}_smooth", trailing_mean(out, keys, "date", smooth))
 
 
@@ -66,15 +84,11 @@ def weekly(
     )
     if not fill_weeks:
         return agg
-    zero = {c: h for c, h in how.items() if h in ("sum", "count")}
-    return (
-        spine_of(agg, date_col, keys, 7)
-        .join(agg, [*keys, date_col], "left")
-        .select(
-            *keys,
-            date_col,
-            *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in zero else F.col(c) for c in how],
-        )
+    first = F.col("__first")
+    empty = {"sum": lambda c: F.when(first, F.col(c)).otherwise(0), "count": lambda c: F.when(first, F.col(c)).otherwise(0)}
+    keep = lambda c: F.when(first, F.col(c))
+    return fill_gaps(agg, date_col, keys, 7).select(
+        *keys, date_col, *[empty.get(h, keep)(c).alias(c) for c, h in how.items()]
     )
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.functions.exprs import nan_to_null, quarter_label
-from quotegrid.operators.calendar import spine_of
-from quotegrid.operators.windows import forward_fill, trailing_mean
+from quotegrid.operators.calendar import fill_gaps
+from quotegrid.operators.windows import trailing_mean
 
 
 def left_join_chain(base: DataFrame, others: Sequence[DataFrame], on: Sequence[str], distinct: bool = False) -> DataFrame:
@@ -33,17 +33,21 @@ def with_quarter_weights(df: DataFrame, weights: DataFrame, date_col: str = "dat
     return joined.dropDuplicates() if how == "inner" else joined
 
 
-def as_of_daily(df: DataFrame, value: str, keys: Sequence[str], date_col: str = "date", smooth: int | None = None) -> DataFrame:
-    """Last known value on every calendar day: reindex, forward fill, optional trailing mean."""
-    ends = df.agg(F.max(date_col).alias("__end"))
-    bounds = df.groupBy(*keys).agg(F.min(date_col).alias("__lo"))
-    days = (
-        bounds.crossJoin(F.broadcast(ends))  # one row
-        .select(*keys, F.explode(F.sequence("__lo", "__end")).alias(date_col))
-    )
-    filled = days.join(df.select(*keys, date_col, value), [*keys, date_col], "left").withColumn(
-        value, forward_fill(value, keys, date_col)
-    )
+def as_of_daily(
+    df: DataFrame, value: str, keys: Sequence[str], date_col: str = "date", smooth: int | None = None, end: str | None = None
+) -> DataFrame:
+    """Last known value on every calendar day up to ``end`` (default: the newest date of all series).
+
+    Every row is repeated until the next one: reindex and forward fill in one step, as
+    long as the value itself is never NULL.
+    """
+    if end is None:
+        newest = df.agg(F.max(date_col).alias("__end"))  # one row
+        rows, stop = df.crossJoin(F.broadcast(newest)), F.col("__end")
+    else:
+        stop = F.lit(end).cast("date")
+        rows = df.where(F.col(date_col) <= stop)
+    filled = fill_gaps(rows.where(F.col(value).isNotNull()), date_col, keys, end=stop).select(*keys, date_col, value)
     return filled if smooth is None else filled.withColumn(value, trailing_mean(value, keys, date_col, smooth))
 
 
@@ -111,6 +115,5 @@ __all__ = [
     "members_of_groups",
     "rename_all",
     "scenario_grid",
-    "spine_of",
     "with_quarter_weights",
 ]

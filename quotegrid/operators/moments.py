@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotegrid.functions import linear
+from quotegrid.operators.windows import numbered, series_window
 
 Model = tuple[str, list[str]]
 
@@ -47,10 +48,17 @@ def _packed(agg: DataFrame, keys: Sequence[str], size: int, extra: Sequence[str]
     return agg.select(*keys, *extra, mean.alias("mean"), cov.alias("cov"))
 
 
-def centre(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Subtract per-key means and keep them; sums of products then lose no digits."""
-    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__mu_{c}") for c in columns])
-    joined = df.join(means, list(keys)) if keys else df.crossJoin(F.broadcast(means))
+def centre(df: DataFrame, keys: Sequence[str], columns: Sequence[str], raw: bool = False) -> DataFrame:
+    """Subtract per-key means and keep them; sums of products then lose no digits.
+
+    Calendar-bounded series take the mean from a window (one pass, the partitioning is
+    needed anyway); ``raw`` rows join a first aggregate, so a hot key is never gathered.
+    """
+    if raw:
+        means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__mu_{c}") for c in columns])
+        joined = df.join(means, list(keys)) if keys else df.crossJoin(F.broadcast(means))
+    else:
+        joined = df.withColumns({f"__mu_{c}": F.avg(c).over(series_window(keys)) for c in columns})
     rest = [c for c in df.columns if c not in columns]
     return joined.select(
         *rest,
@@ -107,8 +115,6 @@ def prefix_blocks(
 
     Decay weights ``r ** (t - 1 - k)`` are prefix sums of ``r ** -k`` times a factor.
     """
-    from quotegrid.operators.windows import series_window
-
     cols = list(columns)
     rows = centre(df, keys, cols)
     pos = (F.row_number().over(series_window(keys, order)) - 1).cast("double")
@@ -353,8 +359,6 @@ def ridge_cv(
     folds: int = 5,
 ) -> DataFrame:
     """Contiguous k-fold ridge per subset: train block = total minus fold, score = R2 of the fold."""
-    from quotegrid.operators.windows import numbered
-
     cols = [*features, target]
     rows = numbered(df.select(*keys, order, *cols), keys, order)
     size_lo, extra = F.floor(F.col("n") / folds), F.col("n") % folds

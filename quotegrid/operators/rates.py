@@ -36,11 +36,11 @@ def latest_record(df: DataFrame, keys: Sequence[str], date_col: str, tie_break:
 
 
 def company_rate_grid(
-    quotes: DataFrame, company: str, date_col: str, rate: str, smooth: int, decimals: int = 2
+    quotes: DataFrame, company: str, date_col: str, rate: str, smooth: int, decimals: int = 2, end: str | None = None
 ) -> DataFrame:
     """Long form: last known, smoothed rate of every company on every day."""
     daily = daily_company_mean(quotes, company, date_col, rate, decimals)
-    return as_of_daily(daily, rate, [company], date_col, smooth)
+    return as_of_daily(daily, rate, [company], date_col, smooth, end)
 
 
 def pivot_companies(grid: DataFrame, company: str, date_col: str, rate: str, names: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ MODULES = [
     "q_models",
     "q_forecast",
     "q_quality",
+    "q_plans",
 ]
 
 for _name in MODULES:
