@@ -2,9 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
 That is fine for a few hundred replicates; for raw rows with a hot key it is not.
-Here values are first counted (partial aggregation), then the interval that holds
-the wanted rank is narrowed by histograms, and only the values of the last
-interval are ordered.
+Here the interval that holds the wanted rank is narrowed by histograms (partial
+aggregates), and only the distinct values of the last interval are ordered.
 """
 
 from __future__ import annotations
@@ -16,32 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-
-
 def exact_quantiles(
     df: DataFrame,
     value: str,
     probs: Sequence[float],
     keys: Sequence[str] = (),
     buckets: int = 2048,
-    levels: int = 1,
+    levels: int = 2,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per key and probability (``q``, ``value``).
 
-    Each level divides the candidate interval by ``buckets``. The windows run over
-    at most ``buckets`` rows, except the last one, which runs over the distinct
-    values left in one bucket.
+    Each level divides the candidate interval by ``buckets`` with a partial aggregate
+    (at most keys x buckets small rows are shuffled, never the values); the last step
+    orders the distinct values of one bucket of a bucket. The second level keeps heavy
+    tails, which crowd into one bucket of the first, from ending up in one task.
     """
     keys = list(keys)
-    counts = value_counts(df, value, keys)
-    stats = counts.groupBy(*keys).agg(
-        F.sum("__n").alias("__total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
     )
     if not keys:
         stats = stats.where(F.col("__total") > 0)
@@ -54,27 +46,36 @@ def exact_quantiles(
         .drop("__total")
     )
     ids = [*keys, "q", "side"]
-    for _ in range(levels):
+    for level in range(levels):
         width = (F.col("__hi") - F.col("__lo")) / buckets
         slot = F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / width).cast("int"))
-        )
-        hist = (
-            _candidates(counts, targets, keys)
-            .groupBy(*ids, "__pos", "__frac", slot.alias("__slot"))
-            .agg(F.sum("__n").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+            F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / F.nullif(width, F.lit(0.0))).cast("int"))
         )
+        if level == 0:
+            # all targets of a key share the whole range: histogram once per key
+            shared = _beside(rows, stats.select(*keys, "__lo", "__hi"), keys)
+            hist = shared.groupBy(*keys, slot.alias("__slot")).agg(
+                F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+            )
+            hist = _beside(hist, targets.select(*ids, "__pos", "__frac"), keys)
+        else:
+            hist = _inside(rows, targets, keys).groupBy(*ids, "__pos", "__frac", slot.alias("__slot")).agg(
+                F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+            )
         targets = _holding(hist, ids, "__slot").drop("__slot", "__n")
-    leaf = _candidates(counts, targets, keys).select(*ids, "__pos", "__frac", "__v", "__n")
+    leaf = _inside(rows, targets, keys).groupBy(*ids, "__pos", "__frac", "__v").agg(F.count(F.lit(1)).alias("__n"))
     found = _holding(leaf, ids, "__v").select(*ids, "__frac", "__v")
     low, high = F.max(F.when(F.col("side") == 0, F.col("__v"))), F.max(F.when(F.col("side") == 1, F.col("__v")))
     return found.groupBy(*keys, "q").agg((low + (high - low) * F.max("__frac")).alias("value"))
 
 
-def _candidates(counts: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    # a key has 2 * len(probs) target rows, so the equi-join multiplies by a constant
-    joined = counts.join(targets, keys) if keys else counts.crossJoin(F.broadcast(targets))
-    return joined.where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    # right has a constant number of rows per key
+    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+
+
+def _inside(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    return _beside(rows, targets, keys).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
 
 
 def _holding(df: DataFrame, ids: list[str], order: str) -> DataFrame:

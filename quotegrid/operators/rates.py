@@ -11,17 +11,18 @@ from quotegrid.functions import exprs as X
 from quotegrid.operators.joins import as_of_daily
 
 
-def keep_highest(df: DataFrame, keys: Sequence[str], value: str, tie_break: str) -> DataFrame:
+def keep_highest(df: DataFrame, keys: Sequence[str], value: str, tie_break: str | None = None) -> DataFrame:
     """One row per key: the highest value, lowest tie-break id first.
 
-    ``max_by`` is a partial aggregate, so a hot key is reduced before the shuffle;
-    a row_number window would sort the whole group in one task.
+    A partial aggregate, so a hot key is reduced before the shuffle; a row_number
+    window would sort the whole group in one task. Without further columns to carry
+    it is a plain hashed maximum.
     """
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(
-        F.struct(*rest),
-        F.struct(F.col(value).isNotNull(), F.col(value), -F.col(tie_break)),
-    )
+    if rest == [value]:
+        return df.groupBy(*keys).agg(F.max(value).alias(value))
+    order = [F.col(value).isNotNull(), F.col(value)] + ([-F.col(tie_break)] if tie_break else [])
+    best = F.max_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(best.alias("__best")).select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest])
 
 
@@ -132,20 +133,33 @@ def strategy_for(product_type: str) -> tuple[str, Callable[..., Column]]:
 
 def competitor_ranks(names: Sequence[str], min_companies: int = 3, null_policy: str = "zero") -> dict[str, Column]:
     """Median, top means and positional ranks of a row of company rates."""
-    names = list(names)
+    return ranks_of_sorted(_checked(names, min_companies), X.rates_descending(names, null_policy))
+
+
+def with_competitor_ranks(
+    df: DataFrame, names: Sequence[str], min_companies: int = 3, null_policy: str = "zero"
+) -> DataFrame:
+    """The same as columns of ``df``; the row is sorted once."""
+    n = _checked(names, min_companies)
+    sorted_rates = df.withColumn("__rates", X.rates_descending(names, null_policy))
+    return sorted_rates.withColumns(ranks_of_sorted(n, F.col("__rates"))).drop("__rates")
+
+
+def _checked(names: Sequence[str], min_companies: int) -> int:
     if len(names) < min_companies:
         raise ValueError(f"{len(names)} company columns, {min_companies} needed")
-    out = {"raw_median": X.row_median(names, null_policy)}
-    if len(names) >= 5:
-        out["top_5"] = X.top_n_mean(names, 5, null_policy)
-        out["top_3"] = X.top_n_mean(names, 3, null_policy)
-    elif len(names) >= 3:
-        out["top_5"] = X.top_n_mean(names, len(names), null_policy)
-        out["top_3"] = X.top_n_mean(names, 3, null_policy)
+    return len(names)
+
+
+def ranks_of_sorted(n: int, arr: Column) -> dict[str, Column]:
+    out = {"raw_median": X.array_median(arr)}
+    if n >= 3:
+        out["top_5"] = X.array_mean(F.slice(arr, 1, min(n, 5)))
+        out["top_3"] = X.array_mean(F.slice(arr, 1, 3))
     else:
-        out["top_5"] = out["top_3"] = X.array_mean(X.rates_descending(names, null_policy))
-    for k, label in enumerate(["first", "second", "third"], 1):
-        out[f"{label}_highest_benefit"] = X.nth_highest(names, k, null_policy)
+        out["top_5"] = out["top_3"] = X.array_mean(arr)
+    for k, label in enumerate(["first", "second", "third"]):
+        out[f"{label}_highest_benefit"] = F.coalesce(F.get(arr, F.lit(k)), F.get(arr, F.lit(0)))
     return out
 
 

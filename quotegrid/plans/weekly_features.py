@@ -83,7 +83,8 @@ def daily_series(contracts: DataFrame, date_col: str, value: str, out: str, cfg:
 def daily_rates(quotes: DataFrame, cfg: WeeklyConfig) -> DataFrame:
     """Best quote per company, product and day, cleaned; then one smoothed column per company."""
     quotes = quotes.where(F.col("date") <= F.lit(cfg.as_of).cast("date"))
-    best = rt.keep_highest(quotes, ["company", "date", "product_id"], "rate", "quote_id")
+    keys = ["company", "date", "product_id"]
+    best = rt.keep_highest(quotes.select(*keys, "rate"), keys, "rate")
     best = flt.cap_at(flt.fill_constant(best, "rate", cfg.default_rate), "rate", cfg.rate_ceiling)
     grid = rt.company_rate_grid(best, "company", "date", "rate", cfg.rate_smooth, end=cfg.as_of)
     return rt.pivot_companies(grid, "company", "date", "rate", [cfg.own, *cfg.competitors])
@@ -91,17 +92,16 @@ def daily_rates(quotes: DataFrame, cfg: WeeklyConfig) -> DataFrame:
 
 def market_columns(rates: DataFrame, weights: DataFrame, cfg: WeeklyConfig) -> DataFrame:
     names = list(cfg.competitors)
-    j = jon.with_quarter_weights(rates, weights)
-    ranks = rt.competitor_ranks(names)
+    j = rt.with_competitor_ranks(jon.with_quarter_weights(rates, weights), names)
     wide = j.select(
         "date",
         cfg.own,
         *names,
         rt.market_weighted_mean(names).alias("C_weighted_mean"),
         rt.market_core_mean(names).alias("C_core"),
-        *[c.alias(n) for n, c in ranks.items()],
+        *[F.col(old).alias(new) for old, new in rt.RANK_ALIASES.items()],
     )
-    return rt.with_rank_aliases(wide).drop(*rt.RANK_ALIASES)
+    return wide
 
 
 def integrate(series: Sequence[DataFrame], macro: DataFrame, market: DataFrame, cfg: WeeklyConfig) -> DataFrame:

@@ -37,7 +37,7 @@ def weekly_features(spark, sf):
     issued = t.table(spark, sf, "lineitem").select(
         "l_orderkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("premium")
     )
-    q = t.quotes(spark, sf).select("company", "date", "product_id", "rate", F.col("l_orderkey").alias("quote_id"))
+    q = t.quotes(spark, sf).select("company", "date", "product_id", "rate")
     return build_weekly_features(
         t.sales(spark, sf).select("product", "date", "premium"),
         issued.join(orders, "l_orderkey").select("product", "date", "premium"),
