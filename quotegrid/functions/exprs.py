@@ -189,17 +189,22 @@ DRAW_MODULUS = 2147483647
 DRAW_ROW, DRAW_REPLICATE, DRAW_OFFSET, DRAW_MIX = 48271, 69621, 12345, 16807
 
 
-def draw(row_id: str | Column, replicate: str | Column) -> Column:
-    """Integer in [0, DRAW_MODULUS) that depends on (row_id, replicate) only.
+def with_draw(df: DataFrame, row_id: str | Column, replicate: str | Column, out: str) -> DataFrame:
+    """Adds an integer in [0, DRAW_MODULUS) that depends on (row_id, replicate) only.
 
-    Pure integer arithmetic: a recomputed partition yields the same draws.
+    Pure integer arithmetic: a recomputed partition yields the same draws. Each step is a
+    column of its own, because the next one reads it twice.
     """
     i, r = col(row_id).cast("bigint"), col(replicate).cast("bigint")
     m = F.lit(DRAW_MODULUS).cast("bigint")
-    x = (i * DRAW_ROW + r * DRAW_REPLICATE + DRAW_OFFSET) % m
-    x = (x * x + i + 1) % m
-    x = (x * DRAW_MIX + r * 7 + 3) % m
-    return (x * x + r + 1) % m
+    x = F.col("__x")
+    return (
+        df.withColumn("__x", (i * DRAW_ROW + r * DRAW_REPLICATE + DRAW_OFFSET) % m)
+        .withColumn("__x", (x * x + i + 1) % m)
+        .withColumn("__x", (x * DRAW_MIX + r * 7 + 3) % m)
+        .withColumn(out, (x * x + r + 1) % m)
+        .drop("__x")
+    )
 
 
 # Cumulative Poisson(1) probabilities for counts 0..9, scaled to the draw modulus.

@@ -83,8 +83,8 @@ def pairwise_correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[s
 
 def usage_consistency(df: DataFrame, features: str = "features", separator: str = r" \+ ") -> DataFrame:
     """How many models use a feature, in percent and as a class."""
-    total = df.agg(F.count(F.lit(1)).alias("n_models"))
-    used = token_counts(df, features, separator).crossJoin(F.broadcast(total))  # one row
+    total = df.agg(F.count(F.lit(1)).alias("n_models")).scalar()
+    used = token_counts(df, features, separator).withColumn("n_models", total)
     pct = F.col("n") / F.col("n_models") * 100
     return used.withColumn("usage_pct", pct).withColumn(
         "consistency", ladder("usage_pct", [(70, "High"), (30, "Moderate")], "Low", ">=")

@@ -1,6 +1,6 @@
 """Resampling: row draws as joins and aggregations, shared by all models.
 
-Draws come from integer arithmetic on (slot, replicate), see ``exprs.draw``: a
+Draws come from integer arithmetic on (slot, replicate), see ``exprs.with_draw``: a
 recomputed task repeats its draws exactly.
 """
 
@@ -38,7 +38,8 @@ def iid_counts(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFra
         *keys, "__len", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     )
     slots = slots.select(*keys, "replicate", "__len", F.explode(F.sequence(F.lit(1), F.col("__len"))).alias("__slot"))
-    picked = (X.draw("__slot", "replicate") % F.col("__len") + 1).cast("int")
+    slots = X.with_draw(slots, "__slot", "replicate", "__draw")
+    picked = (F.col("__draw") % F.col("__len") + 1).cast("int")
     return slots.groupBy(*keys, "replicate", picked.alias("rn")).agg(F.count(F.lit(1)).alias("__count"))
 
 
@@ -53,8 +54,8 @@ def block_counts(
     )
     base = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     base = base.withColumn("__slot", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__len") / F.col("block_size")))))
-    d = X.draw("__slot", F.col("replicate") * 64 + F.col("block_size"))
-    b = F.col("block_size")
+    base = X.with_draw(base, "__slot", F.col("replicate") * 64 + F.col("block_size"), "__draw")
+    d, b = F.col("__draw"), F.col("block_size")
     if overlap:
         first = d % (F.col("__len") - b + 1) + 1
     else:
@@ -98,7 +99,8 @@ def poisson_blocks(
     """
     rows = centre(df.select(*keys, row_id, *columns, *([weight] if weight else [])), keys, list(columns), raw=True)
     drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = drawn.withColumn("__count", X.poisson_one(X.draw(row_id, "replicate"))).where(F.col("__count") > 0)
+    drawn = X.with_draw(drawn, row_id, "replicate", "__draw")
+    drawn = drawn.withColumn("__count", X.poisson_one("__draw")).where(F.col("__count") > 0)
     return weighted_blocks(drawn, [*keys, "replicate"], columns, weight, "__count")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotegrid.functions import distributions as D
 from quotegrid.functions.exprs import ladder
 from quotegrid.operators.moments import Model, coefficient_rows, fit_models, moment_blocks
-from quotegrid.operators.quantiles import exact_quantiles, ranged_running_sums
+from quotegrid.operators.quantiles import ecdf_distance, exact_quantiles
 from quotegrid.operators.windows import series_window
 
 
@@ -131,27 +131,9 @@ def levene(df: DataFrame, keys: Sequence[str], group: str, value: str, with_p: b
     return out.withColumn("p_value", D.f_p_value("levene", "df1", "df2")) if with_p else out
 
 
-def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, in_first: str, ranges: int = 64) -> DataFrame:
-    """Kolmogorov-Smirnov distance between the rows with ``in_first`` true and false.
-
-    Values are counted first; the two cumulative counts are accumulated by ranges, so
-    no task orders a whole feature.
-    """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-        .agg(
-            F.count(F.when(F.col(in_first), 1)).alias("a"),
-            F.count(F.when(~F.col(in_first), 1)).alias("b"),
-        )
-    )
-    totals = counts.groupBy(*keys).agg(F.sum("a").alias("n_first"), F.sum("b").alias("n_second"))
-    cum = ranged_running_sums(counts, "__v", ["a", "b"], keys, ranges)
-    j = cum.join(totals, list(keys)) if keys else cum.crossJoin(F.broadcast(totals))
-    gap = F.abs(F.col("cum_a") / F.col("n_first") - F.col("cum_b") / F.col("n_second"))
-    out = j.groupBy(*keys).agg(
-        F.max(gap).alias("ks_distance"), F.max("n_first").alias("n_first"), F.max("n_second").alias("n_second")
-    )
+def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, in_first: str) -> DataFrame:
+    """Kolmogorov-Smirnov distance between the rows with ``in_first`` true and false, with its asymptotic tail."""
+    out = ecdf_distance(df, value, in_first, keys).withColumnRenamed("distance", "ks_distance")
     en = F.sqrt(F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second")))
     return out.withColumn("ks_p", D.kolmogorov_sf(en * F.col("ks_distance")))
 

@@ -45,12 +45,8 @@ def within(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
 
 
 def below_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """Rows strictly below the interpolated q-quantile of all rows.
-
-    The threshold is a one-row relation, joined back as a scalar.
-    """
-    threshold = exact_quantiles(df, column, [q]).select(F.col("value").alias("__threshold"))
-    return df.crossJoin(F.broadcast(threshold)).where(F.col(column) < F.col("__threshold")).drop("__threshold")
+    """Rows strictly below the interpolated q-quantile of all rows (a scalar subquery)."""
+    return df.where(F.col(column) < exact_quantiles(df, column, [q]).select("value").scalar())
 
 
 def after(df: DataFrame, date_col: str, start: str) -> DataFrame:

@@ -42,8 +42,7 @@ def as_of_daily(
     long as the value itself is never NULL.
     """
     if end is None:
-        newest = df.agg(F.max(date_col).alias("__end"))  # one row
-        rows, stop = df.crossJoin(F.broadcast(newest)), F.col("__end")
+        rows, stop = df.withColumn("__end", df.agg(F.max(date_col)).scalar()), F.col("__end")
     else:
         stop = F.lit(end).cast("date")
         rows = df.where(F.col(date_col) <= stop)

@@ -41,7 +41,7 @@ def shuffled_target(
     rows = numbered(df.select(*keys, order, target, *features), keys, order).drop("n")
     x = rows.select(*keys, "rn", *features, F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("shuffle"))
     y = rows.select(*keys, F.col("rn").alias("__src"), target, F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("shuffle"))
-    y = y.withColumn("__u", X.draw("__src", "shuffle"))
+    y = X.with_draw(y, "__src", "shuffle", "__u")
     y = numbered(y.withColumn("__o", F.struct("__u", "__src")), [*keys, "shuffle"], "__o").select(*keys, "shuffle", "rn", target)
     cols = [*features, target]
     blocks = moment_blocks(x.join(y, [*keys, "shuffle", "rn"]), [*keys, "shuffle"], cols)

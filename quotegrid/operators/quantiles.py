@@ -89,30 +89,45 @@ def _holding(df: DataFrame, ids: list[str], order: str) -> DataFrame:
     )
 
 
-def ranged_running_sums(
-    df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (), ranges: int = 64
-) -> DataFrame:
-    """Inclusive running sums along ``order`` without one task per key.
+def ecdf_distance(df: DataFrame, value: str, in_first: str, keys: Sequence[str] = (), buckets: int = 2048) -> DataFrame:
+    """Largest distance between the two empirical distributions of ``value`` per key, exact.
 
-    ``df`` has one row per (keys, order). The order axis is cut at approximate
-    quantiles, range totals are accumulated over at most ``ranges`` rows, and the
-    fine windows run inside one range each.
+    Columns ``distance``, ``n_first``, ``n_second``. A histogram (partial aggregate) gives
+    the distance at every bucket end and an upper bound inside the bucket; only buckets
+    whose bound exceeds the best end are opened, and each is ordered by itself.
     """
     keys = list(keys)
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, probs, F.lit(10 * ranges)).alias("__cuts"))
-    placed = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
-    placed = placed.withColumn(
-        "__range", F.size(F.filter("__cuts", lambda cut: cut < F.col(order))).cast("int")
-    ).drop("__cuts")
-    totals = placed.groupBy(*keys, "__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "__range", *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums]
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("__v"), F.col(in_first).cast("int").alias("__a")
     )
-    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.join(offsets, [*keys, "__range"])
-        .withColumns({f"cum_{s}": F.sum(s).over(inside) + F.col(f"__o_{s}") for s in sums})
-        .drop("__range", *[f"__o_{s}" for s in sums])
+    stats = rows.groupBy(*keys).agg(
+        F.min("__v").alias("__lo"),
+        F.max("__v").alias("__hi"),
+        F.sum("__a").alias("n_first"),
+        (F.count(F.lit(1)) - F.sum("__a")).alias("n_second"),
+    )
+    width = (F.col("__hi") - F.col("__lo")) / buckets
+    slot = F.when(width <= 0, F.lit(0)).otherwise(
+        F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / F.nullif(width, F.lit(0.0))).cast("int"))
+    )
+    placed = _beside(rows, stats, keys).withColumn("__slot", slot)
+    step = lambda: [
+        (F.sum("__a") / F.max("n_first")).alias("__da"),
+        ((F.count(F.lit(1)) - F.sum("__a")) / F.max("n_second")).alias("__db"),
+    ]
+    hist = placed.groupBy(*keys, "__slot").agg(*step())
+    ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    gap = F.sum(F.col("__da") - F.col("__db")).over(ordered)  # at most `buckets` rows per key
+    hist = hist.withColumn("__end", gap).withColumn("__start", F.col("__end") - F.col("__da") + F.col("__db"))
+    bound = F.greatest(F.abs(F.col("__start") + F.col("__da")), F.abs(F.col("__start") - F.col("__db")))
+    hist = hist.withColumn("__best", F.max(F.abs("__end")).over(whole))
+    opened = hist.where((bound > F.col("__best")) & (F.col("__da") > 0) & (F.col("__db") > 0)).select(
+        *keys, "__slot", "__start"
     )
+    leaf = placed.join(opened, [*keys, "__slot"]).groupBy(*keys, "__slot", "__start", "__v").agg(*step())
+    inside = Window.partitionBy(*keys, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    fine = leaf.select(*keys, F.abs(F.col("__start") + F.sum(F.col("__da") - F.col("__db")).over(inside)).alias("__d"))
+    ends = hist.select(*keys, F.abs("__end").alias("__d"))
+    top = ends.unionByName(fine).groupBy(*keys).agg(F.max("__d").alias("distance"))
+    return _beside(top, stats.select(*keys, "n_first", "n_second"), keys)

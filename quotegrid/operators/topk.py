@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotegrid.functions.exprs import half_even
-from quotegrid.operators.quantiles import ranged_running_sums
 
 
 def sort_nulls_last(df: DataFrame, column: str) -> DataFrame:
@@ -60,12 +59,9 @@ def pareto_frontier(df: DataFrame, x: str, y: str, ranges: int = 64) -> DataFram
     """
     best = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("__y"))
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = best.agg(F.percentile_approx(x, probs, F.lit(10 * ranges)).alias("__cuts"))  # one row
-    placed = (
-        best.crossJoin(F.broadcast(cuts))
-        .withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(x))))
-        .drop("__cuts")
-    )
+    cuts = best.agg(F.percentile_approx(x, probs, F.lit(10 * ranges)).alias("__cuts")).scalar()
+    placed = best.withColumn("__cuts", cuts)
+    placed = placed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
     tops = placed.groupBy("__range").agg(F.max("__y").alias("__top"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("__range", F.max("__top").over(earlier).alias("__before"))  # at most `ranges` rows
@@ -89,7 +85,6 @@ __all__ = [
     "latest_momentum",
     "latest_row",
     "pareto_frontier",
-    "ranged_running_sums",
     "reduced_search_order",
     "smallest",
     "sort_nulls_last",

@@ -209,7 +209,8 @@ def rolling_replicates(spark, sf, last: int = 20):
     cuts = rows.where(F.col("rn") > F.col("n") - last).select("product", F.col("rn").cast("bigint").alias("c"), F.col("date").alias("origin"), F.col("own").alias("own_now"))
     draws = cuts.select("product", "c", F.explode(F.sequence(F.lit(1), F.lit(CI_B))).alias("r"))
     draws = draws.withColumn("s", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c") - 1)))
-    rn = (X.draw("s", F.col("r") * 4096 + F.col("c")) % (F.col("c") - 1) + 1).cast("int")
+    draws = X.with_draw(draws, "s", F.col("r") * 4096 + F.col("c"), "u")
+    rn = (F.col("u") % (F.col("c") - 1) + 1).cast("int")
     counts = draws.groupBy("product", "c", "r", rn.alias("rn")).agg(F.count(F.lit(1)).alias("cnt"))
     joined = counts.join(mo.centre(rows.drop("n", "date"), K, ["own", "y"]), ["product", "rn"])
     joined = joined.withColumn("w", F.pow(F.lit(0.98), (F.col("c") - 1 - F.col("rn")).cast("double")))
