@@ -111,23 +111,26 @@ def ecdf_distance(df: DataFrame, value: str, in_first: str, keys: Sequence[str]
         F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / F.nullif(width, F.lit(0.0))).cast("int"))
     )
     placed = _beside(rows, stats, keys).withColumn("__slot", slot)
-    step = lambda: [
-        (F.sum("__a") / F.max("n_first")).alias("__da"),
-        ((F.count(F.lit(1)) - F.sum("__a")) / F.max("n_second")).alias("__db"),
-    ]
-    hist = placed.groupBy(*keys, "__slot").agg(*step())
+    totals = ["n_first", "n_second"]
+    counts = [F.sum("__a").alias("__ca"), (F.count(F.lit(1)) - F.sum("__a")).alias("__cb")]
+    distance = lambda a, b: F.abs(a / F.col("n_first") - b / F.col("n_second"))
+    # counts stay integers until the end: the order of partial sums cannot change the result
+    hist = placed.groupBy(*keys, "__slot").agg(*counts, *[F.max(c).alias(c) for c in totals])
     ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    gap = F.sum(F.col("__da") - F.col("__db")).over(ordered)  # at most `buckets` rows per key
-    hist = hist.withColumn("__end", gap).withColumn("__start", F.col("__end") - F.col("__da") + F.col("__db"))
-    bound = F.greatest(F.abs(F.col("__start") + F.col("__da")), F.abs(F.col("__start") - F.col("__db")))
-    hist = hist.withColumn("__best", F.max(F.abs("__end")).over(whole))
-    opened = hist.where((bound > F.col("__best")) & (F.col("__da") > 0) & (F.col("__db") > 0)).select(
-        *keys, "__slot", "__start"
-    )
-    leaf = placed.join(opened, [*keys, "__slot"]).groupBy(*keys, "__slot", "__start", "__v").agg(*step())
+    # at most `buckets` rows per key
+    hist = hist.withColumns({"__ea": F.sum("__ca").over(ordered), "__eb": F.sum("__cb").over(ordered)})
+    hist = hist.withColumns({"__sa": F.col("__ea") - F.col("__ca"), "__sb": F.col("__eb") - F.col("__cb")})
+    hist = hist.withColumn("__best", F.max(distance(F.col("__ea"), F.col("__eb"))).over(whole))
+    bound = F.greatest(distance(F.col("__ea"), F.col("__sb")), distance(F.col("__sa"), F.col("__eb")))
+    opened = hist.where((bound > F.col("__best")) & (F.col("__ca") > 0) & (F.col("__cb") > 0))
+    opened = opened.select(*keys, "__slot", "__sa", "__sb")
+    leaf = placed.join(opened, [*keys, "__slot"]).groupBy(*keys, "__slot", "__sa", "__sb", *totals, "__v").agg(*counts)
     inside = Window.partitionBy(*keys, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    fine = leaf.select(*keys, F.abs(F.col("__start") + F.sum(F.col("__da") - F.col("__db")).over(inside)).alias("__d"))
-    ends = hist.select(*keys, F.abs("__end").alias("__d"))
+    fine = leaf.select(
+        *keys,
+        distance(F.col("__sa") + F.sum("__ca").over(inside), F.col("__sb") + F.sum("__cb").over(inside)).alias("__d"),
+    )
+    ends = hist.select(*keys, distance(F.col("__ea"), F.col("__eb")).alias("__d"))
     top = ends.unionByName(fine).groupBy(*keys).agg(F.max("__d").alias("distance"))
-    return _beside(top, stats.select(*keys, "n_first", "n_second"), keys)
+    return _beside(top, stats.select(*keys, *totals), keys)

@@ -386,7 +386,7 @@ def agg07(spark, sf):
 
 @query(
     "agg08_marketing_weekly_mean",
-    f"""with {t.RATE_WIDE}, a as (select date, NATION_0 as own_rate, list_sort([{', '.join(f'coalesce({c},0)' for c in t.COMPETITORS)}],'DESC') as l from rwide),
+    f"""with {t.RATE_WIDE}, a as (select date, {t.OWN} as own_rate, list_sort([{', '.join(f'coalesce({c},0)' for c in t.COMPETITORS)}],'DESC') as l from rwide),
   b as (select date, own_rate, list_sum(l[1:7]) / 7 as top7 from a)
   select {t.week_sql('date')} as date, round(avg(own_rate), 6) as own_rate, round(avg(top7), 6) as competitor_mean from b group by 1""",
 )

@@ -65,7 +65,7 @@ FEATURE_SQL = f"""{t.SALES}, kept0 as (select * from sales where premium between
  rf as (select s.company, s.date, last_value(r.rate ignore nulls) over (partition by s.company order by s.date rows between unbounded preceding and current row) as rate from rs s left join rd r using (company, date)),
  rm as (select company, date, avg(rate) over (partition by company order by date rows between 6 preceding and current row) as rate from rf),
  rw as (select date, {', '.join(f"max(case when company='{c}' then rate end) as {c}" for c in t.COMPANIES)} from rm group by 1),
- mk as (select date, NATION_0, ({'+'.join(f'coalesce({c},0)*coalesce({c}_weight,0)' for c in C)})/({'+'.join(f'coalesce({c}_weight,0)' for c in C)}+1e-8) as cw,
+ mk as (select date, {t.OWN}, ({'+'.join(f'coalesce({c},0)*coalesce({c}_weight,0)' for c in C)})/({'+'.join(f'coalesce({c}_weight,0)' for c in C)}+1e-8) as cw,
    ({'+'.join(f'coalesce({c},0)' for c in C)})/{len(C)} as cc, list_median({CZ}) as cm, list_sum(list_sort({CZ},'DESC')[1:5])/5 as c5
    from rw left join wwide on year(date)::varchar || '_Q' || quarter(date)::varchar = current_quarter),
  {t.MACRO}, jd as (select ad.product, ad.date, sales, sales_by_contract_date, tax, qty from ad left join cd on ad.product = cd.product and ad.date = cd.date left join macro on macro.date = ad.date),
@@ -73,8 +73,8 @@ FEATURE_SQL = f"""{t.SALES}, kept0 as (select * from sales where premium between
    last_value(qty ignore nulls) over ({OVER} rows between unbounded preceding and current row) as qty from jd),
  js as (select product, date, sales, sales_by_contract_date, (sales > 0)::integer as counter, avg(tax) over ({OVER} rows between 6 preceding and current row) as tax,
    avg(qty) over ({OVER} rows between 6 preceding and current row) as qty from jf),
- da as (select js.*, NATION_0, cw, cc, cm, c5 from js join mk using (date)),
- wk as (select product, {t.week_sql('date')} as date, sum(sales) as sales, coalesce(sum(sales_by_contract_date), 0) as sbc, sum(counter)::bigint as counter, avg(NATION_0) as own, avg(cw) as cw, avg(cc) as cc, avg(cm) as cm, avg(c5) as c5,
+ da as (select js.*, {t.OWN}, cw, cc, cm, c5 from js join mk using (date)),
+ wk as (select product, {t.week_sql('date')} as date, sum(sales) as sales, coalesce(sum(sales_by_contract_date), 0) as sbc, sum(counter)::bigint as counter, avg({t.OWN}) as own, avg(cw) as cw, avg(cc) as cc, avg(cm) as cm, avg(c5) as c5,
    arg_max(tax, date) as tax, arg_max(qty, date) as qty from da group by 1,2),
  fe as (select *, lag(sales, 4) over ({OVER}) as s4, lag(sbc, 2) over ({OVER}) as b2, lag(own, 1) over ({OVER}) as o1, lag(cw, 2) over ({OVER}) as w2, lag(c5, 3) over ({OVER}) as f3,
    lag(tax, 1) over ({OVER}) as t1, lag(own, 2) over ({OVER}) * lag(cc, 2) over ({OVER}) as oc2, max(case when date > date '1995-06-01' and date <= date '2001-08-01' - interval 50 day then date end) over (partition by product) as lastd from wk)"""

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import exprs as X
 
-# Standing company dimension (fixed values): NATION_0 is the own firm.
+# Standing company dimension (fixed values): NATION_8 is the own firm.
 COMPANIES = [f"NATION_{i}" for i in range(25)]
-OWN = "NATION_0"
+OWN = "NATION_8"
 COMPETITORS = [c for c in COMPANIES if c != OWN]
 CORE = ["NATION_3", "NATION_9", "NATION_14"]
 FAR_FUTURE = "2002-01-01"
