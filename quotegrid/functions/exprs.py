@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +139,19 @@ def domain_violations(c: str | Column, name: str) -> Column:
 
 
 # ---------------------------------------------------------------- row-wise ranks over columns
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def zero_if_null(names: Iterable[str], suffix: str = "") -> list[str]:
+    """SQL terms; one parsed text is far cheaper to build than hundreds of Column objects."""
+    return [f"coalesce({quoted(n + suffix)}, 0D)" for n in names]
+
+
 def _rates(columns: Iterable[str | Column], null_policy: str) -> Column:
+    columns = list(columns)
+    if null_policy == "zero" and all(isinstance(c, str) for c in columns):
+        return F.expr(f"array({', '.join(zero_if_null(columns))})")
     cols = [col(c) for c in columns]
     if null_policy == "zero":
         return F.array(*[F.coalesce(c, F.lit(0.0)) for c in cols])
@@ -179,10 +190,6 @@ def nth_highest(columns: Iterable[str | Column], n: int, null_policy: str = "zer
     return F.coalesce(F.get(arr, F.lit(n - 1)), F.get(arr, F.lit(0)))
 
 
-def column_sum(terms: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
-
 # ---------------------------------------------------------------- reproducible draws
 # Fixed values of the draw recipe (a prime modulus and three multipliers).
 DRAW_MODULUS = 2147483647

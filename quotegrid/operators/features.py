@@ -34,23 +34,21 @@ def _suffixes(max_lag: int) -> list[str]:
 def polynomial_bank(df: DataFrame, bases: Sequence[str], max_lag: int, missing: str = "skip") -> DataFrame:
     """Squares of every base and products of every pair, per lag."""
     have = set(df.columns)
-    new: list[Column] = []
+    new: list[str] = []
 
-    def add(name: str, needed: Sequence[str], expr: Column) -> None:
-        absent = [c for c in needed if c not in have]
+    def add(name: str, a: str, b: str) -> None:
+        absent = sorted({a, b} - have)
         if not absent:
-            new.append(expr.alias(name))
+            new.append(f"{X.quoted(a)} * {X.quoted(b)} AS {X.quoted(name)}")
         elif missing != "skip":
             raise ValueError(f"columns {absent} needed for {name}")
 
     for s in _suffixes(max_lag):
         for i, a in enumerate(bases):
-            ca = f"{a}_{s}"
-            add(f"derived_{a}_squared_{s}", [ca], F.col(ca) * F.col(ca))
+            add(f"derived_{a}_squared_{s}", f"{a}_{s}", f"{a}_{s}")
             for b in bases[i + 1 :]:
-                cb = f"{b}_{s}"
-                add(f"derived_{a}_{b}_interaction_{s}", [ca, cb], F.col(ca) * F.col(cb))
-    return df.select("*", *new)
+                add(f"derived_{a}_{b}_interaction_{s}", f"{a}_{s}", f"{b}_{s}")
+    return df.selectExpr("*", *new)
 
 
 def cubes_and_pair_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -50,15 +50,18 @@ def pivot_companies(grid: DataFrame, company: str, date_col: str, rate: str, nam
 
 
 # ---------------------------------------------------------------- market aggregates (wide)
+def _weighted_sum(names: Sequence[str], suffix: str) -> str:
+    return " + ".join(f"{r} * {w}" for r, w in zip(X.zero_if_null(names), X.zero_if_null(names, suffix)))
+
+
 def market_weighted_mean(names: Sequence[str], weight_suffix: str = "_weight", eps: float = 1e-8) -> Column:
     """Sum of rate x weight over the sum of weights; missing rates and weights count as 0."""
-    rate = {n: F.coalesce(F.col(n), F.lit(0.0)) for n in names}
-    weight = {n: F.coalesce(F.col(n + weight_suffix), F.lit(0.0)) for n in names}
-    return X.column_sum(rate[n] * weight[n] for n in names) / (X.column_sum(weight.values()) + F.lit(eps))
+    weights = " + ".join(X.zero_if_null(names, weight_suffix))
+    return F.expr(f"({_weighted_sum(names, weight_suffix)}) / ({weights} + {eps!r}D)")
 
 
 def market_core_mean(names: Sequence[str]) -> Column:
-    return X.column_sum(F.coalesce(F.col(n), F.lit(0.0)) for n in names) / len(names)
+    return F.expr(f"({' + '.join(X.zero_if_null(names))}) / {len(names)}")
 
 
 def weighted_mean_excluding(
@@ -66,21 +69,16 @@ def weighted_mean_excluding(
 ) -> Column:
     """Weighted sum over the kept companies divided by one minus the excluded weights."""
     kept = [n for n in names if n not in set(excluded)]
-    total = X.column_sum(
-        F.coalesce(F.col(n), F.lit(0.0)) * F.coalesce(F.col(n + weight_suffix), F.lit(0.0)) for n in kept
-    )
-    rest = F.lit(1.0)
-    for n in excluded:
-        rest = rest - F.col(n + weight_suffix)
-    return total / F.nullif(rest, F.lit(0.0))
+    rest = " - ".join(["1D", *[X.quoted(n + weight_suffix) for n in excluded]])
+    return F.expr(f"({_weighted_sum(kept, weight_suffix)}) / nullif({rest}, 0D)")
 
 
 def weighted_strategy(names: Sequence[str], weights: dict[str, float]) -> Column:
     """Static weights re-normalised over the available companies; equal when they sum to 0."""
     have = {n: float(weights.get(n, 0.0)) for n in names}
     total = sum(have.values())
-    share = {n: (w / total if total > 0 else 1.0 / len(names)) for n, w in have.items()}
-    return X.column_sum(F.coalesce(F.col(n), F.lit(0.0)) * F.lit(share[n]) for n in names)
+    share = [w / total if total > 0 else 1.0 / len(names) for w in have.values()]
+    return F.expr(" + ".join(f"{r} * {w!r}D" for r, w in zip(X.zero_if_null(names), share)))
 
 
 def weighted_strategy_long(rates: DataFrame, weights: DataFrame, company: str, keys: Sequence[str], rate: str) -> DataFrame:
