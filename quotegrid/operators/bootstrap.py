@@ -15,16 +15,7 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import exprs as X
 from quotegrid.functions import linear
-from quotegrid.operators.moments import (
-    FIT_SCHEMA,
-    Model,
-    _fit_frame,
-    _key_ddl,
-    _nan_free,
-    centre,
-    parallelism,
-    weighted_blocks,
-)
+from quotegrid.operators.moments import _key_ddl, centre, parallelism, ridge_fits, weighted_blocks
 from quotegrid.operators.windows import numbered
 
 
@@ -122,17 +113,29 @@ def packed_ridge_ensemble(
 
     A series of a few hundred weeks travels as one row to many tasks, each of which
     draws its own range of replicates; the draws equal those of :func:`iid_counts`.
-    A series above ``max_rows`` is refused: use :func:`replicate_blocks` or
-    :func:`poisson_blocks`, which have no such bound.
+    Series above ``max_rows`` are never gathered: they take :func:`replicate_blocks`,
+    which gives the same replicates by joins and aggregations.
     """
+    if not keys:
+        one = packed_ridge_ensemble(
+            df.withColumn("__all", F.lit(0)), ["__all"], order, target, features, replicates, alpha, weight, positive, chunk, max_rows
+        )
+        return one.drop("__all")
     cols = [*features, target, *([weight] if weight else [])]
-    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("__s"))
-    series = series.withColumn(
-        "__s",
-        F.when(F.size("__s") <= max_rows, F.col("__s")).otherwise(
-            F.raise_error(F.lit(f"series longer than {max_rows} rows: use replicate_blocks"))
-        ),
-    )
+    df = df.select(*keys, order, *cols)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    fits_in_a_row = F.col("__rows") <= max_rows
+    long = df.join(sizes.where(~fits_in_a_row), list(keys), "left_semi")
+    joined = ridge_fits(
+        replicate_blocks(long, keys, order, [*features, target], replicates, weight),
+        [*keys, "replicate"],
+        [*features, target],
+        features,
+        alpha,
+        positive,
+    ).drop("n_obs")
+    short = df.join(sizes.where(fits_in_a_row), list(keys), "left_semi")
+    series = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("__s"))
     flat = series.select(*keys, *[F.col("__s")[c].alias(f"__v_{i}") for i, c in enumerate(cols)])
     chunks = -(-replicates // chunk)
     jobs = flat.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -160,7 +163,7 @@ def packed_ridge_ensemble(
                     out.insert(0, k, row[k])
                 yield out
 
-    return jobs.mapInPandas(fit, _key_ddl(df, keys) + "replicate int, coef array<double>")
+    return jobs.mapInPandas(fit, _key_ddl(df, keys) + "replicate int, coef array<double>").unionByName(joined)
 
 
 def draw_counts(n: int, replicates: np.ndarray) -> np.ndarray:
@@ -174,17 +177,3 @@ def draw_counts(n: int, replicates: np.ndarray) -> np.ndarray:
     x = (x * x + r + 1) % m
     rows = (x % n) + np.arange(len(replicates))[:, None] * n
     return np.bincount(rows.ravel(), minlength=n * len(replicates)).reshape(len(replicates), n).astype(float)
-
-
-__all__ = [
-    "FIT_SCHEMA",
-    "Model",
-    "_fit_frame",
-    "_nan_free",
-    "block_counts",
-    "draw_counts",
-    "iid_counts",
-    "packed_ridge_ensemble",
-    "poisson_blocks",
-    "replicate_blocks",
-]

@@ -46,7 +46,8 @@ def price_scenarios(
     are shifted; other features keep their current value. Long output, no wide matrix.
     """
     back = {"log1p": lambda c: F.expm1(c), "log": lambda c: F.exp(c), "none": lambda c: c}[invert]
-    j = ensemble.join(current, list(keys)).crossJoin(scenarios)
+    # the scenario grid is a parameter of a few dozen rows
+    j = ensemble.join(current, list(keys)).crossJoin(F.broadcast(scenarios))
     shift = F.lit(competitor_shift) if isinstance(competitor_shift, (int, float)) else (
         F.col(competitor_shift) if isinstance(competitor_shift, str) else competitor_shift
     )

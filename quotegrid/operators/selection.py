@@ -107,7 +107,7 @@ def is_lag_zero(feature: str | Column) -> Column:
 
 
 def constraint_table(spark: SparkSession, rules: Sequence[tuple[str, str, bool]]) -> DataFrame:
-    """Rule rows (substring, expected sign, strict)."""
+    """Rule rows (substring, expected sign, strict): a hand-written list, safe to broadcast."""
     return spark.createDataFrame(list(rules), "rule string, expected_sign string, strict boolean")
 
 
@@ -117,7 +117,7 @@ def constraint_violations(coefs: DataFrame, rules: DataFrame, confidence: float
     Without a usable standard error the point estimate decides.
     """
     z = D.normal_quantile(1 - (1 - confidence) / 2)
-    j = coefs.where(F.col("term") != "Intercept").join(rules, F.col("term").contains(F.col("rule")))
+    j = coefs.where(F.col("term") != "Intercept").join(F.broadcast(rules), F.col("term").contains(F.col("rule")))
     lo, hi = F.col("coef") - z * F.col("se"), F.col("coef") + z * F.col("se")
     has_se = F.col("se").isNotNull() & ~F.isnan("se") & (F.col("se") > 0)
     pos = F.when(has_se, lo <= 0).otherwise(F.col("coef") <= 0)
@@ -136,7 +136,7 @@ def drop_violating(models: DataFrame, violations: DataFrame, keys: Sequence[str]
 
 def t_constraints(coefs: DataFrame, rules: DataFrame, confidence: float = 0.95) -> DataFrame:
     """t interval, strength class and satisfaction per constrained coefficient."""
-    j = coefs.where(F.col("term") != "Intercept").join(rules, F.col("term").contains(F.col("rule")))
+    j = coefs.where(F.col("term") != "Intercept").join(F.broadcast(rules), F.col("term").contains(F.col("rule")))
     j = j.withColumn("dof", F.col("n_obs") - F.col("n_features") - 1)
     j = j.withColumn("t_critical", D.t_critical("dof", confidence))
     j = j.withColumns(

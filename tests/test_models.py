@@ -117,10 +117,19 @@ def test_packed_and_joined_ensembles_agree(panel):
     assert max(np.max(np.abs(np.array(a[k]) - np.array(b[k]))) for k in a) < 1e-9
 
 
-def test_packed_refuses_long_series(panel):
+def test_long_series_take_the_joined_path(panel):
     df, _ = panel
-    with pytest.raises(Exception, match="replicate_blocks"):
-        bs.packed_ridge_ensemble(df, ["k"], "t", "y", ["x1"], 2, 1.0, max_rows=50).collect()
+    args = (["k"], "t", "y", ["x1", "x2"], 9, 0.5)
+    whole = {(r["k"], r["replicate"]): r["coef"] for r in bs.packed_ridge_ensemble(df, *args).collect()}
+    mixed = {(r["k"], r["replicate"]): r["coef"] for r in bs.packed_ridge_ensemble(df, *args, max_rows=70).collect()}
+    assert whole.keys() == mixed.keys() and len(whole) == 18
+    assert max(np.max(np.abs(np.array(whole[k]) - np.array(mixed[k]))) for k in whole) < 1e-9
+
+
+def test_ensemble_without_keys(panel):
+    df, _ = panel
+    out = bs.packed_ridge_ensemble(df.where("k = 'a'"), [], "t", "y", ["x1"], 4, 0.5)
+    assert out.columns == ["replicate", "coef"] and out.count() == 4
 
 
 def test_draws_are_whole_and_reproducible(panel):
