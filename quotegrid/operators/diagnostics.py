@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import distributions as D
 from quotegrid.functions.exprs import ladder
-from quotegrid.operators.moments import Model, coefficient_rows, fit_models, moment_blocks
+from quotegrid.operators.moments import Model, fit_models, moment_blocks
 from quotegrid.operators.quantiles import ecdf_distance, exact_quantiles
 from quotegrid.operators.windows import series_window
 
@@ -136,16 +136,3 @@ def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, in_first: str)
     out = ecdf_distance(df, value, in_first, keys).withColumnRenamed("distance", "ks_distance")
     en = F.sqrt(F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second")))
     return out.withColumn("ks_p", D.kolmogorov_sf(en * F.col("ks_distance")))
-
-
-__all__ = [
-    "autocorrelation",
-    "coefficient_rows",
-    "heteroscedasticity",
-    "ks_two_sample",
-    "levene",
-    "mean_t_test",
-    "residual_moments",
-    "residuals",
-    "variance_inflation",
-]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quotegrid.functions.exprs import basis_points
 from quotegrid.operators import bootstrap as bs

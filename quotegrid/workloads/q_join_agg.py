@@ -9,9 +9,8 @@ from quotegrid.operators import aggregates as agg
 from quotegrid.operators import calendar as cal
 from quotegrid.operators import joins as jon
 from quotegrid.operators import rates as rt
-from quotegrid.operators.windows import series_window
 from quotegrid.workloads import tables as t
-from quotegrid.workloads.q_scan_filter import WEIGHTS, WEIGHTS_WIDE, weights_long, weights_wide
+from quotegrid.workloads.q_scan_filter import WEIGHTS, WEIGHTS_WIDE, weights_wide
 from quotegrid.workloads.registry import query
 from quotegrid.workloads.tables import xavg, xsum
 
@@ -335,9 +334,6 @@ def agg04(spark, sf):
     return rt.daily_company_mean(t.quotes(spark, sf), "company", "date", "rate", 0).withColumn("rate", F.round("rate", 8))
 
 
-LINE_ID = "l_orderkey * 100 + l_linenumber"
-
-
 @query(
     "agg05_latest_record",
     f"""with {t.QUOTES} select company, arg_max(date, (date, -l_orderkey, -l_linenumber, -product_id, -price)) as date,
@@ -606,6 +602,3 @@ def agg22(spark, sf):
     f = F.concat_ws(" + ", "p_type", "p_brand", F.when(F.col("p_size") > 10, "large").otherwise("small"))
     out = agg.usage_consistency(p.select(f.alias("features")))
     return out.withColumn("usage_pct", F.round("usage_pct", 6))
-
-
-__all__ = ["ASOF", "CL", "MARKET", "WEEKLY_CI", "series_window", "weights_long", "weekly_ci", "day_sales", "day_contract"]

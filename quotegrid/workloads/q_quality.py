@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quotegrid.functions import exprs as X
 from quotegrid.operators import calendar as cal
 from quotegrid.operators import forecast as fc
 from quotegrid.operators import joins as jon
@@ -12,11 +11,11 @@ from quotegrid.operators import leakage as lk
 from quotegrid.operators import quality as dq
 from quotegrid.operators import windows as win
 from quotegrid.workloads import tables as t
-from quotegrid.workloads.q_forecast import CI_B, ROLL, SPLIT, rolling, rolling_replicates, split
+from quotegrid.workloads.q_forecast import CI_B, SPLIT, rolling_replicates, split
 from quotegrid.workloads.q_models import FITS, LONG, NAMED, RN, fits, named_coefficients, r6
 from quotegrid.workloads.q_scan_filter import weekly_sales
 from quotegrid.workloads.registry import query
-from quotegrid.workloads.sqltext import draw_sql, rnd, weighted_moments_sql
+from quotegrid.workloads.sqltext import draw_sql, weighted_moments_sql
 from quotegrid.workloads.tables import xsum
 
 K = ["product"]
@@ -446,6 +445,3 @@ def dq23(spark, sf):
     return out.select(
         "feature", F.round("ks_distance", 8).alias("ks_distance"), F.round("mean_shift_sigma", 6).alias("mean_shift_sigma"), "status"
     )
-
-
-__all__ = ["ROLL", "X", "rolling", "rnd"]

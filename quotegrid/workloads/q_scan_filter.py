@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import exprs as X
 from quotegrid.operators import filters as flt
-from quotegrid.operators.calendar import weekly
 from quotegrid.sources import scan, sinks
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.registry import query, scratch
@@ -504,6 +503,3 @@ def flt25(spark, sf):
 
     d = gap_filled_daily(t.sales(spark, sf), "date", "premium", ["product"])
     return d.select("product", "date", "sales", flt.positive_counter("sales").alias("counter"))
-
-
-__all__ = ["weekly", "weights_long", "weights_wide", "WEIGHTS", "WEIGHTS_WIDE"]

@@ -18,7 +18,6 @@ COMPANIES = [f"NATION_{i}" for i in range(25)]
 OWN = "NATION_8"
 COMPETITORS = [c for c in COMPANIES if c != OWN]
 CORE = ["NATION_3", "NATION_9", "NATION_14"]
-FAR_FUTURE = "2002-01-01"
 
 
 _SCHEMAS: dict[str, StructType] = {}

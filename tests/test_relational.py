@@ -251,3 +251,22 @@ def test_polynomials_need_their_inputs(spark):
     assert out.first()["derived_a_b_interaction_current"] == 6.0 and "derived_a_squared_t1" not in out.columns
     with pytest.raises(ValueError):
         ft.polynomial_bank(df, ["a", "b"], 1, missing="raise")
+
+
+def test_transform_domains_and_log_targets(spark):
+    df = spark.createDataFrame([(-2.0,), (0.0,), (4.0,), (None,)], "x double")
+    got = [r[0] for r in df.select(X.transformed("x", "sqrt")).collect()]
+    assert got == [None, 0.0, 2.0, None]
+    assert df.agg(X.domain_violations("x", "log")).first()[0] == 2
+    t = spark.createDataFrame([(0.0, 5.0)], "sales_target_t1 double, other double")
+    assert tuple(ft.log_targets(t).first()) == (0.0, 5.0)
+
+
+def test_momentum_and_stability_ranks(spark):
+    from quotegrid.operators import scenario, stability
+
+    m = spark.createDataFrame([(1.0, 2.0, 6.0)], "a double, b double, c double")
+    assert scenario.current_momentum(m, [], ["a", "b", "c"]).first()["momentum"] == 3.0
+    s = spark.createDataFrame([("m1", 80.0, 10.0), ("m2", 80.0, 12.0), ("m3", 20.0, 11.0)], "m string, st double, aic double")
+    r = {x["m"]: (x["stability_rank"], x["aic_rank"], x["combined_rank"]) for x in stability.stability_ranks(s, [], "st", "aic").collect()}
+    assert r == {"m1": (1.5, 1.0, 1.25), "m2": (1.5, 3.0, 2.25), "m3": (3.0, 2.0, 2.5)}
