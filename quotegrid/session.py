@@ -6,6 +6,10 @@ the DataFrame it is given.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -43,3 +47,23 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     if target:
         spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per context, so that their Python workers can import it.
+
+    The archive is made in a temporary folder of the driver and served by Spark; executors fetch it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quotegrid_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="quotegrid-ship-"), "quotegrid_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "quotegrid")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    context.addPyFile(archive)
+    context._quotegrid_shipped = True
