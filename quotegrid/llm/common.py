@@ -178,7 +178,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        # written first, so that both sides of the join are shuffled for it and AQE can split the edges of a hub
+        least = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every edge now points from the larger id (a) to a smaller one (b)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
