@@ -180,7 +180,7 @@ def co_train(
 def _views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [
-            (i, q, content_view(t), metadata_view(t, lang, source))
+            (i, q, content_view(t).tobytes(), metadata_view(t, lang, source).tobytes())
             for i, q, t, lang, source in zip(
                 batch["doc_id"], batch["quality"], batch["text"], batch["lang"], batch["source"]
             )
@@ -212,14 +212,14 @@ def learn_quality(
     sample = (
         texts.join(F.broadcast(chosen), "doc_id")
         .where("text is not null")
-        .mapInPandas(_views, "doc_id bigint, quality double, content array<float>, metadata array<float>")
+        .mapInPandas(_views, "doc_id bigint, quality double, content binary, metadata binary")
         .toPandas()
         .sort_values("doc_id", kind="stable")
     )
     wide = (BUCKETS, LAYOUT + 2 * HASHED)
     known = sample["quality"].notna().to_numpy()
     arrays = [
-        np.array(sample[c].tolist(), dtype=np.float32).reshape(len(sample), n)
+        np.frombuffer(b"".join(sample[c]), dtype=np.float32).reshape(len(sample), n)
         for c, n in zip(("content", "metadata"), wide)
     ]
     fold = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in sample["doc_id"]], dtype=bool)
