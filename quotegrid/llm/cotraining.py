@@ -32,6 +32,7 @@ from quotegrid.llm.common import gram_counts
 MAX_LABELLED, MAX_POOL = 4000, 6000
 BUCKETS = 1024
 HASHED = 64
+FEW_WORDS = 5
 LAYOUT = 12
 
 
@@ -77,20 +78,23 @@ def metadata_view(text: str, lang: str | None, source: str | None) -> np.ndarray
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
     """Weights and, last, the intercept; both classes weigh the same; accelerated gradient."""
     x = np.hstack((x, np.ones((len(x), 1), dtype=x.dtype))).astype(np.float32)
+    # products in single precision: mixed ones would copy the whole matrix each time
+    times = lambda v: (x @ v.astype(np.float32)).astype(np.float64)
+    times_transposed = lambda u: (u.astype(np.float32) @ x).astype(np.float64)
     share = max(min(float(y.mean()), 1 - 1e-6), 1e-6)
     weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) / len(y)
     penalty = np.full(x.shape[1], ridge / len(y))
     penalty[-1] = 0
     v = np.ones(x.shape[1])
     for _ in range(20):
-        v = x.T @ (weight * (x @ v))
+        v = times_transposed(weight * times(v))
         v /= np.linalg.norm(v)
-    step = 1 / (0.25 * float(np.linalg.norm(x.T @ (weight * (x @ v)))) + float(penalty.max()) + 1e-9)
+    step = 1 / (0.25 * float(np.linalg.norm(times_transposed(weight * times(v)))) + float(penalty.max()) + 1e-9)
     w = np.zeros(x.shape[1])
     z, t = w, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ z, -40, 40)))
-        new = z - step * (x.T @ (weight * (p - y)) + penalty * z)
+        p = 1 / (1 + np.exp(-np.clip(times(z), -40, 40)))
+        new = z - step * (times_transposed(weight * (p - y)) + penalty * z)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
@@ -98,7 +102,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400
 
 
 def _raw(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return (x @ w[:-1].astype(np.float32)).astype(np.float64) + float(w[-1])
 
 
 def _calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -122,6 +126,7 @@ class QualityModel:
     content: np.ndarray | None
     metadata: np.ndarray | None
     curves: tuple[tuple[float, float], ...] = ()
+    prior: float = 0.0  # log odds of good quality among the labelled rows
 
     def score(self, text: str | None, lang: str | None, source: str | None) -> tuple[float, float, float]:
         """Calibrated probabilities of good quality: content, metadata, both."""
@@ -132,7 +137,10 @@ class QualityModel:
         (a, b), (c, d), (e, f) = self.curves
         one = a * float(_raw(self.content, content_view(text))) + b
         two = c * float(_raw(self.metadata, metadata_view(text, lang, source))) + d
-        return tuple(float(1 / (1 + np.exp(-np.clip(v, -40, 40)))) for v in (one, two, e * (one + two) + f))
+        # a few words are little evidence: their log odds are drawn towards the prior's
+        n = len(text.split())
+        both = (n * (e * (one + two) + f) + FEW_WORDS * self.prior) / (n + FEW_WORDS)
+        return tuple(float(1 / (1 + np.exp(-np.clip(v, -40, 40)))) for v in (one, two, both))
 
 
 def co_train(
@@ -174,7 +182,9 @@ def co_train(
     curves = [_calibrate(_raw(models[v], views[v][hold]), y[hold]) for v in (0, 1)]
     odds = [curves[v][0] * _raw(models[v], views[v][hold]) + curves[v][1] for v in (0, 1)]
     curves.append(_calibrate(odds[0] + odds[1], y[hold]))
-    return QualityModel(models[0].astype(np.float32), models[1].astype(np.float32), tuple(curves))
+    share_good = (float((y > 0.5).sum()) + 1) / (len(y) + 2)
+    prior = float(np.log(share_good / (1 - share_good)))
+    return QualityModel(models[0].astype(np.float32), models[1].astype(np.float32), tuple(curves), prior)
 
 
 def _views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,15 +227,17 @@ def learn_quality(
         .sort_values("doc_id", kind="stable")
     )
     wide = (BUCKETS, LAYOUT + 2 * HASHED)
-    known = sample["quality"].notna().to_numpy()
+    quality = sample["quality"].to_numpy(dtype=float)
+    known = ~np.isnan(quality)
     arrays = [
         np.frombuffer(b"".join(sample[c]), dtype=np.float32).reshape(len(sample), n)
         for c, n in zip(("content", "metadata"), wide)
     ]
     fold = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in sample["doc_id"]], dtype=bool)
+    del sample
     return co_train(
         (arrays[0][known], arrays[1][known]),
-        sample["quality"].to_numpy(dtype=float)[known],
+        quality[known],
         fold[known],
         (arrays[0][~known], arrays[1][~known]),
     )
