@@ -112,7 +112,11 @@ def t_quantile(p: float, df: np.ndarray) -> np.ndarray:
     df = np.asarray(df, float)
     uniq, back = np.unique(df, return_inverse=True)
     lo, hi = np.zeros_like(uniq), np.full_like(uniq, 1000.0)
-    for _ in range(80):
+    while (below := 1 - t_two_sided_p(hi, uniq) / 2 < p).any():
+        hi = np.where(below, hi * 1000, hi)
+        if not np.isfinite(hi).all():
+            raise ValueError(f"no finite t quantile at {p}")
+    for _ in range(200):
         mid = (lo + hi) / 2
         inside = 1 - t_two_sided_p(mid, uniq) / 2 < p
         lo, hi = np.where(inside, mid, lo), np.where(inside, hi, mid)

@@ -1,4 +1,4 @@
-"""Column builders: calendar keys, rounding, exact sums, ladders, reproducible draws."""
+"""Column builders: calendar keys, rounding, ladders, reproducible draws."""
 
 from __future__ import annotations
 
@@ -34,22 +34,7 @@ def is_finite(c: str | Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-# ---------------------------------------------------------------- sums and rounding
-def exact_sum(c: str | Column, decimals: int = 2) -> Column:
-    """Sum of fixed-point doubles through integers.
-
-    The result does not depend on the order in which partial sums arrive, so a
-    re-run after an executor loss gives the same value.
-    """
-    scale = 10**decimals
-    return F.sum(F.round(col(c) * scale).cast("bigint")).cast("double") / F.lit(float(scale))
-
-
-def exact_avg(c: str | Column, decimals: int = 2) -> Column:
-    c = col(c)
-    return exact_sum(c, decimals) / F.count(c)
-
-
+# ---------------------------------------------------------------- rounding
 def half_even(c: str | Column, decimals: int) -> Column:
     return F.bround(col(c), decimals)
 
@@ -197,37 +182,46 @@ DRAW_ROW, DRAW_REPLICATE, DRAW_OFFSET, DRAW_MIX = 48271, 69621, 12345, 16807
 
 
 def with_draw(df: DataFrame, row_id: str | Column, replicate: str | Column, out: str) -> DataFrame:
-    """Adds an integer in [0, DRAW_MODULUS) that depends on (row_id, replicate) only.
+    """Adds an integer in [0, DRAW_MODULUS squared) that depends on (row_id, replicate) only.
 
     Pure integer arithmetic: a recomputed partition yields the same draws. Each step is a
-    column of its own, because the next one reads it twice.
+    column of its own, because the next one reads it twice. About 62 bits, so that a
+    remainder by the length of a series is even for series of any length.
     """
-    i, r = col(row_id).cast("bigint"), col(replicate).cast("bigint")
     m = F.lit(DRAW_MODULUS).cast("bigint")
-    x = F.col("__x")
+    i, r = F.pmod(col(row_id).cast("bigint"), m), F.pmod(col(replicate).cast("bigint"), m)
+    x, y = F.col("__x"), F.col("__y")
     return (
         df.withColumn("__x", (i * DRAW_ROW + r * DRAW_REPLICATE + DRAW_OFFSET) % m)
         .withColumn("__x", (x * x + i + 1) % m)
         .withColumn("__x", (x * DRAW_MIX + r * 7 + 3) % m)
-        .withColumn(out, (x * x + r + 1) % m)
-        .drop("__x")
+        .withColumn("__x", (x * x + r + 1) % m)
+        .withColumn("__y", (x * DRAW_ROW + i * 5 + r) % m)
+        .withColumn("__y", (y * y + x + 1) % m)
+        .withColumn(out, x * m + y)
+        .drop("__x", "__y")
     )
 
 
-# Cumulative Poisson(1) probabilities for counts 0..9, scaled to the draw modulus.
-def poisson_thresholds(max_count: int = 10) -> list[int]:
+def poisson_thresholds() -> list[int]:
+    """Cumulative Poisson(1) probabilities scaled to the draw modulus, as far as its steps tell counts apart."""
     from math import exp, factorial
 
-    out, acc = [], 0.0
-    for k in range(max_count):
+    out, acc, k = [], 0.0, 0
+    while not out or out[-1] < DRAW_MODULUS - 1:
         acc += exp(-1.0) / factorial(k)
         out.append(int(acc * DRAW_MODULUS))
+        k += 1
     return out
 
 
 def poisson_one(draw_col: str | Column) -> Column:
-    c = col(draw_col)
+    """Count of a Poisson(1) variable from a draw; every count that the draw can tell apart occurs."""
+    draw = col(draw_col)
+    m = F.lit(DRAW_MODULUS).cast("bigint")
+    c = F.call_function("div", draw, m)
+    bounds = poisson_thresholds()
     out = None
-    for k, bound in enumerate(poisson_thresholds()):
+    for k, bound in enumerate(bounds):
         out = F.when(c < bound, k) if out is None else out.when(c < bound, k)
-    return out.otherwise(10)
+    return out.otherwise(len(bounds))

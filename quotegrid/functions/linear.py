@@ -81,6 +81,9 @@ def ridge(
                 beta[:, j] = np.maximum(rest / s[:, j, j], 0.0)
             if np.max(np.abs(beta - before)) < 1e-13:
                 break
+        else:
+            # fits that have not settled leave as missing, not as good ones
+            beta[np.abs(beta - before).max(axis=1) >= 1e-9] = np.nan
     intercept = mean[:, -1] - np.einsum("ni,ni->n", beta, mean[:, idx])
     return np.concatenate([intercept[:, None], beta], axis=1)
 

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotegrid.functions.exprs import exact_sum, half_even, ladder
+from quotegrid.functions.exprs import half_even, ladder
 from quotegrid.operators.quantiles import exact_quantiles
 from quotegrid.operators.windows import series_window
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, decimals: int = 2) -> DataFrame:
     """Percent of the grand total. The window runs over the grouped rows, not the raw ones."""
-    grouped = df.groupBy(*keys).agg(exact_sum(value).alias("total"))
+    grouped = df.groupBy(*keys).agg(F.sum(value).alias("total"))
     grand = F.sum("total").over(series_window())
     return grouped.withColumn("share_pct", half_even(F.col("total") / grand * 100, decimals))
 

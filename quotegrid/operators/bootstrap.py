@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.functions import exprs as X
@@ -23,14 +23,24 @@ def _lengths(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.where(F.col("rn") == 1).select(*keys, F.col("n").cast("bigint").alias("__len"))
 
 
+def _ranges(replicated: DataFrame, keys: Sequence[str], slots: Column, step: int = 10_000) -> DataFrame:
+    """Adds ``__slot`` = 1..slots. Slots are made in ranges dealt out by (key, replicate, range), so one series uses
+    every task and no array holds more than ``step`` numbers."""
+    ranged = replicated.withColumn(
+        "__from", F.explode(F.sequence(F.lit(1).cast("bigint"), slots.cast("bigint"), F.lit(step).cast("bigint")))
+    ).repartition(parallelism(replicated), *keys, "replicate", "__from")
+    last = F.least(F.col("__from") + (step - 1), slots.cast("bigint"))
+    return ranged.withColumn("__slot", F.explode(F.sequence("__from", last))).drop("__from")
+
+
 def iid_counts(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
     """How often each row number is drawn in each replicate: n draws out of n."""
     slots = _lengths(rows, keys).select(
         *keys, "__len", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     )
-    slots = slots.select(*keys, "replicate", "__len", F.explode(F.sequence(F.lit(1), F.col("__len"))).alias("__slot"))
+    slots = _ranges(slots, keys, F.col("__len"))
     slots = X.with_draw(slots, "__slot", "replicate", "__draw")
-    picked = (F.col("__draw") % F.col("__len") + 1).cast("int")
+    picked = F.col("__draw") % F.col("__len") + 1
     return slots.groupBy(*keys, "replicate", picked.alias("rn")).agg(F.count(F.lit(1)).alias("__count"))
 
 
@@ -44,7 +54,7 @@ def block_counts(
         F.explode(F.array(*[F.lit(int(b)) for b in sizes])).alias("block_size"),
     )
     base = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    base = base.withColumn("__slot", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__len") / F.col("block_size")))))
+    base = _ranges(base, [*keys, "block_size"], F.ceil(F.col("__len") / F.col("block_size")))
     base = X.with_draw(base, "__slot", F.col("replicate") * 64 + F.col("block_size"), "__draw")
     d, b = F.col("__draw"), F.col("block_size")
     if overlap:
@@ -53,7 +63,7 @@ def block_counts(
         first = (d % F.floor(F.col("__len") / b)) * b + 1
     drawn = base.withColumn("__first", first).withColumn("__off", F.explode(F.sequence(F.lit(0), b - 1)))
     kept = drawn.where((F.col("__slot") - 1) * b + F.col("__off") < F.col("__len"))
-    return kept.groupBy(*keys, "block_size", "replicate", (F.col("__first") + F.col("__off")).cast("int").alias("rn")).agg(
+    return kept.groupBy(*keys, "block_size", "replicate", (F.col("__first") + F.col("__off")).alias("rn")).agg(
         F.count(F.lit(1)).alias("__count")
     )
 
@@ -95,7 +105,24 @@ def poisson_blocks(
     return weighted_blocks(drawn, [*keys, "replicate"], columns, weight, "__count")
 
 
-# ---------------------------------------------------------------- many replicates of a short series
+# ---------------------------------------------------------------- bagged ridge
+def joined_ridge_ensemble(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    target: str,
+    features: Sequence[str],
+    replicates: int,
+    alpha: float,
+    weight: str | None = None,
+    positive: bool = False,
+) -> DataFrame:
+    """Bagged ridge by joins and aggregations, for series of any length: keys, replicate, coef."""
+    cols = [*features, target]
+    blocks = replicate_blocks(df, keys, order, cols, replicates, weight)
+    return ridge_fits(blocks, [*keys, "replicate"], cols, features, alpha, positive).drop("n_obs")
+
+
 def packed_ridge_ensemble(
     df: DataFrame,
     keys: Sequence[str],
@@ -107,35 +134,22 @@ def packed_ridge_ensemble(
     weight: str | None = None,
     positive: bool = False,
     chunk: int = 250,
-    max_rows: int = 20000,
 ) -> DataFrame:
     """Bagged ridge for thousands of replicates of calendar-bounded series.
 
     A series of a few hundred weeks travels as one row to many tasks, each of which
-    draws its own range of replicates; the draws equal those of :func:`iid_counts`.
-    Series above ``max_rows`` are never gathered: they take :func:`replicate_blocks`,
-    which gives the same replicates by joins and aggregations.
+    draws its own range of replicates; the draws equal those of :func:`iid_counts`. Made for
+    series that fit in a row: :func:`joined_ridge_ensemble` gives the same replicates for
+    series of any length.
     """
     if not keys:
         one = packed_ridge_ensemble(
-            df.withColumn("__all", F.lit(0)), ["__all"], order, target, features, replicates, alpha, weight, positive, chunk, max_rows
+            df.withColumn("__all", F.lit(0)), ["__all"], order, target, features, replicates, alpha, weight, positive, chunk
         )
         return one.drop("__all")
     cols = [*features, target, *([weight] if weight else [])]
     df = df.select(*keys, order, *cols)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    fits_in_a_row = F.col("__rows") <= max_rows
-    long = df.join(sizes.where(~fits_in_a_row), list(keys), "left_semi")
-    joined = ridge_fits(
-        replicate_blocks(long, keys, order, [*features, target], replicates, weight),
-        [*keys, "replicate"],
-        [*features, target],
-        features,
-        alpha,
-        positive,
-    ).drop("n_obs")
-    short = df.join(sizes.where(fits_in_a_row), list(keys), "left_semi")
-    series = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("__s"))
+    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("__s"))
     flat = series.select(*keys, *[F.col("__s")[c].alias(f"__v_{i}") for i, c in enumerate(cols)])
     chunks = -(-replicates // chunk)
     jobs = flat.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -163,7 +177,7 @@ def packed_ridge_ensemble(
                     out.insert(0, k, row[k])
                 yield out
 
-    return jobs.mapInPandas(fit, _key_ddl(df, keys) + "replicate int, coef array<double>").unionByName(joined)
+    return jobs.mapInPandas(fit, _key_ddl(df, keys) + "replicate int, coef array<double>")
 
 
 def draw_counts(n: int, replicates: np.ndarray) -> np.ndarray:
@@ -175,5 +189,7 @@ def draw_counts(n: int, replicates: np.ndarray) -> np.ndarray:
     x = (x * x + i + 1) % m
     x = (x * X.DRAW_MIX + r * 7 + 3) % m
     x = (x * x + r + 1) % m
+    y = (x * X.DRAW_ROW + i * 5 + r) % m
+    x = x * m + (y * y + x + 1) % m
     rows = (x % n) + np.arange(len(replicates))[:, None] * n
     return np.bincount(rows.ravel(), minlength=n * len(replicates)).reshape(len(replicates), n).astype(float)

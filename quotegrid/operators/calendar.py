@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotegrid.functions.exprs import col, exact_sum, week_ending_sunday
+from quotegrid.functions.exprs import col, week_ending_sunday
 from quotegrid.operators.windows import series_window, trailing_mean, trailing_mean_strict
 
 
@@ -45,7 +45,7 @@ def fill_gaps(df: DataFrame, date_col: str, keys: Sequence[str] = (), step_days:
 
 
 def daily_total(df: DataFrame, date: str | Column, value: str | Column, keys: Sequence[str], out: str) -> DataFrame:
-    return df.groupBy(*keys, col(date).cast("date").alias("date")).agg(exact_sum(value).alias(out))
+    return df.groupBy(*keys, col(date).cast("date").alias("date")).agg(F.sum(value).alias(out))
 
 
 def gap_filled_daily(

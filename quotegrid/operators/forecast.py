@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import grades
 from quotegrid.functions.exprs import col
-from quotegrid.operators.moments import moment_blocks, prefix_blocks, ridge_fits, fit_models
+from quotegrid.functions.exprs import with_draw
+from quotegrid.operators.moments import centre, fit_models, moment_blocks, parallelism, prefix_blocks, ridge_fits, weighted_blocks
 from quotegrid.operators.windows import numbered
 
 
@@ -100,6 +101,44 @@ def weighted_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicted:
     )
 
 
+def origin_ensemble(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    target: str,
+    features: Sequence[str],
+    replicates: int,
+    alpha: float = 1.0,
+    decay: float = 0.98,
+    min_train: int = 30,
+) -> DataFrame:
+    """Bootstrapped ridge forecast of every row with at least ``min_train`` earlier ones: keys, order, replicate,
+    prediction.
+
+    Each replicate draws, with replacement, as many earlier rows as there are; weights decay towards the past. Draws
+    are made after a repartition by (key, origin, replicate), so one series uses every task, and meet the rows in a join.
+    """
+    cols = [*features, target]
+    rows = numbered(df.select(*keys, order, *cols), keys, order)
+    origins = rows.where(F.col("rn") > min_train).select(*keys, F.col("rn").cast("bigint").alias("__c"), order, F.array(*features).alias("__x"))
+    draws = (
+        origins.select(*keys, "__c", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+        .repartition(parallelism(df), *keys, "__c", "replicate")
+        .withColumn("__s", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__c") - 1)))
+    )
+    draws = with_draw(draws, "__s", F.col("replicate") * 4096 + F.col("__c"), "__u")
+    picked = F.col("__u") % (F.col("__c") - 1) + 1
+    counts = draws.groupBy(*keys, "__c", "replicate", picked.alias("rn")).agg(F.count(F.lit(1)).alias("__count"))
+    joined = counts.join(centre(rows.drop("n", order), keys, cols), [*keys, "rn"])
+    joined = joined.withColumn("__w", F.pow(F.lit(decay), (F.col("__c") - 1 - F.col("rn")).cast("double")))
+    ids = [*keys, "__c", "replicate"]
+    fits = ridge_fits(weighted_blocks(joined, ids, cols, "__w", "__count"), ids, cols, features, alpha)
+    value = F.col("coef")[0]
+    for i in range(len(features)):
+        value = value + F.col("coef")[i + 1] * F.col("__x")[i]
+    return fits.join(origins, [*keys, "__c"]).select(*keys, order, "replicate", value.alias("prediction"))
+
+
 def rolling_origin(
     df: DataFrame,
     keys: Sequence[str],

@@ -55,9 +55,16 @@ def members_of_groups(df: DataFrame, groups: DataFrame, on: str) -> DataFrame:
     return df.join(groups, on)
 
 
-def scenario_grid(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every scenario with every row of a bounded model table."""
-    return left.crossJoin(right)
+def bounded(df: DataFrame, rows: int, what: str) -> DataFrame:
+    """``df`` marked for broadcast after its size was checked: more than ``rows`` rows are refused."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"{what} has more than {rows} rows")
+    return F.broadcast(df)
+
+
+def scenario_grid(left: DataFrame, right: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Every row of ``left`` with every scenario; the scenarios are a checked, short list."""
+    return left.crossJoin(bounded(right, max_rows, "the scenario list"))
 
 
 def join_metrics(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:

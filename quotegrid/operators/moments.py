@@ -7,6 +7,7 @@ is read once however many models are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -111,26 +112,38 @@ def _finish_sums(agg: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
 def prefix_blocks(
     df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], decay: float | None = None
 ) -> DataFrame:
-    """For every row the block of all earlier rows of its series: one window pass for all origins.
+    """For every row the block of all earlier rows of its series: window passes for all origins.
 
-    Decay weights ``r ** (t - 1 - k)`` are prefix sums of ``r ** -k`` times a factor.
+    Decay weights ``r ** (t - 1 - k)``. The series is cut into spans of ``m`` positions with ``r ** m`` below
+    1e-100: a row's sums are those of the earlier rows of its span, rescaled from the span's start, plus those of
+    the span before. What lies further back weighs less than 1e-100 and is beyond a double's digits.
     """
     cols = list(columns)
     rows = centre(df, keys, cols)
     pos = (F.row_number().over(series_window(keys, order)) - 1).cast("double")
     rows = rows.withColumn("__pos", pos)
-    w = F.lit(1.0) if decay is None else F.pow(F.lit(1.0 / decay), F.col("__pos"))
-    factor = F.lit(1.0) if decay is None else F.pow(F.lit(decay), F.col("__pos") - 1)
     before = series_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__w", w)
-    sums = [F.count(F.lit(1)).over(before).cast("double").alias("n"), (F.sum("__w").over(before) * factor).alias("sw")]
-    sums += [F.lit(0.0).alias("slw")]
-    sums += [(F.sum(F.col("__w") * F.col(x)).over(before) * factor).alias(f"__s_{i}") for i, x in enumerate(cols)]
-    sums += [
-        (F.sum(F.col("__w") * F.col(a) * F.col(b)).over(before) * factor).alias(f"__p_{i}_{i + j}")
-        for i, a in enumerate(cols)
-        for j, b in enumerate(cols[i:])
-    ]
+    terms = {"sw": F.lit(1.0)}
+    terms |= {f"__s_{i}": F.col(x) for i, x in enumerate(cols)}
+    terms |= {f"__p_{i}_{i + j}": F.col(a) * F.col(b) for i, a in enumerate(cols) for j, b in enumerate(cols[i:])}
+    if decay is None or decay == 1:
+        sums = [F.sum(x).over(before).alias(name) for name, x in terms.items()]
+    else:
+        size = max(1, int(-230.0 / math.log(decay)))
+        rows = rows.withColumn("__span", F.floor(F.col("__pos") / size)).withColumn("__at", F.col("__pos") - F.col("__span") * size)
+        r = F.lit(decay)
+        here = series_window([*keys, "__span"], order).rowsBetween(Window.unboundedPreceding, -1)
+        earlier = series_window(keys, "__span").rangeBetween(-1, -1)
+        grown, shrunk = F.pow(1 / r, F.col("__at")), F.pow(r, F.lit(float(size - 1)) - F.col("__at"))
+        rows = rows.withColumns({"__grown": grown, "__shrunk": shrunk})
+        sums = [
+            (
+                F.coalesce(F.sum(F.col("__grown") * x).over(here), F.lit(0.0)) * F.pow(r, F.col("__at") - 1)
+                + F.coalesce(F.sum(F.col("__shrunk") * x).over(earlier), F.lit(0.0)) * F.pow(r, F.col("__at"))
+            ).alias(name)
+            for name, x in terms.items()
+        ]
+    sums = [F.count(F.lit(1)).over(before).cast("double").alias("n"), *sums, F.lit(0.0).alias("slw")]
     current = F.array(*[F.col(c) + F.col("__centre")[i] for i, c in enumerate(cols)]).alias("row")
     agg = rows.select(*keys, order, current, "__centre", *sums).where(F.col("n") > 0)
     return _finish_sums(agg, [*keys, order, "row"], len(cols))
@@ -176,7 +189,16 @@ def _fit_frame(keys: pd.DataFrame, name: str, features: list[str], n: np.ndarray
     return out
 
 
-def fit_models(blocks: DataFrame, keys: Sequence[str], columns: Sequence[str], models: Sequence[Model]) -> DataFrame:
+def _in_chunks(blocks: DataFrame, keys: Sequence[str], models: int, step: int) -> DataFrame:
+    """Repeats every block for each chunk of models and deals (key, chunk) out, so one key uses many tasks."""
+    chunks = max(1, -(-models // step))
+    out = blocks.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return out.repartition(parallelism(blocks), *keys, "__chunk")
+
+
+def fit_models(
+    blocks: DataFrame, keys: Sequence[str], columns: Sequence[str], models: Sequence[Model], models_per_task: int = 64
+) -> DataFrame:
     """Least squares of every model on every block; one row per (key, model)."""
     pos = {c: i for i, c in enumerate(columns)}
     plan = [(name, feats, [pos[f] for f in feats]) for name, feats in models]
@@ -193,12 +215,16 @@ def fit_models(blocks: DataFrame, keys: Sequence[str], columns: Sequence[str], m
             # weights scale the residual sum; the number of rows does not change
             scale = pdf["sw"].to_numpy(float) / n if weighted else np.ones_like(n)
             logw = pdf["slw"].to_numpy(float) if weighted else None
-            for name, feats, idx in plan:
-                fit = linear.ols(n, mean, cov * scale[:, None, None], idx, logw, n * scale)
-                yield _fit_frame(pdf[key_list], name, feats, n, fit)
+            chunk = pdf["__chunk"].to_numpy()
+            for k in np.unique(chunk):
+                at = chunk == k
+                for name, feats, idx in plan[k * models_per_task : (k + 1) * models_per_task]:
+                    w = logw[at] if weighted else None
+                    fit = linear.ols(n[at], mean[at], cov[at] * scale[at, None, None], idx, w, (n * scale)[at])
+                    yield _fit_frame(pdf.loc[at, key_list], name, feats, n[at], fit)
 
     wanted = [*key_list, "n", "mean", "cov", *(["sw", "slw"] if weighted else [])]
-    out = spread_rows(blocks.select(*wanted), *key_list) if key_list else blocks.select(*wanted)
+    out = _in_chunks(blocks.select(*wanted), key_list, len(plan), models_per_task)
     return _nan_free(out.mapInPandas(solve, _key_ddl(blocks, keys) + FIT_SCHEMA))
 
 

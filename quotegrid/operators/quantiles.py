@@ -2,113 +2,119 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
 That is fine for a few hundred replicates; for raw rows with a hot key it is not.
-Here the interval that holds the wanted rank is narrowed by histograms (partial
-aggregates), and only the distinct values of the last interval are ordered.
+Here one pass of a mergeable sketch brackets the wanted rank between two values of the
+table, and a second pass counts the rows below the bracket and orders only those inside:
+about ``4 / accuracy`` of a key's rows, however the values are distributed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _present(value: str) -> Column:
+    """Missing values, NULL or NaN, take no part."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    buckets: int = 2048,
-    levels: int = 2,
+    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 20_000
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per key and probability (``q``, ``value``).
 
-    Each level divides the candidate interval by ``buckets`` with a partial aggregate
-    (at most keys x buckets small rows are shuffled, never the values); the last step
-    orders the distinct values of one bucket of a bucket. The second level keeps heavy
-    tails, which crowd into one bucket of the first, from ending up in one task.
+    The sketch's ranks are off by at most ``1 / accuracy`` of the rows; a bracket reaches that far and three rows
+    on either side, in steps of powers of four. The smallest and largest value bracket the ends.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = df.where(_present(value)).select(*keys, F.col(value).cast("double").alias("__v"))
+    reach = [2.0 / accuracy]
+    while reach[-1] < 1:
+        reach.append(reach[-1] * 4)
+    cuts = sorted({c for p in probs for w in reach for c in (p - w, p + w) if 0 < c < 1}) or [0.5]
     stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+        F.count(F.lit(1)).alias("__total"),
+        F.min("__v").alias("__lo"),
+        F.max("__v").alias("__hi"),
+        F.percentile_approx("__v", F.array(*[F.lit(c) for c in cuts]), accuracy).alias("__cuts"),
     )
     if not keys:
         stats = stats.where(F.col("__total") > 0)
+
+    def at(p: float, side: int, end: str) -> Column:
+        out = F.col(end)
+        for w in reversed(reach):
+            c = p + side * w
+            cut = F.get("__cuts", F.lit(cuts.index(c))) if 0 < c < 1 else F.col(end)
+            out = F.when((w - 1.0 / accuracy) * F.col("__total") >= 3, cut).otherwise(out)
+        return out
+
+    targets = F.array(
+        *[
+            F.struct(F.lit(float(p)).alias("q"), at(p, -1, "__lo").alias("lo"), at(p, 1, "__hi").alias("hi"))
+            for p in probs
+        ]
+    )
+    # one row per key
+    bracketed = _beside(rows, stats.select(*keys, "__total", targets.alias("__t")), keys)
+    # a row below a bracket only counts; partial sums leave one such row per task
+    inside = bracketed.select(*keys, "__total", "__v", F.explode("__t").alias("t")).where(F.col("__v") <= F.col("t.hi"))
+    counts = inside.groupBy(
+        *keys, F.col("t.q").alias("q"), F.when(F.col("__v") >= F.col("t.lo"), F.col("__v")).alias("__v")
+    ).agg(F.count(F.lit(1)).alias("__n"), F.max("__total").alias("__total"))
     rank = F.col("q") * (F.col("__total") - 1)
-    targets = (
-        stats.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("__frac", rank - F.floor(rank))
-        .withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("__pos", F.when(F.col("side") == 0, F.floor(rank)).otherwise(F.ceil(rank)))
-        .drop("__total")
+    upto = Window.partitionBy(*keys, "q").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = counts.withColumn("__cum", F.sum("__n").over(upto)).withColumn("__rank", rank)
+    holds = lambda pos: F.max(
+        F.when((pos >= F.col("__cum") - F.col("__n")) & (pos < F.col("__cum")), F.col("__v"))
     )
-    ids = [*keys, "q", "side"]
-    for level in range(levels):
-        width = (F.col("__hi") - F.col("__lo")) / buckets
-        slot = F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / F.nullif(width, F.lit(0.0))).cast("int"))
-        )
-        if level == 0:
-            # all targets of a key share the whole range: histogram once per key
-            shared = _beside(rows, stats.select(*keys, "__lo", "__hi"), keys)
-            hist = shared.groupBy(*keys, slot.alias("__slot")).agg(
-                F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
-            )
-            hist = _beside(hist, targets.select(*ids, "__pos", "__frac"), keys)
-        else:
-            hist = _inside(rows, targets, keys).groupBy(*ids, "__pos", "__frac", slot.alias("__slot")).agg(
-                F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
-            )
-        targets = _holding(hist, ids, "__slot").drop("__slot", "__n")
-    leaf = _inside(rows, targets, keys).groupBy(*ids, "__pos", "__frac", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    found = _holding(leaf, ids, "__v").select(*ids, "__frac", "__v")
-    low, high = F.max(F.when(F.col("side") == 0, F.col("__v"))), F.max(F.when(F.col("side") == 1, F.col("__v")))
-    return found.groupBy(*keys, "q").agg((low + (high - low) * F.max("__frac")).alias("value"))
+    low, high = holds(F.floor("__rank")), holds(F.ceil("__rank"))
+    fraction = F.max(F.col("__rank") - F.floor("__rank"))
+    return found.groupBy(*keys, "q").agg((low + (high - low) * fraction).alias("value"))
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    # right has a constant number of rows per key
+    # right has one row per key
     return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
 
 
-def _inside(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    return _beside(rows, targets, keys).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-
-
-def _holding(df: DataFrame, ids: list[str], order: str) -> DataFrame:
-    """Rows of ``df`` (counts in ``__n``) whose cumulative range contains ``__pos``."""
-    w = Window.partitionBy(*ids).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.withColumn("__cum", F.sum("__n").over(w))
-        .where((F.col("__pos") >= F.col("__cum") - F.col("__n")) & (F.col("__pos") < F.col("__cum")))
-        .withColumn("__pos", F.col("__pos") - (F.col("__cum") - F.col("__n")))
-        .drop("__cum")
-    )
-
-
 def ecdf_distance(df: DataFrame, value: str, in_first: str, keys: Sequence[str] = (), buckets: int = 2048) -> DataFrame:
     """Largest distance between the two empirical distributions of ``value`` per key, exact.
 
     Columns ``distance``, ``n_first``, ``n_second``. A histogram (partial aggregate) gives
     the distance at every bucket end and an upper bound inside the bucket; only buckets
-    whose bound exceeds the best end are opened, and each is ordered by itself.
+    whose bound exceeds the best end are opened, and each is ordered by itself. Buckets are
+    equally wide on a logarithmic scale around the median, in units of the spread of the middle
+    half, so outliers do not crowd the other values into one bucket.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(
+    rows = df.where(_present(value)).select(
         *keys, F.col(value).cast("double").alias("__v"), F.col(in_first).cast("int").alias("__a")
     )
     stats = rows.groupBy(*keys).agg(
         F.min("__v").alias("__lo"),
         F.max("__v").alias("__hi"),
+        F.percentile_approx("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("__mid"),
         F.sum("__a").alias("n_first"),
         (F.count(F.lit(1)) - F.sum("__a")).alias("n_second"),
     )
-    width = (F.col("__hi") - F.col("__lo")) / buckets
+    spread = F.col("__mid")[2] - F.col("__mid")[0]
+    span = F.col("__hi") - F.col("__lo")
+    unit = F.when(spread > 0, spread).when(span > 0, span).otherwise(1.0)
+
+    def scale(v: Column) -> Column:
+        # increasing, so the order inside and between buckets stays that of the values
+        d = (v - F.col("__mid")[1]) / F.col("__unit")
+        return F.signum(d) * F.log1p(F.abs(d))
+
+    stats = stats.withColumn("__unit", unit)
+    stats = stats.withColumns({"__first": scale(F.col("__lo")), "__last": scale(F.col("__hi"))})
+    width = (F.col("__last") - F.col("__first")) / buckets
     slot = F.when(width <= 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / F.nullif(width, F.lit(0.0))).cast("int"))
+        F.least(F.lit(buckets - 1), F.floor((scale(F.col("__v")) - F.col("__first")) / F.nullif(width, F.lit(0.0))).cast("int"))
     )
     placed = _beside(rows, stats, keys).withColumn("__slot", slot)
     totals = ["n_first", "n_second"]

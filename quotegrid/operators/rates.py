@@ -26,8 +26,8 @@ def keep_highest(df: DataFrame, keys: Sequence[str], value: str, tie_break: str
     return df.groupBy(*keys).agg(best.alias("__best")).select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest])
 
 
-def daily_company_mean(df: DataFrame, company: str, date_col: str, rate: str, decimals: int = 2) -> DataFrame:
-    return df.groupBy(company, date_col).agg(X.exact_avg(rate, decimals).alias(rate))
+def daily_company_mean(df: DataFrame, company: str, date_col: str, rate: str) -> DataFrame:
+    return df.groupBy(company, date_col).agg(F.avg(rate).alias(rate))
 
 
 def latest_record(df: DataFrame, keys: Sequence[str], date_col: str, tie_break: str) -> DataFrame:
@@ -37,10 +37,10 @@ def latest_record(df: DataFrame, keys: Sequence[str], date_col: str, tie_break:
 
 
 def company_rate_grid(
-    quotes: DataFrame, company: str, date_col: str, rate: str, smooth: int, decimals: int = 2, end: str | None = None
+    quotes: DataFrame, company: str, date_col: str, rate: str, smooth: int, end: str | None = None
 ) -> DataFrame:
     """Long form: last known, smoothed rate of every company on every day."""
-    daily = daily_company_mean(quotes, company, date_col, rate, decimals)
+    daily = daily_company_mean(quotes, company, date_col, rate)
     return as_of_daily(daily, rate, [company], date_col, smooth, end)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotegrid.operators.joins import scenario_grid
 from quotegrid.functions.exprs import half_even
 
 
@@ -26,7 +27,7 @@ def melt_with_context(
 ) -> DataFrame:
     """Long intervals joined to the latest context row per series, rounded by output type."""
     long = melt(ci, ids, ranges)
-    joined = long.join(context, list(on)) if on else long.crossJoin(F.broadcast(context))
+    joined = long.join(context, list(on)) if on else scenario_grid(long, context)
     return joined.withColumn(
         "value",
         F.when(F.col(output_type) == "dollars", half_even("value", -dollar_power)).otherwise(

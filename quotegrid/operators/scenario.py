@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotegrid.operators.joins import scenario_grid
+
 
 def linear_prediction(coef: str, features: Sequence[Column]) -> Column:
     """Dot product of an array [intercept, slopes...] with feature columns."""
@@ -46,8 +48,7 @@ def price_scenarios(
     are shifted; other features keep their current value. Long output, no wide matrix.
     """
     back = {"log1p": lambda c: F.expm1(c), "log": lambda c: F.exp(c), "none": lambda c: c}[invert]
-    # the scenario grid is a parameter of a few dozen rows
-    j = ensemble.join(current, list(keys)).crossJoin(F.broadcast(scenarios))
+    j = scenario_grid(ensemble.join(current, list(keys)), scenarios)
     shift = F.lit(competitor_shift) if isinstance(competitor_shift, (int, float)) else (
         F.col(competitor_shift) if isinstance(competitor_shift, str) else competitor_shift
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,10 +78,13 @@ SIGN_PATTERNS = [
 LAG_ZERO_PATTERNS = [r"c_lag_?0\b", r"competitor.*lag.*0", r"lag_0.*competitor", r"c_t\b(?!_)"]
 
 
-def expected_sign(feature: str | Column) -> dict[str, Column]:
+def expected_sign(feature: str | Column, own_brands: Sequence[str] = ()) -> dict[str, Column]:
+    """First pattern that matches; ``own_brands`` are further prefixes of the own rate's name."""
     low = F.lower(col(feature))
+    brands = "|".join(re.escape(b.lower()) for b in own_brands)
+    extra = [("own_rate", rf"({brands})_?rate", "positive")] if own_brands else []
     name = sign = None
-    for n, pattern, s in SIGN_PATTERNS:
+    for n, pattern, s in [*extra, *SIGN_PATTERNS]:
         hit = low.rlike(pattern)
         name = F.when(hit, n) if name is None else name.when(hit, n)
         sign = F.when(hit, s) if sign is None else sign.when(hit, s)
@@ -106,18 +110,28 @@ def is_lag_zero(feature: str | Column) -> Column:
     return out
 
 
-def constraint_table(spark: SparkSession, rules: Sequence[tuple[str, str, bool]]) -> DataFrame:
-    """Rule rows (substring, expected sign, strict): a hand-written list, safe to broadcast."""
-    return spark.createDataFrame(list(rules), "rule string, expected_sign string, strict boolean")
+Rule = tuple[str, str, bool]  # (substring, expected sign, strict)
 
 
-def constraint_violations(coefs: DataFrame, rules: DataFrame, confidence: float = 0.95) -> DataFrame:
+def _with_rules(coefs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Each coefficient with the rules whose substring its term contains; the hand-written list is part of the plan."""
+    listed = F.array(
+        *[
+            F.struct(F.lit(r).alias("rule"), F.lit(s).alias("expected_sign"), F.lit(strict).alias("strict"))
+            for r, s, strict in rules
+        ]
+    )
+    terms = coefs.where(F.col("term") != "Intercept")
+    return terms.select("*", F.inline(F.filter(listed, lambda r: F.col("term").contains(r["rule"]))))
+
+
+def constraint_violations(coefs: DataFrame, rules: Sequence[Rule], confidence: float = 0.95) -> DataFrame:
     """Coefficients whose normal interval does not lie on the expected side of zero.
 
     Without a usable standard error the point estimate decides.
     """
     z = D.normal_quantile(1 - (1 - confidence) / 2)
-    j = coefs.where(F.col("term") != "Intercept").join(F.broadcast(rules), F.col("term").contains(F.col("rule")))
+    j = _with_rules(coefs, rules)
     lo, hi = F.col("coef") - z * F.col("se"), F.col("coef") + z * F.col("se")
     has_se = F.col("se").isNotNull() & ~F.isnan("se") & (F.col("se") > 0)
     pos = F.when(has_se, lo <= 0).otherwise(F.col("coef") <= 0)
@@ -134,9 +148,9 @@ def drop_violating(models: DataFrame, violations: DataFrame, keys: Sequence[str]
     return models.join(bad, [*keys, "model_id"], "left_anti")
 
 
-def t_constraints(coefs: DataFrame, rules: DataFrame, confidence: float = 0.95) -> DataFrame:
+def t_constraints(coefs: DataFrame, rules: Sequence[Rule], confidence: float = 0.95) -> DataFrame:
     """t interval, strength class and satisfaction per constrained coefficient."""
-    j = coefs.where(F.col("term") != "Intercept").join(F.broadcast(rules), F.col("term").contains(F.col("rule")))
+    j = _with_rules(coefs, rules)
     j = j.withColumn("dof", F.col("n_obs") - F.col("n_features") - 1)
     j = j.withColumn("t_critical", D.t_critical("dof", confidence))
     j = j.withColumns(

@@ -41,3 +41,24 @@ def set_overlap(a: str | Column, b: str | Column) -> dict[str, Column]:
         "only_a": F.array_sort(F.array_except(a, b)),
         "only_b": F.array_sort(F.array_except(b, a)),
     }
+
+
+def jaccard_of_sets(members: DataFrame, group: str, item: str) -> DataFrame:
+    """Overlap of every two groups that share an item, from (group, item) rows: a, b, jaccard, n_common, n_only_a, n_only_b.
+
+    Pairs arise from a join on the item, so no set is gathered; ``a < b``. Groups that share nothing have no row.
+    """
+    rows = members.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(
+        F.col(group).alias("g"), F.col(item).alias("i")
+    ).distinct()
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    left, right = rows.select(F.col("g").alias("a"), "i"), rows.select(F.col("g").alias("b"), "i")
+    common = left.join(right, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_common"))
+    both = common.join(sizes.select(F.col("g").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b"
+    )
+    c = F.col("n_common")
+    return both.select(
+        "a", "b", F.round(c / (F.col("na") + F.col("nb") - c), 8).alias("jaccard"),
+        "n_common", (F.col("na") - c).alias("n_only_a"), (F.col("nb") - c).alias("n_only_b"),
+    )

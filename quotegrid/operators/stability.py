@@ -93,7 +93,11 @@ def coefficient_intervals(coefs: DataFrame, keys: Sequence[str], levels: Sequenc
 
 
 def win_rates(facts: DataFrame, group: Sequence[str], model: str, order: str) -> DataFrame:
-    """Share of replicates in which a model has the lowest AIC (lowest ``order`` on ties)."""
+    """Share of replicates in which a model has the lowest AIC (lowest ``order`` on ties).
+
+    A failed replicate (no AIC) neither wins nor counts.
+    """
+    facts = facts.where(F.col("aic").isNotNull() & ~F.isnan("aic"))
     winners = (
         facts.groupBy(*group, "replicate")
         .agg(F.min_by(model, F.struct("aic", order)).alias(model))

@@ -16,7 +16,7 @@ from quotegrid.operators.topk import best_model
 
 def select_models(
     df: DataFrame,
-    rules: DataFrame,
+    rules: Sequence[sel.Rule],
     keys: Sequence[str],
     order: str,
     target: str,

@@ -6,6 +6,7 @@ selection stay in the plan so that Catalyst pushes them into the file scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,13 +79,14 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 def read_snapshot(spark: SparkSession, path: str, snapshot_date: str | None = None) -> DataFrame:
     """One snapshot of a table partitioned by ``snapshot_date``; the newest by default.
 
-    The newest date comes from a partition-only aggregate, so no data file of an
-    older snapshot is opened.
+    The newest date comes from the folder names, so no file of an older snapshot is opened.
     """
     df = spark.read.parquet(path)
     if snapshot_date is None:
-        newest = df.agg(F.max("snapshot_date").alias("newest")).first()["newest"]
-        return df.where(F.col("snapshot_date") == F.lit(newest))
+        dates = {m[1] for f in df.inputFiles() if (m := re.search(r"/snapshot_date=([^/]+)/", f))}
+        if not dates:
+            raise ValueError(f"no snapshot below {path}")
+        snapshot_date = max(dates)
     return df.where(F.col("snapshot_date") == F.lit(snapshot_date).cast("date"))
 
 

@@ -185,7 +185,7 @@ CI_B = 8
 
 @query(
     "mod25_forecast_intervals",
-    f"""with {RN}, lens as (select product, max(rn) as len from rows_ group by 1), cut as (select product, len, unnest(range(len - 19, len + 1)) as c from lens),
+    f"""with {RN}, lens as (select product, max(rn) as len from rows_ group by 1), cut as (select product, len, unnest(range(31, len + 1)) as c from lens),
   sl as (select product, c, r, unnest(range(1, c)) as s from cut, (select unnest(range(1, {CI_B + 1})) as r)),
   pk as (select product, c, r, {draw_sql('s', '(r*4096 + c)')} % (c - 1) + 1 as rn from sl),
   z as (select pk.product, c, r, own, y, power(0.98, c - 1 - rows_.rn) as w from pk join rows_ on rows_.product = pk.product and rows_.rn = pk.rn),
@@ -201,25 +201,9 @@ def mod25(spark, sf):
     return r6(out, *[c for c in out.columns if c.startswith("p") and c != "product"])
 
 
-def rolling_replicates(spark, sf, last: int = 20):
-    """Replicate forecasts of the last origins: draws joined to rows, one block per (origin, replicate)."""
-    from quotegrid.functions import exprs as X
-
-    rows = win.numbered(t.weekly_model(spark, sf).select("product", "date", "own", "y"), K, "date")
-    cuts = rows.where(F.col("rn") > F.col("n") - last).select("product", F.col("rn").cast("bigint").alias("c"), F.col("date").alias("origin"), F.col("own").alias("own_now"))
-    draws = cuts.select("product", "c", F.explode(F.sequence(F.lit(1), F.lit(CI_B))).alias("r"))
-    draws = draws.withColumn("s", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c") - 1)))
-    draws = X.with_draw(draws, "s", F.col("r") * 4096 + F.col("c"), "u")
-    rn = (F.col("u") % (F.col("c") - 1) + 1).cast("int")
-    counts = draws.groupBy("product", "c", "r", rn.alias("rn")).agg(F.count(F.lit(1)).alias("cnt"))
-    joined = counts.join(mo.centre(rows.drop("n", "date"), K, ["own", "y"]), ["product", "rn"])
-    joined = joined.withColumn("w", F.pow(F.lit(0.98), (F.col("c") - 1 - F.col("rn")).cast("double")))
-    blocks = mo.weighted_blocks(joined, ["product", "c", "r"], ["own", "y"], "w", "cnt")
-    fits = mo.ridge_fits(blocks, ["product", "c", "r"], ["own", "y"], ["own"], 1.0)
-    j = fits.join(cuts, ["product", "c"])
-    return j.select(
-        "product", F.col("origin").alias("date"), "r", F.exp(F.col("coef")[0] + F.col("coef")[1] * F.col("own_now")).alias("prediction")
-    )
+def rolling_replicates(spark, sf):
+    preds = fc.origin_ensemble(t.weekly_model(spark, sf).select("product", "date", "own", "y"), K, "date", "y", ["own"], CI_B)
+    return preds.withColumn("prediction", F.exp("prediction"))
 
 
 @query(

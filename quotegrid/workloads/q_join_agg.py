@@ -15,6 +15,12 @@ from quotegrid.workloads.registry import query
 from quotegrid.workloads.tables import xavg, xsum
 
 # ---------------------------------------------------------------- shared frames
+
+def r4(df, *cols):
+    """Sums of doubles, rounded as the SQL rounds them."""
+    return df.withColumns({c: F.round(c, 4) for c in cols})
+
+
 DAY_SALES = f"""{t.SALES}, dsales as (select date, {xsum('premium')} as sales from sales group by 1)"""
 CONTRACT = f"""dcontract as (select cast(l_shipdate as date) as date, {xsum('l_extendedprice')} as sales_by_contract_date
   from lineitem group by 1)"""
@@ -42,7 +48,7 @@ def jon01(spark, sf):
     out = jon.left_join_chain(
         spine, [day_sales(spark, sf), day_contract(spark, sf), t.macro(spark, sf)], ["date"], distinct=True
     )
-    return out.withColumns({"tax": F.round("tax", 8), "qty": F.round("qty", 8)})
+    return r4(out, "sales", "sales_by_contract_date").withColumns({"tax": F.round("tax", 8), "qty": F.round("qty", 8)})
 
 
 @query(
@@ -56,12 +62,12 @@ def jon02(spark, sf):
 
 @query(
     "jon03_inner_join_distinct",
-    f"""with {DAY_SALES}, {t.QUOTES}, r as (select date, {xavg('rate', 0)} as rate from quotes group by 1)
+    f"""with {DAY_SALES}, {t.QUOTES}, r as (select date, {xavg('rate')} as rate from quotes group by 1)
   select distinct date, sales, round(rate, 8) as rate from dsales join r using (date)""",
 )
 def jon03(spark, sf):
-    r = t.quotes(spark, sf).groupBy("date").agg(X.exact_avg("rate", 0).alias("rate"))
-    return jon.inner_join_distinct(day_sales(spark, sf), r, ["date"]).withColumn("rate", F.round("rate", 8))
+    r = t.quotes(spark, sf).groupBy("date").agg(t.mean("rate").alias("rate"))
+    return jon.inner_join_distinct(r4(day_sales(spark, sf), "sales"), r, ["date"]).withColumn("rate", F.round("rate", 8))
 
 
 @query(
@@ -95,7 +101,7 @@ def jon05(spark, sf):
     )
 
 
-ASOF = f"""{t.QUOTES}, rd as (select company, date, {xavg('rate', 0)} as rate from quotes group by 1,2),
+ASOF = f"""{t.QUOTES}, rd as (select company, date, {xavg('rate')} as rate from quotes group by 1,2),
 sp as (select company, cast(unnest(generate_series(min(date), (select max(date) from rd), interval 1 day)) as date) as date
   from rd group by company),
 ff as (select s.company, s.date, last_value(r.rate ignore nulls) over (partition by s.company order by s.date
@@ -104,7 +110,7 @@ ff as (select s.company, s.date, last_value(r.rate ignore nulls) over (partition
 
 @query("jon06_as_of_daily", f"with {ASOF} select company, date, round(rate, 8) as rate from ff")
 def jon06(spark, sf):
-    daily = rt.daily_company_mean(t.quotes(spark, sf), "company", "date", "rate", 0)
+    daily = rt.daily_company_mean(t.quotes(spark, sf), "company", "date", "rate")
     return jon.as_of_daily(daily, "rate", ["company"]).withColumn("rate", F.round("rate", 8))
 
 
@@ -140,7 +146,7 @@ def jon07(spark, sf):
 @query(
     "jon08_group_membership",
     f"""with {t.QUOTES}, g as (select p_partkey as product_id, p_brand as grp from part union all select p_partkey, p_type from part)
-  select grp, count(*) as n, round({xavg('rate', 0)}, 8) as rate from quotes join g using (product_id) group by 1""",
+  select grp, count(*) as n, round({xavg('rate')}, 8) as rate from quotes join g using (product_id) group by 1""",
 )
 def jon08(spark, sf):
     p = t.table(spark, sf, "part")
@@ -150,7 +156,7 @@ def jon08(spark, sf):
     return (
         jon.members_of_groups(t.quotes(spark, sf).select("product_id", "rate"), g, "product_id")
         .groupBy("grp")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(X.exact_avg("rate", 0), 8).alias("rate"))
+        .agg(F.count(F.lit(1)).alias("n"), F.round(t.mean("rate"), 8).alias("rate"))
     )
 
 
@@ -222,7 +228,7 @@ def jon12(spark, sf):
     s = t.sales(spark, sf)
     w = s.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
     ir = s.where((F.col("status") == "P") & (F.col("product") < "3")).groupBy("product").agg(
-        F.round(X.exact_avg("premium"), 4).alias("ir")
+        F.round(t.mean("premium"), 4).alias("ir")
     )
     return jon.left_join_chain(w, [ir], ["product"]).withColumn("ir", F.coalesce("ir", F.lit(0.0)))
 
@@ -285,7 +291,7 @@ def agg01(spark, sf):
     li = t.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "product")
     c = cal.gap_filled_daily(li, "l_shipdate", "l_extendedprice", ["product"])
     both = a.select(F.lit("application").alias("series"), "*").union(c.select(F.lit("contract").alias("series"), "*"))
-    return both.withColumn("sales_smooth", F.round("sales_smooth", 6))
+    return r4(both, "sales").withColumn("sales_smooth", F.round("sales_smooth", 6))
 
 
 @query(
@@ -293,14 +299,14 @@ def agg01(spark, sf):
     f"""with {t.DAILY}, x as (select *, nullif(sales, 0) as seen from daily),
   w as (select product, {t.week_sql('date')} as date, avg(seen) as mean_sales, coalesce(sum(sales), 0) as sales,
     arg_max(seen, date) filter (where seen is not null) as last_sales, count(seen) as counter from x group by 1,2)
-  select product, date, round(mean_sales, 4) as mean_sales, round(sales, 2) as sales, last_sales, counter from w""",
+  select product, date, round(mean_sales, 4) as mean_sales, round(sales, 2) as sales, round(last_sales, 4) as last_sales, counter from w""",
 )
 def agg02(spark, sf):
     d = cal.gap_filled_daily(t.sales(spark, sf), "date", "premium", ["product"])
     seen = F.nullif("sales", F.lit(0.0))
     d = d.select("product", "date", "sales", seen.alias("mean_sales"), seen.alias("last_sales"), seen.alias("counter"))
     w = cal.weekly(d, {"mean_sales": "mean", "sales": "sum", "last_sales": "last", "counter": "count"}, ["product"])
-    return w.withColumns({"mean_sales": F.round("mean_sales", 4), "sales": F.round("sales", 2)})
+    return r4(w, "last_sales").withColumns({"mean_sales": F.round("mean_sales", 4), "sales": F.round("sales", 2)})
 
 
 @query(
@@ -328,10 +334,10 @@ def agg03(spark, sf):
 
 @query(
     "agg04_company_day_mean",
-    f"with {t.QUOTES} select company, date, round({xavg('rate', 0)}, 8) as rate from quotes group by 1,2",
+    f"with {t.QUOTES} select company, date, round({xavg('rate')}, 8) as rate from quotes group by 1,2",
 )
 def agg04(spark, sf):
-    return rt.daily_company_mean(t.quotes(spark, sf), "company", "date", "rate", 0).withColumn("rate", F.round("rate", 8))
+    return rt.daily_company_mean(t.quotes(spark, sf), "company", "date", "rate").withColumn("rate", F.round("rate", 8))
 
 
 @query(
@@ -359,7 +365,7 @@ def agg05(spark, sf):
 def agg06(spark, sf):
     o = t.table(spark, sf, "orders").select("o_custkey", "o_totalprice")
     c = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
-    return agg.share_of_total(o.join(c, "o_custkey"), ["segment"], "o_totalprice")
+    return r4(agg.share_of_total(o.join(c, "o_custkey"), ["segment"], "o_totalprice"), "total")
 
 
 @query(
@@ -444,9 +450,9 @@ def agg12(spark, sf):
 CL = f"[{', '.join(f'coalesce({c},0)' for c in t.COMPETITORS)}]"
 
 
-@query("agg13_row_median", f"with {t.RATE_WIDE} select date, round(list_median({CL}), 8) as c_median from rwide")
+@query("agg13_row_median", f"with {t.RATE_WIDE} select date, round(list_median({CL}), 6) as c_median from rwide")
 def agg13(spark, sf):
-    return t.rate_wide(spark, sf).select("date", F.round(X.row_median(t.COMPETITORS), 8).alias("c_median"))
+    return t.rate_wide(spark, sf).select("date", F.round(X.row_median(t.COMPETITORS), 6).alias("c_median"))
 
 
 @query(
@@ -537,7 +543,7 @@ STATIC_W = {"NATION_1": 0.2, "NATION_2": 0.4, "NATION_3": 0.3}
 @query(
     "agg19_weighted_strategy",
     f"""with {t.RATE_WIDE}, w as (select company, {xsum('price')} as weight from quotes where company < 'NATION_3' group by 1),
-  lg as (select date, round(sum(rate * coalesce(weight, 0)) / sum(coalesce(weight, 0)), 7) as v, sum(coalesce(weight, 0)) as sw, round(avg(rate), 7) as m
+  lg as (select date, round(sum(rate * coalesce(weight, 0)) / sum(coalesce(weight, 0)), 5) as v, sum(coalesce(weight, 0)) as sw, round(avg(rate), 5) as m
     from rdaily left join w using (company) group by 1)
   select date, round(coalesce(NATION_1,0)*(0.2/0.9)+coalesce(NATION_2,0)*(0.4/0.9)+coalesce(NATION_3,0)*(0.3/0.9), 7) as static_rate,
    round((coalesce(NATION_4,0)+coalesce(NATION_5,0))/2, 7) as equal_rate, case when sw > 0 then v else m end as weighted_rate
@@ -550,21 +556,21 @@ def agg19(spark, sf):
         F.round(rt.weighted_strategy(["NATION_4", "NATION_5"], {}), 7).alias("equal_rate"),
     )
     q = t.quotes(spark, sf)
-    w = q.where(F.col("company") < "NATION_3").groupBy("company").agg(X.exact_sum("price").alias("weight"))
-    daily = rt.daily_company_mean(q, "company", "date", "rate", 0)
+    w = q.where(F.col("company") < "NATION_3").groupBy("company").agg(t.total("price").alias("weight"))
+    daily = rt.daily_company_mean(q, "company", "date", "rate")
     long = rt.weighted_strategy_long(daily, w, "company", ["date"], "rate")
-    return wide.join(long.withColumn("weighted_rate", F.round("weighted_rate", 7)), "date")
+    return wide.join(long.withColumn("weighted_rate", F.round("weighted_rate", 5)), "date")
 
 
 @query(
     "agg20_firm_level_strategy",
-    f"""with {t.RATE_WIDE} select date, round(list_avg({CL}), 8) as f_mean, round(list_median({CL}), 8) as f_median,
-  round(list_max({CL}), 8) as f_max, round(list_min({CL}), 8) as f_min from rwide""",
+    f"""with {t.RATE_WIDE} select date, round(list_avg({CL}), 6) as f_mean, round(list_median({CL}), 6) as f_median,
+  round(list_max({CL}), 6) as f_max, round(list_min({CL}), 6) as f_min from rwide""",
 )
 def agg20(spark, sf):
     return t.rate_wide(spark, sf).select(
         "date",
-        *[F.round(rt.firm_level_strategy(t.COMPETITORS, k), 8).alias(f"f_{k}") for k in ("mean", "median", "max", "min")],
+        *[F.round(rt.firm_level_strategy(t.COMPETITORS, k), 6).alias(f"f_{k}") for k in ("mean", "median", "max", "min")],
     )
 
 

@@ -77,7 +77,7 @@ def _subset_sql(source: str) -> str:
     return " union all ".join(rows)
 
 
-FITS = f"{WMN}, fits as ({_subset_sql('wn')})"
+FITS = f"{WMN}, fits as materialized ({_subset_sql('wn')})"
 
 
 def fits(spark, sf):
@@ -211,7 +211,7 @@ def mod07_packed(spark, sf):
     "mod07_poisson_ensemble_raw_rows",
     f"""with {t.SALES}, r as (select unnest(range(1, 9)) as r), d as (select product, r, ln(premium) as y, epoch(date)/86400/1000 as x,
     {draw_sql('o_orderkey', 'r')} as u from sales, r),
-  c as (select *, case {' '.join(f'when u < {b} then {k}' for k, b in enumerate(X.poisson_thresholds()))} else 10 end as c from d),
+  c as (select *, case {' '.join(f'when u // {X.DRAW_MODULUS} < {b} then {k}' for k, b in enumerate(X.poisson_thresholds()))} else {len(X.poisson_thresholds())} end as c from d),
   m as (select product, r, sum(c) as n, sum(c*x)/sum(c) as mx, sum(c*y)/sum(c) as my from c where c > 0 group by 1,2),
   f as (select m.product, m.r, any_value(n) as n, any_value(mx) as mx, any_value(my) as my, sum(c*(x-mx)*(y-my)) as sxy, sum(c*(x-mx)*(x-mx)) as sxx
     from c join m on c.product = m.product and c.r = m.r where c > 0 group by 1,2)
@@ -423,15 +423,11 @@ def mod16(spark, sf):
 # ---------------------------------------------------------------- constraints and corrections
 RULES = [("own", "positive", True), ("comp", "negative", True), ("qty", "positive", False)]
 Z95 = 1.959963984540054
-LONG = """lc as (select product, model_id, n_obs, n_features, string_split(model_id, ' + ')[1] as term, b1 as coef, se1 as se from fits union all
+LONG = """lc as materialized (select product, model_id, n_obs, n_features, string_split(model_id, ' + ')[1] as term, b1 as coef, se1 as se from fits union all
   select product, model_id, n_obs, n_features, string_split(model_id, ' + ')[2], b2, se2 from fits where b2 is not null),
  rules(rule, expected_sign, strict) as (values ('own', 'positive', true), ('comp', 'negative', true), ('qty', 'positive', false)),
  lr as (select lc.*, rules.* from lc join rules on contains(term, rule))"""
-VIOL = f"""viol as (select * from lr where case when expected_sign = 'positive' then coef - {Z95}*se <= 0 else coef + {Z95}*se >= 0 end)"""
-
-
-def rules(spark):
-    return sel.constraint_table(spark, RULES)
+VIOL = f"""viol as materialized (select * from lr where case when expected_sign = 'positive' then coef - {Z95}*se <= 0 else coef + {Z95}*se >= 0 end)"""
 
 
 @query(
@@ -443,7 +439,7 @@ def rules(spark):
 )
 def mod28(spark, sf):
     f = fits(spark, sf)
-    v = sel.constraint_violations(mo.coefficient_rows(f, K), rules(spark))
+    v = sel.constraint_violations(mo.coefficient_rows(f, K), RULES)
     kept = sel.drop_violating(f, v, K).select(
         "product", "model_id", F.lit("kept").alias("outcome"), F.lit(None).cast("string").alias("term"), F.col("aic").alias("value")
     )
@@ -469,7 +465,7 @@ def _tsql() -> str:
   from tt join g on tt.product = g.product and tt.model_id = g.model_id""",
 )
 def mod29(spark, sf):
-    tcon = sel.t_constraints(mo.coefficient_rows(fits(spark, sf), K), rules(spark))
+    tcon = sel.t_constraints(mo.coefficient_rows(fits(spark, sf), K), RULES)
     comp = sel.compliance(tcon, ["product", "model_id"]).select("product", "model_id", "compliance")
     out = tcon.join(comp, ["product", "model_id"]).select(
         "product", "model_id", "term", "ci_lower", "ci_upper", "strength", "significant", "compliance"
@@ -541,11 +537,11 @@ def named_coefficients(spark, sf):
     return co.withColumn("feature", m[F.col("term")])
 
 
-NAMED = f"""nc as (select *, case term {' '.join(f"when '{k}' then '{v}'" for k, v in NAMES.items())} end as feature from lc),
+NAMED = f"""nc as materialized (select *, case term {' '.join(f"when '{k}' then '{v}'" for k, v in NAMES.items())} end as feature from lc),
  ns as (select *, case when regexp_matches(lower(feature), '(own|p)_?rate') then 'own_rate' when regexp_matches(lower(feature), 'competitor_(mid|weighted|mean)') then 'competitor_weighted'
   when regexp_matches(lower(feature), '(vix|volatility)') then 'vix' end as pattern from nc),
  nx as (select *, case pattern when 'own_rate' then 'positive' when 'competitor_weighted' then 'negative' when 'vix' then 'context_dependent' end as expected_sign from ns),
- ny as (select *, case when expected_sign is null then 'no constraint' when expected_sign = 'context_dependent' then 'warning'
+ ny as materialized (select *, case when expected_sign is null then 'no constraint' when expected_sign = 'context_dependent' then 'warning'
   when (expected_sign = 'positive' and coef <= 0) or (expected_sign = 'negative' and coef >= 0) then 'violated' else 'passed' end as status,
   regexp_matches(lower(feature), 'c_lag_?0\\b') or regexp_matches(lower(feature), 'competitor.*lag.*0') as lag_zero from nx)"""
 

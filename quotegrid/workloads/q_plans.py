@@ -10,7 +10,7 @@ from quotegrid.plans.selection import select_models
 from quotegrid.plans.weekly_features import WeeklyConfig, build_weekly_features
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.q_forecast import ENSEMBLE_B, ROLL, SCEN, rolling
-from quotegrid.workloads.q_models import BCOLS, BLOCK_SCORE, BOOT_MODELS, Z95, block_sql, r6, rules
+from quotegrid.workloads.q_models import BCOLS, BLOCK_SCORE, BOOT_MODELS, RULES, Z95, block_sql, r6
 from quotegrid.workloads.q_scan_filter import WEIGHTS, weights_wide
 from quotegrid.workloads.registry import query
 from quotegrid.workloads.sqltext import Fit, moments_sql, rnd
@@ -119,7 +119,7 @@ def _orig_sql() -> str:
 )
 def plan_model_selection(spark, sf):
     wm = t.weekly_model(spark, sf).select("product", "date", *BCOLS)
-    out = select_models(wm, rules(spark), K, "date", "y", ["own", "comp", "tax"], BOOT_MODELS, replicates=20, block_size=4)
+    out = select_models(wm, RULES, K, "date", "y", ["own", "comp", "tax"], BOOT_MODELS, replicates=20, block_size=4)
     return r6(out.select("product", "model_id", "aic", "valid", "note", "aic_cv", "stability_score"), "aic", "aic_cv")
 
 

@@ -355,7 +355,7 @@ def dq19(spark, sf):
 
 @query(
     "dq20_forecast_validity",
-    f"""with {RN}, lens as (select product, max(rn) as len from rows_ group by 1), cut as (select product, len, unnest(range(len - 19, len + 1)) as c from lens),
+    f"""with {RN}, lens as (select product, max(rn) as len from rows_ group by 1), cut as (select product, len, unnest(range(31, len + 1)) as c from lens),
   sl as (select product, c, r, unnest(range(1, c)) as s from cut, (select unnest(range(1, {CI_B + 1})) as r)),
   pk as (select product, c, r, {draw_sql('s', '(r*4096 + c)')} % (c - 1) + 1 as rn from sl),
   z as (select pk.product, c, r, own, y, power(0.98, c - 1 - rows_.rn) as w from pk join rows_ on rows_.product = pk.product and rows_.rn = pk.rn),

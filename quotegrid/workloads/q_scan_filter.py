@@ -19,7 +19,7 @@ from quotegrid.workloads.tables import xavg, xsum
 def src01(spark, sf):
     df = scan.scan_parquet(spark, [f"{sf}/orders.parquet"], require_rows=True)
     return df.groupBy(F.col("o_orderstatus").alias("status")).agg(
-        F.count(F.lit(1)).alias("n"), X.exact_sum("o_totalprice").alias("total")
+        F.count(F.lit(1)).alias("n"), t.total("o_totalprice").alias("total")
     )
 
 
@@ -48,7 +48,7 @@ def src03(spark, sf):
         F.count(F.lit(1)).alias("n"),
         F.min(d).alias("first_day"),
         F.max(d).alias("last_day"),
-        X.exact_sum("premium").alias("premium"),
+        t.total("premium").alias("premium"),
     )
 
 
@@ -70,7 +70,7 @@ def src04(spark, sf):
     )
     df = scan.load_quotes(raw, start="1998-01-01")
     return df.groupBy("actuarial_view").agg(
-        F.count(F.lit(1)).alias("n"), X.exact_avg("cap_rate").alias("mean_cap")
+        F.count(F.lit(1)).alias("n"), t.mean("cap_rate").alias("mean_cap")
     )
 
 
@@ -86,7 +86,7 @@ def weights_long(spark, sf):
     amounts = (
         t.quotes(spark, sf)
         .groupBy(X.quarter_label("date").alias("current_quarter"), "company")
-        .agg(X.exact_sum("price").alias("amount"))
+        .agg(t.total("price").alias("amount"))
     )
     share = F.col("amount") / F.sum("amount").over(series_window(["current_quarter"]))
     return amounts.select("current_quarter", "company", share.alias("weight"))
@@ -131,7 +131,7 @@ def src06(spark, sf):
     path = scratch(spark, "snapshot")
     s = t.sales(spark, sf)
     summary = lambda df: df.groupBy("product").agg(
-        F.count(F.lit(1)).alias("n"), X.exact_sum("premium").alias("total")
+        F.count(F.lit(1)).alias("n"), t.total("premium").alias("total")
     )
     sinks.write_snapshot(summary(s.where(F.col("date") <= "2001-08-01")), path, "2001-08-01")
     sinks.write_snapshot(summary(s), path, "2001-08-08")
@@ -161,7 +161,7 @@ def src07(spark, sf):
 def src08(spark, sf):
     base = scratch(spark, "stages")
     by_status = t.sales(spark, sf).groupBy("product", "status").agg(
-        F.count(F.lit(1)).alias("n"), X.exact_sum("premium").alias("total")
+        F.count(F.lit(1)).alias("n"), t.total("premium").alias("total")
     )
     sinks.save_stages({"by_status": by_status}, base, "sales")
     return sinks.load_stage(spark, base, "by_status", "sales")
@@ -175,7 +175,7 @@ def src08(spark, sf):
 def src09(spark, sf):
     base = scratch(spark, "bundle")
     yearly = t.sales(spark, sf).groupBy("product", F.year("date").alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), X.exact_sum("premium").alias("total")
+        F.count(F.lit(1)).alias("n"), t.total("premium").alias("total")
     )
     wide = yearly.groupBy("product").pivot("year", list(range(1995, 2002))).agg(F.first("total"))
     paths = sinks.export_bundle({"long": yearly, "wide": wide}, base)
@@ -188,7 +188,7 @@ def src09(spark, sf):
 )
 def src10(spark, sf):
     path = sinks.stage_path(scratch(spark, "csv"), "daily")
-    daily = t.sales(spark, sf).groupBy("product", "date").agg(X.exact_sum("premium").alias("total"))
+    daily = t.sales(spark, sf).groupBy("product", "date").agg(t.total("premium").alias("total"))
     sinks.write_csv(daily, path)
     df = scan.scan_csv(spark, path, "product string, date date, total double")
     return df.where(F.col("product") == "2-HIGH").select("date", "total")
@@ -249,7 +249,7 @@ def flt05(spark, sf):
 def flt06(spark, sf):
     kept = flt.within(t.sales(spark, sf), "premium", 1000, 1000000)
     return flt.below_quantile(kept, "premium", 0.99).groupBy("product").agg(
-        F.count(F.lit(1)).alias("n"), X.exact_sum("premium").alias("total")
+        F.count(F.lit(1)).alias("n"), t.total("premium").alias("total")
     )
 
 
@@ -276,7 +276,7 @@ def weekly_sales(spark, sf):
     return (
         t.sales(spark, sf)
         .groupBy("product", X.week_ending_sunday("date").alias("date"))
-        .agg(X.exact_sum("premium").alias("sales"))
+        .agg(t.total("premium").alias("sales"))
     )
 
 
@@ -395,11 +395,11 @@ def flt17(spark, sf):
 
 @query(
     "flt18_round_half_even",
-    f"""with {t.QUOTES} select company, date, round(cast(round_even({xavg('rate', 0)} * 8, 0) as double) / 8, 6) as rate8,
-  cast(round_even({xavg('rate', 0)}, 3) as double) as rate from quotes group by 1,2""",
+    f"""with {t.QUOTES} select company, date, round(cast(round_even({xavg('rate')} * 8, 0) as double) / 8, 6) as rate8,
+  cast(round_even({xavg('rate')}, 3) as double) as rate from quotes group by 1,2""",
 )
 def flt18(spark, sf):
-    d = t.quotes(spark, sf).groupBy("company", "date").agg(X.exact_avg("rate", 0).alias("rate"))
+    d = t.quotes(spark, sf).groupBy("company", "date").agg(t.mean("rate").alias("rate"))
     d = d.withColumn("rate8", F.round(X.half_even(F.col("rate") * 8, 0) / 8, 6))
     return flt.round_columns(d, ["rate", "absent"], 3)
 
@@ -421,7 +421,7 @@ def raw_rate(spark, sf):
 )
 def flt19(spark, sf):
     df = flt.fill_constant(raw_rate(spark, sf), "rate", 9.99)
-    return df.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), X.exact_sum("rate").alias("total"))
+    return df.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), t.total("rate").alias("total"))
 
 
 @query(
@@ -432,7 +432,7 @@ def flt19(spark, sf):
 def flt20(spark, sf):
     df = flt.cap_at(raw_rate(spark, sf), "rate", 4.5)
     return df.groupBy("l_linenumber").agg(
-        F.count(F.lit(1)).alias("n"), X.exact_sum("rate").alias("total"), F.count("rate").alias("n_present")
+        F.count(F.lit(1)).alias("n"), t.total("rate").alias("total"), F.count("rate").alias("n_present")
     )
 
 
@@ -502,4 +502,4 @@ def flt25(spark, sf):
     from quotegrid.operators.calendar import gap_filled_daily
 
     d = gap_filled_daily(t.sales(spark, sf), "date", "premium", ["product"])
-    return d.select("product", "date", "sales", flt.positive_counter("sales").alias("counter"))
+    return d.select("product", "date", F.round("sales", 4).alias("sales"), flt.positive_counter("sales").alias("counter"))

@@ -93,7 +93,7 @@ def win05(spark, sf):
     d = cal.gap_filled_daily(t.sales(spark, sf), "date", "premium", K)
     v = F.nullif("sales", F.lit(0.0))
     return d.select("product", "date", v.alias("v")).select(
-        "product", "date", win.forward_fill("v", K, "date").alias("filled")
+        "product", "date", F.round(win.forward_fill("v", K, "date"), 4).alias("filled")
     )
 
 
@@ -159,7 +159,7 @@ def win09(spark, sf):
 def win10(spark, sf):
     from quotegrid.operators.joins import as_of_daily
 
-    daily = rt.daily_company_mean(t.quotes(spark, sf), "company", "date", "rate", 0)
+    daily = rt.daily_company_mean(t.quotes(spark, sf), "company", "date", "rate")
     g = as_of_daily(daily, "rate", ["company"])
     prev = win.persistence("rate", 1, ["company"], "date")
     # rounded to 6 digits first so that half-way values do not depend on floating noise
@@ -322,7 +322,7 @@ def win21(spark, sf):
 def win22(spark, sf):
     ws = weekly_sales(spark, sf)
     by_sales = win.order_violations(ws, "date", "sales", K)
-    weeks = ws.groupBy("date").agg(X.exact_sum("sales").alias("sales"))
+    weeks = ws.groupBy("date").agg(t.total("sales").alias("sales"))
     by_week = win.order_violations(weeks.withColumn("product", F.lit("by week")), "date", "date", K)
     return by_sales.union(by_week)
 
@@ -461,31 +461,15 @@ def set03(spark, sf):
 
 @query(
     "set04_jaccard",
-    """with u as (select l_returnflag as f, list(distinct l_linenumber || '-' || l_quantity::integer) as s from lineitem where l_discount > 0.09 group by 1),
+    """with u as (select l_returnflag as f, list(distinct l_linenumber || '-' || l_quantity::integer || '-' || (l_discount * 100)::integer) as s from lineitem group by 1),
   p as (select a.f as a, b.f as b, a.s as sa, b.s as sb from u a, u b where a.f < b.f)
   select a, b, round(len(list_intersect(sa, sb))::double / len(list_distinct(list_concat(sa, sb))), 8) as jaccard,
-  len(list_intersect(sa, sb))::integer as n_common, (len(sa) - len(list_intersect(sa, sb)))::integer as n_only_a,
-  (len(sb) - len(list_intersect(sa, sb)))::integer as n_only_b from p""",
+  len(list_intersect(sa, sb))::bigint as n_common, (len(sa) - len(list_intersect(sa, sb)))::bigint as n_only_a,
+  (len(sb) - len(list_intersect(sa, sb)))::bigint as n_only_b from p""",
 )
 def set04(spark, sf):
-    # feature names: at most 7 line numbers x 50 quantities per flag, whatever the table size
-    u = (
-        t.table(spark, sf, "lineitem")
-        .where(F.col("l_discount") > 0.09)
-        .groupBy(F.col("l_returnflag").alias("f"))
-        .agg(F.collect_set(F.concat("l_linenumber", F.lit("-"), F.col("l_quantity").cast("int"))).alias("s"))
-    )
-    sets = u.agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("all"))
-    pairs = sets.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-    o = st.set_overlap("x.s", "y.s")
-    return pairs.where(F.col("x.f") < F.col("y.f")).select(
-        F.col("x.f").alias("a"),
-        F.col("y.f").alias("b"),
-        F.round(o["jaccard"], 8).alias("jaccard"),
-        F.size(o["common"]).alias("n_common"),
-        F.size(o["only_a"]).alias("n_only_a"),
-        F.size(o["only_b"]).alias("n_only_b"),
-    )
+    item = F.concat_ws("-", "l_linenumber", F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"))
+    return st.jaccard_of_sets(t.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("f"), item.alias("item")), "f", "item")
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -507,7 +491,7 @@ def sca01(spark, sf):
 )
 def sca02(spark, sf):
     return t.sales(spark, sf).groupBy(X.quarter_label("date").alias("current_quarter")).agg(
-        F.count(F.lit(1)).alias("n"), X.exact_sum("premium").alias("total")
+        F.count(F.lit(1)).alias("n"), t.total("premium").alias("total")
     )
 
 
@@ -555,7 +539,7 @@ def sca06(spark, sf):
   select product, date, sales * cpi as sales, round(qty, 6) as qty from f""",
 )
 def sca07(spark, sf):
-    d = cal.gap_filled_daily(t.sales(spark, sf), "date", "premium", K).drop("sales_smooth")
+    d = cal.gap_filled_daily(t.sales(spark, sf), "date", "premium", K).drop("sales_smooth").withColumn("sales", F.round("sales", 4))
     m = t.macro(spark, sf).withColumn("cpi", F.when(F.month("date") % 2 == 0, 1 + F.col("tax")))
     j = d.join(m.select("date", "cpi", "qty"), "date", "left")
     out = ft.smooth_columns(ft.scale_by_index(j, "cpi", ["sales"], K, "date"), ["qty"], K, "date", 7)
@@ -610,15 +594,15 @@ CLZ = f"[{', '.join(f'coalesce({c},0)' for c in t.COMPETITORS)}]"
 
 @query(
     "sca10_semantic_aliases",
-    f"""with {t.RATE_WIDE} select date, round(list_median({CLZ}), 8) as "C_median", round(list_sum(list_sort({CLZ},'DESC')[1:3])/3, 8) as "C_top_3",
-  round(list_sum(list_sort({CLZ},'DESC')[1:5])/5, 8) as "C_top_5", round(list_sort({CLZ},'DESC')[1], 8) as "C_first",
-  round(list_sort({CLZ},'DESC')[2], 8) as "C_second", round(list_sort({CLZ},'DESC')[3], 8) as "C_third" from rwide""",
+    f"""with {t.RATE_WIDE} select date, round(list_median({CLZ}), 6) as "C_median", round(list_sum(list_sort({CLZ},'DESC')[1:3])/3, 6) as "C_top_3",
+  round(list_sum(list_sort({CLZ},'DESC')[1:5])/5, 6) as "C_top_5", round(list_sort({CLZ},'DESC')[1], 6) as "C_first",
+  round(list_sort({CLZ},'DESC')[2], 6) as "C_second", round(list_sort({CLZ},'DESC')[3], 6) as "C_third" from rwide""",
 )
 def sca10(spark, sf):
     r = t.rate_wide(spark, sf)
     ranked = r.select("date", *[c.alias(n) for n, c in rt.competitor_ranks(t.COMPETITORS).items()])
     out = rt.with_rank_aliases(ranked)
-    return out.select("date", *[F.round(c, 8).alias(c) for c in rt.RANK_ALIASES.values()])
+    return out.select("date", *[F.round(c, 6).alias(c) for c in rt.RANK_ALIASES.values()])
 
 
 @query(
@@ -677,7 +661,7 @@ def sca14(spark, sf):
   select date, {', '.join(f"round(max(case when company='{c}' then rate end), 6) as {c}" for c in t.COMPANIES)} from sm group by 1""",
 )
 def rsh01(spark, sf):
-    grid = rt.company_rate_grid(t.quotes(spark, sf), "company", "date", "rate", 7, 0)
+    grid = rt.company_rate_grid(t.quotes(spark, sf), "company", "date", "rate", 7)
     out = rt.pivot_companies(grid, "company", "date", "rate", t.COMPANIES)
     return out.select("date", *[F.round(c, 6).alias(c) for c in t.COMPANIES])
 

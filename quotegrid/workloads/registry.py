@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -25,6 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one the cluster names; local only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quotegrid-")
+    """A fresh folder below a shared one of the session: the checkpoint folder, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not base:
+        raise ValueError("the session names neither spark.checkpoint.dir nor spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

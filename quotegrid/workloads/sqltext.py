@@ -8,11 +8,13 @@ M = X.DRAW_MODULUS
 
 
 def draw_sql(slot: str, replicate: str) -> str:
-    i, r = f"cast({slot} as bigint)", f"cast({replicate} as bigint)"
+    i, r = f"(cast({slot} as bigint) % {M})", f"(cast({replicate} as bigint) % {M})"
     x = f"(({i} * {X.DRAW_ROW} + {r} * {X.DRAW_REPLICATE} + {X.DRAW_OFFSET}) % {M})"
     x = f"(({x} * {x} + {i} + 1) % {M})"
     x = f"(({x} * {X.DRAW_MIX} + {r} * 7 + 3) % {M})"
-    return f"(({x} * {x} + {r} + 1) % {M})"
+    x = f"(({x} * {x} + {r} + 1) % {M})"
+    y = f"(({x} * {X.DRAW_ROW} + {i} * 5 + {r}) % {M})"
+    return f"({x} * {M} + (({y} * {y} + {x} + 1) % {M}))"
 
 
 def moments_sql(cols: list[str]) -> str:

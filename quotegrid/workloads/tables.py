@@ -7,9 +7,8 @@ of tax and quantity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quotegrid.functions import exprs as X
 
@@ -20,15 +19,15 @@ COMPETITORS = [c for c in COMPANIES if c != OWN]
 CORE = ["NATION_3", "NATION_9", "NATION_14"]
 
 
-_SCHEMAS: dict[str, StructType] = {}
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Scan of a given table; its footer is read for the schema only once per path."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+def check_companies(spark: SparkSession, sf: str) -> None:
+    """Wide tables have one column for each standing company: refuse a company that has none."""
+    unknown = table(spark, sf, "nation").where(~F.col("n_name").isin(COMPANIES)).limit(1).collect()
+    if unknown:
+        raise ValueError(f"company {unknown[0]['n_name']} is not in the standing list")
 
 
 # ---------------------------------------------------------------- sales
@@ -75,15 +74,21 @@ QUOTES = """quotes as (select l_orderkey, l_linenumber, l_partkey as product_id,
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)"""
 
 
-# exact daily mean rate per company
-def xavg(column: str, decimals: int = 2) -> str:
-    s = 10**decimals
-    return f"(cast(sum(cast(round({column}*{s}) as bigint)) as double)/{s}.0/count({column}))"
+# sums and means are rounded after the sum, because the order of partial sums shows in the last digits
+def total(c: str | Column) -> Column:
+    return F.round(F.sum(c), 4)
+
+
+def mean(c: str | Column) -> Column:
+    return F.round(F.avg(c), 8)
+
+
+def xsum(column: str) -> str:
+    return f"round(sum({column}), 4)"
 
 
-def xsum(column: str, decimals: int = 2) -> str:
-    s = 10**decimals
-    return f"(cast(sum(cast(round({column}*{s}) as bigint)) as double)/{s}.0)"
+def xavg(column: str) -> str:
+    return f"round(avg({column}), 8)"
 
 
 def week_sql(d: str) -> str:
@@ -102,24 +107,25 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_shipdate").cast("date").alias("date"))
-        .agg(X.exact_avg("l_tax").alias("tax"), X.exact_avg("l_quantity", 0).alias("qty"))
+        .agg(mean("l_tax").alias("tax"), mean("l_quantity").alias("qty"))
     )
 
 
-MACRO = f"""macro as (select cast(l_shipdate as date) as date, {xavg('l_tax')} as tax, {xavg('l_quantity', 0)} as qty
+MACRO = f"""macro as (select cast(l_shipdate as date) as date, {xavg('l_tax')} as tax, {xavg('l_quantity')} as qty
   from lineitem group by 1)"""
 
 
 # ---------------------------------------------------------------- company rates by day, wide
 def rate_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Day x company mean rates (NULL where a company has no quote that day)."""
+    check_companies(spark, sf)
     q = quotes(spark, sf)
-    daily = q.groupBy("company", "date").agg(X.exact_avg("rate", 0).alias("rate"))
+    daily = q.groupBy("company", "date").agg(mean("rate").alias("rate"))
     return daily.groupBy("date").pivot("company", COMPANIES).agg(F.first("rate"))
 
 
 RATE_WIDE = f"""{QUOTES},
-rdaily as (select company, date, {xavg('rate', 0)} as rate from quotes group by 1,2),
+rdaily as (select company, date, {xavg('rate')} as rate from quotes group by 1,2),
 rwide as (select date, {', '.join(f"max(case when company='{c}' then rate end) as {c}" for c in COMPANIES)}
   from rdaily group by 1)"""
 
@@ -137,16 +143,16 @@ def weekly_model(spark: SparkSession, sf: str) -> DataFrame:
     s = (
         sales(spark, sf)
         .groupBy("product", X.week_ending_sunday("date").alias("week"))
-        .agg(X.exact_sum("premium").alias("sales"))
+        .agg(total("premium").alias("sales"))
     )
     q = (
         quotes(spark, sf)
         .groupBy(X.week_ending_sunday("date").alias("week"))
         .agg(
-            X.exact_avg(F.when(F.col("company") == OWN, F.col("rate")), 0).alias("own"),
-            X.exact_avg(F.when(F.col("company") != OWN, F.col("rate")), 0).alias("comp"),
-            (X.exact_avg("tax") * 100).alias("tax"),
-            X.exact_avg("qty", 0).alias("qty"),
+            mean(F.when(F.col("company") == OWN, F.col("rate"))).alias("own"),
+            mean(F.when(F.col("company") != OWN, F.col("rate"))).alias("comp"),
+            (mean("tax") * 100).alias("tax"),
+            mean("qty").alias("qty"),
         )
     )
     joined = s.join(q, "week")
@@ -167,9 +173,9 @@ def weekly_model(spark: SparkSession, sf: str) -> DataFrame:
 WEEKLY_MODEL = f"""{SALES}, {QUOTES},
 wsales as (select product, {week_sql('date')} as week, {xsum('premium')} as sales from sales group by 1,2),
 wquotes as (select {week_sql('date')} as week,
-  {xavg(f"(case when company='{OWN}' then rate end)", 0)} as own,
-  {xavg(f"(case when company<>'{OWN}' then rate end)", 0)} as comp,
-  {xavg('tax')}*100 as tax, {xavg('qty', 0)} as qty from quotes group by 1),
-wm as (select product, week as date, sales, ln(sales/1e6+1) as y, own, comp, tax, qty,
+  {xavg(f"(case when company='{OWN}' then rate end)")} as own,
+  {xavg(f"(case when company<>'{OWN}' then rate end)")} as comp,
+  {xavg('tax')}*100 as tax, {xavg('qty')} as qty from quotes group by 1),
+wm as materialized (select product, week as date, sales, ln(sales/1e6+1) as y, own, comp, tax, qty,
   cast(case when dayofyear(week) < 13 or dayofyear(week) > 359 then 1 else 0 end as integer) as holiday
   from wsales join wquotes using (week) where own is not null and comp is not null)"""

@@ -12,6 +12,7 @@ from quotegrid.operators import diagnostics as dg
 from quotegrid.operators import forecast as fc
 from quotegrid.operators import moments as mo
 from quotegrid.operators import selection as sel
+from quotegrid.operators import stability as stb
 from quotegrid.operators.quantiles import ecdf_distance, exact_quantiles
 
 FEATS = ["x1", "x2", "x3", "x4"]
@@ -117,11 +118,11 @@ def test_packed_and_joined_ensembles_agree(panel):
     assert max(np.max(np.abs(np.array(a[k]) - np.array(b[k]))) for k in a) < 1e-9
 
 
-def test_long_series_take_the_joined_path(panel):
+def test_both_ensembles_give_the_same_replicates(panel):
     df, _ = panel
     args = (["k"], "t", "y", ["x1", "x2"], 9, 0.5)
     whole = {(r["k"], r["replicate"]): r["coef"] for r in bs.packed_ridge_ensemble(df, *args).collect()}
-    mixed = {(r["k"], r["replicate"]): r["coef"] for r in bs.packed_ridge_ensemble(df, *args, max_rows=70).collect()}
+    mixed = {(r["k"], r["replicate"]): r["coef"] for r in bs.joined_ridge_ensemble(df, *args).collect()}
     assert whole.keys() == mixed.keys() and len(whole) == 18
     assert max(np.max(np.abs(np.array(whole[k]) - np.array(mixed[k]))) for k in whole) < 1e-9
 
@@ -209,11 +210,11 @@ def test_quantiles_of_skewed_data_with_a_hot_key(spark):
         [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("one", 2.0), ("none", None)], "k string, v double"
     )
     probs = [0.0, 0.025, 0.5, 0.99, 1.0]
-    got = {(r["k"], r["q"]): r["value"] for r in exact_quantiles(df, "v", probs, ["k"], buckets=64).collect()}
+    got = {(r["k"], r["q"]): r["value"] for r in exact_quantiles(df, "v", probs, ["k"], accuracy=200).collect()}
     for k, v in (("hot", hot), ("cold", cold), ("one", np.array([2.0]))):
         assert np.allclose([got[k, p] for p in probs], np.quantile(v, probs), rtol=1e-12)
     assert ("none", 0.5) not in got
-    whole = exact_quantiles(df, "v", [0.5], levels=1).first()["value"]
+    whole = exact_quantiles(df, "v", [0.5]).first()["value"]
     assert np.isclose(whole, np.quantile(np.concatenate([hot, cold, [2.0]]), 0.5))
 
 
@@ -253,7 +254,7 @@ def test_sign_rules(spark):
         [("m1", "own_rate", 0.5, 0.1, 50, 1), ("m2", "own_rate", 0.1, 0.5, 50, 1), ("m3", "competitor_weighted", -0.4, None, 50, 1), ("m4", "competitor_weighted", 0.4, None, 50, 1)],
         "model_id string, term string, coef double, se double, n_obs bigint, n_features int",
     )
-    rules = sel.constraint_table(spark, [("own", "positive", True), ("competitor", "negative", False)])
+    rules = [("own", "positive", True), ("competitor", "negative", False)]
     v = {r["model_id"]: r["severity"] for r in sel.constraint_violations(co, rules).collect()}
     assert v == {"m2": "ERROR", "m4": "WARNING"}
     assert {r["model_id"] for r in sel.drop_violating(co, sel.constraint_violations(co, rules), []).collect()} == {"m1", "m3", "m4"}
@@ -278,3 +279,76 @@ def test_levene_and_t_test(spark):
     assert abs(r["levene"] - want) < 1e-10 and 0 < r["p_value"] < 1
     t = dg.mean_t_test(df.where("g = 'a'"), ["k"], "v").first()
     assert abs(t["t_statistic"] - np.mean(a) / (np.std(a, ddof=1) / np.sqrt(5))) < 1e-12
+
+
+# ---------------------------------------------------------------- values that used to go wrong
+def test_means_and_sums_do_not_round_their_input(spark):
+    from quotegrid.operators import calendar, rates
+
+    df = spark.createDataFrame([("a", "2024-01-01", 4.125)] * 2 + [("b", "2024-01-01", 0.0004)] * 1000, "k string, d string, v double")
+    mean = {r["k"]: r["v"] for r in rates.daily_company_mean(df, "k", "d", "v").collect()}
+    assert mean["a"] == 4.125 and abs(mean["b"] - 0.0004) < 1e-15
+    total = {r["k"]: r["sales"] for r in calendar.gap_filled_daily(df, "d", "v", keys=["k"]).collect()}
+    assert total["a"] == 8.25 and abs(total["b"] - 0.4) < 1e-12
+
+
+def test_decayed_origins_of_a_long_series(spark):
+    n = 50_000
+    df = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("t"), F.sin(F.col("id") / 7).alias("x"), F.cos(F.col("id") / 5).alias("y"))
+    got = mo.prefix_blocks(df, ["k"], "t", ["x", "y"], 0.7).where("t in (1, 2, 600, 643, 644, 645, 1288, 1289, 3000, 49999)").collect()
+    assert len(got) == 10
+    x, y = np.sin(np.arange(n) / 7), np.cos(np.arange(n) / 5)
+    for r in got:
+        w = 0.7 ** np.arange(r["t"] - 1, -1, -1.0)
+        mx, my = (w * x[: r["t"]]).sum() / w.sum(), (w * y[: r["t"]]).sum() / w.sum()
+        assert np.isclose(r["sw"], w.sum()) and np.allclose(r["mean"], [mx, my])
+        assert np.isclose(r["cov"][1], (w * x[: r["t"]] * y[: r["t"]]).sum() / w.sum() - mx * my)
+
+
+def test_failed_replicates_do_not_win(spark):
+    facts = spark.createDataFrame([("m1", 0, 1, 10.0), ("m2", 1, 1, None), ("m1", 0, 2, 9.0), ("m2", 1, 2, 8.0)], "model string, i int, replicate int, aic double")
+    got = {r["model"]: (r["win_count"], r["n_replicates"]) for r in stb.win_rates(facts, [], "model", "i").collect()}
+    assert got == {"m1": (1, 2), "m2": (1, 1)}
+
+
+def test_quantiles_skip_nan_and_bear_outliers(spark):
+    nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (3.0,), (None,)], "v double")
+    assert exact_quantiles(nan, "v", [0.5]).first()["value"] == 2.0
+    far = spark.range(1000).select(F.when(F.col("id") == 7, 1e15).otherwise(F.col("id") % 300).cast("double").alias("v"), (F.col("id") % 3 == 0).alias("f"))
+    values = np.array([r["v"] for r in far.collect()])
+    for p in (0.0, 0.1, 0.5, 0.999, 1.0):
+        assert np.isclose(exact_quantiles(far, "v", [p], accuracy=100).first()["value"], np.quantile(values, p))
+    first = np.array([r["f"] for r in far.collect()])
+    a, b = np.sort(values[first]), np.sort(values[~first])
+    d = np.abs(np.searchsorted(a, values, "right") / len(a) - np.searchsorted(b, values, "right") / len(b)).max()
+    assert abs(ecdf_distance(far, "v", "f", [], 32).first()["distance"] - d) < 1e-12
+
+
+def test_far_t_quantiles_are_not_cut():
+    from quotegrid.functions.distributions import t_quantile
+
+    got = t_quantile(1 - 1e-5, np.array([1.0]))[0]
+    assert abs(got / np.tan(np.pi * (0.5 - 1e-5)) - 1) < 1e-6
+
+
+def test_bootstrapped_forecast_of_every_origin(spark):
+    rows = [("a", i, float(i % 7), 2.0 + 0.5 * (i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, t int, x double, y double")
+    got = fc.origin_ensemble(df, ["k"], "t", "y", ["x"], 5, 0.001, min_train=30).collect()
+    assert {r["t"] for r in got} == set(range(30, 60)) and len(got) == 150
+    assert all(abs(r["prediction"] - (2.0 + 0.5 * (r["t"] % 7))) < 0.05 for r in got)
+
+
+def test_jaccard_by_join(spark):
+    from quotegrid.operators import setops
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("b", 3), ("c", 9), (None, 1)], "g string, i int")
+    (row,) = setops.jaccard_of_sets(df, "g", "i").collect()
+    assert tuple(row) == ("a", "b", round(1 / 3, 8), 1, 1, 1)
+
+
+def test_unbounded_scenario_lists_are_refused(spark):
+    from quotegrid.operators import joins
+
+    with pytest.raises(ValueError):
+        joins.scenario_grid(spark.range(3), spark.range(20), max_rows=10)
