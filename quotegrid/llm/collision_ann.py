@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from quotegrid.llm.common import sorted_groups, stage
 from quotegrid.llm.sorted_projection import usable
 
-PROJECTIONS, SHARE, GROWTH = 60, 0.5, 1.3
-BLOCK, QUERY_BLOCK = 4096, 512
+PROJECTIONS, SHARE, GROWTH = 40, 0.5, 2.0
+BLOCK, QUERY_BLOCK = 8192, 512
 
 
 def _half_width_factor(share: float, confidence: float, projections: int) -> float:
@@ -52,50 +52,72 @@ def _half_width_factor(share: float, confidence: float, projections: int) -> flo
 
 
 class BlockIndex:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors, line after line in one array."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, lines: np.ndarray):
-        self.ids, self.x = ids, x
-        values = x @ lines  # rows x projections
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
-        self.lines = lines
+        self.ids, self.x, self.lines = ids, x, lines
+        values = np.ascontiguousarray((x @ lines).T)  # projections x rows
+        order = np.argsort(values, axis=1, kind="stable")
+        self.order = order.astype(np.int32).ravel()
+        self.sorted = np.take_along_axis(values, order, axis=1)
+        self.n, self.m = len(ids), lines.shape[1]
+        self.scale = max(float(np.abs(x).max()), 1e-300)
+        self.small = (x / self.scale).astype(np.float32)
+        self.squares = (self.small * self.small).sum(axis=1)
+
+    def _borders(self, at: np.ndarray, side: str) -> np.ndarray:
+        """Place of each value in its line's array."""
+        return np.array([col.searchsorted(v, side) for col, v in zip(self.sorted, at)])
 
     def search(self, q: np.ndarray, own: int, k: int, share: float, growth: float, factor: float) -> list[tuple[float, int]]:
-        n, m = self.sorted.shape
+        n, m = self.n, self.m
         need = math.ceil(share * m)
+        small_q = (q / self.scale).astype(np.float32)
+        own_square = float(small_q @ small_q)
+        # rounding of the rough squares, generously
+        slack = 1e-5 * (own_square + float(self.squares.max())) + 1e-30
         at = q @ self.lines
-        middle = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(m)])
+        middle = self._borders(at, "left")
+        base = np.arange(m) * n
         lo, hi = middle.copy(), middle.copy()
-        counts = np.zeros(n, dtype=np.int32)
+        counts = np.zeros(n, dtype=np.int64)
         seen = np.zeros(n, dtype=bool)
         best: list[tuple[float, int]] = []
         # the first windows hold about k vectors on a line
         reach = max(self._first_reach(at, middle, k), 1e-12)
         while True:
-            for j in range(m):
-                col = self.sorted[:, j]
-                new_lo, new_hi = np.searchsorted(col, at[j] - reach), np.searchsorted(col, at[j] + reach, side="right")
-                counts[self.order[new_lo : lo[j], j]] += 1
-                counts[self.order[hi[j] : new_hi, j]] += 1
-                lo[j], hi[j] = min(new_lo, lo[j]), max(new_hi, hi[j])
+            new_lo, new_hi = np.minimum(self._borders(at - reach, "left"), lo), np.maximum(self._borders(at + reach, "right"), hi)
+            left, right = zip(base + new_lo, base + lo), zip(base + hi, base + new_hi)
+            fresh_places = [self.order[a:b] for part in (left, right) for a, b in part if b > a]
+            if fresh_places:
+                counts += np.bincount(np.concatenate(fresh_places), minlength=n)
+            lo, hi = new_lo, new_hi
             fresh = np.flatnonzero((counts >= need) & ~seen)
             if len(fresh):
                 seen[fresh] = True
                 fresh = fresh[self.ids[fresh] != own]
+                # single precision tells which of them can be among the nearest; those are measured exactly
+                rough = self.squares[fresh] - 2 * (self.small[fresh] @ small_q)
+                most = (best[-1][0] / self.scale) ** 2 - own_square if len(best) == k else np.inf
+                if len(fresh) > k:
+                    most = min(most, float(np.partition(rough, k - 1)[k - 1]))
+                fresh = fresh[rough <= most + slack]
                 d = np.sqrt(((self.x[fresh] - q) ** 2).sum(axis=1))
                 best = sorted([*best, *zip(d.tolist(), self.ids[fresh].tolist())])[:k]
             if len(best) == k and factor * best[-1][0] <= reach:
                 return best
             if (lo == 0).all() and (hi == n).all():
                 return best
-            reach *= growth
+            if len(best) == k:
+                # no further than the distance known so far asks for
+                reach = min(reach * growth, max(factor * best[-1][0], reach * 1.05))
+            else:
+                reach *= growth
 
     def _first_reach(self, at: np.ndarray, middle: np.ndarray, k: int) -> float:
-        n, m = self.sorted.shape
-        low, high = np.maximum(middle - k, 0), np.minimum(middle + k, n - 1)
-        j = np.arange(m)
-        return float(np.median(np.maximum(at - self.sorted[low, j], self.sorted[high, j] - at)))
+        low, high = np.maximum(middle - k, 0), np.minimum(middle + k, self.n - 1)
+        j = np.arange(self.m)
+        return float(np.median(np.maximum(at - self.sorted[j, low], self.sorted[j, high] - at)))
 
 
 def _search(k: int, projections: int, share: float, growth: float, confidence: float, seed: int):
@@ -128,7 +150,7 @@ def nearest(
     projections: int = PROJECTIONS,
     share: float = SHARE,
     growth: float = GROWTH,
-    confidence: float = 0.975,
+    confidence: float = 0.95,
     block: int = BLOCK,
     query_block: int = QUERY_BLOCK,
     seed: int = 5,
