@@ -85,45 +85,67 @@ def _context(before: Column) -> Column:
     return F.lower(F.ltrim(F.substring_index(flat, " ", -2)))
 
 
-def _matches(text: Column, form: str) -> Column:
-    """Start, end, string and context of every match: the pieces between matches give the positions."""
-    found = F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    between = F.split(text, form, -1)
-    start = lambda acc, i: acc["at"] + F.length(F.get(between, i))
-
-    def step(acc: Column, i: Column) -> Column:
-        one = F.struct(
-            start(acc, i).alias("start"),
-            (start(acc, i) + F.length(F.get(found, i))).alias("stop"),
-            F.get(found, i).alias("found"),
-            _context(F.get(between, i)).alias("context"),
-        )
-        return F.struct(one["stop"].alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+CHUNK = 1000  # matches placed at a time: positions take time in proportion to the matches, not to their square
+PLACES = "array<struct<start:bigint,stop:bigint>>"
 
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(MATCH).alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(MATCH))
 
+def _pieces(text: Column, form: str, wanted: Column) -> tuple[Column, Column]:
+    """The matches and the pieces of text between them; both empty where ``wanted`` is false."""
+    none = F.array().cast("array<string>")
+    found = F.when(wanted, F.regexp_extract_all(text, F.lit(form), F.lit(0))).otherwise(none)
+    between = F.when(wanted, F.split(text, form, -1)).otherwise(none)
+    return found, between
+
+
+def _matches(found: Column, between: Column) -> Column:
+    """Start, end, string and context of every match: the pieces between matches give the positions."""
 
-def _guarded(text: Column, kind: str) -> Column:
-    valid = F.filter(_matches(text, FORM[kind]), lambda m: _valid(kind, m["found"]))
-    return F.when(text.rlike(HINT[kind]), valid).otherwise(F.array().cast(MATCH))
+    def place(done: Column, i: Column) -> Column:
+        last = F.element_at(done, -1)["stop"]
+        start = last + F.length(F.get(between, i))
+        one = F.struct(start.alias("start"), (start + F.length(F.get(found, i))).alias("stop"))
+        return F.concat(done, F.array(one))
+
+    def place_chunk(done: Column, c: Column) -> Column:
+        # a chunk starts with where the one before has ended
+        end = F.coalesce(F.element_at(F.try_element_at(done, F.lit(-1)), -1)["stop"], F.lit(0).cast("bigint"))
+        first = F.array(F.struct(end.alias("start"), end.alias("stop")))
+        inside = F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, F.size(found)) - 1)
+        return F.concat(done, F.array(F.aggregate(inside, first, place)))
+
+    chunks = F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), F.array().cast(f"array<{PLACES}>"), place_chunk
+    )
+    places = F.flatten(F.transform(chunks, lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))))
+    out = F.transform(
+        places,
+        lambda p, i: F.struct(
+            p["start"].alias("start"), p["stop"].alias("stop"), F.get(found, i).alias("found"), _context(F.get(between, i)).alias("context")
+        ),
+    )
+    return F.when(F.size(found) > 0, out).otherwise(F.array().cast(MATCH))
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, one array of matches per kind, and the other tokens with digits or ``@``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    return rows.select(
+    # columns of their own: inside a lambda they would be made again for every match
+    pieces = {k: _pieces(F.col("text"), FORM[k], F.col("text").rlike(HINT[k])) for k in KINDS}
+    pieces["tokens"] = _pieces(F.col("text"), TOKEN, F.col("text").rlike("[0-9@]"))
+    split = rows.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
-        *[_guarded(F.col("text"), k).alias(k) for k in KINDS],
-        F.when(F.col("text").rlike("[0-9@]"), _matches(F.col("text"), TOKEN)).otherwise(F.array().cast(MATCH)).alias("tokens"),
+        *[c.alias(f"__{part}_{k}") for k, pair in pieces.items() for part, c in zip(("found", "between"), pair)],
     )
+    placed = split.select(
+        "doc_id", "text_hash", *[_matches(F.col(f"__found_{k}"), F.col(f"__between_{k}")).alias(k) for k in pieces]
+    )
+    return placed.select("doc_id", "text_hash", *[_checked(k).alias(k) for k in KINDS], "tokens")
+
+
+def _checked(kind: str) -> Column:
+    return F.filter(kind, lambda m: _valid(kind, m["found"]))
 
 
 def _tagged(kind: str) -> Column:
