@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- stage tables
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one, set here, only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder named by ``spark.checkpoint.dir``; only where the session names none, the context's own checkpoint
+    folder, or a temporary one that is set here."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="quotegrid-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="quotegrid-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 

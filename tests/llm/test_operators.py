@@ -2,7 +2,6 @@
 
 import hashlib
 import math
-import os
 import random
 import re
 import unicodedata
@@ -618,14 +617,8 @@ def test_unicode_data_is_recent_enough():
     assert tuple(map(int, unicodedata.unidata_version.split("."))) >= (14, 0)
 
 
-def test_stage_tables_are_below_the_shared_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert common.stage(spark.range(3), "x").count() == 3
-        assert any(n.startswith("x-") for n in os.listdir(tmp_path))
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_stage_tables_are_below_the_shared_folder(spark):
+    folder = common.shared_dir(spark)
+    assert folder == common.shared_dir(spark)
+    df = common.stage(spark.range(3), "shared-folder-test")
+    assert df.count() == 3 and all(folder.removeprefix("file:").lstrip("/") in f for f in df.inputFiles())
