@@ -2,11 +2,15 @@
 
 In each pass the vectors of every label are ordered lexicographically by the concatenated signs of random projections;
 neighbours in windows of ``window`` places are compared by cosine, also across the borders of partitions. Verified
-pairs of all passes are joined to components. Because windows are bounded, the links inside a component are then
-counted exactly, in pairs of blocks of ``block`` vectors: no window or block limits the number of partners.
+pairs of all passes are joined to components. Windows are bounded, so they miss links, in dense labels many. All pairs
+of a label are therefore compared afterwards, in pairs of blocks: every link is counted, and a link between two
+components that the passes left apart joins them. The result does not depend on passes, windows or partitions.
 
 The passes move each vector ``passes`` times through one range-partitioned sort, so a hot label is spread over tasks. A partition
-hands on at most a spanning forest of the pairs it verified, and ``window`` vectors at either end.
+hands on at most a spanning forest of the pairs it verified, and ``window`` vectors at either end. A label has blocks of
+``block`` vectors, but no more than ``DEALT`` of them as long as their numbers stay below ``LARGEST``, so a vector is repeated
+at most ``DEALT`` times up to DEALT * LARGEST numbers a label. The comparisons of a label grow with its square. They
+are products in single precision; whatever lies within their error of ``least`` is decided in double precision.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, have no label or no id are linked with
 nothing; vectors of different lengths are never compared; rows that repeat an id count once, as the vector with the
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from quotegrid.llm.common import UnionFind, components, shuffle_width, sorted_groups, stage
 
 PASSES, BITS, WINDOW, BLOCK = 14, 48, 40, 2048
+DEALT, LARGEST = 16, 1 << 22
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
@@ -141,22 +146,42 @@ def _borders(window: int, least: float):
     return run
 
 
-def _count_links(least: float):
+def _compare_blocks(least: float):
+    """Links of every vector in a pair of blocks, and a spanning forest of those between components found before."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, i, j), rows in sorted_groups(batches, ["component", "i", "j"]):
+        for (_, width, i, j), rows in sorted_groups(batches, ["label", "width", "i", "j"]):
             side, ids = rows["side"].to_numpy(), rows["vec_id"].to_numpy()
-            x = _padded(rows["vec"])
-            total = np.zeros(len(ids), dtype=np.int64)
+            names, part_of = np.unique(rows["component"].to_numpy(), return_inverse=True)
+            x = unit(rows["vec"])
+            rough, slack = x.astype(np.float32), (int(width) + 8) * 2.0**-23
+            total, parts, links = np.zeros(len(ids), dtype=np.int64), UnionFind(len(names)), []
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if i == j else 1))
-            for lo in range(0, len(left), 256):
-                part = left[lo : lo + 256]
-                hit = x[part] @ x[right].T >= least
-                if i == j:
-                    hit[np.arange(len(part)), lo + np.arange(len(part))] = False
-                else:
-                    total[right] += hit.sum(axis=0)
-                total[part] += hit.sum(axis=1)
-            yield pd.DataFrame({"vec_id": ids, "n": total})
+            others = rough[right].T
+            step = max(16, (1 << 20) // max(len(right), 1))
+            for lo in range(0, len(left), step):
+                score = rough[left[lo : lo + step]] @ others
+                at, to = np.nonzero(score >= least - slack)
+                unsure = np.flatnonzero(score[at, to] < least + slack)
+                at, to = left[lo + at], right[to]
+                keep = at != to
+                for k in range(0, len(unsure), 4096):
+                    some = unsure[k : k + 4096]
+                    keep[some] &= np.einsum("ij,ij->i", x[at[some]], x[to[some]]) >= least
+                at, to = at[keep], to[keep]
+                total += np.bincount(at, minlength=len(ids))
+                if i != j:
+                    total += np.bincount(to, minlength=len(ids))
+                apart = part_of[at] != part_of[to]
+                pairs = np.unique(part_of[at[apart]] * len(names) + part_of[to[apart]])
+                fresh = [divmod(k, len(names)) for k in pairs.tolist()]
+                links += [(names[a], names[b]) for a, b in fresh if parts.union(a, b)]
+                if fresh:
+                    part_of = np.array([parts.find(k) for k in range(len(names))])[part_of]
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"vec_id": ids[some], "n": total[some]}, dtype=object).assign(a=None, b=None)
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"], dtype=object).assign(vec_id=None, n=None)[["vec_id", "n", "a", "b"]]
 
     return run
 
@@ -194,29 +219,36 @@ def near_vectors(
         .mapInPandas(_borders(window, least), "a bigint, b bigint")
     )
     found = stage(components(linked.where("a is not null").select("a", "b").unionByName(across)), "components")
-    sizes = stage(found.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    sized = able.withColumn("width", F.size("vec"))
+    sizes = stage(sized.groupBy("label", "width").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    largest = F.greatest(F.lit(1), F.floor(F.lit(LARGEST) / F.col("width")))
+    blocks = F.least(F.ceil(F.col("n") / block), F.greatest(F.lit(DEALT), F.ceil(F.col("n") / largest))).cast("int")
     dealt = (
-        found.join(sizes, "component")
+        sized.join(sizes, ["label", "width"])
+        .join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+        .withColumn("component", F.coalesce("component", "vec_id"))
         .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            F.col("id").alias("vec_id"), "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+            "label", "width", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "vec_id", "component", "vec",
         )
     )
-    links = (
-        dealt.join(able.select("vec_id", "vec"), "vec_id")
-        .repartition("component", "i", "j")
-        .sortWithinPartitions("component", "i", "j", "side", "vec_id")
-        .mapInPandas(_count_links(least), "vec_id bigint, n bigint")
-        .groupBy("vec_id")
-        .agg(F.sum("n").alias("n_links"))
-    )
-    answer = stage(
-        found.join(links.withColumnRenamed("vec_id", "id"), "id").select(F.col("id").alias("__id"), "component", "n_links"), "answers"
+    compared = stage(
+        dealt.repartition("label", "width", "i", "j")
+        .sortWithinPartitions("label", "width", "i", "j")
+        .mapInPandas(_compare_blocks(least), "vec_id bigint, n bigint, a bigint, b bigint"),
+        "compared",
     )
+    links = compared.where("vec_id is not null").groupBy(F.col("vec_id").alias("id")).agg(F.sum("n").alias("n_links"))
+    missed = compared.where("a is not null").select("a", "b")
+    if not missed.isEmpty():
+        # names of components, each the smallest id in it, so the smallest name is the smallest id of those joined
+        joined = components(missed).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        found = links.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        found = found.join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+    answer = stage(found.join(links, "id").select(F.col("id").alias("__id"), "component", "n_links"), "answers")
     # a row whose own vector or label cannot take part has no links, even if its id is repeated by one that can
     fit = rows.select("vec_id", usable_flag().alias("__able"))
     return (

@@ -596,6 +596,33 @@ def test_near_vectors_equal_brute_force(spark, block, window):
     assert {r["vec_id"]: r["n_links"] for r in got} == links
 
 
+def test_near_vectors_of_dense_labels(spark):
+    draw = np.random.default_rng(12)
+
+    def off(n):
+        x = draw.standard_normal((n, 64))
+        x[:, 0] = 0
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    # mean cosine 0.95 in the label; each of the first 100 vectors has one partner at cosine 0.981
+    base = off(4000)
+    turn = off(100)
+    turn -= (turn * base[:100]).sum(axis=1, keepdims=True) * base[:100]
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    near = 1 - 0.019 / 0.05
+    x = np.sqrt(0.05) * np.r_[base, near * base[:100] + np.sqrt(1 - near * near) * turn]
+    x[:, 0] = np.sqrt(0.95)
+    hits = x @ x.T >= 0.98
+    np.fill_diagonal(hits, False)
+    table = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(table, "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in rows(sorted_projection.near_vectors(frame))}
+    assert {i: r["n_links"] for i, r in got.items()} == dict(enumerate(hits.sum(axis=1).tolist()))
+    assert all(got[4000 + i]["component_id"] == got[i]["component_id"] for i in range(100))
+    few = {r["vec_id"]: r for r in rows(sorted_projection.near_vectors(frame, passes=1, window=2, block=300))}
+    assert few == got
+
+
 def test_near_vectors_of_odd_rows(spark):
     table = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1),
              (7, [None, 1.0], 1), (8, [1.0, 0.0, 0.0], 1), (9, [], 1), (10, [1.0, 0.0], None), (11, [1e-30, 0.0], 1), (12, [1e30, 1e28], 1)]
