@@ -2,17 +2,18 @@
 
 A source's repetition rate is target share x total size / its size, where size is counted in characters of text. Each
 document's number of copies is the inverse of the Poisson distribution with that rate at a uniform number made from
-the seed and its id, so a task that runs again draws the same. Rows are exploded by their count and shuffled globally
-by a hash of (seed, id, copy): hash partitions, sorted inside by the same key.
+the seed and its key (its id, if no other has it), so a task that runs again draws the same. Rows are exploded by their count and shuffled globally
+by a hash of (seed, key, copy): hash partitions, sorted inside by the same key.
 
 The distribution function of every source is a table over the counts within 12 standard deviations (and 30) of the rate; beyond
 it lies less than the step of the uniform numbers. The tables of all sources are joined as a broadcast only after
 their size was counted (``max_broadcast_values``); beyond that the join shuffles, and hot sources are split by AQE.
 
 Defined cases: a null source is a source of its own; sources that ``weights`` does not name have ``default_weight``;
-weight 0 drops a source; a source without a single character keeps each document once; documents that share an id (a
-null id counts as one) get the same number of copies; an empty table gives an empty result; columns are passed on as
-they are, so names that clash with the two added ones are refused.
+weight 0 drops a source; a source without a single character keeps each document once; where an id is null or repeated,
+the draw is made from the id and a hash of all columns, so documents that share an id are drawn one by one and only rows
+equal in every column share a draw; equal rows without id are numbered and drawn one by one, too; an empty table gives an
+empty result; columns are passed on as they are, so names that clash with the two added ones are refused.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from quotegrid.llm.common import stage
 
 HEX_DIGITS = 13
+CHUNK = 1000
 SMALL = 32  # below this, log factorials come from a table; from here on Stirling's series is exact to 1e-14
 
 
@@ -92,6 +94,31 @@ def distributions(rates: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` and __key, which tells its documents apart: the id, and more where it is null or repeated."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    name = F.col(id_col).cast("string")
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    whole = F.md5(F.to_json(F.struct(*names), exact))
+    repeated = docs.where(name.isNotNull()).groupBy(name.alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1")
+    repeated = stage(repeated.select("__id"), "repeated")
+    named = docs.where(name.isNotNull()).join(repeated, name == F.col("__id"), "left")
+    named = named.withColumn("__key", F.when(F.col("__id").isNull(), name).otherwise(F.concat_ws(":", name, whole)))
+    # equal rows without id: one row and its number, dealt out in chunks before it is repeated
+    last = F.col("__n") - 1
+    loose = (
+        docs.where(name.isNull())
+        .groupBy(*names)
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK))))
+        .withColumn("__hash", whole)
+        .repartition("__hash", "__chunk")
+        .withColumn("__k", F.explode(F.sequence(F.col("__chunk") * CHUNK, F.least(last, F.col("__chunk") * CHUNK + (CHUNK - 1)))))
+        .withColumn("__key", F.concat_ws(":", F.lit(""), "__hash", F.col("__k").cast("string")))
+    )
+    return named.select(*names, "__key").unionByName(loose.select(*names, "__key"))
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -113,9 +140,9 @@ def mix(
     lookup = tables.select(F.col("source").alias("__source"), F.struct("rate", "least", "cdf").alias("__t"))
     if values <= max_broadcast_values:
         lookup = F.broadcast(lookup)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.col("__key")
     u = _uniform_digits(F.lit(seed), key) / F.lit(float(16**HEX_DIGITS))
-    drawn = docs.join(lookup, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
+    drawn = _keyed(docs, id_col).join(lookup, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
     count = (
         F.when(F.col("__t.rate").isNull(), F.lit(1).cast("bigint"))
         .when(F.col("__t.rate") == 0, F.lit(0).cast("bigint"))

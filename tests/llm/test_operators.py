@@ -345,6 +345,20 @@ def test_counts_invert_the_poisson_distribution(spark):
         assert abs(middle - r["rate"]) <= 1
 
 
+def test_mix_draws_documents_without_or_with_a_repeated_id_one_by_one(spark):
+    docs = spark.range(9000).select(
+        F.when(F.col("id") < 3000, F.lit(None)).when(F.col("id") < 6000, 7).otherwise(F.col("id")).cast("bigint").alias("doc_id"),
+        F.format_string("text %05d", F.when(F.col("id") < 1500, 1).otherwise(F.col("id"))).alias("text"), F.lit("en").alias("lang"),
+        F.lit("a").alias("source"), F.lit(10).alias("n_chars"),
+    )
+    got = poisson_mix.mix(docs).cache()
+    kind = F.when(F.col("doc_id") == 7, "repeated").when(F.col("doc_id").isNotNull(), "own").when(F.col("text") == "text 00001", "equal").otherwise("none")
+    n = {r["kind"]: r["count"] for r in got.groupBy(kind.alias("kind")).count().collect()}
+    assert abs(n["repeated"] / 3000 - 1) < 0.1 and abs(n["own"] / 3000 - 1) < 0.1
+    assert abs(n["equal"] / 1500 - 1) < 0.1 and abs(n["none"] / 1500 - 1) < 0.1
+    assert got.select("shuffle_key").distinct().count() == got.count()
+
+
 def test_mix_of_odd_rows(odd, nothing):
     got = rows(poisson_mix.mix(odd))
     keep = {(r["doc_id"], r["copy"]) for r in got}
