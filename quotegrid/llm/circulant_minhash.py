@@ -6,7 +6,7 @@ Two permutations make all signature coordinates: the first scatters the shingle
 The work runs in five steps, each over the whole table:
 
 1. One pass over the texts gives set size, 128-bit fingerprint, band keys and the low byte of every coordinate.
-2. Texts with equal sets (copies) are one class; the class goes on as its smallest id.
+2. Texts with equal sets (copies) are one class; the class goes on as a number of its own, with the text of its smallest id.
 3. Classes that share a band are compared by their bytes inside the band's bucket. A bucket emits a spanning
    forest of the pairs whose estimate lies within five standard deviations of the threshold, never all pairs;
    a bucket larger than ``block`` is dealt out as pairs of blocks.
@@ -14,8 +14,9 @@ The work runs in five steps, each over the whole table:
    component the pairs are verified on full sets, again in pairs of blocks, skipping pairs already connected.
 5. Components of the verified links give the result.
 
-Defined cases: null or empty texts and texts without words have an empty set and are linked with nothing; rows
-that repeat a ``doc_id`` share a component; a null ``doc_id`` is linked with nothing, gets a null component and is
+Defined cases: null or empty texts and texts without words have an empty set and are linked with nothing; rows that
+repeat a ``doc_id`` are judged each by its own text, so they share a component only if their texts are linked (two
+components may then have the same smallest id); a null ``doc_id`` is linked with nothing, gets a null component and is
 kept; ties go to the smaller id; an empty table gives an empty result. Only the id and text columns are read.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.llm.common import (
@@ -34,6 +35,7 @@ from quotegrid.llm.common import (
     UnionFind,
     components,
     mix64,
+    save,
     shared_count,
     shingle_set,
     sorted_groups,
@@ -66,7 +68,7 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
 
 
 def describe(width: int = 5, bands: int = BANDS, rows: int = ROWS):
-    """Batch function (doc_id, text) -> (doc_id, n_shingles, f1, f2, bands, bytes)."""
+    """Batch function (doc_id, text, digest) -> (doc_id, digest, n_shingles, f1, f2, bands, bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.seterr(over="ignore")
@@ -74,16 +76,17 @@ def describe(width: int = 5, bands: int = BANDS, rows: int = ROWS):
         salt = mix64(np.arange(bands, dtype=np.uint64) + np.uint64(77))
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text, digest in zip(batch["doc_id"], batch["text"], batch["digest"]):
                 s = shingle_set(text, width)
                 if not len(s):
-                    out.append((doc_id, 0, None, None, None, None))
+                    out.append((doc_id, digest, 0, None, None, None, None))
                     continue
                 sig = signature(s, bands * rows)
                 keys = mix64((sig.astype(np.uint64).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + salt)
                 out.append(
                     (
                         doc_id,
+                        digest,
                         len(s),
                         int(mix64(s).sum(dtype=np.uint64).view(np.int64)),
                         int(mix64(s ^ MIX1).sum(dtype=np.uint64).view(np.int64)),
@@ -91,13 +94,13 @@ def describe(width: int = 5, bands: int = BANDS, rows: int = ROWS):
                         (sig & np.uint32(255)).astype(np.uint8).tobytes(),
                     )
                 )
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "keys", "bytes"], dtype=object)
+            frame = pd.DataFrame(out, columns=["doc_id", "digest", "n_shingles", "f1", "f2", "keys", "bytes"], dtype=object)
             yield frame
 
     return run
 
 
-DESCRIBED = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>, bytes binary"
+DESCRIBED = "doc_id bigint, digest string, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>, bytes binary"
 
 
 def _floor(threshold: float, size: int) -> float:
@@ -189,15 +192,20 @@ def near_duplicates(
     """
     size = BANDS * ROWS
     floor = _floor(per_hundred / 100, size)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("digest")
+    )
     known = stage(texts.mapInPandas(describe(width), DESCRIBED), "minhash")
 
     full = known.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "classes")
-    # one row for each class: the class' smallest id, with the description that all its members share
-    heads = full.join(classes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"]).select(
-        F.col("doc_id").alias("id"), "keys", "bytes"
+    # one row for each class: a number, its smallest id, which text of that id, and the description all its members share
+    classes = stage(
+        full.groupBy("f1", "f2")
+        .agg(F.min(F.struct("doc_id", "digest")).alias("head"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
+        .select("f1", "f2", "head.doc_id", "head.digest", "keys", "bytes", F.monotonically_increasing_id().alias("id")),
+        "classes",
     )
+    heads = classes.select("id", "doc_id", "digest", "keys", "bytes")
     buckets = heads.select("id", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = buckets.join(shared, "key").select("key", "id", "n")
@@ -213,35 +221,62 @@ def near_duplicates(
     sizes = stage(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
     pairs = (
         _in_blocks(clusters, "cluster", sizes, block, "id")
-        .join(heads.select("id", "bytes"), "id")
-        .join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+        .join(heads.select("id", "doc_id", "digest", "bytes"), "id")
+        .join(texts, ["doc_id", "digest"])
         .repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j", "side", "id")
         .select("cluster", "i", "j", "side", "id", "bytes", "text")
         .mapInPandas(_verify(width, size, floor, per_hundred), "a bigint, b bigint")
     )
-    found = components(pairs)
-    # every class' final id, then every row's; only classes that were joined to others are looked up
-    final = classes.join(found.select("id", "component"), "id", "left").select(
-        "f1", "f2", F.coalesce("component", "id").alias("component")
+    found = stage(components(pairs), "links")
+    least = found.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # every class' component, then every row's; only classes that were joined to others are looked up
+    final = classes.select("f1", "f2", "id", "doc_id").join(found.join(least, "component"), "id", "left").select(
+        "f1", "f2", F.coalesce("component", "id").alias("group"), F.coalesce("least", "doc_id").alias("component_id")
     )
-    # rows that repeat an id with different texts share what any of them reaches
-    return (
-        known.select("doc_id", "n_shingles", "f1", "f2")
+    marks = (
+        known.select("doc_id", "digest", "n_shingles", "f1", "f2")
         .join(stage(final, "components"), ["f1", "f2"], "left")
         .select(
             "doc_id",
+            "digest",
             F.col("n_shingles").cast("bigint").alias("n_shingles"),
-            F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint"))
-            .otherwise(F.coalesce("component", "doc_id"))
-            .alias("component_id"),
+            F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    marks = marks.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    path = save(marks, "marks")
+    # ``kept`` says where its rows' texts are told apart, for keep_one
+    kept = F.col("kept").alias("kept", metadata={MARKS: path})
+    return docs.sparkSession.read.schema(marks.schema).parquet(path).select("doc_id", "n_shingles", "component_id", kept)
+
+
+MARKS = "quotegrid.minhash.marks"
 
 
-def keep_one(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is kept, one row for each id; rows without id all stay."""
-    kept = verdict.where(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, F.col(id_col).cast("bigint") == F.col("__id"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+def _digest(text_col: str) -> Column:
+    return F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit(""))
+
+
+def keep_one(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component in ``docs``, of its smallest id; rows without id all stay.
+
+    Rows that repeat an id are told apart by their texts; of those with the same text, the smallest stays. ``verdict`` is
+    the result of :func:`near_duplicates` on ``docs``; from any other, every text of a kept id stays.
+    """
+    where = verdict.schema["kept"].metadata.get(MARKS)
+    digest = _digest(text_col)
+    if where is None:
+        kept = verdict.where(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+        named = docs.join(kept, F.col(id_col).cast("bigint") == F.col("__id"), "left_semi")
+    else:
+        marks = docs.sparkSession.read.parquet(where).where("doc_id is not null")
+        # texts without words are in no group: one row for each id
+        alone = F.when(F.col("group").isNull(), F.col("doc_id"))
+        kept = marks.groupBy("group", alone.alias("alone")).agg(F.min(F.struct("doc_id", "digest")).alias("head"))
+        kept = kept.select(F.col("head.doc_id").alias("__id"), F.col("head.digest").alias("__digest"))
+        named = docs.join(kept, (F.col(id_col).cast("bigint") == F.col("__id")) & (digest == F.col("__digest")), "left_semi")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    one = named.groupBy(F.col(id_col).cast("bigint"), digest).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rest).alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

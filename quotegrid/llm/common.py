@@ -25,11 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def save(df: DataFrame, name: str) -> str:
+    """Writes ``df`` once to the shared folder; its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
 
 
 def shuffle_width(spark: SparkSession) -> int:

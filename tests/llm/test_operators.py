@@ -566,6 +566,21 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert circulant_minhash.near_duplicates(nothing).count() == 0
 
 
+def test_keep_one_tells_texts_of_an_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a + " more"
+    table = [(3, a), (5, a), (5, b), (6, near), (7, a), (7, c), (7, c), (8, b), (9, None), (9, c + " x"), (None, a)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    verdict = circulant_minhash.near_duplicates(docs)
+    got = rows(circulant_minhash.keep_one(docs, verdict))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got) == [("3", a), ("5", b), ("7", c), ("9", ""), ("None", a)]
+    seen = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows(verdict))
+    assert seen == sorted([
+        ("3", "3", True), ("5", "3", False), ("5", "5", True), ("6", "3", False), ("7", "3", False), ("7", "7", True), ("7", "7", True),
+        ("8", "5", False), ("9", "9", True), ("9", "7", False), ("None", "None", True),
+    ])
+
+
 # ---------------------------------------------------------------- 10 near-duplicate vectors
 def brute_vectors(table, least=0.98):
     links, up = {}, {}
