@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_WORDS = 700_000
+LONGEST_KEPT = 64  # characters of a remembered word; longer ones seldom repeat
 # White space of the tokenizer's normaliser. str.split() also splits at the four separators below.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -111,7 +112,8 @@ class MergeCounter:
                 count = self.merge_count(piece)
                 if len(self.by_piece) >= self.cache_words:
                     self.by_piece.clear()
-                self.by_piece[piece] = count
+                if len(piece) <= LONGEST_KEPT:
+                    self.by_piece[piece] = count
             total += count
         return total
 
@@ -132,7 +134,7 @@ class MergeCounter:
                     count = self.chunk_count(chunk)
                     if len(known) >= self.cache_words:
                         known.clear()
-                    if len(chunk) <= 64:
+                    if len(chunk) <= LONGEST_KEPT:
                         known[chunk] = count
                 total += count
         return total

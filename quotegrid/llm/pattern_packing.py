@@ -33,6 +33,10 @@ from quotegrid.llm.common import stage
 SIZE = 2048
 SALTS = 256
 WHITE_PAIR = re.compile(r"\s\s")
+# the split pattern's white space; a run as long as this is split here, before the pattern's look-ahead meets it, since
+# that needs a stack as deep as the run
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{_WHITE}]{{4096,}}")
 # the split pattern of the rank file; the second form lacks the look-ahead, which matters only before a second
 # white space, and runs about twice as fast
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,9 +58,18 @@ class ByteTokens:
         for k, part in enumerate((text or "").split(SPECIAL)):
             if k:
                 out.append(SPECIAL_ID)
-            out += (self.full if WHITE_PAIR.search(part) else self.single).encode_ordinary(part)
+            at = 0
+            # a run is one piece; its last character goes with what follows, if anything does
+            for run in LONG_RUN.finditer(part):
+                stop = run.end() - (run.end() < len(part))
+                out += self._ordinary(part[at : run.start()]) + self.single.encode_ordinary(part[run.start() : stop])
+                at = stop
+            out += self._ordinary(part[at:])
         return out
 
+    def _ordinary(self, part: str) -> list[int]:
+        return (self.full if WHITE_PAIR.search(part) else self.single).encode_ordinary(part)
+
 
 def _pieces(rank_file: str, size: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

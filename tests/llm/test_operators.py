@@ -678,3 +678,23 @@ def test_stage_tables_are_below_the_shared_folder(spark):
     assert folder == common.shared_dir(spark)
     df = common.stage(spark.range(3), "shared-folder-test")
     assert df.count() == 3 and all(folder.removeprefix("file:").lstrip("/") in f for f in df.inputFiles())
+
+
+def test_long_white_space_gives_the_ids_of_the_library():
+    library, tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), pattern_packing.ByteTokens(RANKS)
+    n = 4096
+    mixed = "x" + " " * n + "\n" * n + "y" + "\xa0" * n + "!" + " " * n + "'s" + "\x1c" * n + "<|endoftext|>" + " " * (n - 1) + "z"
+    for text in (mixed, " " * n, "\t" * n + "a", "a" + " " * n, " " * (n + 1) + "<|endoftext|>"):
+        assert tokens(text) == library.encode(text, add_special_tokens=False).ids
+    # all of a run but its last character is one piece, whatever its length
+    for n in (1_000_000, 2_000_000, 10_000_000):
+        assert tokens("a" + "\n" * n + "b") == tokens("a") + tokens.single.encode_ordinary("\n" * (n - 1)) + tokens("\nb")
+        assert tokens(" " * n + "b") == tokens.single.encode_ordinary(" " * (n - 1)) + tokens(" b")
+
+
+def test_packing_takes_long_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000 + "b")], "doc_id bigint, text string")
+    out = rows(pattern_packing.pack(docs, RANKS))
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for doc_id, text in ((1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000 + "b")):
+        assert sum(r["length"] for r in out if r["doc_id"] == doc_id) == len(want.encode(text, add_special_tokens=False).ids) + 1
