@@ -17,6 +17,7 @@ from quotegrid.llm import (
     pattern_packing,
     pii_bootstrap,
     poisson_mix,
+    prefix_trie,
     sorted_projection,
     url_reputation,
 )
@@ -178,3 +179,30 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_sorted_projection_passes")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return sorted_projection.near_vectors(read(spark, sf, "embeddings"))
+
+
+# ---------------------------------------------------------------- 12
+TRIE_SQL = """with turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place,
+  {'r': coalesce(role, ''), 't': coalesce(text, '')} as turn from conversations where conv_id is not null),
+own as (select conv_id, list(turn order by place) as turns from turns group by 1),
+hashed as (select conv_id, turns, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)),
+  lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 9 as h from own),
+whole as (select a.conv_id, coalesce(b.turns[:a.h], []) || a.turns[a.h + 1:] as turns
+  from hashed a left join own b on b.conv_id = a.conv_id - a.conv_id % 5),
+member as (select conv_id, len(turns) as n, unnest(range(len(turns) + 1)) as depth, turns from whole),
+path as (select conv_id, n, depth, turns[:depth] as prefix from member),
+node as (select depth, prefix, min(conv_id) as conv_id, count(*) as n_convs,
+  coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '') as ends from path group by 1, 2),
+child as (select depth - 1 as depth, prefix[:depth - 1] as prefix, count(*) as n_children from node where depth > 0 group by 1, 2),
+full_node as (select node.*, coalesce(n_children, 0) as n_children from node left join child using (depth, prefix)),
+below as (select p.depth, p.prefix, sum((f.n_children = 0)::int) as n_leaves,
+  sum((f.n_convs - 1) * case when f.depth = 0 then 0 else strlen(f.prefix[-1].t) end) as saved
+  from full_node f join path p on p.conv_id = f.conv_id and p.depth <= f.depth group by 1, 2)
+select f.conv_id, f.depth::bigint as depth, up.conv_id as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children,
+  n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(f.ends) as ends_sha256
+from full_node f join below using (depth, prefix) left join node up on up.depth = f.depth - 1 and up.prefix = f.prefix[:f.depth - 1]"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf, "conversations"))
