@@ -18,6 +18,7 @@ from quotegrid.llm import (
     pii_bootstrap,
     poisson_mix,
     prefix_trie,
+    son_phrases,
     sorted_projection,
     url_reputation,
 )
@@ -206,3 +207,31 @@ from full_node f join below using (depth, prefix) left join node up on up.depth
 @query("op12_prefix_trie", TRIE_SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.trie(read(spark, sf, "conversations"))
+
+
+# ---------------------------------------------------------------- 13
+PHRASE_SQL = r"""with piece as (select coalesce(lang, 'und') as lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+word as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from piece),
+run as (select lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: ws[i:i + size - 1])) as ws
+  from word, (select unnest([1, 2, 3, 4]) as size) sizes where len(ws) >= size),
+f as (select lang, ws, count(*) as a from run group by 1, 2),
+total as (select lang, sum(len(ws)) as n from word group by 1),
+candidate as (select * from f where len(ws) > 1 and a >= 30),
+cut as (select c.lang, c.ws, c.a, unnest(range(1, len(c.ws))) as k from candidate c),
+rated as (select cut.*, l.a as l, r.a as r, (2000000::hugeint * cut.a) // (l.a + r.a) as score from cut
+  join f l on l.lang = cut.lang and l.ws = cut.ws[:k] join f r on r.lang = cut.lang and r.ws = cut.ws[k + 1:]),
+least as (select * from rated qualify row_number() over (partition by lang, ws order by score, k) = 1),
+inside as (select c.lang, c.a, unnest(list_concat(case when len(ws) = 4 then [ws[1:3], ws[2:4]] else [] end,
+  list_transform(range(1, len(ws)), lambda i: ws[i:i + 1]))) as ws from candidate c where len(ws) > 2),
+longest as (select lang, ws, max(a) as longer from inside group by 1, 2),
+kept as (select least.* from least left join longest using (lang, ws) where longer is null or 100 * longer < 80 * a),
+named as (select *, array_to_string(ws, ' ') as phrase from kept),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from named qualify rank <= 2000)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from ranked join total using (lang)"""
+
+
+@query("op13_son_collocations", PHRASE_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return son_phrases.collocations(read(spark, sf, "documents"))
