@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotegrid.llm import (
+    bm25_packing,
     bpe_count,
     circulant_minhash,
     collision_ann,
@@ -182,6 +183,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return sorted_projection.near_vectors(read(spark, sf, "embeddings"))
 
 
+# ---------------------------------------------------------------- 11
+@query("op11_bm25_packing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25_packing.pack(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 # ---------------------------------------------------------------- 12
 TRIE_SQL = """with turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place,
   {'r': coalesce(role, ''), 't': coalesce(text, '')} as turn from conversations where conv_id is not null),
