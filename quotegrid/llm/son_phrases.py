@@ -37,14 +37,15 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotegrid.llm.common import LOWER, MULT, mix64, stage
+from quotegrid.llm.common import LOWER, MULT, mix64, shuffle_width, sorted_groups, stage
 
 SHARDS = 4
 LONGEST = 4
 SUPPORT = 30
 WORDS_OF_BITS = 1 << 22
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 AT_ONCE = 1 << 21  # words of a task that are counted together
+RANGE_BYTES = 1 << 24  # of text for each range of hashes
 SALTS = 64
 BREAK, NONE = 1, 0
 # fixed values: the contract's piece ends become line breaks, tabs become spaces
@@ -56,7 +57,7 @@ _CUT = re.compile(rb"[ \n]")
 
 # ---------------------------------------------------------------- words of a task
 class Words(dict):
-    """Numbers of words as they come; 0 is nothing, 1 the end of a piece."""
+    """Numbers of words as they come, with their hashes; 0 is nothing, 1 the end of a piece."""
 
     def __init__(self):
         super().__init__()
@@ -64,17 +65,23 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self[b""], self[b"\n"] = NONE, BREAK
-        self.names: list[bytes] = [b"", b"\n"]
+        self.names: list[bytes] = []
+        self.digests = bytearray()
+        for word in (b"", b"\n"):
+            self[word]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.names)
         self.names.append(word)
+        self.digests += hashlib.blake2b(word, digest_size=8).digest()
         return number
 
     def hashes(self) -> np.ndarray:
-        digests = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in self.names)
-        return np.frombuffer(digests, dtype=np.uint64)
+        return np.frombuffer(bytes(self.digests), dtype="<u8")
+
+    def of(self, block: bytes) -> np.ndarray:
+        tokens = block.replace(b"\n", b" \n ").split(b" ")
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
 
 
 def _blocks(text: str | None, size: int = 1 << 20) -> Iterator[bytes]:
@@ -121,7 +128,7 @@ class Run:
 
 
 def hash_of(text: str) -> np.uint64:
-    return np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), dtype=np.uint64)[0]
+    return np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), dtype="<u8")[0]
 
 
 def _each(count: Callable[[Run, int], pd.DataFrame | None], at_once: int = AT_ONCE):
@@ -132,7 +139,7 @@ def _each(count: Callable[[Run, int], pd.DataFrame | None], at_once: int = AT_ON
         words = Words()
         held: dict[Group, list[np.ndarray]] = {}
         before: dict[Group, int] = {}
-        stop = np.array([BREAK], dtype=np.int64)
+        stop = np.array([BREAK], dtype=np.int32)
         total = 0
 
         def flush() -> Iterator[pd.DataFrame]:
@@ -151,10 +158,8 @@ def _each(count: Callable[[Run, int], pd.DataFrame | None], at_once: int = AT_ON
             for lang, shard, text in zip(batch["lang"], batch["shard"], batch["text"]):
                 group = (lang, int(shard))
                 for block in _blocks(text):
-                    tokens = block.replace(b"\n", b" \n ").split(b" ")
-                    numbers = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                    held.setdefault(group, []).append(numbers)
-                    total += len(numbers)
+                    held.setdefault(group, []).append(words.of(block))
+                    total += len(held[group][-1])
                     if total >= at_once or len(words) >= KNOWN_WORDS:
                         # an unfinished piece goes on: its last words come first in the next run, as counted before
                         every = np.concatenate(held[group])
@@ -162,9 +167,10 @@ def _each(count: Callable[[Run, int], pd.DataFrame | None], at_once: int = AT_ON
                         ended = np.flatnonzero(last == BREAK)
                         names = [words.names[i] for i in last[ended[-1] + 1 if len(ended) else 0 :]]
                         yield from flush()
-                        words.reset()
                         total = 0
-                        held, before = {group: [np.array([words[w] for w in names], dtype=np.int64)]}, {group: len(names)}
+                        if len(words) >= KNOWN_WORDS:
+                            words.reset()
+                        held, before = {group: [np.array([words[w] for w in names], dtype=np.int32)]}, {group: len(names)}
                 if group in held:
                     held[group].append(stop)
         yield from flush()
@@ -203,34 +209,152 @@ def shard_marks(shards: int) -> np.ndarray:
     return mix64(np.arange(1, shards + 1, dtype=np.uint64) * MULT)
 
 
-# ---------------------------------------------------------------- the passes
-def _count_words(run: Run, shard: int) -> pd.DataFrame:
-    """One row for each word, and one without a word for the number of all."""
-    fresh = run.numbers[run.before :]
-    number, first, n = np.unique(fresh, return_index=True, return_counts=True)
-    w = run.hashes[run.before :][first]
-    words = pd.DataFrame(
-        {"shard": -1, "w": w.view(np.int64), "h": mix64(w ^ run.lang).view(np.int64), "word": [run.names[i] for i in number], "n": n}, dtype=object
+# ---------------------------------------------------------------- counts on their way
+# counts travel as sorted arrays, one block for each range of hashes, not as a row each
+COUNTED = np.dtype([("h", "<u8"), ("n", "<u8")])
+SPELT = np.dtype([("h", "<u8"), ("n", "<u8"), ("size", "u1"), ("w", "<u8", LONGEST)])
+BLOCKS = "lang string, shard int, range int, block binary"
+
+
+def _cut(entries: np.ndarray, shard: int, ranges: int) -> pd.DataFrame:
+    """Entries sorted by hash as one block for each of ``ranges`` (a power of two) equal ranges."""
+    bits = ranges.bit_length() - 1
+    place = (entries["h"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entries), dtype=np.int64)
+    number, first = np.unique(place, return_index=True)
+    ends = np.append(first[1:], len(entries))
+    return pd.DataFrame(
+        {"shard": shard, "range": number.astype(np.int32), "block": [entries[lo:hi].tobytes() for lo, hi in zip(first, ends)]}
     )
-    return pd.concat((words, pd.DataFrame({"shard": [shard], "w": None, "h": None, "word": None, "n": [len(fresh)]}, dtype=object)))
 
 
-def _hash_rows(found: list[np.ndarray], shard: int) -> pd.DataFrame:
+def _hash_counts(found: list[np.ndarray]) -> np.ndarray:
     h, n = np.unique(np.concatenate(found), return_counts=True)
-    return pd.DataFrame({"shard": shard, "h": h.view(np.int64), "n": n})
+    out = np.empty(len(h), dtype=COUNTED)
+    out["h"], out["n"] = h, n
+    return out
+
+
+def _summed(entries: np.ndarray) -> np.ndarray:
+    """One entry for each hash (and, where there are words, for each phrase) with the sum of its counts."""
+    entries = entries[np.argsort(entries["h"], kind="stable")]
+    change = entries["h"][1:] != entries["h"][:-1]
+    if "w" in entries.dtype.names:
+        other = (entries["w"][1:] != entries["w"][:-1]).any(axis=1) | (entries["size"][1:] != entries["size"][:-1])
+        if (other & ~change).any():  # two phrases with one hash: told apart by all words
+            entries = entries[np.lexsort([*entries["w"].T, entries["size"], entries["h"]])]
+            change = (entries["w"][1:] != entries["w"][:-1]).any(axis=1) | (entries["size"][1:] != entries["size"][:-1])
+            change |= entries["h"][1:] != entries["h"][:-1]
+    first = np.flatnonzero(np.concatenate(([True], change)))
+    out = entries[first]
+    out["n"] = np.add.reduceat(entries["n"], first)
+    return out
+
+
+# ---------------------------------------------------------------- the passes
+WORD_BLOCKS = "lang string, shard int, range int, block binary, names binary, words bigint"
+
+
+def _count_words(ranges: int, at_once: int = AT_ONCE):
+    """Blocks of word counts with the words themselves, and a row without a block for the words of each (lang, shard)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        totals: dict[Group, int] = {}
+        counts: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        waiting = 0
+
+        def gather() -> None:
+            for lang, parts in held.items():
+                fresh = np.bincount(np.concatenate(parts), minlength=len(words))
+                known = counts.get(lang)
+                if known is not None:
+                    fresh[: len(known)] += known
+                counts[lang] = fresh
+            held.clear()
+
+        def flush() -> Iterator[pd.DataFrame]:
+            gather()
+            hashes = words.hashes()
+            for lang, n in counts.items():
+                at = np.flatnonzero(n)
+                at = at[at > BREAK]
+                at = at[np.argsort(hashes[at], kind="stable")]
+                if not len(at):
+                    continue
+                entries = np.empty(len(at), dtype=COUNTED)
+                entries["h"], entries["n"] = hashes[at], n[at]
+                out = _cut(entries, -1, ranges)
+                ends = np.cumsum(out["block"].map(len).to_numpy() // COUNTED.itemsize)
+                out["names"] = [b"\n".join([words.names[i] for i in at[lo:hi].tolist()]) for lo, hi in zip([0, *ends[:-1]], ends)]
+                yield out.assign(lang=lang, words=0)[["lang", "shard", "range", "block", "names", "words"]]
+            counts.clear()
+            words.reset()
+
+        for batch in batches:
+            for lang, shard, text in zip(batch["lang"], batch["shard"], batch["text"]):
+                for block in _blocks(text):
+                    numbers = words.of(block)
+                    group = (lang, int(shard))
+                    totals[group] = totals.get(group, 0) + int(np.count_nonzero(numbers > BREAK))
+                    held.setdefault(lang, []).append(numbers)
+                    waiting += len(numbers)
+                    if waiting >= at_once:
+                        gather()
+                        waiting = 0
+                    if len(words) >= KNOWN_WORDS:
+                        yield from flush()
+                        waiting = 0
+        yield from flush()
+        if totals:
+            yield pd.DataFrame(
+                [(lang, shard, -1, None, None, n) for (lang, shard), n in totals.items()],
+                columns=["lang", "shard", "range", "block", "names", "words"],
+            )
+
+    return run
+
 
+def _frequent_words(support: int):
+    """Words that occur ``support`` times, from all blocks of a range; their hashes may not be shared."""
 
-def _count_pairs(frequent: Broadcast):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        np.seterr(over="ignore")
+        for (lang, _), rows in sorted_groups(batches, ["lang", "range"]):
+            entries = np.frombuffer(b"".join(rows["block"]), dtype=COUNTED)
+            names = [name for part in rows["names"] for name in part.split(b"\n")]
+            order = np.argsort(entries["h"], kind="stable")
+            h = entries["h"][order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            ends = np.append(first[1:], len(h))
+            n = np.add.reduceat(entries["n"][order], first)
+            out = []
+            for k in np.flatnonzero(n >= support).tolist():
+                spelt = {names[i] for i in order[first[k] : ends[k]].tolist()}
+                if len(spelt) > 1:
+                    raise RuntimeError("two words share a 64-bit hash")
+                out.append((lang, h[first[k]], spelt.pop().decode("utf-8", "replace"), int(n[k])))
+            if out:
+                w = np.array([r[1] for r in out], dtype=np.uint64)
+                yield pd.DataFrame(
+                    {"lang": lang, "w": w.view(np.int64), "h": mix64(w ^ hash_of(lang)).view(np.int64),
+                     "word": [r[2] for r in out], "n": [r[3] for r in out]}
+                )
+
+    return run
+
+
+def _count_pairs(frequent: Broadcast, ranges: int):
     def count(run: Run, shard: int) -> pd.DataFrame:
         known = in_bitmap(frequent.value, mix64(run.hashes ^ run.lang))
         at = run.starts(2)
         at = at[known[at] & known[at + 1]]
-        return _hash_rows([run.phrase_hashes(at, 2)], shard)
+        return _cut(_hash_counts([run.phrase_hashes(at, 2)]), shard, ranges)
 
     return count
 
 
-def _count_longer(pairs: Broadcast, marks: np.ndarray):
+def _count_longer(pairs: Broadcast, marks: np.ndarray, ranges: int):
     def count(run: Run, shard: int) -> pd.DataFrame:
         every = np.arange(max(len(run.numbers) - 1, 0))
         held = in_bitmap(pairs.value, run.phrase_hashes(every, 2) ^ marks[shard])
@@ -240,33 +364,59 @@ def _count_longer(pairs: Broadcast, marks: np.ndarray):
             for j in range(size - 1):
                 at = at[held[at + j]]
             found.append(run.phrase_hashes(at, size))
-        return _hash_rows(found, shard)
+        return _cut(_hash_counts(found), shard, ranges)
 
     return count
 
 
-def _count_all(candidates: Broadcast):
-    columns = [f"w{j}" for j in range(LONGEST)]
-
-    def count(run: Run, shard: int) -> pd.DataFrame | None:
-        out = []
+def _count_all(candidates: Broadcast, ranges: int):
+    def count(run: Run, shard: int) -> pd.DataFrame:
+        found = []
         for size in range(2, LONGEST + 1):
             at = run.starts(size)
             h = run.phrase_hashes(at, size)
             keep = in_bitmap(candidates.value, h)
             at, h = at[keep], h[keep]
-            if not len(at):
-                continue
-            _, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            words = [run.hashes[at + j].view(np.int64) if j < size else np.zeros(len(at), dtype=np.int64) for j in range(LONGEST)]
-            if any((w != w[first][which]).any() for w in words):  # two phrases with one hash: told apart by all words
-                _, first, n = np.unique(np.column_stack(words), axis=0, return_index=True, return_counts=True)
-            out.append(pd.DataFrame({"size": size, **{c: w[first] for c, w in zip(columns, words)}, "n": n}))
-        return pd.concat(out) if out else None
+            each = np.zeros(len(at), dtype=SPELT)
+            each["h"], each["n"], each["size"] = h, 1, size
+            for j in range(size):
+                each["w"][:, j] = run.hashes[at + j]
+            found.append(each)
+        every = np.concatenate(found)
+        return _cut(_summed(every), shard, ranges) if len(every) else None
 
     return count
 
 
+def _locally_frequent(support: int):
+    """Phrases that reach their shard's part of the support, from all blocks of a range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, shard, _), rows in sorted_groups(batches, ["lang", "shard", "range"]):
+            words, every = int(rows["words"].iloc[0]), int(rows["every"].iloc[0])
+            found = _summed(np.frombuffer(b"".join(rows["block"]), dtype=COUNTED))
+            h = found["h"][found["n"] >= -(-support * words // every)]
+            if len(h):
+                yield pd.DataFrame({"shard": shard, "h": h.view(np.int64)})
+
+    return run
+
+
+def _frequent(support: int):
+    """Phrases that occur ``support`` times over everything, from all blocks of a range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (lang, _), rows in sorted_groups(batches, ["lang", "range"]):
+            found = _summed(np.frombuffer(b"".join(rows["block"]), dtype=SPELT))
+            found = found[found["n"] >= support]
+            if len(found):
+                words = found["w"].astype(np.uint64).view(np.int64)
+                ws = [w[:size] for w, size in zip(words, found["size"].tolist())]
+                yield pd.DataFrame({"lang": lang, "ws": ws, "a": found["n"].astype(np.int64)})
+
+    return run
+
+
 def _whole(c: str) -> Column:
     return F.col(c).cast("decimal(19,0)")
 
@@ -291,42 +441,39 @@ def mine(
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(shards)).cast("int").alias("shard"),
         text.alias("text"),
     )
-    counted = stage(dealt.mapInPandas(_each(_count_words), "lang string, shard int, w bigint, h bigint, word binary, n bigint"), "words")
-    words = counted.where("w is not null").groupBy("lang", "w").agg(
-        F.sum("n").alias("n"), F.min("h").alias("h"), F.min("word").alias("word"), F.max("word").alias("other")
-    )
-    words = stage(words.where(F.col("n") >= support), "frequent")
-    if not words.where("word <> other").isEmpty():
-        raise RuntimeError("two words share a 64-bit hash")
-    cells = stage(counted.where("w is null").groupBy("lang", "shard").agg(F.sum("n").alias("words")), "cells")
+    width = shuffle_width(spark)
+
+    def by_range(blocks: DataFrame, *keys: str) -> DataFrame:
+        return blocks.repartition(width, *keys).sortWithinPartitions(*keys)
+
+    # the number of ranges follows the bytes of the texts, so that a range's counts fit a task
+    size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max(0, (size // RANGE_BYTES).bit_length())
+    counted = stage(dealt.mapInPandas(_count_words(ranges), WORD_BLOCKS), "words")
+    in_words = by_range(counted.where("block is not null").select("lang", "range", "block", "names"), "lang", "range")
+    words = stage(in_words.mapInPandas(_frequent_words(support), "lang string, w bigint, h bigint, word string, n bigint"), "frequent")
+    cells = stage(counted.where("block is null").groupBy("lang", "shard").agg(F.sum("words").alias("words")).where("words > 0"), "cells")
     every = cells.groupBy("lang").agg(F.sum("words").alias("every"))
+    shares = stage(cells.join(every, "lang"), "shares")
 
-    def locally_frequent(found: DataFrame) -> DataFrame:
-        """Phrases that reach their shard's part of the support."""
-        summed = found.groupBy("lang", "shard", "h").agg(F.sum("n").alias("n"))
-        share = cells.join(every, "lang").withColumnsRenamed({"lang": "cell_lang", "shard": "cell_shard"})
-        met = _whole("n") * _whole("every") >= F.lit(support).cast("decimal(10,0)") * _whole("words")
-        return summed.join(share, (F.col("lang") == F.col("cell_lang")) & (F.col("shard") == F.col("cell_shard"))).where(met).select("shard", "h")
+    def locally_frequent(blocks: DataFrame) -> DataFrame:
+        known = blocks.join(shares, ["lang", "shard"])
+        return by_range(known, "lang", "shard", "range").mapInPandas(_locally_frequent(support), "shard int, h bigint")
 
-    schema = "lang string, shard int, h bigint, n bigint"
     marks = shard_marks(shards)
     known = context.broadcast(bitmap(words.select("h")))
-    pairs = stage(locally_frequent(dealt.mapInPandas(_each(_count_pairs(known)), schema)), "pairs")
+    pairs = stage(locally_frequent(dealt.mapInPandas(_each(_count_pairs(known, ranges)), BLOCKS)), "pairs")
     mark = F.element_at(F.array(*(F.lit(int(m)) for m in marks.view(np.int64))), F.col("shard") + 1)
     held = context.broadcast(bitmap(pairs.select(F.col("h").bitwiseXOR(mark).alias("h"))))
-    longer = stage(locally_frequent(dealt.mapInPandas(_each(_count_longer(held, marks)), schema)), "longer")
+    longer = stage(locally_frequent(dealt.mapInPandas(_each(_count_longer(held, marks, ranges)), BLOCKS)), "longer")
     union = stage(pairs.select("h").unionByName(longer.select("h")).distinct(), "candidates")
     wanted = context.broadcast(bitmap(union))
-    columns = [f"w{j}" for j in range(LONGEST)]
-    found = dealt.withColumn("shard", F.lit(0)).mapInPandas(
-        _each(_count_all(wanted)), "lang string, size int, " + ", ".join(f"{c} bigint" for c in columns) + ", n bigint"
-    )
-    summed = found.groupBy("lang", "size", *columns).agg(F.sum("n").alias("a")).where(F.col("a") >= support)
-    phrases = summed.select("lang", F.slice(F.array(*columns), F.lit(1), F.col("size")).alias("ws"), "a")
-    phrases = stage(phrases, "phrases")
+    found = dealt.withColumn("shard", F.lit(0)).mapInPandas(_each(_count_all(wanted, ranges)), BLOCKS)
+    summed = by_range(found.select("lang", "range", "block"), "lang", "range")
+    phrases = stage(summed.mapInPandas(_frequent(support), "lang string, ws array<bigint>, a bigint"), "phrases")
     for b in (known, held, wanted):
         b.unpersist()
-    return phrases, words.select("lang", "w", F.col("word").cast("string").alias("word"), "n"), every.withColumnRenamed("every", "n")
+    return phrases, words.select("lang", "w", "word", "n"), every.withColumnRenamed("every", "n")
 
 
 # ---------------------------------------------------------------- scores, on counts alone
