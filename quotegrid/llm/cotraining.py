@@ -2,23 +2,27 @@
 
 The content view sees hashed byte trigrams of the lower-cased text. The metadata view sees language, source, length
 and layout (lines, words, shares of capitals, digits and symbols, repetition). Each view is a logistic regression. They
-start from labelled rows; in every round each view labels the pool rows it is most sure of and hands them to the other
-view. Afterwards each view is calibrated on labelled rows it has not seen, the calibrated log odds are added, and the
-sum is calibrated once more. All documents are then scored in place, without a shuffle.
-
-The fit runs on a bounded sample: at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, those whose
-ids come first by hash. Everything else covers all rows.
-
-Defined cases: a null or blank text has score 0 and is rejected; null language or source is a value of its own; a
-document labelled twice with different values teaches nothing; null labels are no labels; without labels of both
-kinds nothing can be learned, every non-blank document gets score 1 and is kept; repeated rows are scored each; an
-empty table gives an empty result.
+start from labelled rows; in every round each view scores all other documents, in tasks, and hands those it is most
+sure of, with its label, to the other view. Afterwards each view is calibrated on labelled rows it has not seen, the
+calibrated log odds are added, and the sum is calibrated once more. All documents are then scored in place, without a
+shuffle.
+
+A fit runs in one task a view, on at most ``max_labelled`` labelled documents (those whose ids come first by hash) and on
+``handed`` documents a round from the other view (the most confident of all, at least ``sure``, in the proportion of the
+labelled ones). Everything else covers all rows. The driver holds two weight vectors and the handed documents' keys.
+
+Defined cases: a null or blank text has score 0, is rejected and teaches nothing; null language or source is a value of
+its own; a document labelled twice with different values teaches nothing; null labels are no labels; a label of a
+repeated id goes with one of its texts, the first by hash; rows without id teach nothing; without labels of both kinds
+nothing can be learned, every non-blank document gets score 1 and is kept; repeated rows are scored each, and handed over
+once; very long texts are read whole; an empty table gives an empty result. Only the named columns are read, whatever
+others there are, and ``keep_columns`` returns those as they came.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotegrid.llm.common import gram_counts
+from quotegrid.llm.common import gram_counts, stage
 
-MAX_LABELLED, MAX_POOL = 4000, 6000
+MAX_LABELLED, ROUNDS, HANDED, SURE = 4000, 2, 300, 0.95
 BUCKETS = 1024
 HASHED = 64
 FEW_WORDS = 5
@@ -66,8 +70,8 @@ def metadata_view(text: str, lang: str | None, source: str | None) -> np.ndarray
         kinds[4],
         len(set(lines)) / len(lines),
         len(set(words)) / n,
-        sum(w.isupper() for w in words) / n,
-        sum(not w[-1].isalnum() for w in words) / n,
+        sum(map(str.isupper, words)) / n,
+        (len(words) - sum(map(str.isalnum, [w[-1] for w in words]))) / n,
     ]
     out[LAYOUT + zlib.crc32(f"lang={lang}".encode()) % HASHED] = 0.5
     out[LAYOUT + HASHED + zlib.crc32(f"source={source}".encode()) % HASHED] = 0.5
@@ -143,104 +147,185 @@ class QualityModel:
         return tuple(float(1 / (1 + np.exp(-np.clip(v, -40, 40)))) for v in (one, two, both))
 
 
-def co_train(
-    views: tuple[np.ndarray, np.ndarray],
-    y: np.ndarray,
-    fold: np.ndarray,
-    pools: tuple[np.ndarray, np.ndarray],
-    rounds: int = 4,
-    share: float = 0.05,
-    sure: float = 0.95,
-) -> QualityModel:
-    """Fits both views. ``fold`` marks labelled rows kept for calibration; pool rows have no label."""
-    learn, hold = ~fold, fold
-    if len(np.unique(y[learn])) < 2 or len(np.unique(y[hold])) < 2:
-        learn = hold = np.ones(len(y), dtype=bool)
-    if len(y) == 0 or len(np.unique(y)) < 2:
-        return QualityModel(None, None)
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has been handed
-    for turn in range(rounds + 1):
-        models = []
-        for v in (0, 1):
-            at = list(given[v])
-            x = np.vstack((views[v][learn], pools[v][at])) if at else views[v][learn]
-            target = np.concatenate((y[learn], [given[v][i] for i in at])) if at else y[learn]
-            models.append(logistic(x, target.astype(np.float64)))
-        if turn == rounds or not len(pools[0]):
-            break
-        good = float(y[learn].mean())
-        for v in (0, 1):
-            score = _raw(models[v], pools[v])
-            slope, shift = _calibrate(_raw(models[v], views[v][hold]), y[hold])
-            chance = 1 / (1 + np.exp(-np.clip(slope * score + shift, -40, 40)))
-            takers = given[1 - v]
-            for label, order, part in ((1.0, np.argsort(-chance, kind="stable"), good), (0.0, np.argsort(chance, kind="stable"), 1 - good)):
-                quota = max(1, int(share * len(pools[0]) * part))
-                confident = [i for i in order.tolist() if (chance[i] >= sure if label else chance[i] <= 1 - sure)]
-                for i in [i for i in confident if i not in takers][:quota]:
-                    takers[i] = label
-    curves = [_calibrate(_raw(models[v], views[v][hold]), y[hold]) for v in (0, 1)]
-    odds = [curves[v][0] * _raw(models[v], views[v][hold]) + curves[v][1] for v in (0, 1)]
-    curves.append(_calibrate(odds[0] + odds[1], y[hold]))
-    share_good = (float((y > 0.5).sum()) + 1) / (len(y) + 2)
-    prior = float(np.log(share_good / (1 - share_good)))
-    return QualityModel(models[0].astype(np.float32), models[1].astype(np.float32), tuple(curves), prior)
+# ---------------------------------------------------------------- fits, in tasks
+WIDTHS = (BUCKETS, LAYOUT + 2 * HASHED)
+TAUGHT = "view int, key string, label double, hold boolean, handed boolean, x binary"
+FITTED = "view int, weights binary, slope double, shift double, held binary, held_labels binary"
 
 
-def _views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _taught(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each view of a text that has a label, or only for the view it is handed to."""
     for batch in batches:
-        rows = [
-            (i, q, content_view(t).tobytes(), metadata_view(t, lang, source).tobytes())
-            for i, q, t, lang, source in zip(
-                batch["doc_id"], batch["quality"], batch["text"], batch["lang"], batch["source"]
-            )
-        ]
-        yield pd.DataFrame(rows, columns=["doc_id", "quality", "content", "metadata"], dtype=object)
+        rows = []
+        for key, label, hold, taker, text, lang, source in zip(
+            *(batch[c] for c in ("key", "label", "hold", "taker", "text", "lang", "source"))
+        ):
+            for view in (0, 1):
+                if taker in (view, -1):
+                    x = content_view(text) if view == 0 else metadata_view(text, lang, source)
+                    rows.append((view, key, label, hold, taker >= 0, x.tobytes()))
+        yield pd.DataFrame(rows, columns=["view", "key", "label", "hold", "handed", "x"])
+
+
+def fit_view(view: int, x: np.ndarray, label: np.ndarray, hold: np.ndarray, handed: np.ndarray) -> tuple:
+    """(weights, (slope, shift), raw scores of the rows kept for calibration, their labels); rows in a fixed order."""
+    learn, held = ~hold & ~handed, hold & ~handed
+    if len(np.unique(label[learn])) < 2 or len(np.unique(label[held])) < 2:
+        learn = held = ~handed
+    fitted = learn | handed
+    w = logistic(x[fitted], label[fitted])
+    raw = _raw(w, x[held])
+    return w, _calibrate(raw, label[held]), raw, label[held]
+
+
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["handed", "key", "label"], kind="stable")
+    view = int(rows["view"].iloc[0])
+    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), WIDTHS[view])
+    w, (slope, shift), raw, labels = fit_view(
+        view, x, rows["label"].to_numpy(float), rows["hold"].to_numpy(bool), rows["handed"].to_numpy(bool)
+    )
+    return pd.DataFrame(
+        [(view, w.tobytes(), slope, shift, raw.tobytes(), labels.tobytes())],
+        columns=["view", "weights", "slope", "shift", "held", "held_labels"],
+    )
+
+
+@dataclass
+class Fitted:
+    """Both views after a round: weights, calibration, and raw scores and labels of the rows kept for it."""
+
+    weights: list[np.ndarray]
+    curves: list[tuple[float, float]]
+    held: list[np.ndarray]
+    labels: np.ndarray
+
+
+def _fits(taught: DataFrame) -> Fitted:
+    got = sorted(taught.groupBy("view").applyInPandas(_fit, FITTED).collect(), key=lambda r: r["view"])
+    return Fitted(
+        [np.frombuffer(r["weights"]) for r in got],
+        [(r["slope"], r["shift"]) for r in got],
+        [np.frombuffer(r["held"]) for r in got],
+        np.frombuffer(got[0]["held_labels"]),
+    )
+
+
+def combined(fitted: Fitted, share_good: float) -> QualityModel:
+    """Calibrated views and a curve through their sum."""
+    odds = [a * raw + b for (a, b), raw in zip(fitted.curves, fitted.held)]
+    curves = [*fitted.curves, _calibrate(odds[0] + odds[1], fitted.labels)]
+    prior = float(np.log(share_good / (1 - share_good)))
+    return QualityModel(*(w.astype(np.float32) for w in fitted.weights), tuple(curves), prior)
+
+
+Quota = dict[tuple[int, int], int]  # (taker, label) -> how many
+
+
+def _confident(fitted: Fitted, taken: Sequence[frozenset[str]], quota: Quota, sure: float):
+    """The most confident rows of a task for each taker and label; equal rows once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[int, int], dict[str, float]] = {k: {} for k in quota}
+
+        def first(found: dict[str, float], n: int) -> dict[str, float]:
+            return dict(sorted(found.items(), key=lambda kv: (-kv[1], kv[0]))[:n])
+
+        for batch in batches:
+            for key, text, lang, source in zip(*(batch[c] for c in ("key", "text", "lang", "source"))):
+                if not text.strip():
+                    continue
+                for view in (0, 1):
+                    taker = 1 - view
+                    if key in taken[taker]:
+                        continue
+                    x = content_view(text) if view == 0 else metadata_view(text, lang, source)
+                    chance = chance_of(fitted, view, x)
+                    for label, strength in ((1, chance), (0, 1 - chance)):
+                        if strength >= sure:
+                            found = best[taker, label]
+                            found[key] = strength
+                            if len(found) > 4 * quota[taker, label]:
+                                best[taker, label] = first(found, quota[taker, label])
+        rows = [(t, y, s, k) for (t, y), found in best.items() for k, s in first(found, quota[t, y]).items()]
+        yield pd.DataFrame(rows, columns=["taker", "label", "strength", "key"])
+
+    return run
+
+
+def chance_of(fitted: Fitted, view: int, x: np.ndarray) -> float:
+    """Calibrated probability of good quality by one view, in nine digits."""
+    slope, shift = fitted.curves[view]
+    odds = slope * float(_raw(fitted.weights[view], x)) + shift
+    return round(float(1 / (1 + np.exp(-np.clip(odds, -40, 40)))), 9)
 
 
 def learn_quality(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL
+    docs: DataFrame,
+    labels: DataFrame,
+    max_labelled: int = MAX_LABELLED,
+    rounds: int = ROUNDS,
+    handed: int = HANDED,
+    sure: float = SURE,
 ) -> QualityModel:
-    """Model from the labelled rows (doc_id, quality 0 or 1) and from unlabelled documents."""
+    """Model from labels (doc_id, quality 0 or 1) and all documents."""
+    spark = docs.sparkSession
+    texts = docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("string"))).alias("key"),
+        *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")),
+    ).where(F.col("id").isNotNull() & F.col("text").rlike(r"\S"))
     labelled = (
         labels.where("doc_id is not null and quality is not null")
-        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+        .groupBy(F.col("doc_id").cast("string").alias("id"))
         .agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
         .where("q = q2")
-        .select("doc_id", F.col("q").cast("double").alias("quality"))
+        .select("id", (F.col("q") > 0.5).cast("double").alias("label"))
+        .join(texts.select("id"), "id", "left_semi")
     )
-    texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")),
-    ).where("doc_id is not null")
-    pool = texts.select("doc_id").join(labelled, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("double"))
-    # both samples are bounded by their limits, so they may be broadcast
-    chosen = (
-        labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-        .unionByName(pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool))
-    )
-    sample = (
-        texts.join(F.broadcast(chosen), "doc_id")
-        .where("text is not null")
-        .mapInPandas(_views, "doc_id bigint, quality double, content binary, metadata binary")
-        .toPandas()
-        .sort_values("doc_id", kind="stable")
-    )
-    wide = (BUCKETS, LAYOUT + 2 * HASHED)
-    quality = sample["quality"].to_numpy(dtype=float)
-    known = ~np.isnan(quality)
-    arrays = [
-        np.frombuffer(b"".join(sample[c]), dtype=np.float32).reshape(len(sample), n)
-        for c, n in zip(("content", "metadata"), wide)
-    ]
-    fold = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in sample["doc_id"]], dtype=bool)
-    del sample
-    return co_train(
-        (arrays[0][known], arrays[1][known]),
-        quality[known],
-        fold[known],
-        (arrays[0][~known], arrays[1][~known]),
+    chosen = stage(labelled.orderBy(F.xxhash64("id"), "id").limit(max_labelled), "labelled")
+    counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return QualityModel(None, None)
+    # at most ``max_labelled`` rows, so they may be broadcast; of a repeated id, one text
+    one = (
+        texts.join(F.broadcast(chosen), "id")
+        .groupBy("id", "label")
+        .agg(F.min_by(F.struct("key", "text", "lang", "source"), "key").alias("row"))
+        .select(
+            F.col("row.key").alias("key"), "label", (F.crc32(F.col("id").cast("binary")) % 5 == 0).alias("hold"),
+            F.lit(-1).alias("taker"), "row.text", "row.lang", "row.source",
+        )
     )
+    taught = stage(one.mapInPandas(_taught, TAUGHT), "taught")
+    pool = texts.join(F.broadcast(chosen.select("id")), "id", "left_anti").select("key", "text", "lang", "source")
+    share = counts[1.0] / (counts[0.0] + counts[1.0])
+    quota: Quota = {(t, y): max(1, int(handed * (share if y else 1 - share))) for t in (0, 1) for y in (0, 1)}
+    taken: list[frozenset[str]] = [frozenset(), frozenset()]
+    fitted = _fits(taught)
+    for _ in range(rounds):
+        found = stage(pool.mapInPandas(_confident(fitted, taken, quota, sure), "taker int, label int, strength double, key string"), "confident")
+        found = found.dropDuplicates(["taker", "label", "key"])
+        top = [
+            r
+            for (t, y), n in quota.items()
+            for r in found.where((F.col("taker") == t) & (F.col("label") == y)).orderBy(F.desc("strength"), "key").limit(n).collect()
+        ]
+        if not top:
+            break
+        taken = [taken[t] | {r["key"] for r in top if r["taker"] == t} for t in (0, 1)]
+        # at most 2 x ``handed`` rows
+        given = spark.createDataFrame([(r["key"], r["taker"], float(r["label"])) for r in top], "key string, taker int, label double")
+        picked = (
+            pool.join(F.broadcast(given), "key")
+            .groupBy("key", "taker", "label")
+            .agg(F.first(F.struct("text", "lang", "source")).alias("row"))
+            .select("key", "label", F.lit(False).alias("hold"), "taker", "row.text", "row.lang", "row.source")
+        )
+        taught = taught.unionByName(stage(picked.mapInPandas(_taught, TAUGHT), "handed"))
+        fitted = _fits(taught)
+    good, bad = counts[1.0], counts[0.0]
+    return combined(fitted, (good + 1) / (good + bad + 2))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5, keep_columns: bool = False) -> DataFrame:

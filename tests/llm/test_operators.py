@@ -394,22 +394,79 @@ def test_quality_of_odd_rows(spark, odd, nothing, sf):
     assert all(r["kept"] for r in unlabelled if r["doc_id"] not in (2, 3, 4))
 
 
-def test_views_help_each_other():
-    draw = np.random.default_rng(4)
-    n, pool = 40, 3000
-    truth, hidden = draw.integers(0, 2, n + 800), draw.integers(0, 2, pool)
-
-    def view(y, dims, noise):
-        return (np.outer(2 * y - 1, np.ones(dims)) * 0.35 + noise * draw.standard_normal((len(y), dims))).astype(np.float32)
-
-    one, two = view(truth, 30, 1.0), view(truth, 12, 0.5)
-    pools = view(hidden, 30, 1.0), view(hidden, 12, 0.5)
-    fold = np.arange(n) % 5 == 0
-    right = []
-    for rounds in (0, 5):
-        m = cotraining.co_train((one[:n], two[:n]), truth[:n].astype(float), fold, pools, rounds=rounds)
-        right.append((((one[n:] @ m.content[:-1] + m.content[-1]) > 0) == truth[n:]).mean())
-    assert right[1] >= right[0]
+def plain_co_training(docs, labels, rounds, handed, sure):
+    """The same fit over lists: everything is scored and sorted in one place."""
+    keys = {f"{i}:{hashlib.md5(t.encode()).hexdigest()}": (i, t, lang, source) for i, t, lang, source in docs if i is not None and t and t.strip()}
+    given = {}
+    for i, q in labels:
+        given.setdefault(i, set()).add(q)
+    label = {i: float(q.pop()) for i, q in given.items() if len(q) == 1}
+    taught = {k: label[v[0]] for k, v in sorted(keys.items()) if v[0] in label}
+    pool = {k: v for k, v in keys.items() if v[0] not in label}
+    good = sum(taught.values()) / len(taught)
+    takes = [{}, {}]
+
+    def seen(view, k):
+        _, text, lang, source = keys[k]
+        return cotraining.content_view(text) if view == 0 else cotraining.metadata_view(text, lang, source)
+
+    for turn in range(rounds + 1):
+        fits = []
+        for view in (0, 1):
+            rows_ = [(k, y, zlib.crc32(str(keys[k][0]).encode()) % 5 == 0, False) for k, y in taught.items()]
+            rows_ += [(k, y, False, True) for k, y in sorted(takes[view].items())]
+            x = np.array([seen(view, r[0]) for r in rows_], dtype=np.float32)
+            fits.append(cotraining.fit_view(view, x, *(np.array([r[j] for r in rows_]) for j in (1, 2, 3))))
+        fitted = cotraining.Fitted([f[0] for f in fits], [f[1] for f in fits], [f[2] for f in fits], fits[0][3])
+        if turn == rounds:
+            break
+        fresh = [{}, {}]
+        for view in (0, 1):
+            chance = {k: cotraining.chance_of(fitted, view, seen(view, k)) for k in pool if k not in takes[1 - view]}
+            for y, n in ((1, max(1, int(handed * good))), (0, max(1, int(handed * (1 - good))))):
+                strong = {k: c if y else 1 - c for k, c in chance.items()}
+                order = sorted((k for k in strong if strong[k] >= sure), key=lambda k: (-strong[k], k))
+                fresh[1 - view].update({k: float(y) for k in order[:n]})
+        takes = [takes[v] | fresh[v] for v in (0, 1)]
+    n = len(taught)
+    return cotraining.combined(fitted, (sum(taught.values()) + 1) / (n + 2)), takes
+
+
+def test_co_training_equals_the_plain_version(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").select("doc_id", "quality").collect()]
+    docs = docs + docs[:3] + [(None, docs[0][1], "en", "x"), (10**6, " ", "en", "x")]
+    got = cotraining.learn_quality(
+        spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"),
+        spark.createDataFrame(labels, "doc_id bigint, quality int"),
+        rounds=2, handed=8, sure=0.6,
+    )
+    want, takes = plain_co_training(docs, labels, 2, 8, 0.6)
+    assert all(len(t) > 4 for t in takes)
+    for a, b in ((got.content, want.content), (got.metadata, want.metadata)):
+        assert np.allclose(a, b, atol=2e-3)
+    assert np.allclose(got.curves, want.curves, rtol=0.02, atol=0.02) and math.isclose(got.prior, want.prior)
+    for _, text, lang, source in docs:
+        assert np.allclose(got.score(text, lang, source), want.score(text, lang, source), atol=0.01)
+
+
+def test_every_unlabelled_document_can_be_handed_over(spark):
+    good = ["plain words make a good sentence here. " * 3] * 40
+    bad = ["$$$ BUY NOW!!! 0000 >>> CLICK ### " * 3] * 40
+    docs = [(i, f"{t} {i}", "en", "s") for i, t in enumerate(good + bad)] + [(1000 + i, f"{bad[0]} {i}", "en", "s") for i in range(900)]
+    docs += [(5000, "one plain good sentence that no other says", "en", "s")] * 3
+    labels = [(i, int(i < 40)) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    model = cotraining.learn_quality(df, spark.createDataFrame(labels, "doc_id bigint, quality int"), rounds=1, handed=20)
+    kept = {r["doc_id"] for r in cotraining.score_quality(df, model).where("kept").collect()}
+    assert kept == {*range(40), 5000}
+
+
+def test_string_ids_and_clashing_columns(spark):
+    docs = [(f"d{i}", "good plain words here " * 4 if i % 2 else "!!! 000 $$$ " * 4, "en", "s", "k", "t", 1.0) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, lang string, source string, key string, taker string, label double")
+    model = cotraining.learn_quality(df, spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, quality int"))
+    assert {r["doc_id"] for r in cotraining.score_quality(df, model, keep_columns=True).collect()} == {f"d{i}" for i in range(1, 60, 2)}
 
 
 # ---------------------------------------------------------------- 8 personal data
