@@ -92,8 +92,8 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def statistics(items: DataFrame) -> Statistics:
-    counts = items.select("ids", "length").mapInPandas(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    by = dict(zip(counts["term"].tolist(), counts["n"].tolist()))
+    counts = items.select("ids", "length").mapInPandas(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    by = dict(zip(counts["term"].to_pylist(), counts["n"].to_pylist()))
     total, tokens = by.pop(-1, 0), by.pop(-2, 0)
     df = np.zeros(VOCABULARY)
     df[np.fromiter(by, dtype=np.int64, count=len(by))] = np.fromiter(by.values(), dtype=float, count=len(by))

@@ -153,9 +153,9 @@ def sketch(digests: DataFrame, width: int) -> np.ndarray:
     counts = digests.mapInPandas(_count(width), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("cell") % 64).cast("int"))
     words = counts.where("n > 1").groupBy(F.floor(F.col("cell") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    found = words.toPandas()
+    found = words.toArrow()
     out = np.zeros(max(SKETCH_ROWS * width // 64, 1), dtype=np.int64)
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 

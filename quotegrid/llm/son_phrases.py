@@ -189,10 +189,10 @@ def bitmap(hashes: DataFrame, words_of_bits: int = WORDS_OF_BITS) -> np.ndarray:
         hashes.select(F.explode(places).alias("p"))
         .groupBy(F.shiftright("p", 6).cast("int").alias("word"))
         .agg(F.bit_or(bit).alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(words, dtype=np.int64)
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
