@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ SIZE, SHARD = 2048, 1024
 VOCABULARY = 1 << 17
 K1, B = 1.2, 0.75
 NUMBERED = 1 << 33  # rows of a task that can be told apart
+FRAME = 1000  # rows handed on at once
 
 
 def _items(rank_file: str, size: int, end_id: int):
@@ -45,9 +47,15 @@ def _items(rank_file: str, size: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = ByteTokens(rank_file)
         number = TaskContext.get().partitionId() * NUMBERED
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["item", "doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids"], dtype=object)
+
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                if len(rows) >= FRAME:
+                    yield frame(rows)
+                    rows = []
                 ids = np.array([*tokens(text), end_id], dtype="<u4")
                 whole = len(ids) - len(ids) % size
                 for at in range(0, whole, size):
@@ -58,7 +66,7 @@ def _items(rank_file: str, size: int, end_id: int):
                     packed = rest.astype("<u2") if rest.max() < 1 << 16 else rest
                     rows.append((number, doc_id, len(ids), whole, len(rest), None, packed.tobytes()))
                     number += 1
-            yield pd.DataFrame(rows, columns=["item", "doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids"], dtype=object)
+            yield frame(rows)
 
     return run
 
@@ -105,7 +113,7 @@ def _heaviest(shared: Broadcast):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stats: Statistics = shared.value
-        for batch in batches:
+        for batch in (whole.iloc[at : at + FRAME] for whole in batches for at in range(0, len(whole), FRAME)):
             best = np.full((len(batch), 2), -1, dtype=np.int64)
             for k, (raw, length) in enumerate(zip(batch["ids"], batch["length"])):
                 terms, counts = np.unique(_ids(raw, length), return_counts=True)
@@ -171,11 +179,13 @@ def fill(items: list[Item], stats: Statistics, size: int) -> tuple[list[Window],
             while not unused[first]:
                 first += 1
             seed = first
-        order = np.argsort(-np.where(unused, index.scores(seed), -1.0), kind="stable")
+        order = np.argsort(np.where(unused, -index.scores(seed), 1.0), kind="stable")
         window: Window = []
         free = size
         following = None
-        for k in (seed, *(int(k) for k in order if k != seed and unused[k])):
+        for k in chain((seed,), order.tolist()):
+            if not unused[k] or k == seed and window:
+                continue
             item = items[k]
             take = min(free, item.left)
             window.append((item, item.used, item.used + take))
