@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.functions.exprs import half_even, ladder
+from quotegrid.operators.gram import gram_tiles, pair_correlations
 from quotegrid.operators.quantiles import exact_quantiles
 from quotegrid.operators.windows import series_window
 
@@ -60,8 +61,17 @@ def token_counts(df: DataFrame, column: str, separator: str = r" \+ ") -> DataFr
     )
 
 
-def pairwise_correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair and variance on the diagonal, one pass over the rows."""
+def pairwise_correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), wide: int = 24) -> DataFrame:
+    """Pearson correlation of every pair and variance on the diagonal, one pass over the rows.
+
+    More than ``wide`` columns go through tiles, since a plan cannot hold an expression for each pair.
+    """
+    if len(columns) > wide:
+        pairs_ = pair_correlations(gram_tiles(df, keys, columns), keys, columns)
+        same = F.col("a") == F.col("b")
+        return pairs_.select(
+            *keys, "a", "b", F.when(same, 1.0).otherwise(F.col("corr")).alias("corr"), F.when(same, F.col("covariance")).alias("variance")
+        )
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     aggs = [
         (F.var_samp(a) if a == b else F.corr(a, b)).alias(f"__{i}") for i, (a, b) in enumerate(pairs)

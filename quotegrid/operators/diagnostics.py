@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.functions import distributions as D
-from quotegrid.functions.exprs import ladder
+from quotegrid.functions.exprs import ladder, nan_to_null
+from quotegrid.operators.gram import gram_tiles, inverse_diagonal, whole_correlations
 from quotegrid.operators.moments import Model, fit_models, moment_blocks
 from quotegrid.operators.quantiles import ecdf_distance, exact_quantiles
 from quotegrid.operators.windows import series_window
@@ -77,14 +80,15 @@ VIF_BANDS = [(5, "LOW"), (10, "MODERATE"), (20, "HIGH")]
 
 
 def variance_inflation(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """1 / (1 - R2) of each feature on the others; one block per target feature, same scan."""
-    out = None
-    for f in features:
-        others = [c for c in features if c != f]
-        fit = fit_models(moment_blocks(df, keys, [*others, f]), keys, [*others, f], [(f, others)])
-        one = fit.select(*keys, F.col("model_id").alias("feature"), (1 / (1 - F.col("r2"))).alias("vif"))
-        out = one if out is None else out.union(one)
-    return out.withColumn("band", ladder("vif", VIF_BANDS, "SEVERE", "<"))
+    """1 / (1 - R2) of each feature on the others: the diagonal of the inverse correlation matrix, one scan and one inverse."""
+    cols = list(features)
+    whole = df.select(*keys, *cols).dropna(subset=cols)
+
+    def factors(corr: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"feature": cols, "vif": inverse_diagonal(corr)})
+
+    out = whole_correlations(gram_tiles(whole, keys, cols), keys, cols, factors, "feature string, vif double")
+    return out.withColumn("vif", nan_to_null("vif")).withColumn("band", ladder("vif", VIF_BANDS, "SEVERE", "<"))
 
 
 def residual_moments(res: DataFrame, keys: Sequence[str], e: str = "residual") -> DataFrame:

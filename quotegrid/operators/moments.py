@@ -234,51 +234,6 @@ def _nan_free(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(c) for c in ("aic", "bic", "r2", "adj_r2", "ssr")})
 
 
-def fit_with_nulls(
-    df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], models: Sequence[Model]
-) -> DataFrame:
-    """All-subsets fit with listwise deletion per subset.
-
-    Rows are grouped by their null pattern; a model uses the union of the patterns
-    that leave its own columns filled. There are at most 2**p patterns per key.
-    """
-    cols = [*features, target]
-    mask = F.lit(0)
-    for i, c in enumerate(cols):
-        mask = mask + F.when(F.col(c).isNull() | F.isnan(c), 1 << i).otherwise(0)
-    pattern = moment_blocks(
-        df.select(*keys, mask.alias("__mask"), *[F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols]),
-        [*keys, "__mask"],
-        cols,
-    )
-    parts = pattern.groupBy(*keys).agg(F.collect_list(F.struct("__mask", "n", "mean", "cov")).alias("parts"))
-    pos = {c: i for i, c in enumerate(cols)}
-    plan = []
-    for name, feats in models:
-        idx = [pos[f] for f in feats]
-        plan.append((name, feats, idx, sum(1 << i for i in [*idx, len(cols) - 1])))
-    size, key_list = len(cols), list(keys)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(len(pdf)):
-                row = pdf.iloc[i]
-                blocks = [
-                    (int(p["__mask"]), float(p["n"]), np.asarray(p["mean"], float), np.asarray(p["cov"], float).reshape(size, size))
-                    for p in row["parts"]
-                ]
-                for name, feats, idx, need in plan:
-                    fit = [b[1:] for b in blocks if not b[0] & need]
-                    if not fit:
-                        continue
-                    n, mean, cov = linear.merge_blocks(fit)
-                    r = linear.ols(np.array([n]), mean[None], cov[None], idx)
-                    yield _fit_frame(pdf[key_list].iloc[[i]], name, feats, np.array([n]), r)
-
-    out = spread_rows(parts, *key_list) if key_list else parts
-    return _nan_free(out.mapInPandas(solve, _key_ddl(df, keys) + FIT_SCHEMA))
-
-
 def coefficient_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Long coefficient table: one row per (key, model, term)."""
     z = F.arrays_zip("terms", "coef", "se")
@@ -324,112 +279,11 @@ def ridge_fits(
     return src.mapInPandas(solve, _key_ddl(blocks, key_list) + "n_obs bigint, coef array<double>")
 
 
-def stepwise(
-    blocks: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    candidates: Sequence[Sequence[str]],
-    rounds: int,
-    start: Sequence[str] = (),
-) -> DataFrame:
-    """Greedy forward search by AIC; a candidate may add several columns at once.
-
-    All rounds are solved from one block per key, so no pass over the data per round.
-    """
-    pos = {c: i for i, c in enumerate(columns)}
-    size, key_list = len(columns), list(keys)
-    weighted = "slw" in blocks.columns
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i in range(len(pdf)):
-                row = pdf.iloc[i]
-                n = np.array([float(row["n"])])
-                mean = np.asarray(row["mean"], float)[None]
-                cov = np.asarray(row["cov"], float).reshape(1, size, size)
-                logw = None
-                if weighted:
-                    cov = cov * (float(row["sw"]) / n[0])
-                    logw = np.array([float(row["slw"])])
-                chosen = list(start)
-                for step in range(1, rounds + 1):
-                    best = None
-                    for cand in candidates:
-                        new = [c for c in cand if c not in chosen]
-                        if not new:
-                            continue
-                        r = linear.ols(n, mean, cov, [pos[c] for c in chosen + new], logw)
-                        if r["ok"][0] and (best is None or r["aic"][0] < best[0]):
-                            best = (float(r["aic"][0]), new)
-                    if best is None:
-                        break
-                    chosen += best[1]
-                    rows.append([*[row[k] for k in key_list], step, " + ".join(best[1]), " + ".join(chosen), best[0]])
-            yield pd.DataFrame(rows, columns=[*key_list, "step", "added", "features", "aic"])
-
-    wanted = [*key_list, "n", "mean", "cov", *(["sw", "slw"] if weighted else [])]
-    src = blocks.select(*wanted)
-    src = spread_rows(src, *key_list) if key_list else src
-    return src.mapInPandas(solve, _key_ddl(blocks, keys) + "step int, added string, features string, aic double")
-
-
-def ridge_cv(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    target: str,
-    features: Sequence[str],
-    models: Sequence[Model],
-    alphas: Sequence[float],
-    folds: int = 5,
-) -> DataFrame:
-    """Contiguous k-fold ridge per subset: train block = total minus fold, score = R2 of the fold."""
-    cols = [*features, target]
-    rows = numbered(df.select(*keys, order, *cols), keys, order)
+def numbered_folds(df: DataFrame, keys: Sequence[str], order: str, folds: int) -> DataFrame:
+    """Rows with ``fold``: contiguous parts of every series; the first n % folds of them are one row longer."""
+    rows = numbered(df, keys, order)
     size_lo, extra = F.floor(F.col("n") / folds), F.col("n") % folds
-    # the first n % folds folds are one row longer
     big = extra * (size_lo + 1)
     at = F.col("rn") - 1
     fold = F.when(at < big, F.floor(at / (size_lo + 1))).otherwise(extra + F.floor((at - big) / size_lo))
-    blocks = moment_blocks(rows.withColumn("fold", fold.cast("int")), [*keys, "fold"], cols)
-    parts = blocks.groupBy(*keys).agg(F.collect_list(F.struct("fold", "n", "mean", "cov")).alias("parts"))  # `folds` entries
-    pos = {c: i for i, c in enumerate(cols)}
-    plan = [(name, feats, [pos[f] for f in feats]) for name, feats in models]
-    size, key_list, grid = len(cols), list(keys), list(alphas)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows_out = []
-            for i in range(len(pdf)):
-                row = pdf.iloc[i]
-                parts_ = sorted(row["parts"], key=lambda p: p["fold"])
-                blocks_ = [(float(p["n"]), np.asarray(p["mean"], float), np.asarray(p["cov"], float).reshape(size, size)) for p in parts_]
-                total = linear.merge_blocks(blocks_)
-                for name, feats, idx in plan:
-                    table = np.array([[_fold_r2(blocks_, f, idx, a) for f in range(len(blocks_))] for a in grid])
-                    best = int(np.argmax(table.mean(axis=1)))
-                    coef = linear.ridge(np.array([total[0]]), total[1][None], total[2][None], idx, grid[best])[0]
-                    rows_out.append(
-                        [*[row[k] for k in key_list], name, len(feats), grid[best], table[best].mean(), table[best].std(), list(coef)]
-                    )
-            yield pd.DataFrame(
-                rows_out, columns=[*key_list, "model_id", "n_features", "best_alpha", "cv_mean", "cv_std", "coef"]
-            )
-
-    src = spread_rows(parts, *key_list) if key_list else parts
-    return src.mapInPandas(
-        solve,
-        _key_ddl(df, keys) + "model_id string, n_features int, best_alpha double, cv_mean double, cv_std double, coef array<double>",
-    )
-
-
-def _fold_r2(blocks: list, fold: int, idx: list[int], alpha: float) -> float:
-    n, mean, cov = linear.merge_blocks([b for i, b in enumerate(blocks) if i != fold])
-    coef = linear.ridge(np.array([n]), mean[None], cov[None], idx, alpha)[0]
-    tn, tm, tc = blocks[fold]
-    beta = coef[1:]
-    bias = tm[-1] - coef[0] - beta @ tm[idx]
-    c, s = tc[idx, -1], tc[np.ix_(idx, idx)]
-    sse = tn * (tc[-1, -1] - 2 * beta @ c + beta @ s @ beta + bias**2)
-    return float(1 - sse / (tn * tc[-1, -1]))
+    return rows.withColumn("fold", fold.cast("int"))

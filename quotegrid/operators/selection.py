@@ -1,4 +1,4 @@
-"""Candidate enumeration, sign constraints and multiple-testing corrections on model tables."""
+"""Reduced candidate spaces, sign constraints and multiple-testing corrections on model tables."""
 
 from __future__ import annotations
 
@@ -11,31 +11,11 @@ from pyspark.sql.window import Window
 
 from quotegrid.functions import distributions as D
 from quotegrid.functions.exprs import col
+from quotegrid.operators.subsets import enumerate_ranges
 from quotegrid.operators.windows import series_window
 
 
 # ---------------------------------------------------------------- enumeration
-def enumerate_subsets(candidates: DataFrame, name: str, base: Sequence[str], max_size: int) -> DataFrame:
-    """Every combination of up to ``max_size`` candidates behind the base features.
-
-    Each level joins the previous one with the later candidates, so a subset is
-    produced once and already in order; nothing passes through the driver.
-    """
-    pool = candidates.select(F.col(name).alias("__n")).where(~F.col("__n").isin(list(base) or [""])).distinct()
-    pool = pool.withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__n")))
-    level = pool.select(F.array("__n").alias("items"), F.col("__i").alias("last"))
-    out = level
-    for _ in range(1, max_size):
-        level = level.join(pool, F.col("__i") > F.col("last")).select(
-            F.concat("items", F.array("__n")).alias("items"), F.col("__i").alias("last")
-        )
-        out = out.union(level)
-    features = F.concat(F.array(*[F.lit(b) for b in base]), "items") if base else F.col("items")
-    return out.select(
-        F.array_join(features, " + ").alias("model_id"), features.alias("features"), F.size(features).alias("n_features")
-    )
-
-
 def reduced_space(
     candidates: DataFrame, name: str, priority: Sequence[str], min_size: int, max_size: int, limit: int
 ) -> DataFrame:
@@ -44,7 +24,7 @@ def reduced_space(
     More priority combinations than the limit: those with most priority features, then
     the longest, win. Fewer: the rest is filled in order of size and name.
     """
-    subsets = enumerate_subsets(candidates, name, [], max_size).where(F.col("n_features") >= min_size)
+    subsets = enumerate_ranges(candidates, name, [], max_size).where(F.col("n_features") >= min_size)
     wanted = F.array(*[F.lit(p) for p in priority])
     n_prio = F.size(F.array_intersect("features", wanted))
     tagged = subsets.withColumn("n_priority", n_prio)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quotegrid.functions import exprs as X
 from quotegrid.operators import aggregates as agg
 from quotegrid.operators import calendar as cal
+from quotegrid.operators import gram
 from quotegrid.operators import joins as jon
 from quotegrid.operators import rates as rt
+from quotegrid.operators import windows as win
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.q_scan_filter import WEIGHTS, WEIGHTS_WIDE, weights_wide
 from quotegrid.workloads.registry import query
@@ -447,6 +449,33 @@ def agg12(spark, sf):
     return out.withColumns({"corr": F.round("corr", 6), "variance": F.round("variance", 6)})
 
 
+WIDE_LAGS = 60
+WIDE_SOURCES = ["y", *t.FEATURES]
+_NAMED = "case s " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(WIDE_SOURCES, 1)) + " end || case when k = 0 then '_current' else '_t' || k end"
+
+
+@query(
+    "agg12_wide_correlation_profile",
+    f"""with {t.WEEKLY_MODEL}, pos as (select product, row_number() over (partition by product order by date) as t, count(*) over (partition by product) as len,
+   [{', '.join(WIDE_SOURCES)}] as v from wm),
+  lagged as (select *, unnest(range(0, {WIDE_LAGS + 1})) as k from pos),
+  cell as (select product, (t + k)::smallint as t, ((s - 1) * {WIDE_LAGS + 1} + k)::smallint as c, s, k, v[s] as x
+   from lagged, (select unnest(range(1, {len(WIDE_SOURCES) + 1})) as s) where t + k <= len and v[s] is not null),
+  pair as (select a.product, a.c as c1, b.c as c2, abs(corr(a.x, b.x)) as r from cell a join cell b on a.product = b.product and a.t = b.t and a.c < b.c
+   group by 1, 2, 3 having count(*) > 1),
+  either as (select product, c1 as c, r from pair where isfinite(r) union all select product, c2, r from pair where isfinite(r)),
+  own as (select product, c, any_value({_NAMED}) as feature, count(*) as n from cell group by 1, 2)
+  select own.product, feature, any_value(n)::bigint as n, count(r)::bigint as partners, round(avg(r), 6) as mean_abs_corr, round(max(r), 6) as max_abs_corr
+  from own left join either on own.product = either.product and own.c = either.c group by own.product, feature""",
+)
+def agg12_wide(spark, sf):
+    """All pairs of 305 lag-bank columns of every product, reduced to a line a column."""
+    bank = win.lag_bank(t.weekly_model(spark, sf), [(c, c, "backward") for c in WIDE_SOURCES], WIDE_LAGS, ["product"], "date")
+    cols = [f"{c}_{k}" for c in WIDE_SOURCES for k in ["current", *(f"t{i}" for i in range(1, WIDE_LAGS + 1))]]
+    out = gram.correlation_profile(gram.gram_tiles(bank, ["product"], cols), ["product"], cols)
+    return out.withColumns({"mean_abs_corr": F.round("mean_abs_corr", 6), "max_abs_corr": F.round("max_abs_corr", 6)})
+
+
 CL = f"[{', '.join(f'coalesce({c},0)' for c in t.COMPETITORS)}]"
 
 

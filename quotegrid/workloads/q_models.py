@@ -9,6 +9,7 @@ from quotegrid.operators import bootstrap as bs
 from quotegrid.operators import moments as mo
 from quotegrid.operators import selection as sel
 from quotegrid.operators import stability as stb
+from quotegrid.operators import subsets as sub
 from quotegrid.operators.windows import decay_weight
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.registry import query
@@ -41,7 +42,7 @@ def candidates(spark, sf):
     f"with {CANDIDATES} select 'base + ' || array_to_string(items, ' + ') as model_id, (len(items) + 1)::integer as n_features from subs",
 )
 def mod01(spark, sf):
-    return sel.enumerate_subsets(candidates(spark, sf), "feature", ["base"], 3).select("model_id", "n_features")
+    return sub.enumerate_ranges(candidates(spark, sf), "feature", ["base"], 3).select("model_id", "n_features")
 
 
 @query(
@@ -82,7 +83,7 @@ FITS = f"{WMN}, fits as materialized ({_subset_sql('wn')})"
 
 def fits(spark, sf):
     wn = t.weekly_model(spark, sf).withColumn("qty", F.when(F.dayofmonth("date") > 7, F.col("qty")))
-    return mo.fit_with_nulls(wn, K, "y", t.FEATURES, MODELS)
+    return sub.fit_subsets(wn, K, "y", t.FEATURES, 2, per_range=4)
 
 
 @query(
@@ -123,7 +124,7 @@ _PAIRS = [(a, b) for a in t.FEATURES for b in t.FEATURES if a != b]
 def mod04(spark, sf):
     rows = mo.centre(weighted_rows(spark, sf).select("product", "w", *ORDER), K, ORDER)
     blocks = mo.weighted_blocks(rows, K, ORDER, weight="w")
-    return r6(mo.stepwise(blocks, K, ORDER, [[f] for f in t.FEATURES], 2), "aic")
+    return r6(sub.stepwise_sweeps(blocks, K, ORDER, [[f] for f in t.FEATURES], 2), "aic")
 
 
 ALPHAS = [0.1, 1.0, 10.0]
@@ -147,12 +148,60 @@ def _ridge_cv_sql(f: str) -> str:
   select product, model_id, best_alpha, {rnd('cv_mean', 'cv_mean')}, {rnd('cv_std', 'cv_std')} from cv""",
 )
 def mod05(spark, sf):
-    out = mo.ridge_cv(
-        t.weekly_model(spark, sf), K, "date", "y", ["own", "tax"], [("own", ["own"]), ("tax", ["tax"])], ALPHAS
-    )
+    out = sub.ridge_cv_subsets(t.weekly_model(spark, sf), K, "date", "y", ["own", "tax"], 1, ALPHAS)
     return r6(out.select("product", "model_id", "best_alpha", "cv_mean", "cv_std"), "cv_mean", "cv_std")
 
 
+PATH_ALPHAS = [round(10 ** (-2 + 5 * i / 49), 6) for i in range(50)]
+PATH_POOL = ["own", "comp", "tax"]
+
+
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    minors = [[row[:j] + row[j + 1 :] for row in m[1:]] for j in range(len(m))]
+    return "(" + "".join(f" {'-' if j % 2 else '+'} ({m[0][j]})*{_det(minors[j])}" for j in range(len(m))) + ")"
+
+
+def _ridge_path_sql(feats: list[str]) -> str:
+    """R2 of the held-out fold for every alpha, by Cramer's rule on the moments of the other folds."""
+    cols = [*PATH_POOL, "y"]
+    v = lambda s, a, b: f"{s}v_{a}_{b}" if cols.index(a) <= cols.index(b) else f"{s}v_{b}_{a}"
+    lhs = [[f"(n*{v('', a, b)}{' + alpha' if a == b else ''})" for b in feats] for a in feats]
+    rhs = [f"(n*{v('', a, 'y')})" for a in feats]
+    beta = [f"{_det([[rhs[i] if j == k else lhs[i][j] for j in range(len(feats))] for i in range(len(feats))])}/{_det(lhs)} as b{k}" for k in range(len(feats))]
+    fit = " - ".join(["m_y", *(f"b{k}*m_{f}" for k, f in enumerate(feats))])
+    bias = " - ".join(["tm_y", f"({fit})", *(f"b{k}*tm_{f}" for k, f in enumerate(feats))])
+    cross = " + ".join(f"2*b{k}*{v('t', f, 'y')}" for k, f in enumerate(feats))
+    square = " + ".join(f"b{i}*b{j}*{v('t', a, b)}" for i, a in enumerate(feats) for j, b in enumerate(feats))
+    return f"""select product, '{' + '.join(feats)}' as model_id, {len(feats)} as n_features, alpha, k,
+   1 - (tv_y_y - ({cross}) + ({square}) + power({bias}, 2))/tv_y_y as r2 from (select *, {', '.join(beta)} from cells)"""
+
+
+_PATH_SETS = [[f for j, f in enumerate(PATH_POOL) if n >> j & 1] for n in range(1, 8)]
+_OTHERS = [f"{m}_{x}" for m, xs in (("m", [*PATH_POOL, "y"]), ("v", [f"{a}_{b}" for i, a in enumerate([*PATH_POOL, 'y']) for b in [*PATH_POOL, 'y'][i:]])) for x in xs]
+
+
+@query(
+    "mod05_ridge_path_subsets",
+    f"""with {RN}, folds as (select *, case when rn - 1 < (len % 5) * (len // 5 + 1) then (rn - 1) // (len // 5 + 1)
+   else len % 5 + (rn - 1 - (len % 5) * (len // 5 + 1)) // (len // 5) end as fold from rows_),
+  train as (select f.product, f.k, {moments_sql([*PATH_POOL, 'y'])} from (select distinct product, fold as k from folds) f
+   join folds r on r.product = f.product and r.fold <> f.k group by 1, 2),
+  test as (select product, fold as k, {moments_sql([*PATH_POOL, 'y'])} from folds group by 1, 2),
+  cells as (select train.*, alpha, {', '.join(f'test.{c} as t{c}' for c in _OTHERS)} from train join test on train.product = test.product and train.k = test.k
+   cross join (select unnest([{', '.join(map(repr, PATH_ALPHAS))}]::double[]) as alpha)),
+  scored as ({' union all '.join(_ridge_path_sql(f) for f in _PATH_SETS)}),
+  path as (select product, model_id, n_features, alpha, avg(r2) as m, stddev_pop(r2) as sd from scored group by 1, 2, 3, 4)
+  select product, model_id, n_features, arg_max(alpha, (m, -alpha)) as best_alpha, round(max(m), 6) + 0.0 as cv_mean, round(arg_max(sd, (m, -alpha)), 6) + 0.0 as cv_std
+  from path group by 1, 2, 3""",
+)
+def mod05_path(spark, sf):
+    """50 alphas over all subsets of three features; (product, range of subsets) is dealt out."""
+    out = sub.ridge_cv_subsets(t.weekly_model(spark, sf), K, "date", "y", PATH_POOL, 3, PATH_ALPHAS, per_range=3)
+    return r6(out.select("product", "model_id", "n_features", "best_alpha", "cv_mean", "cv_std"), "cv_mean", "cv_std")
+
+
 @query(
     "mod06_non_negative_weighted_ridge",
     f"""with {WROWS}, g as (select product, m_y, m_own, m_comp, sw*v_own_own + 1 as a, sw*v_own_comp as c, sw*v_comp_comp + 1 as d,

@@ -11,6 +11,7 @@ from quotegrid.operators import bootstrap as bs
 from quotegrid.operators import diagnostics as dg
 from quotegrid.operators import forecast as fc
 from quotegrid.operators import moments as mo
+from quotegrid.operators import subsets as sub
 from quotegrid.operators import selection as sel
 from quotegrid.operators import stability as stb
 from quotegrid.operators.quantiles import ecdf_distance, exact_quantiles
@@ -58,8 +59,7 @@ def test_listwise_deletion_per_subset(panel):
     holed = df.withColumn("x2", F.when(F.col("t") % 5 != 0, F.col("x2"))).withColumn(
         "x3", F.when(F.col("t") % 7 != 0, F.col("x3")).otherwise(float("nan"))
     )
-    models = [("x1", ["x1"]), ("x2", ["x2"]), ("x2 + x3", ["x2", "x3"])]
-    for r in mo.fit_with_nulls(holed, ["k"], "y", FEATS, models).collect():
+    for r in sub.fit_subsets(holed, ["k"], "y", FEATS, 2, per_range=3).collect():
         z = arrays[r["k"]]
         t = np.arange(len(z))
         keep = np.ones(len(z), bool)
@@ -177,7 +177,7 @@ def test_rolling_origin_equals_refits(panel):
 
 def test_ridge_cv_equals_manual_folds(panel):
     df, arrays = panel
-    out = mo.ridge_cv(df, ["k"], "t", "y", FEATS, [("m", FEATS)], [0.1, 5.0], folds=4).collect()
+    out = sub.ridge_cv_subsets(df, ["k"], "t", "y", FEATS, 4, [0.1, 5.0], folds=4).where("n_features = 4").collect()
     for r in out:
         z = arrays[r["k"]]
         folds = np.array_split(np.arange(len(z)), 4)
