@@ -1,4 +1,4 @@
-"""Resampling: row draws as joins and aggregations, shared by all models.
+"""Resampling: row draws made in tasks, moment blocks shared by all models.
 
 Draws come from integer arithmetic on (slot, replicate), see ``exprs.with_draw``: a
 recomputed task repeats its draws exactly.
@@ -19,53 +19,8 @@ from quotegrid.operators.moments import _key_ddl, centre, parallelism, ridge_fit
 from quotegrid.operators.windows import numbered
 
 
-def _lengths(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.where(F.col("rn") == 1).select(*keys, F.col("n").cast("bigint").alias("__len"))
-
-
-def _ranges(replicated: DataFrame, keys: Sequence[str], slots: Column, step: int = 10_000) -> DataFrame:
-    """Adds ``__slot`` = 1..slots. Slots are made in ranges dealt out by (key, replicate, range), so one series uses
-    every task and no array holds more than ``step`` numbers."""
-    ranged = replicated.withColumn(
-        "__from", F.explode(F.sequence(F.lit(1).cast("bigint"), slots.cast("bigint"), F.lit(step).cast("bigint")))
-    ).repartition(parallelism(replicated), *keys, "replicate", "__from")
-    last = F.least(F.col("__from") + (step - 1), slots.cast("bigint"))
-    return ranged.withColumn("__slot", F.explode(F.sequence("__from", last))).drop("__from")
-
-
-def iid_counts(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
-    """How often each row number is drawn in each replicate: n draws out of n."""
-    slots = _lengths(rows, keys).select(
-        *keys, "__len", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    )
-    slots = _ranges(slots, keys, F.col("__len"))
-    slots = X.with_draw(slots, "__slot", "replicate", "__draw")
-    picked = F.col("__draw") % F.col("__len") + 1
-    return slots.groupBy(*keys, "replicate", picked.alias("rn")).agg(F.count(F.lit(1)).alias("__count"))
-
-
-def block_counts(
-    rows: DataFrame, keys: Sequence[str], replicates: int, sizes: Sequence[int], overlap: bool = True
-) -> DataFrame:
-    """Moving blocks: ceil(n/b) starts per replicate, cut at n rows."""
-    base = _lengths(rows, keys).select(
-        *keys,
-        "__len",
-        F.explode(F.array(*[F.lit(int(b)) for b in sizes])).alias("block_size"),
-    )
-    base = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    base = _ranges(base, [*keys, "block_size"], F.ceil(F.col("__len") / F.col("block_size")))
-    base = X.with_draw(base, "__slot", F.col("replicate") * 64 + F.col("block_size"), "__draw")
-    d, b = F.col("__draw"), F.col("block_size")
-    if overlap:
-        first = d % (F.col("__len") - b + 1) + 1
-    else:
-        first = (d % F.floor(F.col("__len") / b)) * b + 1
-    drawn = base.withColumn("__first", first).withColumn("__off", F.explode(F.sequence(F.lit(0), b - 1)))
-    kept = drawn.where((F.col("__slot") - 1) * b + F.col("__off") < F.col("__len"))
-    return kept.groupBy(*keys, "block_size", "replicate", (F.col("__first") + F.col("__off")).alias("rn")).agg(
-        F.count(F.lit(1)).alias("__count")
-    )
+#: numbers that a task draws at once, and replicates of one chunk at most
+DRAWN, CHUNK = 1 << 22, 125
 
 
 def replicate_blocks(
@@ -78,15 +33,66 @@ def replicate_blocks(
     block_sizes: Sequence[int] | None = None,
     overlap: bool = True,
 ) -> DataFrame:
-    """One moment block per (key, replicate[, block_size]), shared by every model."""
-    rows = numbered(df.select(*keys, order, *columns, *([weight] if weight else [])), keys, order)
-    rows = centre(rows, keys, list(columns))
-    if block_sizes is None:
-        counts, extra = iid_counts(rows, keys, replicates), ["replicate"]
-    else:
-        counts, extra = block_counts(rows, keys, replicates, block_sizes, overlap), ["block_size", "replicate"]
-    drawn = counts.join(rows.drop("n"), [*keys, "rn"])
-    return weighted_blocks(drawn, [*keys, *extra], columns, weight, "__count")
+    """One moment block per (key, replicate[, block_size]), shared by every model.
+
+    A series travels once for each chunk of replicates, not once for each: (key, block size, chunk) is dealt out, so one
+    series uses several tasks. A task makes the counts of its own replicates from their seeds and adds up rows as
+    they stream by; it holds ``DRAWN`` counts, so chunks of a longer series have fewer replicates.
+    """
+    cols, key_list = list(columns), list(keys)
+    rows = numbered(df.select(*keys, order, *cols, *([weight] if weight else [])), keys, order)
+    rows = centre(rows, keys, cols).drop(order)
+    sized = block_sizes is not None
+    each = F.greatest(F.lit(1), F.least(F.lit(CHUNK), F.floor(F.lit(DRAWN) / F.col("n")))).cast("int")
+    jobs = rows.withColumn("__size", F.explode(F.array(*[F.lit(int(b)) for b in (block_sizes if sized else [0])])))
+    jobs = jobs.withColumn("__each", each).withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(replicates) / F.col("__each")).cast("int") - 1))
+    )
+    names = [*keys, "__size", "__chunk"]
+    jobs = jobs.repartition(parallelism(df), *names).sortWithinPartitions(*names, "rn")
+    p = len(cols)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, counts, reps, sums, extra, middle = None, None, None, None, None, None
+
+        def blocks() -> pd.DataFrame:
+            n, sw = extra[:, 0], sums[:, 0]
+            mean = sums[:, 1 : p + 1] / sw[:, None]
+            cov = sums[:, p + 1 :].reshape(-1, p, p) / sw[:, None, None] - mean[:, :, None] * mean[:, None, :]
+            out = pd.DataFrame({"replicate": reps.astype("int32"), "n": n, "sw": sw, "slw": extra[:, 1]})
+            out["mean"], out["cov"] = list(mean + middle), list(cov.reshape(len(reps), -1))
+            for name, value in zip([*key_list, "block_size"], held[:-1]):
+                out[name] = value
+            return out[[*key_list, "block_size", "replicate", "n", "sw", "slw", "mean", "cov"]]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            groups = pd.Series(list(zip(*(batch[c] for c in names))))
+            cuts = np.flatnonzero(np.concatenate(([True], groups.iloc[1:].to_numpy() != groups.iloc[:-1].to_numpy(), [True])))
+            values = batch[cols].to_numpy(float)
+            w = batch[weight].to_numpy(float) if weight else np.ones(len(batch))
+            at = batch["rn"].to_numpy(dtype=np.int64) - 1
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                mine = tuple(None if v is None or v != v else v for v in groups.iloc[lo])
+                if mine != held:
+                    if held is not None:
+                        yield blocks()
+                    held, length, step = mine, int(batch["n"].iloc[lo]), int(batch["__each"].iloc[lo])
+                    reps = np.arange(mine[-1] * step + 1, min((mine[-1] + 1) * step, replicates) + 1)
+                    counts = block_draws(length, reps, int(mine[-2]), overlap) if sized else draw_counts(length, reps)
+                    sums, extra = np.zeros((len(reps), 1 + p + p * p)), np.zeros((len(reps), 2))
+                    middle = np.asarray(batch["__centre"].iloc[lo], float)
+                z, c = values[lo:hi], counts[:, at[lo:hi]]
+                products = np.concatenate((np.ones((hi - lo, 1)), z, (z[:, :, None] * z[:, None, :]).reshape(hi - lo, -1)), axis=1)
+                sums += (c * w[lo:hi]) @ products
+                extra += c @ np.column_stack((np.ones(hi - lo), np.log(w[lo:hi])))
+        if held is not None:
+            yield blocks()
+
+    ddl = "block_size int, replicate int, n double, sw double, slw double, mean array<double>, cov array<double>"
+    out = jobs.mapInPandas(run, _key_ddl(df, keys) + ddl)
+    return out if sized else out.drop("block_size")
 
 
 def poisson_blocks(
@@ -138,7 +144,7 @@ def packed_ridge_ensemble(
     """Bagged ridge for thousands of replicates of calendar-bounded series.
 
     A series of a few hundred weeks travels as one row to many tasks, each of which
-    draws its own range of replicates; the draws equal those of :func:`iid_counts`. Made for
+    draws its own range of replicates; the draws equal those of :func:`replicate_blocks`. Made for
     series that fit in a row: :func:`joined_ridge_ensemble` gives the same replicates for
     series of any length.
     """
@@ -180,16 +186,42 @@ def packed_ridge_ensemble(
     return jobs.mapInPandas(fit, _key_ddl(df, keys) + "replicate int, coef array<double>")
 
 
-def draw_counts(n: int, replicates: np.ndarray) -> np.ndarray:
-    """The draw recipe on arrays: counts[replicate, row]."""
+def _draw_parts(rows: np.ndarray, replicates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The draw recipe on arrays, [replicate, row]: both parts of ``exprs.with_draw``, draw = first x modulus + second."""
     m = X.DRAW_MODULUS
-    i = np.arange(1, n + 1, dtype=np.int64)[None, :]
-    r = replicates.astype(np.int64)[:, None]
+    i = rows.astype(np.int64)[None, :] % m
+    r = replicates.astype(np.int64)[:, None] % m
     x = (i * X.DRAW_ROW + r * X.DRAW_REPLICATE + X.DRAW_OFFSET) % m
     x = (x * x + i + 1) % m
     x = (x * X.DRAW_MIX + r * 7 + 3) % m
     x = (x * x + r + 1) % m
     y = (x * X.DRAW_ROW + i * 5 + r) % m
-    x = x * m + (y * y + x + 1) % m
-    rows = (x % n) + np.arange(len(replicates))[:, None] * n
+    return x, (y * y + x + 1) % m
+
+
+def draw_counts(n: int, replicates: np.ndarray) -> np.ndarray:
+    """counts[replicate, row] of n draws out of n rows."""
+    x, y = _draw_parts(np.arange(1, n + 1), replicates)
+    rows = ((x * X.DRAW_MODULUS + y) % n) + np.arange(len(replicates))[:, None] * n
+    return np.bincount(rows.ravel(), minlength=n * len(replicates)).reshape(len(replicates), n).astype(float)
+
+
+def block_draws(n: int, replicates: np.ndarray, size: int, overlap: bool = True) -> np.ndarray:
+    """counts[replicate, row] of moving (or disjoint) blocks of ``size`` rows: ceil(n / size) starts, cut at n rows.
+
+    Each block size and replicate has a seed of its own, made by a draw, so that no two sums of both can coincide.
+    """
+    x, y = _draw_parts(np.array([size]), replicates)
+    # the seed is the remainder of the first draw, of which the second draw reads no more
+    seeds = y[:, 0] % X.DRAW_MODULUS
+    blocks = -(-n // size)
+    x, y = _draw_parts(np.arange(1, blocks + 1), seeds)
+    draw = x * X.DRAW_MODULUS + y
+    first = draw % (n - size + 1) if overlap else (draw % (n // size)) * size
+    rows = (first[:, :, None] + np.arange(size)).reshape(len(replicates), -1)[:, :n] + np.arange(len(replicates))[:, None] * n
     return np.bincount(rows.ravel(), minlength=n * len(replicates)).reshape(len(replicates), n).astype(float)
+
+
+def poisson_counts(rows: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """counts[replicate, row] of Poisson(1) variables, as ``exprs.poisson_one`` makes them."""
+    return np.searchsorted(np.array(X.poisson_thresholds()), _draw_parts(rows, replicates)[0], side="right").astype(float)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.functions import grades
 from quotegrid.functions.exprs import col
-from quotegrid.functions.exprs import with_draw
-from quotegrid.operators.moments import centre, fit_models, moment_blocks, parallelism, prefix_blocks, ridge_fits, weighted_blocks
+from quotegrid.operators import bootstrap
+from quotegrid.operators.moments import _key_ddl, centre, fit_models, moment_blocks, parallelism, prefix_blocks, ridge_fits
 from quotegrid.operators.windows import numbered
 
 
@@ -107,36 +109,67 @@ def origin_ensemble(
     order: str,
     target: str,
     features: Sequence[str],
-    replicates: int,
+    replicates: int = 1000,
     alpha: float = 1.0,
     decay: float = 0.98,
     min_train: int = 30,
+    chunk: int = 125,
 ) -> DataFrame:
-    """Bootstrapped ridge forecast of every row with at least ``min_train`` earlier ones: keys, order, replicate,
+    """Poisson-bootstrapped ridge forecasts of every row with at least ``min_train`` earlier ones: keys, order, replicate,
     prediction.
 
-    Each replicate draws, with replacement, as many earlier rows as there are; weights decay towards the past. Draws
-    are made after a repartition by (key, origin, replicate), so one series uses every task, and meet the rows in a join.
+    In a replicate every row counts as often as a Poisson(1) variable of (row number, replicate) says, at all origins
+    alike, and weights decay towards the past. So an origin's sums are those of the origin before, decayed, plus one
+    row: a task carries the sums of one chunk of replicates along the series, and the cost is rows x replicates, not
+    origins x rows x replicates. (key, chunk) is dealt out, so one series uses several tasks; rows stream, so it may be of
+    any length. Without a single count an origin has no prediction in that replicate. Rows with a missing value are left out.
     """
-    cols = [*features, target]
-    rows = numbered(df.select(*keys, order, *cols), keys, order)
-    origins = rows.where(F.col("rn") > min_train).select(*keys, F.col("rn").cast("bigint").alias("__c"), order, F.array(*features).alias("__x"))
-    draws = (
-        origins.select(*keys, "__c", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-        .repartition(parallelism(df), *keys, "__c", "replicate")
-        .withColumn("__s", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__c") - 1)))
-    )
-    draws = with_draw(draws, "__s", F.col("replicate") * 4096 + F.col("__c"), "__u")
-    picked = F.col("__u") % (F.col("__c") - 1) + 1
-    counts = draws.groupBy(*keys, "__c", "replicate", picked.alias("rn")).agg(F.count(F.lit(1)).alias("__count"))
-    joined = counts.join(centre(rows.drop("n", order), keys, cols), [*keys, "rn"])
-    joined = joined.withColumn("__w", F.pow(F.lit(decay), (F.col("__c") - 1 - F.col("rn")).cast("double")))
-    ids = [*keys, "__c", "replicate"]
-    fits = ridge_fits(weighted_blocks(joined, ids, cols, "__w", "__count"), ids, cols, features, alpha)
-    value = F.col("coef")[0]
-    for i in range(len(features)):
-        value = value + F.col("coef")[i + 1] * F.col("__x")[i]
-    return fits.join(origins, [*keys, "__c"]).select(*keys, order, "replicate", value.alias("prediction"))
+    cols, key_list = [*features, target], list(keys)
+    # the mean of a column only moves the origin of its values, so that sums of products lose no digits
+    rows = centre(df.select(*keys, order, *cols).dropna(subset=cols), keys, cols)
+    chunks = -(-replicates // chunk)
+    names = [*keys, "__chunk"]
+    jobs = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    jobs = jobs.repartition(parallelism(df), *names).sortWithinPartitions(*names, order)
+    p = len(features)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, sums, seen, reps = None, None, 0, None
+        for batch in batches:
+            values = batch[cols].to_numpy(float)
+            out = []
+            for at, mine in enumerate(zip(*(batch[n] for n in names))):
+                mine = tuple(None if v is None or v != v else v for v in mine)
+                if mine != held:
+                    held, seen = mine, 0
+                    reps = np.arange(mine[-1] * chunk + 1, min((mine[-1] + 1) * chunk, replicates) + 1)
+                    sums = np.zeros((len(reps), p + 2, p + 2))
+                    middle = np.asarray(batch["__centre"].iloc[at], float)
+                z = np.concatenate(([1.0], values[at]))
+                if seen >= min_train:
+                    predicted = _ridge_prediction(sums, z[1 : p + 1], alpha)
+                    out.append((*mine[:-1], batch[order].iloc[at], reps[0], (predicted + middle[p]).tolist()))
+                seen += 1
+                sums = sums * decay + bootstrap.poisson_counts(np.array([seen]), reps)[:, :, None] * np.outer(z, z)
+            yield pd.DataFrame(out, columns=[*key_list, order, "__first", "predictions"])
+
+    types = dict(df.dtypes)
+    ddl = _key_ddl(df, keys) + f"`{order}` {types[order]}, __first int, predictions array<double>"
+    packed = jobs.mapInPandas(run, ddl).select(*keys, order, "__first", F.posexplode("predictions").alias("__at", "prediction"))
+    return packed.select(*keys, order, (F.col("__first") + F.col("__at")).alias("replicate"), "prediction").where(~F.isnan("prediction"))
+
+
+def _ridge_prediction(sums: np.ndarray, x: np.ndarray, alpha: float) -> np.ndarray:
+    """Ridge with a free intercept from sums of products of [1, features, target], at ``x``; one per replicate."""
+    p = len(x)
+    sw = sums[:, 0, 0]
+    with np.errstate(all="ignore"):
+        m = sums[:, 0, 1:] / sw[:, None]
+        cov = sums[:, 1:, 1:] - sw[:, None, None] * m[:, :, None] * m[:, None, :]
+    empty = sw <= 0
+    cov[empty], m[empty] = 0.0, np.nan
+    beta = np.linalg.solve(cov[:, :p, :p] + alpha * np.eye(p), cov[:, :p, p:])[:, :, 0]
+    return m[:, p] + ((x - m[:, :p]) * beta).sum(axis=1)
 
 
 def rolling_origin(

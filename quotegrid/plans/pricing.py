@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,15 +12,14 @@ from quotegrid.operators import bootstrap as bs
 from quotegrid.operators import moments as mo
 from quotegrid.operators import scenario as sc
 from quotegrid.operators.reshape import melt
-from quotegrid.operators.selection import is_lag_zero
+from quotegrid.operators.selection import LAG_ZERO_PATTERNS
 from quotegrid.operators.topk import latest_row
 from quotegrid.operators.windows import decay_weight
 
 
-def reject_lag_zero(spark, features: Sequence[str]) -> None:
+def reject_lag_zero(features: Sequence[str]) -> None:
     """Same-period competitor features are not allowed in a pricing model."""
-    names = spark.createDataFrame([(f,) for f in features], "feature string")
-    bad = [r["feature"] for r in names.where(is_lag_zero("feature")).collect()]
+    bad = [f for f in features if any(re.search(p, f.lower()) for p in LAG_ZERO_PATTERNS)]
     if bad:
         raise ValueError(f"same-period competitor features: {bad}")
 

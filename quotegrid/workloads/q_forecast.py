@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotegrid.functions import exprs as X
 from quotegrid.operators import bootstrap as bs
 from quotegrid.operators import diagnostics as dg
 from quotegrid.operators import forecast as fc
@@ -115,7 +116,7 @@ def mod21(spark, sf):
     return r6(r6(out, *cols), "r2_improvement_pct", decimals=4).select("product", *cols, "r2_improvement_pct", "model_outperforms")
 
 
-ENSEMBLE_B = 30
+ENSEMBLE_B = 1000
 ENS = f"""{RN}, {drawn_sql(ENSEMBLE_B)}, z as (select p.product, p.replicate, y, own, power(0.99, len - rows_.rn + 1) as w
     from picks p join rows_ on rows_.product = p.product and rows_.rn = p.rn),
   em as (select product, replicate, {weighted_moments_sql(['own', 'y'])} from z group by 1,2),
@@ -180,19 +181,20 @@ def mod24(spark, sf):
     return sc.scenario_intervals(scenario_facts(spark, sf), K, "dollars")
 
 
-CI_B = 8
+CI_B = 1000
+_POISSON = X.poisson_thresholds()
+#: forecasts of every origin and replicate from running sums; weights grow with the row instead of decaying, and are scaled back
+ORIGINS = f"""{RN}, reps as (select product, date, own, y, rn, r, {draw_sql('rn', 'r')} // {X.DRAW_MODULUS} as u from rows_, (select unnest(range(1, {CI_B + 1})) as r)),
+  counted as (select *, power(0.98, -rn) * case {' '.join(f'when u < {b} then {k}' for k, b in enumerate(_POISSON))} else {len(_POISSON)} end as w from reps),
+  sums as (select product, date, r, rn, own, y, {', '.join(f'sum({e}) over before as {n}' for n, e in (('sw', 'w'), ('sx', 'w*own'), ('sy', 'w*y'), ('sxx', 'w*own*own'), ('sxy', 'w*own*y')))}
+   from counted window before as (partition by product, r order by rn rows between unbounded preceding and 1 preceding)),
+  origin as (select product, date, r, own, y, sx/sw as mx, sy/sw as my, (sxy - sx*sy/sw)*power(0.98, rn - 1) as cxy, (sxx - sx*sx/sw)*power(0.98, rn - 1) as cxx from sums where rn > 30 and sw > 0),
+  p as (select product, date, r, exp(y) as actual, exp(my + cxy/(cxx + 1)*(own - mx)) as pred from origin)"""
 
 
 @query(
     "mod25_forecast_intervals",
-    f"""with {RN}, lens as (select product, max(rn) as len from rows_ group by 1), cut as (select product, len, unnest(range(31, len + 1)) as c from lens),
-  sl as (select product, c, r, unnest(range(1, c)) as s from cut, (select unnest(range(1, {CI_B + 1})) as r)),
-  pk as (select product, c, r, {draw_sql('s', '(r*4096 + c)')} % (c - 1) + 1 as rn from sl),
-  z as (select pk.product, c, r, own, y, power(0.98, c - 1 - rows_.rn) as w from pk join rows_ on rows_.product = pk.product and rows_.rn = pk.rn),
-  m as (select product, c, r, {weighted_moments_sql(['own', 'y'])} from z group by 1,2,3),
-  f as (select *, sw*v_own_y/(sw*v_own_own + 1) as b from m),
-  p as (select f.product, rows_.date, exp(m_y - b*m_own + b*rows_.own) as pred from f join rows_ on rows_.product = f.product and rows_.rn = f.c),
-  q as (select product, date, quantile_cont(pred, [0.025, 0.25, 0.5, 0.75, 0.975]) as q from p group by 1,2)
+    f"""with {ORIGINS}, q as (select product, date, quantile_cont(pred, [0.025, 0.25, 0.5, 0.75, 0.975]) as q from p group by 1,2)
   select product, date, {', '.join(f"round(q[{i + 1}], 6) as p{n}" for i, n in enumerate(['2_5', '25', '50', '75', '97_5']))} from q""",
 )
 def mod25(spark, sf):

@@ -241,18 +241,18 @@ def _two(df, *keys):
     )
 
 
-@query("mod07_bagged_ridge", _bagged_sql(25))
+@query("mod07_bagged_ridge", _bagged_sql(1000))
 def mod07(spark, sf):
     rows = weighted_rows(spark, sf, 0.99, 0).select("product", "date", "own", "y", "w")
-    blocks = bs.replicate_blocks(rows, K, "date", ["own", "y"], 25, weight="w")
+    blocks = bs.replicate_blocks(rows, K, "date", ["own", "y"], 1000, weight="w")
     return _two(mo.ridge_fits(blocks, ["product", "replicate"], ["own", "y"], ["own"], 1.0), "product", "replicate")
 
 
-@query("mod07_bagged_ridge_many_replicates", _bagged_sql(60))
+@query("mod07_bagged_ridge_many_replicates", _bagged_sql(1000))
 def mod07_packed(spark, sf):
     rows = weighted_rows(spark, sf, 0.99, 0).select("product", "date", "own", "y", "w")
     return _two(
-        bs.packed_ridge_ensemble(rows, K, "date", "y", ["own"], 60, 1.0, weight="w", chunk=16), "product", "replicate"
+        bs.packed_ridge_ensemble(rows, K, "date", "y", ["own"], 1000, 1.0, weight="w"), "product", "replicate"
     )
 
 
@@ -276,7 +276,7 @@ def mod07_poisson(spark, sf):
 
 # ---------------------------------------------------------------- bootstrap of OLS, shared by all models
 BOOT_MODELS = [("own", ["own"]), ("comp", ["comp"]), ("own + tax", ["own", "tax"])]
-B = 40
+B = 1000
 BCOLS = ["own", "comp", "tax", "y"]
 
 
@@ -323,10 +323,10 @@ def mod08(spark, sf):
 
 
 def block_sql(sizes: list[int], b: int, overlap: bool = True) -> str:
-    d = draw_sql("s", "(r*64 + b)")
+    d = draw_sql("s", "seed")
     first = f"{d} % (len - b + 1) + 1" if overlap else f"({d} % (len // b)) * b + 1"
     return f"""{RN}, lens as (select product, max(rn) as len from rows_ group by 1),
-bslots as (select product, len, b, r, unnest(range(1, cast(ceil(len/b) as bigint) + 1)) as s from lens, (select unnest({sizes}::bigint[]) as b), (select unnest(range(1, {b + 1})) as r)),
+bslots as (select product, len, b, r, {draw_sql('b', 'r')} % {X.DRAW_MODULUS} as seed, unnest(range(1, cast(ceil(len/b) as bigint) + 1)) as s from lens, (select unnest({sizes}::bigint[]) as b), (select unnest(range(1, {b + 1})) as r)),
 bfirst as (select *, {first} as f from bslots), boff as (select *, unnest(range(0, b)) as o from bfirst),
 bpick as (select product, b, r as replicate, f + o as rn from boff where (s-1)*b + o < len),
 bmom as (select p.product, p.b, p.replicate, {moments_sql(BCOLS)} from bpick p join rows_ on rows_.product = p.product and rows_.rn = p.rn group by 1,2,3),
@@ -342,18 +342,18 @@ def block_facts(spark, sf, sizes, b, overlap=True):
 
 @query(
     "mod09_block_bootstrap",
-    f"""with {block_sql([4], 20)} select product, model_id, replicate::integer as replicate, {rnd('aic', 'aic')}, {rnd('r2', 'r2')} from bfact""",
+    f"""with {block_sql([4], 1000)} select product, model_id, replicate::integer as replicate, {rnd('aic', 'aic')}, {rnd('r2', 'r2')} from bfact""",
 )
 def mod09(spark, sf):
-    return r6(block_facts(spark, sf, [4], 20).drop("block_size"), "aic", "r2")
+    return r6(block_facts(spark, sf, [4], 1000).drop("block_size"), "aic", "r2")
 
 
 @query(
     "mod09_block_bootstrap_disjoint",
-    f"""with {block_sql([6], 10, False)} select product, model_id, replicate::integer as replicate, {rnd('aic', 'aic')}, {rnd('r2', 'r2')} from bfact""",
+    f"""with {block_sql([6], 1000, False)} select product, model_id, replicate::integer as replicate, {rnd('aic', 'aic')}, {rnd('r2', 'r2')} from bfact""",
 )
 def mod09_disjoint(spark, sf):
-    return r6(block_facts(spark, sf, [6], 10, overlap=False).drop("block_size"), "aic", "r2")
+    return r6(block_facts(spark, sf, [6], 1000, overlap=False).drop("block_size"), "aic", "r2")
 
 
 BLOCK_SCORE = """case when aic_cv < 0.002 and r2_cv < 0.05 then 95 when aic_cv < 0.005 and r2_cv < 0.1 then 85
@@ -362,12 +362,12 @@ BLOCK_SCORE = """case when aic_cv < 0.002 and r2_cv < 0.05 then 95 when aic_cv <
 
 @query(
     "mod10_block_size_sensitivity",
-    f"""with {block_sql([2, 4, 6, 8], 10)}, cv as (select product, model_id, b, stddev_pop(aic)/abs(avg(aic)) as aic_cv, stddev_pop(r2)/abs(avg(r2)) as r2_cv
+    f"""with {block_sql([2, 4, 6, 8], 1000)}, cv as (select product, model_id, b, stddev_pop(aic)/abs(avg(aic)) as aic_cv, stddev_pop(r2)/abs(avg(r2)) as r2_cv
    from bfact group by 1,2,3), sc as (select *, {BLOCK_SCORE} as score from cv)
   select product, model_id, arg_max(b, (score, -b))::integer as block_size, max(score) as stability_score from sc group by 1,2""",
 )
 def mod10(spark, sf):
-    by_size = stb.block_stability(block_facts(spark, sf, [2, 4, 6, 8], 10), ["product", "model_id", "block_size"])
+    by_size = stb.block_stability(block_facts(spark, sf, [2, 4, 6, 8], 1000), ["product", "model_id", "block_size"])
     return stb.best_block_size(by_size, ["product", "model_id"])
 
 

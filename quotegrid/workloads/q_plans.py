@@ -111,7 +111,7 @@ def _orig_sql() -> str:
 
 @query(
     "plan_model_selection",
-    f"""with {block_sql([4], 20)}, om as (select product, {moments_sql(BCOLS)} from rows_ group by 1), og as ({_orig_sql()}),
+    f"""with {block_sql([4], 1000)}, om as (select product, {moments_sql(BCOLS)} from rows_ group by 1), og as ({_orig_sql()}),
   pk as (select *, row_number() over (partition by product order by not valid, aic, model_id) as k from og),
   cv as (select product, model_id, stddev_pop(aic)/abs(avg(aic)) as aic_cv, stddev_pop(r2)/abs(avg(r2)) as r2_cv from bfact group by 1,2)
   select pk.product, pk.model_id, {rnd('aic', 'aic')}, valid, case when not valid then 'no valid model; best converged one taken' end as note, {rnd('aic_cv', 'aic_cv')}, {BLOCK_SCORE} as stability_score
@@ -119,7 +119,7 @@ def _orig_sql() -> str:
 )
 def plan_model_selection(spark, sf):
     wm = t.weekly_model(spark, sf).select("product", "date", *BCOLS)
-    out = select_models(wm, RULES, K, "date", "y", ["own", "comp", "tax"], BOOT_MODELS, replicates=20, block_size=4)
+    out = select_models(wm, RULES, K, "date", "y", ["own", "comp", "tax"], BOOT_MODELS, replicates=1000, block_size=4)
     return r6(out.select("product", "model_id", "aic", "valid", "note", "aic_cv", "stability_score"), "aic", "aic_cv")
 
 

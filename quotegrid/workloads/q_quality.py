@@ -11,7 +11,7 @@ from quotegrid.operators import leakage as lk
 from quotegrid.operators import quality as dq
 from quotegrid.operators import windows as win
 from quotegrid.workloads import tables as t
-from quotegrid.workloads.q_forecast import CI_B, SPLIT, rolling_replicates, split
+from quotegrid.workloads.q_forecast import CI_B, ORIGINS, SPLIT, rolling_replicates, split
 from quotegrid.workloads.q_models import FITS, LONG, NAMED, RN, fits, named_coefficients, r6
 from quotegrid.workloads.q_scan_filter import weekly_sales
 from quotegrid.workloads.registry import query
@@ -355,12 +355,7 @@ def dq19(spark, sf):
 
 @query(
     "dq20_forecast_validity",
-    f"""with {RN}, lens as (select product, max(rn) as len from rows_ group by 1), cut as (select product, len, unnest(range(31, len + 1)) as c from lens),
-  sl as (select product, c, r, unnest(range(1, c)) as s from cut, (select unnest(range(1, {CI_B + 1})) as r)),
-  pk as (select product, c, r, {draw_sql('s', '(r*4096 + c)')} % (c - 1) + 1 as rn from sl),
-  z as (select pk.product, c, r, own, y, power(0.98, c - 1 - rows_.rn) as w from pk join rows_ on rows_.product = pk.product and rows_.rn = pk.rn),
-  m as (select product, c, r, {weighted_moments_sql(['own', 'y'])} from z group by 1,2,3), f as (select *, sw*v_own_y/(sw*v_own_own + 1) as b from m),
-  p as (select f.product, rows_.date, exp(rows_.y) as actual, exp(m_y - b*m_own + b*rows_.own) as pred from f join rows_ on rows_.product = f.product and rows_.rn = f.c)
+    f"""with {ORIGINS}
   select product, date, count(*) = {CI_B} as correct_size, bool_and(isfinite(pred)) as finite_predictions, bool_and(pred >= 0) as positive_predictions,
    bool_and(pred between actual/10 and actual*10) as reasonable_range, stddev_pop(pred)/abs(avg(pred)) >= 0.001 as sufficient_variance from p group by 1,2""",
 )

@@ -133,17 +133,37 @@ def test_ensemble_without_keys(panel):
     assert out.columns == ["replicate", "coef"] and out.count() == 4
 
 
-def test_draws_are_whole_and_reproducible(panel):
-    df, _ = panel
-    from quotegrid.operators.windows import numbered
+def test_draws_are_whole_and_reproducible(spark, panel):
+    reps = np.arange(1, 11)
+    for n in (90, 61, 5000):
+        assert (bs.draw_counts(n, reps).sum(axis=1) == n).all() and (bs.draw_counts(n, reps) == bs.draw_counts(n, reps)).all()
+        for size, overlap in ((4, True), (7, True), (6, False), (100, True) if n > 100 else (1, True)):
+            assert (bs.block_draws(n, reps, size, overlap).sum(axis=1) == n).all()
+    # the arrays repeat the column recipe
+    drawn = X.with_draw(spark.range(1, 91).withColumn("r", F.lit(7)), "id", "r", "u").select("id", "u", X.poisson_one("u").alias("c")).collect()
+    assert np.bincount([r["u"] % 90 for r in drawn], minlength=90).tolist() == bs.draw_counts(90, np.array([7]))[0].tolist()
+    assert [r["c"] for r in drawn] == bs.poisson_counts(np.arange(1, 91), np.array([7]))[0].tolist()
+
+
+def test_no_two_block_sizes_share_a_seed():
+    starts = lambda r, b: bs.block_draws(4000, np.array([r]), b)[0].tobytes()
+    assert len({starts(r, b) for r in range(1, 60) for b in (2, 64, 128)}) == 59 * 3
 
-    rows = numbered(df.select("k", "t"), ["k"], "t")
-    c = bs.iid_counts(rows, ["k"], 10).groupBy("k", "replicate").agg(F.sum("__count").alias("n")).collect()
-    assert {(r["k"], r["n"]) for r in c} == {("a", 90), ("b", 61)}
-    b = bs.block_counts(rows, ["k"], 10, [4, 7]).groupBy("k", "block_size", "replicate").agg(
-        F.sum("__count").alias("n"), F.min("rn").alias("lo"), F.max("rn").alias("hi")
-    ).collect()
-    assert len(b) == 40 and all(r["n"] == {"a": 90, "b": 61}[r["k"]] and 1 <= r["lo"] and r["hi"] <= r["n"] for r in b)
+
+def test_replicate_blocks_of_long_series_use_small_chunks(panel, monkeypatch):
+    df, arrays = panel
+    rows = df.withColumn("w", F.lit(0.5) + F.col("t") / 100)
+    whole = bs.replicate_blocks(rows, ["k"], "t", ["x1", "y"], 9, weight="w")
+    monkeypatch.setattr(bs, "DRAWN", 200)
+    small = bs.replicate_blocks(rows, ["k"], "t", ["x1", "y"], 9, weight="w")
+    by = lambda d: {(r["k"], r["replicate"]): (r["n"], r["sw"], r["slw"], *r["mean"], *r["cov"]) for r in d.collect()}
+    a, b = by(whole), by(small)
+    assert a.keys() == b.keys() and len(a) == 18 and all(np.allclose(a[k], b[k]) for k in a)
+    z = arrays["a"]
+    c = bs.draw_counts(90, np.array([3]))[0]
+    w = c * (0.5 + np.arange(90) / 100)
+    mean = np.average(z[:, [0, 4]], axis=0, weights=w)
+    assert np.allclose(a["a", 3][:5], [90, w.sum(), (c * np.log(0.5 + np.arange(90) / 100)).sum(), *mean])
 
 
 def test_poisson_counts_have_mean_and_variance_one(spark):
@@ -339,6 +359,38 @@ def test_bootstrapped_forecast_of_every_origin(spark):
     assert all(abs(r["prediction"] - (2.0 + 0.5 * (r["t"] % 7))) < 0.05 for r in got)
 
 
+def test_origin_ensemble_equals_fits_of_every_origin(panel):
+    df, arrays = panel
+    got = {(r["k"], r["t"], r["replicate"]): r["prediction"] for r in fc.origin_ensemble(df, ["k"], "t", "y", ["x1", "x2"], 7, 0.5, 0.9, 40, chunk=3).collect()}
+    assert len(got) == 7 * (90 - 40 + 61 - 40)
+    for k, z in arrays.items():
+        counts = bs.poisson_counts(np.arange(1, len(z) + 1), np.arange(1, 8))
+        for t in range(40, len(z), 9):
+            for r in range(7):
+                w = counts[r, :t] * 0.9 ** np.arange(t - 1, -1, -1)
+                x, y = z[:t, :2], z[:t, 4]
+                mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+                beta = np.linalg.solve((x - mx).T @ (w[:, None] * (x - mx)) + 0.5 * np.eye(2), (x - mx).T @ (w * (y - my)))
+                assert abs(got[k, t, r + 1] - (my + (z[t, :2] - mx) @ beta)) < 1e-8
+
+
+def test_carried_intervals_lie_near_drawn_ones(panel):
+    """Ends of 80 % intervals against ordinary draws with replacement, within their sampling error."""
+    df, arrays = panel
+    z, t = arrays["a"], 89
+    out = fc.origin_ensemble(df.where("k = 'a'"), ["k"], "t", "y", ["x1"], 2000, 0.01, 1.0, 60).where(F.col("t") == t)
+    ends = np.quantile([r["prediction"] for r in out.collect()], [0.1, 0.5, 0.9])
+    draw = np.random.default_rng(3)
+    drawn = []
+    for _ in range(2000):
+        at = draw.integers(0, t, t)
+        x, y = z[at, 0], z[at, 4]
+        b = ((x - x.mean()) * (y - y.mean())).sum() / (((x - x.mean()) ** 2).sum() + 0.01)
+        drawn.append(y.mean() + b * (z[t, 0] - x.mean()))
+    want = np.quantile(drawn, [0.1, 0.5, 0.9])
+    assert np.abs(ends - want).max() < 0.2 * (want[2] - want[0])
+
+
 def test_jaccard_by_join(spark):
     from quotegrid.operators import setops
 

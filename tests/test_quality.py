@@ -75,8 +75,8 @@ def test_leakage_gates(spark):
     r2 = spark.createDataFrame([("a", 0.1), ("b", 0.25), ("c", 0.5)], "k string, r2 double")
     assert {r["k"]: r["status"] for r in lk.r2_gate(r2, ["k"], "r2").collect()} == {"a": "PASS", "b": "WARN", "c": "HALT"}
     with pytest.raises(ValueError):
-        reject_lag_zero(spark, ["own_rate_t1", "C_lag_0"])
-    reject_lag_zero(spark, ["own_rate_t1", "competitor_weighted_t2"])
+        reject_lag_zero(["own_rate_t1", "C_lag_0"])
+    reject_lag_zero(["own_rate_t1", "competitor_weighted_t2"])
 
 
 def test_forecast_flags(spark):
