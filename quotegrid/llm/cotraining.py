@@ -222,33 +222,43 @@ def combined(fitted: Fitted, share_good: float) -> QualityModel:
 Quota = dict[tuple[int, int], int]  # (taker, label) -> how many
 
 
+CONFIDENT = pa.schema([("taker", pa.int32()), ("label", pa.int32()), ("strength", pa.float64()), ("key", pa.string())])
+SLICE = 256  # rows of a batch that are Python objects at a time
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(*(part.column(c).to_pylist() for c in columns))
+
+
 def _confident(fitted: Fitted, taken: Sequence[frozenset[str]], quota: Quota, sure: float):
     """The most confident rows of a task for each taker and label; equal rows once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], dict[str, float]] = {k: {} for k in quota}
 
         def first(found: dict[str, float], n: int) -> dict[str, float]:
             return dict(sorted(found.items(), key=lambda kv: (-kv[1], kv[0]))[:n])
 
-        for batch in batches:
-            for key, text, lang, source in zip(*(batch[c] for c in ("key", "text", "lang", "source"))):
-                if not text.strip():
+        for key, text, lang, source in _rows(batches, "key", "text", "lang", "source"):
+            if not text.strip():
+                continue
+            for view in (0, 1):
+                taker = 1 - view
+                if key in taken[taker]:
                     continue
-                for view in (0, 1):
-                    taker = 1 - view
-                    if key in taken[taker]:
-                        continue
-                    x = content_view(text) if view == 0 else metadata_view(text, lang, source)
-                    chance = chance_of(fitted, view, x)
-                    for label, strength in ((1, chance), (0, 1 - chance)):
-                        if strength >= sure:
-                            found = best[taker, label]
-                            found[key] = strength
-                            if len(found) > 4 * quota[taker, label]:
-                                best[taker, label] = first(found, quota[taker, label])
+                x = content_view(text) if view == 0 else metadata_view(text, lang, source)
+                chance = chance_of(fitted, view, x)
+                for label, strength in ((1, chance), (0, 1 - chance)):
+                    if strength >= sure:
+                        found = best[taker, label]
+                        found[key] = strength
+                        if len(found) > 4 * quota[taker, label]:
+                            best[taker, label] = first(found, quota[taker, label])
         rows = [(t, y, s, k) for (t, y), found in best.items() for k, s in first(found, quota[t, y]).items()]
-        yield pd.DataFrame(rows, columns=["taker", "label", "strength", "key"])
+        yield pa.RecordBatch.from_pylist([dict(zip(CONFIDENT.names, r)) for r in rows], schema=CONFIDENT)
 
     return run
 
@@ -304,7 +314,7 @@ def learn_quality(
     taken: list[frozenset[str]] = [frozenset(), frozenset()]
     fitted = _fits(taught)
     for _ in range(rounds):
-        found = stage(pool.mapInPandas(_confident(fitted, taken, quota, sure), "taker int, label int, strength double, key string"), "confident")
+        found = stage(pool.mapInArrow(_confident(fitted, taken, quota, sure), "taker int, label int, strength double, key string"), "confident")
         found = found.dropDuplicates(["taker", "label", "key"])
         top = [
             r
@@ -337,8 +347,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5,
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols = [batch.column(c).to_pylist() for c in ("text", "lang", "source")]
-                yield batch.filter(pa.array([model.score(*row)[2] >= threshold for row in zip(*cols)], pa.bool_()))
+                yield batch.filter(pa.array([model.score(*row)[2] >= threshold for row in _rows(iter([batch]), "text", "lang", "source")], pa.bool_()))
 
         return docs.mapInArrow(keep, docs.schema)
 
