@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from quotegrid.functions import distributions as D
 from quotegrid.functions.exprs import col
-from quotegrid.operators.subsets import enumerate_ranges
+from quotegrid.operators import ranged
+from quotegrid.operators.subsets import beside, enumerate_ranges
 from quotegrid.operators.windows import series_window
 
 
@@ -168,6 +169,9 @@ def compliance(strengths: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- multiple testing
 def _aic_gap(models: DataFrame, keys: Sequence[str], aic: str) -> DataFrame:
+    if not keys:
+        least = models.agg(F.min(aic).alias("__least"))
+        return beside(models, least, keys).withColumn("aic_diff", F.col(aic) - F.col("__least")).drop("__least")
     return models.withColumn("aic_diff", F.col(aic) - F.min(aic).over(series_window(keys)))
 
 
@@ -182,6 +186,10 @@ def benjamini_hochberg(models: DataFrame, aic: str = "aic", keys: Sequence[str]
     m = _aic_gap(models, keys, aic)
     p = F.greatest(F.lit(1e-16), F.least(F.lit(1.0), D.chi2_sf("aic_diff", 1)))
     m = m.withColumn("p_value", p)
+    if not keys:
+        # one long table of models: ranked by ranges, not in one task
+        m = ranged.step_up(m, "p_value", keys, tie, "fdr_corrected_p")
+        return m.withColumn("differs_from_best", F.col("fdr_corrected_p") <= alpha)
     asc = series_window(keys).orderBy("p_value", tie)
     n = F.count(F.lit(1)).over(series_window(keys))
     m = m.withColumn("__raw", F.col("p_value") * n / F.row_number().over(asc))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quotegrid.functions import exprs as X
 from quotegrid.operators import calendar as cal
 from quotegrid.operators import features as ft
+from quotegrid.operators import ranged
 from quotegrid.operators import rates as rt
 from quotegrid.operators import reshape as rsh
 from quotegrid.operators import setops as st
@@ -270,6 +271,83 @@ def _ranks(spark, sf):
     )
 
 
+# ---------------------------------------------------------------- one long series, without keys
+#: All orders as one series; a tenth of the prices is left out.
+ORDER_SERIES = """with os as (select o_orderkey, o_orderdate, o_totalprice as price, round(o_totalprice * 100)::bigint as cents,
+  case when o_orderkey % 10 <> 3 then round(o_totalprice * 100)::bigint end as holed from orders)"""
+LONG = "order by o_orderdate, o_orderkey"
+LONG_ORDER = ["o_orderdate", "o_orderkey"]
+
+
+def order_series(spark, sf):
+    price, cents = F.col("o_totalprice"), F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return t.table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderdate", price.alias("price"), cents.alias("cents"), F.when(F.col("o_orderkey") % 10 != 3, cents).alias("holed")
+    )
+
+
+def _whole_mean(total, n):
+    """Mean of whole cents without its fraction, which no order of summing changes."""
+    return F.call_function("div", total, n)
+
+
+@query(
+    "win04_long_series_frames",
+    f"""{ORDER_SERIES}, f as (select o_orderkey, (sum(holed) over ({LONG} rows between 12 preceding and current row) // count(holed) over ({LONG} rows between 12 preceding and current row))::bigint as m, stddev_samp(price) over ({LONG} rows between 12 preceding and current row) as sd,
+   count(price) over ({LONG} rows between 12 preceding and current row) as n, (sum(cents) over ({LONG} rows between 13 preceding and 12 following) // count(cents) over ({LONG} rows between 13 preceding and 12 following))::bigint as c from os)
+  select o_orderkey, m as trailing_mean, round(case when n = 13 then sd end, 3) as strict_std, c as centred_mean from f""",
+)
+def win04_long(spark, sf):
+    out = ranged.framed(
+        order_series(spark, sf),
+        {
+            "trailing_mean": lambda w: _whole_mean(F.sum("holed").over(w.rowsBetween(-12, 0)), F.count("holed").over(w.rowsBetween(-12, 0))),
+            "strict_std": lambda w: F.when(F.count("price").over(w.rowsBetween(-12, 0)) == 13, F.stddev_samp("price").over(w.rowsBetween(-12, 0))),
+            "centred_mean": lambda w: _whole_mean(F.sum("cents").over(w.rowsBetween(-13, 12)), F.count("cents").over(w.rowsBetween(-13, 12))),
+        },
+        [], LONG_ORDER, 13, 12, block=1000,
+    )
+    return rounded(out.select("o_orderkey", "trailing_mean", "strict_std", "centred_mean"), 3, "strict_std")
+
+
+@query(
+    "win05_long_series_running",
+    f"""{ORDER_SERIES} select o_orderkey, last_value(holed ignore nulls) over (w rows between unbounded preceding and current row) as filled,
+   (sum(cents) over (w rows between unbounded preceding and current row) // row_number() over w)::bigint as expanding_mean,
+   round(greatest(0.0, coalesce(max(price) over (w rows between unbounded preceding and 1 preceding), 0.0)) - price, 4) + 0.0 as drawdown
+  from os window w as ({LONG})""",
+)
+def win05_long(spark, sf):
+    rows = order_series(spark, sf)
+    both = ranged.running(rows, {"filled": ("last", "holed"), "__s": ("sum", "cents"), "__n": ("count", "cents")}, [], LONG_ORDER, block=1000)
+    out = ranged.drawdown(both, "price", [], LONG_ORDER, "drawdown", block=1000)
+    return out.select("o_orderkey", "filled", _whole_mean(F.col("__s"), F.col("__n")).alias("expanding_mean"), F.round("drawdown", 4).alias("drawdown"))
+
+
+@query(
+    "win16_long_series_streak",
+    f"""{ORDER_SERIES}, h as (select *, price > 100000 as hit, row_number() over ({LONG}) as rn from os), i as (select *, rn - row_number() over (partition by hit {LONG}) as isl from h),
+  r as (select hit, isl, count(*) as len from i group by 1, 2)
+  select sum(len)::bigint as n_rows, coalesce(sum(len) filter (where hit), 0)::bigint as n_hits, coalesce(max(len) filter (where hit), 0)::bigint as longest_streak,
+   round(coalesce(sum(len) filter (where hit), 0)::double / sum(len)::double * 100, 6) as hit_pct from r""",
+)
+def win16_long(spark, sf):
+    hits = order_series(spark, sf).withColumn("hit", F.col("price") > 100000)
+    return rounded(ranged.longest_streak(hits, "hit", [], LONG_ORDER, block=1000), 6, "hit_pct")
+
+
+@query(
+    "win17_long_series_rank",
+    f"""{ORDER_SERIES}, v as (select o_orderkey, floor(price / 1000) as level from os)
+  select o_orderkey, rank() over (order by level) + (count(*) over (partition by level) - 1) / 2 as ascending,
+   rank() over (order by level desc) + (count(*) over (partition by level) - 1) / 2 as descending from v""",
+)
+def win17_long(spark, sf):
+    rows = order_series(spark, sf).select("o_orderkey", F.floor(F.col("price") / 1000).alias("level"))
+    up = ranged.average_rank(rows, "level", out="ascending", block=100)
+    return ranged.average_rank(up, "level", descending=True, out="descending", block=100).drop("level")
+
+
 @query(
     "win18_directional_accuracy",
     f"""with {APE}, s as (select product, sign(sales - lag(sales) over ({OVER})) = sign(pred - lag(pred) over ({OVER})) as same from ape)
