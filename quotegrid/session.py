@@ -49,12 +49,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return target
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per context, so that their Python workers can import it.
+    """Prepares a session for Python stages: smaller batches, and this package on the executors (once per context).
 
-    The archive is made in a temporary folder of the driver and served by Spark; executors fetch it.
+    Rows may hold whole texts, so a batch of Spark's default size can take many megabytes in the JVM, in Arrow and in
+    Python at once; a session that sets its own size keeps it. The archive is made in a temporary folder of the driver and
+    served by Spark; executors fetch it.
     """
     context = spark.sparkContext
+    if not context.getConf().contains(ROWS_PER_BATCH) and spark.conf.get(ROWS_PER_BATCH) == "10000":
+        spark.conf.set(ROWS_PER_BATCH, "1000")
     if getattr(context, "_quotegrid_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
