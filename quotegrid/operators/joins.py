@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.functions.exprs import nan_to_null, quarter_label
+from quotegrid.operators import content
 from quotegrid.operators.calendar import fill_gaps
 from quotegrid.operators.windows import trailing_mean
 
@@ -72,10 +73,20 @@ def join_metrics(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
 
 
 def compare_tables(left: DataFrame, right: DataFrame, on: Sequence[str], columns: Sequence[str], tol: float) -> DataFrame:
-    """Per column: rows on one side only, largest absolute and relative difference, verdict. One pass."""
-    a = left.select(*on, *[nan_to_null(F.col(c).cast("double")).alias(f"__a_{c}") for c in columns], F.lit(1).alias("__a"))
-    b = right.select(*on, *[nan_to_null(F.col(c).cast("double")).alias(f"__b_{c}") for c in columns], F.lit(1).alias("__b"))
-    both = a.join(b, list(on), "full_outer")
+    """Per column: rows on one side only, largest absolute and relative difference, verdict. Missing keys meet missing keys.
+
+    Both tables are hashed by range of keys, and only ranges whose hashes differ are joined: equal tables cost two scans.
+    """
+    ids = [f"__k{i}" for i in range(len(on))]
+
+    def side(df: DataFrame) -> DataFrame:
+        values = [nan_to_null(F.col(c).cast("double")).alias(f"__v_{c}") for c in columns]
+        return df.select(*[F.col(k).alias(i) for k, i in zip(on, ids)], *values)
+
+    a, b = content.differing_rows(side(left), side(right), ids, [f"__v_{c}" for c in columns])
+    a = a.select(*ids, *[F.col(f"__v_{c}").alias(f"__a_{c}") for c in columns], F.lit(1).alias("__a"))
+    b = b.select(*[F.col(i).alias(f"{i}_") for i in ids], *[F.col(f"__v_{c}").alias(f"__b_{c}") for c in columns], F.lit(1).alias("__b"))
+    both = a.join(b, [F.col(i).eqNullSafe(F.col(f"{i}_")) for i in ids], "full_outer")
     aggs: list[Column] = [
         F.count(F.when(F.col("__b").isNull(), 1)).alias("only_left"),
         F.count(F.when(F.col("__a").isNull(), 1)).alias("only_right"),

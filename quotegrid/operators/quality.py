@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotegrid.functions.exprs import is_finite, ladder
+from quotegrid.operators import content
 from quotegrid.operators.quantiles import exact_quantiles
 from quotegrid.operators.setops import schema_difference
 
@@ -269,28 +270,35 @@ def schema_hash(schema: T.StructType, n_rows: int | None = None) -> str:
 
 
 def fingerprint(df: DataFrame, date_col: str | None = None) -> DataFrame:
-    """One row per column: type, nulls, bounds (inferred range rule), table size and date span."""
+    """One row per column: type, nulls and their share, nullability and bounds (inferred rules), beside the table's size, date
+    span, repeated rows, schema hash and content hash.
+
+    A column without a missing value is inferred to be required, a numeric one to stay within its bounds.
+    """
     nums = {f.name for f in df.schema.fields if is_numeric(f)}
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    aggs = [F.count(F.lit(1)).alias("__rows")]
     span = F.datediff(F.max(date_col), F.min(date_col)) if date_col else F.lit(None).cast("int")
     aggs.append(span.alias("date_range_days"))
     for c in df.columns:
         aggs.append(F.count(F.when(missing(df, c), 1)).alias(f"__n_{c}"))
         if c in nums:
             aggs += [F.min(c).cast("double").alias(f"__lo_{c}"), F.max(c).cast("double").alias(f"__hi_{c}")]
-    one = df.agg(*aggs)
+    one = df.agg(*aggs).crossJoin(content.content_hash(df))  # one row each
     null = F.lit(None).cast("double")
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
             F.lit(ty).alias("type"),
             F.col(f"__n_{c}").alias("n_null"),
+            F.when(F.col("__rows") > 0, F.col(f"__n_{c}") / F.col("__rows")).alias("null_share"),
+            ((F.col("__rows") > 0) & (F.col(f"__n_{c}") == 0)).alias("required"),
             (F.col(f"__lo_{c}") if c in nums else null).alias("min_value"),
             (F.col(f"__hi_{c}") if c in nums else null).alias("max_value"),
         )
         for c, ty in df.dtypes
     ]
-    return inline_rows(one, rows, ["n_rows", "date_range_days"]).withColumn("schema_hash", F.lit(schema_hash(df.schema)))
+    out = inline_rows(one, rows, ["n_rows", "n_duplicates", "date_range_days", "content_hash"])
+    return out.withColumn("schema_hash", F.lit(schema_hash(df.schema)))
 
 
 # Type changes that keep old readers working.
@@ -298,21 +306,28 @@ COMPATIBLE_TYPES = {("int", "bigint"), ("float", "double"), ("int", "double"), (
 
 
 def evolution(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Column, type and range changes between two fingerprints, with a breaking flag."""
-    a = before.select("column_name", F.col("type").alias("t0"), F.col("min_value").alias("lo0"), F.col("max_value").alias("hi0"))
-    b = after.select("column_name", F.col("type").alias("t1"), F.col("min_value").alias("lo1"), F.col("max_value").alias("hi1"))
-    j = a.join(b, "column_name", "full_outer")
+    """Column, type, nullability and range changes between two fingerprints, with a breaking flag.
+
+    A required column that may now be missing breaks readers, the opposite does not.
+    """
+    side = lambda df, n: df.select(
+        "column_name", *[F.col(c).alias(f"{short}{n}") for c, short in (("type", "t"), ("min_value", "lo"), ("max_value", "hi"), ("required", "r"))]
+    )
+    j = side(before, 0).join(side(after, 1), "column_name", "full_outer")
     ok = F.lit(False)
     for x, y in sorted(COMPATIBLE_TYPES):
         ok = ok | ((F.col("t0") == x) & (F.col("t1") == y))
     wider = (F.col("lo1") < F.col("lo0")) | (F.col("hi1") > F.col("hi0"))
+    loosened, tightened = F.col("r0") & ~F.col("r1"), ~F.col("r0") & F.col("r1")
     change = (
         F.when(F.col("t0").isNull(), "added")
         .when(F.col("t1").isNull(), "removed")
         .when(F.col("t0") != F.col("t1"), "retyped")
+        .when(loosened, "became_nullable")
+        .when(tightened, "became_required")
         .when(wider, "range_changed")
     )
-    breaking = F.when(F.col("t1").isNull(), True).when(F.col("t0") != F.col("t1"), ~ok).otherwise(False)
+    breaking = F.when(F.col("t1").isNull(), True).when(F.col("t0") != F.col("t1"), ~ok).otherwise(F.coalesce(loosened, F.lit(False)))
     return j.withColumn("change", change).withColumn("breaking", breaking).where(F.col("change").isNotNull()).select(
         "column_name", "change", F.col("t0").alias("type_before"), F.col("t1").alias("type_after"), "breaking"
     )
@@ -327,13 +342,13 @@ def compatibility(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def lineage_step(step: str, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Record of one transformation: sizes, column changes, schema hashes. Append it to a lineage table."""
+    """Record of one transformation: sizes, column changes, hashes of schema and content. Append it to a lineage table."""
     changes = schema_difference(before.sparkSession, before.schema, after.schema)
     kinds = changes.agg(
         *[F.count(F.when(F.col("change") == k, 1)).alias(f"n_{k}") for k in ("added", "removed", "retyped")]
     )
-    rows_in = before.agg(F.count(F.lit(1)).alias("rows_in"))
-    rows_out = after.agg(F.count(F.lit(1)).alias("rows_out"))
+    rows_in = content.content_hash(before).select(F.col("n_rows").alias("rows_in"), F.col("content_hash").alias("content_in"))
+    rows_out = content.content_hash(after).select(F.col("n_rows").alias("rows_out"), F.col("content_hash").alias("content_out"))
     return (
         rows_in.crossJoin(rows_out)
         .crossJoin(kinds)  # one row each
@@ -348,6 +363,8 @@ def lineage_step(step: str, before: DataFrame, after: DataFrame) -> DataFrame:
             "n_retyped",
             F.lit(schema_hash(before.schema)).alias("hash_in"),
             F.lit(schema_hash(after.schema)).alias("hash_out"),
+            "content_in",
+            "content_out",
         )
     )
 

@@ -9,13 +9,14 @@ from quotegrid.operators import forecast as fc
 from quotegrid.operators import joins as jon
 from quotegrid.operators import leakage as lk
 from quotegrid.operators import quality as dq
+from quotegrid.operators import validation_log as vlog
 from quotegrid.operators import windows as win
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.q_forecast import CI_B, ORIGINS, SPLIT, rolling_replicates, split
 from quotegrid.workloads.q_models import FITS, LONG, NAMED, RN, fits, named_coefficients, r6
 from quotegrid.workloads.q_scan_filter import weekly_sales
-from quotegrid.workloads.registry import query
-from quotegrid.workloads.sqltext import draw_sql, weighted_moments_sql
+from quotegrid.workloads.registry import query, scratch
+from quotegrid.workloads.sqltext import content_sql, draw_sql, schema_hash_sql
 from quotegrid.workloads.tables import xsum
 
 K = ["product"]
@@ -176,16 +177,26 @@ def dq07(spark, sf):
     return counts
 
 
+FINGER = {"o_custkey": "bigint", "date": "date", "o_totalprice": "double"}
+
+
 @query(
     "dq08_schema_fingerprint",
-    """with s as (select count(*) as n_rows, date_diff('day', min(cast(o_orderdate as date)), max(cast(o_orderdate as date)))::integer as date_range_days,
-   min(o_totalprice) as lo, max(o_totalprice) as hi, min(o_custkey)::double as lc, max(o_custkey)::double as hc from orders)
-  select n_rows, date_range_days, 'o_custkey' as column_name, 'bigint' as type, 0::bigint as n_null, lc as min_value, hc as max_value from s union all
-  select n_rows, date_range_days, 'date', 'date', 0, null, null from s union all select n_rows, date_range_days, 'o_totalprice', 'double', 0, lo, hi from s""",
+    f"""with o as (select o_custkey, cast(o_orderdate as date) as date, case when o_orderkey % 10 <> 3 then o_totalprice end as o_totalprice from orders
+   union all select o_custkey, cast(o_orderdate as date), null from orders where o_orderkey % 50 = 3),
+  {content_sql('h', 'o', FINGER)},
+  s as (select date_diff('day', min(date), max(date))::integer as date_range_days, count(*) filter (where o_totalprice is null) as nulls, count(*) as n,
+   min(o_totalprice) as lo, max(o_totalprice) as hi, min(o_custkey)::double as lc, max(o_custkey)::double as hc from o),
+  c as (select 'o_custkey' as column_name, 'bigint' as type, 0::bigint as n_null, lc as min_value, hc as max_value from s union all
+   select 'date', 'date', 0, null, null from s union all select 'o_totalprice', 'double', nulls, lo, hi from s)
+  select n_rows, n_duplicates, date_range_days, content_hash, column_name, type, n_null, round(n_null::double / n, 9) + 0.0 as null_share, n_null = 0 as required, min_value, max_value,
+   {schema_hash_sql(FINGER)} as schema_hash from c, s, h""",
 )
 def dq08(spark, sf):
-    o = t.table(spark, sf, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
-    return dq.fingerprint(o, "date").drop("schema_hash")
+    o = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
+    holed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 != 3, F.col("o_totalprice")))
+    again = o.where("o_orderkey % 50 = 3").withColumn("o_totalprice", F.lit(None).cast("double"))
+    return r6(dq.fingerprint(holed.union(again).drop("o_orderkey"), "date"), "null_share", decimals=9)
 
 
 @query(
@@ -204,15 +215,65 @@ def dq09(spark, sf):
     return dq.evolution(before, after).crossJoin(dq.compatibility(before, after))
 
 
+SCHEMAS = [
+    {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderstatus": "string"},
+    {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderstatus": "string"},
+    {"o_custkey": "double", "o_totalprice": "double", "o_orderstatus": "string", "product": "string"},
+]
+
+
+def _schema_log(spark, sf):
+    """Logs three versions of a table, the second one twice; the folder and the changes that each run found."""
+    o = t.table(spark, sf, "orders")
+    one = o.where("o_orderstatus = 'F'").select(*SCHEMAS[0])
+    two = o.select(*SCHEMAS[1]).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 != 3, F.col("o_totalprice")))
+    three = o.select(F.col("o_custkey").cast("double").alias("o_custkey"), "o_totalprice", "o_orderstatus", F.col("o_orderpriority").alias("product"))
+    path = scratch(spark, "schema-log")
+    found = {v: vlog.schema_version(df, path, "orders", v) for v, df in ((1, one), (2, three), (2, two), (3, three))}
+    return path, found
+
+
+@query(
+    "dq09_schema_history",
+    f"""with v1 as (select o_orderkey, o_custkey, o_totalprice, o_orderstatus from orders where o_orderstatus = 'F'),
+  v2 as (select o_orderkey, o_custkey, case when o_orderkey % 10 <> 3 then o_totalprice end as o_totalprice, o_orderstatus from orders),
+  v3 as (select o_custkey::double as o_custkey, o_totalprice, o_orderstatus, o_orderpriority as product from orders),
+  {content_sql('h1', 'v1', SCHEMAS[0])}, {content_sql('h2', 'v2', SCHEMAS[1])}, {content_sql('h3', 'v3', SCHEMAS[2])}
+  select 1::bigint as version, 4::bigint as n_columns, n_rows, n_duplicates, {schema_hash_sql(SCHEMAS[0])} as schema_hash, content_hash, null::double as compatibility from h1 union all
+  select 2, 4, n_rows, n_duplicates, {schema_hash_sql(SCHEMAS[1])}, content_hash, 1.0 from h2 union all
+  select 3, 4, n_rows, n_duplicates, {schema_hash_sql(SCHEMAS[2])}, content_hash, 0.6 from h3""",
+)
+def dq09_history(spark, sf):
+    path, _ = _schema_log(spark, sf)
+    return vlog.schema_history(spark, path, "orders")
+
+
+@query(
+    "dq09_schema_changes_by_version",
+    """with f as (select max(o_totalprice) as h1, min(o_totalprice) as l1, max(o_orderkey) as hk, min(o_orderkey) as lk, max(o_custkey) as hc, min(o_custkey) as lc from orders where o_orderstatus = 'F'),
+  a as (select max(o_orderkey) as hk, min(o_orderkey) as lk, max(o_custkey) as hc, min(o_custkey) as lc from orders)
+  select 2::bigint as version, 'o_totalprice' as column_name, 'became_nullable' as change, 'double' as type_before, 'double' as type_after, true as breaking
+  union all select 2, 'o_orderkey', 'range_changed', 'bigint', 'bigint', false from f, a where a.hk > f.hk or a.lk < f.lk
+  union all select 2, 'o_custkey', 'range_changed', 'bigint', 'bigint', false from f, a where a.hc > f.hc or a.lc < f.lc
+  union all select 3, 'o_orderkey', 'removed', 'bigint', null, true union all select 3, 'o_custkey', 'retyped', 'bigint', 'double', false
+  union all select 3, 'o_totalprice', 'became_required', 'double', 'double', false union all select 3, 'product', 'added', null, 'string', false""",
+)
+def dq09_changes(spark, sf):
+    _, found = _schema_log(spark, sf)
+    return found[2].withColumn("version", F.lit(2).cast("bigint")).unionByName(found[3].withColumn("version", F.lit(3).cast("bigint")))
+
+
 @query(
     "dq10_lineage_record",
-    f"""with {t.SALES}, d as (select product, date, sum(premium) from sales group by 1,2)
-  select 'daily' as step, (select count(*) from sales) as rows_in, (select count(*) from d) as rows_out, 6 as columns_in, 3 as columns_out,
-   1::bigint as n_added, 4::bigint as n_removed, 0::bigint as n_retyped""",
+    f"""with i as (select o_orderkey, o_custkey, cast(o_orderdate as date) as date from orders), d as (select o_custkey, date, count(*) as n from i group by 1,2),
+  {content_sql('hi', 'i', {'o_orderkey': 'bigint', 'o_custkey': 'bigint', 'date': 'date'})}, {content_sql('ho', 'd', {'o_custkey': 'bigint', 'date': 'date', 'n': 'bigint'})}
+  select 'daily' as step, hi.n_rows as rows_in, ho.n_rows as rows_out, 3 as columns_in, 3 as columns_out, 1::bigint as n_added, 1::bigint as n_removed, 0::bigint as n_retyped,
+   {schema_hash_sql({'o_orderkey': 'bigint', 'o_custkey': 'bigint', 'date': 'date'})} as hash_in, {schema_hash_sql({'o_custkey': 'bigint', 'date': 'date', 'n': 'bigint'})} as hash_out,
+   hi.content_hash as content_in, ho.content_hash as content_out from hi, ho""",
 )
 def dq10(spark, sf):
-    s = t.sales(spark, sf)
-    return dq.lineage_step("daily", s, cal.daily_total(s, "date", "premium", K, "sales")).drop("hash_in", "hash_out")
+    o = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
+    return dq.lineage_step("daily", o, o.groupBy("o_custkey", "date").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _metric_frames(spark, sf):
@@ -246,6 +307,33 @@ def dq12(spark, sf):
     return later.union(dq.checkpoint_status(None, rules).withColumn("run", F.lit("first")))
 
 
+LOG_ENDS = ["1996-12-31", "1998-12-31", "2003-12-31"]
+
+
+@query(
+    "dq12_validation_log",
+    f"""with {t.SALES}, e as (select unnest(range(1, 4)) as version, unnest([{', '.join(f"date '{d}'" for d in LOG_ENDS)}]) as until),
+  m as (select version, count(*) as n_rows, min(date) as lo, max(date) as hi, count(*) filter (where premium < 0) as a, count(*) filter (where status not in ('F', 'O')) as b
+   from e join sales on date <= until group by 1),
+  p as (select *, lag(n_rows) over (order by version) as pn, lag(lo) over (order by version) as plo, lag(hi) over (order by version) as phi from m),
+  g as (select *, (n_rows - pn)::double / pn * 100 as growth from p)
+  select version::bigint as version, n_rows, round(growth, 6) as growth_pct, (a > 0)::bigint as n_errors,
+   (b > 0)::bigint + case when pn is null then 0 else (growth < -5)::bigint + (growth > 20)::bigint + (abs(date_diff('day', plo, lo)) > 30)::bigint + (hi < phi)::bigint end as n_warnings,
+   case when a > 0 then 'FAILED' when pn is null then 'BASELINE' when (b > 0) or growth < -5 or growth > 20 or abs(date_diff('day', plo, lo)) > 30 or hi < phi then 'WARNINGS' else 'PASSED' end as status from g""",
+)
+def dq12_log(spark, sf):
+    """Three runs of a checkpoint over a growing table; the second failed first and is run again."""
+    s = t.sales(spark, sf)
+    rules = [dq.negative_values("premium"), dq.member("status", ["F", "O"])]
+    path = scratch(spark, "checkpoint-log")
+    vlog.checkpoint(s.where(F.col("date") <= LOG_ENDS[0]), "date", rules, path, "sales", 1)
+    vlog.checkpoint(s.where("false"), "date", rules, path, "sales", 2)
+    for version in (2, 3):
+        vlog.checkpoint(s.where(F.col("date") <= LOG_ENDS[version - 1]), "date", rules, path, "sales", version)
+    out = vlog.history(spark, path, "sales").select("version", "n_rows", "growth_pct", "n_errors", "n_warnings", "status")
+    return r6(out, "growth_pct")
+
+
 @query(
     "dq13_row_rules",
     """with j as (select o_totalprice, cast(o_orderdate as date) as a, cast(l_shipdate as date) as b, l_returnflag from lineitem join orders on l_orderkey = o_orderkey)

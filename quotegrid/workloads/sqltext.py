@@ -98,6 +98,21 @@ def t_critical_sql(v: str, z: float) -> str:
     return f"({z!r} + {g1!r}/{v} + {g2!r}/power({v},2) + {g3!r}/power({v},3) + {g4!r}/power({v},4))"
 
 
+def content_sql(name: str, source: str, columns: dict[str, str]) -> str:
+    """Table ``name`` with n_rows, n_duplicates and content_hash of a source; columns in order with their types."""
+    text = ", ".join(f"coalesce({c if ty not in ('double', 'float') else f'{c}::decimal(38,6)'}::varchar, chr(30))" for c, ty in columns.items())
+    half = lambda at: f"sum(('0x' || substr(d, {at}, 15))::bigint::hugeint * n)"
+    return f"""{name} as (select n_rows, n_rows - u as n_duplicates, substr(md5(n_rows || ':' || s1 || ':' || s16), 1, 16) as content_hash from (
+  select sum(n)::bigint as n_rows, count(*) as u, {half(1)} as s1, {half(16)} as s16 from (select md5(concat_ws(chr(31), {text})) as d, count(*) as n from {source} group by 1)))"""
+
+
+def schema_hash_sql(columns: dict[str, str]) -> str:
+    import json
+
+    body = {"columns": sorted(columns), "rows": None, "types": columns}
+    return f"substr(md5('{json.dumps(body, sort_keys=True)}'), 1, 12)"
+
+
 def rnd(expr: str, name: str, decimals: int = 6) -> str:
     """Rounded column without a signed zero."""
     return f"round({expr}, {decimals}) + 0.0 as {name}"
