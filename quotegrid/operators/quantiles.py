@@ -10,11 +10,14 @@ about ``4 / accuracy`` of a key's rows, however the values are distributed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quotegrid.operators.subsets import beside
+
 
 def _present(value: str) -> Column:
     """Missing values, NULL or NaN, take no part."""
@@ -59,7 +62,7 @@ def exact_quantiles(
         ]
     )
     # one row per key
-    bracketed = _beside(rows, stats.select(*keys, "__total", targets.alias("__t")), keys)
+    bracketed = beside(rows, stats.select(*keys, "__total", targets.alias("__t")), keys)
     # a row below a bracket only counts; partial sums leave one such row per task
     inside = bracketed.select(*keys, "__total", "__v", F.explode("__t").alias("t")).where(F.col("__v") <= F.col("t.hi"))
     counts = inside.groupBy(
@@ -76,67 +79,69 @@ def exact_quantiles(
     return found.groupBy(*keys, "q").agg((low + (high - low) * fraction).alias("value"))
 
 
-def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    # right has one row per key
-    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+def _slots(rows: DataFrame, cuts: str, buckets: int) -> DataFrame:
+    """Adds ``__slot``: how many of the ``buckets - 1`` ascending cut points lie below the value, by bisection."""
+    out = rows.withColumn("__slot", F.lit(0))
+    step = buckets // 2
+    while step:
+        # each step reads the one before twice, so it is a column of its own
+        out = out.withColumn(
+            "__slot", F.col("__slot") + F.when(F.element_at(cuts, F.col("__slot") + step) < F.col("__v"), step).otherwise(0)
+        )
+        step //= 2
+    return out
 
 
-def ecdf_distance(df: DataFrame, value: str, in_first: str, keys: Sequence[str] = (), buckets: int = 2048) -> DataFrame:
+def ecdf_distance(
+    df: DataFrame, value: str, in_first: str, keys: Sequence[str] = (), buckets: int = 256, leaf: int = 1 << 20
+) -> DataFrame:
     """Largest distance between the two empirical distributions of ``value`` per key, exact.
 
-    Columns ``distance``, ``n_first``, ``n_second``. A histogram (partial aggregate) gives
-    the distance at every bucket end and an upper bound inside the bucket; only buckets
-    whose bound exceeds the best end are opened, and each is ordered by itself. Buckets are
-    equally wide on a logarithmic scale around the median, in units of the spread of the middle
-    half, so outliers do not crowd the other values into one bucket.
+    Columns ``distance``, ``n_first``, ``n_second``. ``buckets`` (a power of two) buckets of about equal numbers of rows,
+    cut by a sketch of both samples, give the distance at every bucket's end and an upper bound inside. Only buckets whose
+    bound exceeds the best end are opened, and are cut again in the same way until a bucket holds about ``leaf`` rows; then
+    its values (repeated ones are one row) are put in order. Depths, not values, cut the buckets, so neither outliers nor
+    modes far apart crowd rows into one.
     """
+    if buckets & (buckets - 1) or buckets < 2:
+        raise ValueError("buckets must be a power of two")
     keys = list(keys)
     rows = df.where(_present(value)).select(
-        *keys, F.col(value).cast("double").alias("__v"), F.col(in_first).cast("int").alias("__a")
-    )
-    stats = rows.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"),
-        F.max("__v").alias("__hi"),
-        F.percentile_approx("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("__mid"),
-        F.sum("__a").alias("n_first"),
-        (F.count(F.lit(1)) - F.sum("__a")).alias("n_second"),
+        *keys, F.col(value).cast("double").alias("__v"), F.col(in_first).cast("int").alias("__a"), F.lit(0).cast("bigint").alias("__g")
     )
-    spread = F.col("__mid")[2] - F.col("__mid")[0]
-    span = F.col("__hi") - F.col("__lo")
-    unit = F.when(spread > 0, spread).when(span > 0, span).otherwise(1.0)
-
-    def scale(v: Column) -> Column:
-        # increasing, so the order inside and between buckets stays that of the values
-        d = (v - F.col("__mid")[1]) / F.col("__unit")
-        return F.signum(d) * F.log1p(F.abs(d))
-
-    stats = stats.withColumn("__unit", unit)
-    stats = stats.withColumns({"__first": scale(F.col("__lo")), "__last": scale(F.col("__hi"))})
-    width = (F.col("__last") - F.col("__first")) / buckets
-    slot = F.when(width <= 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1), F.floor((scale(F.col("__v")) - F.col("__first")) / F.nullif(width, F.lit(0.0))).cast("int"))
-    )
-    placed = _beside(rows, stats, keys).withColumn("__slot", slot)
-    totals = ["n_first", "n_second"]
-    counts = [F.sum("__a").alias("__ca"), (F.count(F.lit(1)) - F.sum("__a")).alias("__cb")]
+    n_first, n_second = F.sum("__a"), F.count(F.lit(1)) - F.sum("__a")
+    totals = rows.groupBy(*keys).agg(n_first.alias("n_first"), n_second.alias("n_second")).where("n_first is not null")
+    largest = totals.agg(F.max(F.col("n_first") + F.col("n_second"))).first()[0] or 0
+    levels = 1
+    while largest / buckets**levels > leaf:
+        levels += 1
+    groups, about = [*keys, "__g"], ["n_first", "n_second", "__sa", "__sb", "__best"]
+    zero = F.lit(0).cast("bigint")
+    known = totals.select(*keys, zero.alias("__g"), "n_first", "n_second", zero.alias("__sa"), zero.alias("__sb"), F.lit(-1.0).alias("__best"))
+    counts = [n_first.alias("__ca"), n_second.alias("__cb")]
     distance = lambda a, b: F.abs(a / F.col("n_first") - b / F.col("n_second"))
-    # counts stay integers until the end: the order of partial sums cannot change the result
-    hist = placed.groupBy(*keys, "__slot").agg(*counts, *[F.max(c).alias(c) for c in totals])
-    ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    # at most `buckets` rows per key
-    hist = hist.withColumns({"__ea": F.sum("__ca").over(ordered), "__eb": F.sum("__cb").over(ordered)})
-    hist = hist.withColumns({"__sa": F.col("__ea") - F.col("__ca"), "__sb": F.col("__eb") - F.col("__cb")})
-    hist = hist.withColumn("__best", F.max(distance(F.col("__ea"), F.col("__eb"))).over(whole))
-    bound = F.greatest(distance(F.col("__ea"), F.col("__sb")), distance(F.col("__sa"), F.col("__eb")))
-    opened = hist.where((bound > F.col("__best")) & (F.col("__ca") > 0) & (F.col("__cb") > 0))
-    opened = opened.select(*keys, "__slot", "__sa", "__sb")
-    leaf = placed.join(opened, [*keys, "__slot"]).groupBy(*keys, "__slot", "__sa", "__sb", *totals, "__v").agg(*counts)
-    inside = Window.partitionBy(*keys, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    fine = leaf.select(
-        *keys,
-        distance(F.col("__sa") + F.sum("__ca").over(inside), F.col("__sb") + F.sum("__cb").over(inside)).alias("__d"),
-    )
-    ends = hist.select(*keys, distance(F.col("__ea"), F.col("__eb")).alias("__d"))
-    top = ends.unionByName(fine).groupBy(*keys).agg(F.max("__d").alias("distance"))
-    return _beside(top, stats.select(*keys, *totals), keys)
+    probs = [i / buckets for i in range(1, buckets)]
+    found = []
+    for _ in range(levels):
+        cuts = rows.groupBy(*groups).agg(F.percentile_approx("__v", probs, F.lit(10 * buckets)).alias("__cuts"))
+        placed = _slots(beside(rows, cuts, groups), "__cuts", buckets).drop("__cuts")
+        # counts stay integers until the end: the order of partial sums cannot change the result
+        hist = beside(placed.groupBy(*groups, "__slot").agg(*counts), known, groups)
+        # at most ``buckets`` rows for each group
+        ordered = Window.partitionBy(*groups).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumns({"__ea": F.col("__sa") + F.sum("__ca").over(ordered), "__eb": F.col("__sb") + F.sum("__cb").over(ordered)})
+        hist = hist.withColumns({"__sa": F.col("__ea") - F.col("__ca"), "__sb": F.col("__eb") - F.col("__cb"), "__d": distance(F.col("__ea"), F.col("__eb"))})
+        whole = Window.partitionBy(*(keys or [F.lit(0)]))
+        hist = hist.withColumn("__best", F.greatest("__best", F.max("__d").over(whole)))
+        found.append(hist.select(*keys, "__d"))
+        bound = F.greatest(distance(F.col("__ea"), F.col("__sb")), distance(F.col("__sa"), F.col("__eb")))
+        opened = hist.where((bound > F.col("__best")) & (F.col("__ca") > 0) & (F.col("__cb") > 0)).select(*groups, "__slot", *about)
+        deeper = (F.col("__g") * buckets + F.col("__slot")).alias("__g")
+        rows = beside(placed, opened.select(*groups, "__slot"), [*groups, "__slot"]).select(*keys, "__v", "__a", deeper)
+        known = opened.select(*keys, deeper, *about)
+    values = beside(rows.groupBy(*groups, "__v").agg(*counts), known, groups)
+    inside = Window.partitionBy(*groups).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    fine = values.select(*keys, distance(F.col("__sa") + F.sum("__ca").over(inside), F.col("__sb") + F.sum("__cb").over(inside)).alias("__d"))
+    found.append(fine)
+    top = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.max("__d").alias("distance"))
+    return beside(top, totals, keys)

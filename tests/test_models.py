@@ -359,6 +359,37 @@ def test_bootstrapped_forecast_of_every_origin(spark):
     assert all(abs(r["prediction"] - (2.0 + 0.5 * (r["t"] % 7))) < 0.05 for r in got)
 
 
+def ks_brute(a, b):
+    at = np.unique(np.concatenate((a, b)))
+    return np.abs(np.searchsorted(np.sort(a), at, side="right") / len(a) - np.searchsorted(np.sort(b), at, side="right") / len(b)).max()
+
+
+@pytest.mark.parametrize("leaf", [5, 200, 1 << 20])
+def test_ecdf_distance_of_far_modes_and_ties(spark, leaf):
+    draw = np.random.default_rng(8)
+    a = np.concatenate((draw.standard_normal(1500), 1e9 + draw.standard_normal(1500) * 1e-3, np.full(400, 7.0)))
+    b = np.concatenate((draw.standard_normal(1500) + 0.1, 1e9 + draw.standard_normal(1500) * 1e-3 + 5e-4, np.full(300, 7.0)))
+    far = [("x", float(v), True) for v in a] + [("x", float(v), False) for v in b]
+    same = [("s", float(v), f) for v in a[:100] for f in (True, False)]
+    one = [(None, 1.0, True), (None, 2.0, False), ("t", 3.0, True), ("t", 3.0, False)]
+    df = spark.createDataFrame(far + same + one, "k string, v double, f boolean")
+    got = {r["k"]: r["distance"] for r in ecdf_distance(df, "v", "f", ["k"], 16, leaf).collect()}
+    assert abs(got["x"] - ks_brute(a, b)) < 1e-12 and got["s"] == 0 and got["t"] == 0 and got[None] == 1
+    whole = ecdf_distance(df.where("k = 'x'"), "v", "f", [], 64, leaf).first()
+    assert abs(whole["distance"] - ks_brute(a, b)) < 1e-12 and (whole["n_first"], whole["n_second"]) == (3400, 3300)
+
+
+def test_buckets_hold_a_bounded_share_of_far_modes(spark):
+    from quotegrid.operators.quantiles import _slots
+
+    draw = np.random.default_rng(4)
+    v = np.concatenate((draw.standard_normal(20_000), 1e9 + draw.standard_normal(20_000) * 1e-6))
+    rows = spark.createDataFrame([(float(x),) for x in v], "__v double")
+    cuts = rows.agg(F.percentile_approx("__v", [i / 64 for i in range(1, 64)], F.lit(640)).alias("cuts"))
+    sizes = [r["count"] for r in _slots(rows.crossJoin(F.broadcast(cuts)), "cuts", 64).groupBy("__slot").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 40_000 / 64 * 2
+
+
 def test_origin_ensemble_equals_fits_of_every_origin(panel):
     df, arrays = panel
     got = {(r["k"], r["t"], r["replicate"]): r["prediction"] for r in fc.origin_ensemble(df, ["k"], "t", "y", ["x1", "x2"], 7, 0.5, 0.9, 40, chunk=3).collect()}
