@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- stage tables
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only where the session names none, the context's own checkpoint
-    folder, or a temporary one that is set here."""
+    """Folder named by ``spark.checkpoint.dir``, else the context's own checkpoint folder. Only a session whose
+    executors live in this process may go without: a temporary one is set for it here."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
         if not context.getCheckpointDir():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("the session names no spark.checkpoint.dir, a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quotegrid-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -37,6 +40,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the names in use."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,15 +5,16 @@ its check (parts up to 255, Luhn, number of digits) is dropped. The expressions
 them quadratic: runs are possessive and start only where a run starts.
 
 Bootstrapping: the two words before a span are its lexical pattern. Patterns and instances (the found strings, and
-other tokens with digits or ``@``) form a graph with occurrence counts. Seeds are the base spans. In each round a
+other tokens with digits or ``@``, and runs of digit groups joined by single spaces) form a graph with occurrence counts. Seeds are the base spans. In each round a
 pattern's confidence is the share of its occurrences whose instance is believed, an instance's belief is the noisy-or
 of the confident patterns it occurs with. Tokens that a confident pattern precedes, that are believed and have the
 shape of the pattern's kind become added spans of that kind. Edges are counted before anything is joined, every round
 is a written table.
 
 Text positions are code points, end exclusive. Defined cases: a null text is empty; contexts of fewer than two words are as long as they are, an empty
-context is no pattern; contexts of more than 80 characters are no pattern; added spans never overlap base spans; rows
-that repeat id and text get the same spans; an empty table gives an empty result.
+context is no pattern; long contexts are compared by their hash; very long texts are read whole; added spans never overlap base spans; rows
+that repeat id and text get the same spans; an empty table gives an empty result; other columns stay as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -39,8 +40,13 @@ HINT = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13}",
     "phone": r"\+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"  # white-space delimited, with a digit or @
-CONTEXT_LIMIT = 80
+_GROUP = r"(?=[,;:!?]*+(?:\s|\z))"  # a digit group ends where its white-space delimited word does, but for punctuation
+# digit groups joined by single spaces, or what white space delimits that has a digit or @
+TOKEN = (
+    rf"(?<!\S)(?:[()./+-]*+[0-9][0-9()./+-]*+{_GROUP}(?:\x20[()./+-]*+[0-9][()./-]*+[0-9][0-9()./-]*+{_GROUP})++[,;:!?]*+"
+    r"|[^\s0-9@]*+[0-9@]\S*+)"
+)
+LONG_CONTEXT = 80  # characters from which on a context goes by its hash
 
 
 def _digits(c: Column) -> Column:
@@ -82,7 +88,8 @@ MATCH = "array<struct<start:bigint,stop:bigint,found:string,context:string>>"
 def _context(before: Column) -> Column:
     """The last two words, A-Z lower-cased."""
     flat = F.rtrim(F.translate(before, "\n\t\r", "   "))
-    return F.lower(F.ltrim(F.substring_index(flat, " ", -2)))
+    words = F.lower(F.ltrim(F.substring_index(flat, " ", -2)))
+    return F.when(F.length(words) <= LONG_CONTEXT, words).otherwise(F.sha2(words, 256))
 
 
 CHUNK = 1000  # matches placed at a time: positions take time in proportion to the matches, not to their square
@@ -117,10 +124,13 @@ def _matches(found: Column, between: Column) -> Column:
         F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), F.array().cast(f"array<{PLACES}>"), place_chunk
     )
     places = F.flatten(F.transform(chunks, lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))))
+    part = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    # two words before a match may reach into the two matches before it
+    before = lambda i: F.concat(part(found, i - 2), part(between, i - 1), part(found, i - 1), part(between, i))
     out = F.transform(
         places,
         lambda p, i: F.struct(
-            p["start"].alias("start"), p["stop"].alias("stop"), F.get(found, i).alias("found"), _context(F.get(between, i)).alias("context")
+            p["start"].alias("start"), p["stop"].alias("stop"), F.get(found, i).alias("found"), _context(before(i)).alias("context")
         ),
     )
     return F.when(F.size(found) > 0, out).otherwise(F.array().cast(MATCH))
@@ -164,7 +174,7 @@ def occurrences(spans: DataFrame) -> DataFrame:
     Punctuation around a token is not part of it. Tokens that overlap a base span are left out.
     """
     seeds = F.concat(*[_tagged(k) for k in KINDS])
-    lead = r"^[^\p{L}\p{N}+]*"
+    lead = r"^(?:(?!\([0-9]{1,9}\))[^\p{L}\p{N}+])*+"  # a bracket around an area code stays
     core = lambda s: F.regexp_replace(F.regexp_replace(s, lead, ""), r"[^\p{L}\p{N}]+\z", "")
 
     def trimmed(m: Column) -> Column:
@@ -183,7 +193,7 @@ def occurrences(spans: DataFrame) -> DataFrame:
         spans.withColumn("seeds", seeds)
         .select("doc_id", "text_hash", F.explode(F.concat("seeds", other)).alias("o"))
         .select("doc_id", "text_hash", "o.start", "o.stop", F.lower("o.found").alias("instance"), "o.context", "o.kind")
-        .where((F.col("context") != "") & (F.length("context") <= CONTEXT_LIMIT))
+        .where(F.col("context") != "")
     )
 
 
@@ -290,7 +300,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
         .where(F.size("__spans") > 0)
         .dropDuplicates(["__id", "__hash"])
     )
-    text = F.col(text_col)
+    # the row is one column, so that its names cannot clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc").getField(text_col)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     masked = F.aggregate(
         "__spans",
@@ -307,9 +319,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
         ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = docs.join(
-        found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("__hash")), "left"
+    joined = packed.join(
+        found,
+        F.col("doc").getField(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("__hash")),
+        "left",
     )
     return joined.select(
-        *[F.when(F.col("__spans").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+        *[F.when(F.col("__spans").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns]
     )

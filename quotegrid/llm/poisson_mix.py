@@ -11,9 +11,9 @@ their size was counted (``max_broadcast_values``); beyond that the join shuffles
 
 Defined cases: a null source is a source of its own; sources that ``weights`` does not name have ``default_weight``;
 weight 0 drops a source; a source without a single character keeps each document once; where an id is null or repeated,
-the draw is made from the id and a hash of all columns, so documents that share an id are drawn one by one and only rows
-equal in every column share a draw; equal rows without id are numbered and drawn one by one, too; an empty table gives an
-empty result; columns are passed on as they are, so names that clash with the two added ones are refused.
+the draw is made from the id, a hash of all columns and the row's number among equal ones, so every row is drawn by
+itself; an empty table gives an empty result; columns are passed on as they are, and where one has the name of an
+added column, that one gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotegrid.llm.common import stage
+from quotegrid.llm.common import free_name, stage
 
 HEX_DIGITS = 13
 CHUNK = 1000
@@ -95,28 +95,28 @@ def distributions(rates: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` and __key, which tells its documents apart: the id, and more where it is null or repeated."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    name = F.col(id_col).cast("string")
+    """``doc`` (all columns of a row, so that no name can clash) and ``key``, which tells rows apart: the id, and where
+    it is null or repeated a hash of the row and the row's number among equal ones."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("doc"), F.col(f"`{id_col}`").cast("string").alias("id"))
     exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    whole = F.md5(F.to_json(F.struct(*names), exact))
-    repeated = docs.where(name.isNotNull()).groupBy(name.alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1")
-    repeated = stage(repeated.select("__id"), "repeated")
-    named = docs.where(name.isNotNull()).join(repeated, name == F.col("__id"), "left")
-    named = named.withColumn("__key", F.when(F.col("__id").isNull(), name).otherwise(F.concat_ws(":", name, whole)))
-    # equal rows without id: one row and its number, dealt out in chunks before it is repeated
-    last = F.col("__n") - 1
-    loose = (
-        docs.where(name.isNull())
-        .groupBy(*names)
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK))))
-        .withColumn("__hash", whole)
-        .repartition("__hash", "__chunk")
-        .withColumn("__k", F.explode(F.sequence(F.col("__chunk") * CHUNK, F.least(last, F.col("__chunk") * CHUNK + (CHUNK - 1)))))
-        .withColumn("__key", F.concat_ws(":", F.lit(""), "__hash", F.col("__k").cast("string")))
+    named = packed.where("id is not null")
+    counts = docs.select(F.col(f"`{id_col}`").cast("string").alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
+    repeated = stage(counts.where("n > 1").select("id"), "repeated")
+    own = named.join(repeated, "id", "left_anti").select("doc", F.col("id").alias("key"))
+    # equal rows: one row and its number, dealt out in chunks before it is repeated
+    last = F.col("n") - 1
+    others = (
+        named.join(repeated, "id", "left_semi").select("doc", "id").unionByName(packed.where("id is null").select("doc", "id"))
+        .groupBy("id", "doc")
+        .agg(F.count("*").alias("n"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK))))
+        .withColumn("hash", F.md5(F.to_json("doc", exact)))
+        .repartition("hash", "chunk")
+        .withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(last, F.col("chunk") * CHUNK + (CHUNK - 1)))))
+        .select("doc", F.concat_ws(":", F.coalesce("id", F.lit("")), "hash", F.col("k").cast("string")).alias("key"))
     )
-    return named.select(*names, "__key").unionByName(loose.select(*names, "__key"))
+    return own.unionByName(others)
 
 
 def mix(
@@ -130,33 +130,40 @@ def mix(
     text_col: str = "text",
     max_broadcast_values: int = 1_000_000,
 ) -> DataFrame:
-    """All columns of ``docs`` plus copy (from 0) and shuffle_key, one row per copy."""
-    clash = {"copy", "shuffle_key"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    """All columns of ``docs`` plus copy (from 0) and shuffle_key, one row per copy.
+
+    Where ``docs`` has columns of these names, the added ones get underscores behind theirs.
+    """
+    copy_name = free_name("copy", docs.columns)
+    key_name = free_name("shuffle_key", [*docs.columns, copy_name])
     rates = stage(source_rates(docs, weights, default_weight, epochs, source_col, text_col), "rates")
     tables = stage(_with_tables(rates), "poisson")
     values = tables.agg(F.coalesce(F.sum(F.size("cdf") + 4), F.lit(0))).first()[0]
-    lookup = tables.select(F.col("source").alias("__source"), F.struct("rate", "least", "cdf").alias("__t"))
+    lookup = tables.select("source", F.struct("rate", "least", "cdf").alias("t"))
     if values <= max_broadcast_values:
         lookup = F.broadcast(lookup)
-    key = F.col("__key")
+    key = F.col("key")
     u = _uniform_digits(F.lit(seed), key) / F.lit(float(16**HEX_DIGITS))
-    drawn = _keyed(docs, id_col).join(lookup, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
+    keyed = _keyed(docs, id_col)
+    drawn = keyed.join(lookup, F.col("doc").getField(source_col).cast("string").eqNullSafe(F.col("source")), "left")
     count = (
-        F.when(F.col("__t.rate").isNull(), F.lit(1).cast("bigint"))
-        .when(F.col("__t.rate") == 0, F.lit(0).cast("bigint"))
-        .otherwise(F.col("__t.least") + F.size(F.filter("__t.cdf", lambda c: c <= F.col("__u"))))
+        F.when(F.col("t.rate").isNull(), F.lit(1).cast("bigint"))
+        .when(F.col("t.rate") == 0, F.lit(0).cast("bigint"))
+        .otherwise(F.col("t.least") + F.size(F.filter("t.cdf", lambda c: c <= F.col("u"))))
     )
     copies = (
-        drawn.withColumn("__u", u)
-        .withColumn("__n", count)
-        .where("__n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+        drawn.withColumn("u", u)
+        .withColumn("n", count)
+        .where("n > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
         .withColumn("shuffle_key", _uniform_digits(F.lit(seed), key, F.col("copy").cast("string")))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "shuffle_key")
+        .select("doc", "copy", "shuffle_key")
+        .repartition("shuffle_key")
+        .sortWithinPartitions("shuffle_key", "copy")
+    )
+    return copies.select(
+        *[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("copy").alias(copy_name), F.col("shuffle_key").alias(key_name)
     )
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 
 
 def _with_tables(rates: DataFrame) -> DataFrame:
