@@ -186,6 +186,45 @@ def test_language_of_held_out_documents(spark, sf):
     assert r[1] > 20 and r[0] >= 0.95
 
 
+def plain_model(docs, buckets, smoothing=0.5):
+    """The same weights from a dense matrix of counts."""
+    counts = {}
+    for text, lang in docs:
+        raw = lang_ecoc.letter_bytes(text)
+        if lang is not None and raw is not None:
+            counts[lang] = counts.get(lang, np.zeros(buckets)) + common.gram_counts(raw, lang_ecoc.ORDERS, buckets)
+    languages = sorted(counts)
+    c = np.array([counts[x] for x in languages])
+    share = (c + smoothing) / (c.sum(axis=1, keepdims=True) + smoothing * buckets)
+    code = lang_ecoc.codewords(len(languages))
+    one = np.array([share[code[:, k] == 1].mean(axis=0) for k in range(code.shape[1])]).T
+    zero = np.array([share[code[:, k] == -1].mean(axis=0) for k in range(code.shape[1])]).T
+    weights = np.log(one / zero)
+    apart = ((one - zero) * weights).sum(axis=0)
+    return lang_ecoc.LanguageModel(languages, code, weights, apart / apart.sum(), 4 / np.abs(share @ weights).mean())
+
+
+@pytest.mark.parametrize("languages", [4, 9])
+def test_language_model_equals_dense_counts(spark, sf, languages, monkeypatch):
+    monkeypatch.setattr(lang_ecoc, "HELD", 2)
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang").collect()]
+    if languages > 4:
+        docs = [(t, f"{lang}{i % 3}" if lang in ("en", "de") else lang) for i, (t, lang) in enumerate(docs)] + [("tiny xyz", "zz")]
+    model, want = lang_ecoc.learn(spark.createDataFrame(docs, "text string, lang string")), plain_model(docs, lang_ecoc.BUCKETS)
+    assert model.languages == want.languages and (model.code == want.code).all()
+    assert np.allclose(model.weights, want.weights, atol=1e-5) and np.allclose(model.reliability, want.reliability) and math.isclose(model.scale, want.scale, rel_tol=1e-9)
+    for text, _ in docs[:60]:
+        a, b = model.predict(text, 0.2), want.predict(text, 0.2)
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-4
+
+
+def test_too_many_languages_are_counted_before_they_are_fetched(spark):
+    docs = spark.range(400).select(F.format_string("some words %d", "id").alias("text"), F.format_string("lang %d", "id").alias("lang"))
+    with pytest.raises(ValueError, match="400 languages"):
+        lang_ecoc.learn(docs, max_languages=399)
+    assert len(lang_ecoc.learn(docs, buckets=256).languages) == 400
+
+
 def test_language_of_odd_rows(spark, odd, nothing):
     model = lang_ecoc.learn(odd.unionByName(odd.limit(0)))
     assert model.languages == ["de", "en"]
