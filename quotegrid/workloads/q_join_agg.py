@@ -72,17 +72,22 @@ def jon03(spark, sf):
     return jon.inner_join_distinct(r4(day_sales(spark, sf), "sales"), r, ["date"]).withColumn("rate", F.round("rate", 8))
 
 
+def _weights_with_a_gap(spark, sf):
+    """All quarters; the earlier ones have no weight."""
+    w = weights_wide(spark, sf)
+    return w.withColumns({c: F.when(F.col("current_quarter") >= "1997", F.col(c)) for c in w.columns if c != "current_quarter"})
+
+
 @query(
     "jon04_quarter_weights_left",
     f"""with {t.RATE_WIDE}, {WEIGHTS_WIDE.split(',', 1)[1].split('wq as', 1)[1].join(['wq as', ''])}
   select date, year(date)::varchar || '_Q' || quarter(date)::varchar as current_quarter,
   round(NATION_9, 8) as rate, round(NATION_9_weight, 8) as weight from rwide
-  left join (select * from wwide where current_quarter >= '1997') w
+  left join (select current_quarter, case when current_quarter >= '1997' then NATION_9_weight end as NATION_9_weight from wwide) w
   on year(date)::varchar || '_Q' || quarter(date)::varchar = w.current_quarter""",
 )
 def jon04(spark, sf):
-    w = weights_wide(spark, sf).where(F.col("current_quarter") >= "1997")
-    out = jon.with_quarter_weights(t.rate_wide(spark, sf), w)
+    out = jon.with_quarter_weights(t.rate_wide(spark, sf), _weights_with_a_gap(spark, sf))
     return out.select(
         "date", "current_quarter", F.round("NATION_9", 8).alias("rate"), F.round("NATION_9_weight", 8).alias("weight")
     )
@@ -92,11 +97,11 @@ def jon04(spark, sf):
     "jon05_quarter_weights_inner",
     f"""with {t.RATE_WIDE}, {WEIGHTS_WIDE.split(',', 1)[1].split('wq as', 1)[1].join(['wq as', ''])}
   select distinct date, w.current_quarter, round(NATION_9, 8) as rate, round(NATION_9_weight, 8) as weight from rwide
-  join (select * from wwide where current_quarter >= '1997') w
+  join (select current_quarter, case when current_quarter >= '1997' then NATION_9_weight end as NATION_9_weight from wwide) w
   on year(date)::varchar || '_Q' || quarter(date)::varchar = w.current_quarter""",
 )
 def jon05(spark, sf):
-    w = weights_wide(spark, sf).where(F.col("current_quarter") >= "1997").select("current_quarter", "NATION_9_weight")
+    w = _weights_with_a_gap(spark, sf).select("current_quarter", "NATION_9_weight")
     r = t.rate_wide(spark, sf).select("date", "NATION_9")
     return jon.with_quarter_weights(r, w, how="inner").select(
         "date", "current_quarter", F.round("NATION_9", 8).alias("rate"), F.round("NATION_9_weight", 8).alias("weight")
