@@ -6,10 +6,12 @@ window around its own value on each line and widens all windows together (virtua
 lines is a candidate, and its exact distance is computed. A query is done once its k-th verified distance is so small
 that a vector at that distance would, with the given confidence, have collided often enough to be a candidate already.
 
-Vectors are dealt by hash into blocks of about ``block`` rows, each with its own sorted arrays; the query set, also in
-blocks, meets every block of vectors (a stated query set against all rows), and every block hands on its k nearest per
-query. Nothing but k rows per query and block is shuffled afterwards. A block pair holds at most about ``block``
-vectors and ``query_block`` queries.
+Vectors are dealt by hash into blocks of about ``block`` rows, each with its own sorted arrays in one task; a vector moves
+once. The queries go to every block (a stated query set against all rows) and stream past its arrays, and every block
+hands on its k nearest per query. Nothing but k rows per query and block is shuffled afterwards. A task holds one block.
+
+Rough distances in single precision tell which candidates are measured in double; where a query is so much larger or smaller
+than a block that single precision cannot hold them, all are measured.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components or have no id take no part; vectors of
 another length than the query's are no candidates; rows that repeat an id are each a candidate (not for the query of that id); a query id
@@ -21,17 +23,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotegrid.llm.common import sorted_groups, stage
+from quotegrid.llm.common import stage
 from quotegrid.llm.sorted_projection import usable
 
-PROJECTIONS, SHARE, GROWTH = 40, 0.5, 2.0
-BLOCK, QUERY_BLOCK = 8192, 512
+PROJECTIONS, SHARE, GROWTH, CONFIDENCE = 60, 0.5, 1.3, 0.975
+BLOCK = 4096
 
 
 def _half_width_factor(share: float, confidence: float, projections: int) -> float:
@@ -39,7 +42,7 @@ def _half_width_factor(share: float, confidence: float, projections: int) -> flo
 
     A projected difference is normal with deviation d; the number of collisions is binomial.
     """
-    z = {0.9: 1.2816, 0.95: 1.6449, 0.975: 1.96, 0.99: 2.3263}[confidence]
+    z = NormalDist().inv_cdf(confidence)
     # chance p per line so that projections * p - z * sqrt(projections p (1-p)) = share * projections
     p = share
     for _ in range(100):
@@ -51,6 +54,22 @@ def _half_width_factor(share: float, confidence: float, projections: int) -> flo
     return high
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where a square leaves the range of doubles, in units of the largest difference."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        diff = x - q
+        total = (diff * diff).sum(axis=1)
+        out = np.sqrt(total)
+        largest = np.abs(diff).max(axis=1, initial=0.0)
+        odd = np.flatnonzero((~np.isfinite(total) | (total < 1e-290)) & (largest > 0))
+        if len(odd):
+            unit = largest[odd]
+            # halves first, where even a difference is too large
+            part = np.where(np.isfinite(unit)[:, None], diff[odd] / unit[:, None], 0.0)
+            out[odd] = np.where(np.isfinite(unit), unit * np.sqrt((part * part).sum(axis=1)), np.inf)
+    return out
+
+
 class BlockIndex:
     """Sorted projections of one block of vectors, line after line in one array."""
 
@@ -72,11 +91,17 @@ class BlockIndex:
     def search(self, q: np.ndarray, own: int, k: int, share: float, growth: float, factor: float) -> list[tuple[float, int]]:
         n, m = self.n, self.m
         need = math.ceil(share * m)
-        small_q = (q / self.scale).astype(np.float32)
-        own_square = float(small_q @ small_q)
-        # rounding of the rough squares, generously
+        with np.errstate(over="ignore"):
+            small_q = (q / self.scale).astype(np.float32)
+            own_square = float(small_q @ small_q)
+        # rounding of the rough squares, generously; without bounds where single precision does not reach
+        rough_holds = np.isfinite(own_square) and own_square < 1e30
         slack = 1e-5 * (own_square + float(self.squares.max())) + 1e-30
-        at = q @ self.lines
+        with np.errstate(over="ignore", invalid="ignore"):
+            at = q @ self.lines
+        if not np.isfinite(at).all() or np.abs(at).max() > 1e300:  # no window can be opened there
+            others = np.flatnonzero(self.ids != own)
+            return sorted(zip(distances(self.x[others], q).tolist(), self.ids[others].tolist()))[:k]
         middle = self._borders(at, "left")
         base = np.arange(m) * n
         lo, hi = middle.copy(), middle.copy()
@@ -97,12 +122,13 @@ class BlockIndex:
                 seen[fresh] = True
                 fresh = fresh[self.ids[fresh] != own]
                 # single precision tells which of them can be among the nearest; those are measured exactly
-                rough = self.squares[fresh] - 2 * (self.small[fresh] @ small_q)
-                most = (best[-1][0] / self.scale) ** 2 - own_square if len(best) == k else np.inf
-                if len(fresh) > k:
-                    most = min(most, float(np.partition(rough, k - 1)[k - 1]))
-                fresh = fresh[rough <= most + slack]
-                d = np.sqrt(((self.x[fresh] - q) ** 2).sum(axis=1))
+                if rough_holds:
+                    rough = self.squares[fresh] - 2 * (self.small[fresh] @ small_q)
+                    most = (best[-1][0] / self.scale) ** 2 - own_square if len(best) == k else np.inf
+                    if len(fresh) > k:
+                        most = min(most, float(np.partition(rough, k - 1)[k - 1]))
+                    fresh = fresh[rough <= most + slack]
+                d = distances(self.x[fresh], q)
                 best = sorted([*best, *zip(d.tolist(), self.ids[fresh].tolist())])[:k]
             if len(best) == k and factor * best[-1][0] <= reach:
                 return best
@@ -124,19 +150,39 @@ def _search(k: int, projections: int, share: float, growth: float, confidence: f
     factor = _half_width_factor(share, confidence, projections)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, _, width), rows in sorted_groups(batches, ["block", "query_block", "width"]):
-            is_query = rows["is_query"].to_numpy()
-            data, queries = rows[~is_query], rows[is_query]
-            if not len(data) or not len(queries):
+        held, data, index = None, [], None
+
+        def build(width: int) -> BlockIndex | None:
+            if not data:
+                return None
+            lines = np.random.default_rng([seed, width]).standard_normal((width, projections))
+            ids = np.concatenate([d["vec_id"].to_numpy() for d in data])
+            return BlockIndex(ids, np.array([v for d in data for v in d["vec"]], dtype=np.float64), lines)
+
+        for batch in batches:
+            if not len(batch):
                 continue
-            lines = np.random.default_rng([seed, int(width)]).standard_normal((int(width), projections))
-            index = BlockIndex(data["vec_id"].to_numpy(), np.array(data["vec"].tolist(), dtype=np.float64), lines)
-            out = []
-            for own, vec in zip(queries["vec_id"].tolist(), queries["vec"]):
-                best = index.search(np.asarray(vec, dtype=np.float64), own, k, share, growth, factor)
-                out += [(own, i, d) for d, i in best]
-            if out:
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            # vectors of a block come before the queries that are put to it
+            keys = batch["block"].to_numpy() * 2.0**31 + batch["width"].to_numpy()
+            asks = batch["is_query"].to_numpy(dtype=bool)
+            change = np.flatnonzero((keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *change], [*change, len(batch)]):
+                if keys[lo] != held:
+                    held, data, index = keys[lo], [], None
+                part = batch.iloc[lo:hi]
+                if not asks[lo]:
+                    data.append(part)
+                    continue
+                if data:
+                    index, data = build(int(part["width"].iloc[0])), []
+                if index is None:
+                    continue
+                out = []
+                for own, vec in zip(part["vec_id"].tolist(), part["vec"]):
+                    best = index.search(np.asarray(vec, dtype=np.float64), own, k, share, growth, factor)
+                    out += [(own, i, d) for d, i in best]
+                if out:
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
 
@@ -150,9 +196,8 @@ def nearest(
     projections: int = PROJECTIONS,
     share: float = SHARE,
     growth: float = GROWTH,
-    confidence: float = 0.95,
+    confidence: float = CONFIDENCE,
     block: int = BLOCK,
-    query_block: int = QUERY_BLOCK,
     seed: int = 5,
 ) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest other rows of every query.
@@ -162,24 +207,17 @@ def nearest(
     able = stage(usable(vectors, id_col, vector_col).withColumn("width", F.size("vec")), "vectors")
     asked = able.where(is_query).groupBy("vec_id", "width").agg(F.min("vec").alias("vec"))
     asked = asked.groupBy("vec_id").agg(F.min(F.struct("width", "vec")).alias("v")).select("vec_id", "v.width", "v.vec")
-    n = able.count()
-    queries = able.where(is_query).count()
-    blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(queries / query_block))
-    dealt = lambda c, parts, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(parts)).cast("int")
+    blocks = max(1, math.ceil(able.count() / block))
     data = able.select(
-        "vec_id", "vec", "width", F.lit(False).alias("is_query"), dealt("vec_id", blocks, 1).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+        "vec_id", "vec", "width", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks)).cast("int").alias("block")
     )
     questions = asked.select(
-        "vec_id", "vec", "width", F.lit(True).alias("is_query"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        dealt("vec_id", query_blocks, 2).alias("query_block"),
+        "vec_id", "vec", "width", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
-    keys = ["block", "query_block", "width"]
     found = (
         data.unionByName(questions)
-        .repartition(max(1, min(blocks * query_blocks, 100_000)), "block", "query_block")
-        .sortWithinPartitions(*keys, "is_query", "vec_id")
+        .repartition(max(1, min(blocks, 100_000)), "block")
+        .sortWithinPartitions("block", "width", "is_query", "vec_id")
         .mapInPandas(
             _search(k, projections, share, growth, confidence, seed), "query_id bigint, vec_id bigint, score double"
         )

@@ -323,7 +323,7 @@ def test_recall_of_the_nearest(spark, sf):
     table = [(i, (centres[i % 20] + 0.4 * draw.standard_normal(24)).astype(np.float32).tolist()) for i in range(2500)]
     frame = spark.createDataFrame([(i, v, 0, "s", "r") for i, v in table], VEC)
     for df, step, data in (
-        (collision_ann.nearest(frame, F.col("vec_id") % 50 == 0, block=600, query_block=20), 50, table),
+        (collision_ann.nearest(frame, F.col("vec_id") % 50 == 0, block=600), 50, table),
         (QUERIES["op5_collision_counting_neighbours"](spark, sf), 100,
          [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]),
     ):
@@ -354,6 +354,30 @@ def test_neighbours_of_odd_rows(spark):
     assert collision_ann.nearest(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_no_neighbour_is_lost_beside_very_large_vectors(spark):
+    draw = np.random.default_rng(2)
+    table = [(i, draw.standard_normal(8).tolist()) for i in range(1, 300)]
+    table += [(1000, (1e39 * draw.standard_normal(8)).tolist()), (2000, (1e160 * draw.standard_normal(8)).tolist()), (3000, [1e-170] * 8), (4000, [1.7e308] * 8)]
+    frame = spark.createDataFrame(table, "vec_id bigint, embedding array<double>")
+    for block in (5000, 40):
+        got = {}
+        for r in rows(collision_ann.nearest(frame, F.col("vec_id") >= 1000, block=block)):
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert got.keys() == {1000, 2000, 3000, 4000} and all(len(g) == 10 for g in got.values())
+        x = dict(table)
+        for q in (1000, 2000, 3000):
+            for _, i, score in got[q]:
+                big = max(abs(a - b) for a, b in zip(x[i], x[q]))
+                assert math.isclose(score, big * math.sqrt(sum(((a - b) / big) ** 2 for a, b in zip(x[i], x[q]))), rel_tol=1e-12)
+        near = sorted(math.dist(x[i], x[3000]) for i in range(1, 300))[:10]
+        assert np.allclose([s for _, _, s in sorted(got[3000])], near)
+
+
+@pytest.mark.parametrize("confidence", [0.8, 0.93])
+def test_any_confidence_is_taken(confidence):
+    assert collision_ann._half_width_factor(0.5, confidence, 40) > collision_ann._half_width_factor(0.5, confidence - 0.1, 40)
+
+
 # ---------------------------------------------------------------- 6 mixing
 def test_mix_meets_the_weights(spark):
     docs = spark.range(20_000).select(
