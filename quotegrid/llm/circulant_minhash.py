@@ -37,6 +37,7 @@ from quotegrid.llm.common import (
     mix64,
     save,
     shared_count,
+    shuffle_width,
     shingle_set,
     sorted_groups,
     stage,
@@ -192,6 +193,8 @@ def near_duplicates(
     """
     size = BANDS * ROWS
     floor = _floor(per_hundred / 100, size)
+    # few bytes, long work: a number keeps these shuffles from being put into a handful of tasks
+    tasks = shuffle_width(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("digest")
     )
@@ -212,7 +215,7 @@ def near_duplicates(
     candidates = (
         _in_blocks(held.drop("n"), "key", shared, block, "id")
         .join(heads.select("id", "bytes"), "id")
-        .repartition("key", "i", "j")
+        .repartition(tasks, "key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "side", "id")
         .select("key", "i", "j", "side", "id", "bytes")
         .mapInPandas(_forest_of_bucket(size, floor), "a bigint, b bigint")
@@ -223,7 +226,9 @@ def near_duplicates(
         _in_blocks(clusters, "cluster", sizes, block, "id")
         .join(heads.select("id", "doc_id", "digest", "bytes"), "id")
         .join(texts, ["doc_id", "digest"])
-        .repartition("cluster", "i", "j")
+        # rows that repeat id and text are one class: one of them goes on, however many there are
+        .dropDuplicates(["cluster", "i", "j", "side", "id"])
+        .repartition(tasks, "cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j", "side", "id")
         .select("cluster", "i", "j", "side", "id", "bytes", "text")
         .mapInPandas(_verify(width, size, floor, per_hundred), "a bigint, b bigint")

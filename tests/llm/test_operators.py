@@ -736,6 +736,17 @@ def test_keep_one_tells_texts_of_an_id_apart(spark):
     ])
 
 
+def test_a_hot_repeated_row_is_one_class(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = " ".join(f"w{i}" for i in range(39)) + " other"
+    docs = spark.range(20_000).select(F.lit(5).cast("bigint").alias("doc_id"), F.lit(text).alias("text")).unionByName(
+        spark.createDataFrame([(3, near), (9, "something else entirely here now")], "doc_id bigint, text string")
+    )
+    got = circulant_minhash.near_duplicates(docs, per_hundred=80)
+    found = {(r["doc_id"], r["component_id"], r["kept"]): r["count"] for r in got.groupBy("doc_id", "component_id", "kept").count().collect()}
+    assert found == {(5, 3, False): 20_000, (3, 3, True): 1, (9, 9, True): 1}
+
+
 # ---------------------------------------------------------------- 10 near-duplicate vectors
 def brute_vectors(table, least=0.98):
     links, up = {}, {}
