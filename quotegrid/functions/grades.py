@@ -54,3 +54,22 @@ def composite_grade(score: str | Column) -> Column:
 def ir_score(ir: str | Column) -> Column:
     """Maps [-2, 2] onto [0, 100]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (col(ir) + 2) * 25))
+
+
+# Upper bounds of a p value -> severity of a broken assumption.
+P_SEVERITY = [(0.001, "SEVERE"), (0.01, "MODERATE"), (0.05, "MILD")]
+NORMALITY_SEVERITY = [(0.001, "MODERATE"), (0.05, "MILD")]
+# Lower bounds of the variance inflation.
+INFLATION_SEVERITY = [(20, "SEVERE"), (10, "MODERATE"), (5, "MILD")]
+# Distance of the Durbin-Watson ratio from 2.
+DURBIN_WATSON_SEVERITY = [(1.0, "SEVERE"), (0.5, "MODERATE")]
+
+
+def severity(test: str, value: str | Column) -> Column:
+    """NONE, MILD, MODERATE or SEVERE by the p value of a test, the inflation factor or the Durbin-Watson ratio."""
+    c = col(value)
+    if test == "durbin_watson":
+        return ladder(F.abs(c - 2), DURBIN_WATSON_SEVERITY, "NONE", ">")
+    if test == "variance_inflation":
+        return ladder(c, INFLATION_SEVERITY, "NONE", ">")
+    return ladder(c, NORMALITY_SEVERITY if test == "jarque_bera" else P_SEVERITY, "NONE", "<")

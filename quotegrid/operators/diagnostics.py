@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotegrid.functions import distributions as D
+from quotegrid.functions import grades
 from quotegrid.functions.exprs import ladder, nan_to_null
 from quotegrid.operators.gram import gram_tiles, inverse_diagonal, whole_correlations
 from quotegrid.operators.moments import Model, fit_models, moment_blocks
@@ -140,3 +142,27 @@ def ks_two_sample(df: DataFrame, keys: Sequence[str], value: str, in_first: str)
     out = ecdf_distance(df, value, in_first, keys).withColumnRenamed("distance", "ks_distance")
     en = F.sqrt(F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second")))
     return out.withColumn("ks_p", D.kolmogorov_sf(en * F.col("ks_distance")))
+
+
+def severity_report(df: DataFrame, keys: Sequence[str], order: str, target: str, features: Sequence[str]) -> DataFrame:
+    """Keys, test, subject, statistic, p_value, severity and whether an assumption of least squares is broken."""
+    res = residuals(df, keys, target, features)
+    none = F.lit(None).cast("double")
+
+    def part(rows: DataFrame, test, subject, statistic: str, p, graded: str, name: str) -> DataFrame:
+        value = F.col(statistic)
+        return rows.select(*keys, test.alias("test"), subject.alias("subject"), value.alias("statistic"), p.alias("p_value"), grades.severity(name, graded).alias("severity"))
+
+    auto = autocorrelation(res, keys, order)
+    whole = F.lit("residuals")
+    parts = [
+        part(auto, F.lit("durbin_watson"), whole, "durbin_watson", none, "durbin_watson", "durbin_watson"),
+        part(auto, F.lit("ljung_box"), whole, "ljung_box", F.col("ljung_box_p"), "ljung_box_p", "ljung_box"),
+        part(heteroscedasticity(res, keys, features), F.col("test"), whole, "lm", F.col("p_value"), "p_value", "heteroscedasticity"),
+        part(residual_moments(res, keys), F.lit("jarque_bera"), whole, "jarque_bera", F.col("jarque_bera_p"), "jarque_bera_p", "jarque_bera"),
+    ]
+    if len(features) > 1:
+        parts.append(part(variance_inflation(df, keys, features), F.lit("variance_inflation"), F.col("feature"), "vif", none, "vif", "variance_inflation"))
+    # a mild inflation is a remark, a mild p value is a finding
+    broken = F.when(F.col("test") == "variance_inflation", F.col("severity").isin("MODERATE", "SEVERE")).otherwise(F.col("severity") != "NONE")
+    return reduce(DataFrame.unionByName, parts).withColumn("violated", broken)

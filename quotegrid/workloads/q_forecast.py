@@ -14,7 +14,7 @@ from quotegrid.operators import windows as win
 from quotegrid.operators.topk import latest_row
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.q_models import RN, drawn_sql, r6, weighted_rows
-from quotegrid.workloads.registry import query
+from quotegrid.workloads.registry import ORACLE, query
 from quotegrid.workloads.sqltext import chi2_1_sf_sql, chi2_even_sf_sql, draw_sql, rnd, weighted_moments_sql
 
 K = ["product"]
@@ -302,6 +302,35 @@ def mod36(spark, sf):
     return r6(out, "mean", "std", "min", "max", "median", "skewness", "kurtosis", "jarque_bera", "jarque_bera_p")
 
 
+_P_SQL = "case when {p} < 0.001 then 'SEVERE' when {p} < 0.01 then 'MODERATE' when {p} < 0.05 then 'MILD' else 'NONE' end"
+_PARTS = [
+    ("mod33_autocorrelation", "'durbin_watson' as test, durbin_watson as statistic, null::double as p_value, "
+     "case when durbin_watson < 1 or durbin_watson > 3 then 'SEVERE' when durbin_watson < 1.5 or durbin_watson > 2.5 then 'MODERATE' else 'NONE' end as severity"),
+    ("mod33_autocorrelation", f"'ljung_box', ljung_box, ljung_box_p, {_P_SQL.format(p='ljung_box_p')}"),
+    ("mod34_heteroscedasticity", f"test, lm, p_value, {_P_SQL.format(p='p_value')}"),
+    ("mod36_residual_moments", "'jarque_bera', jarque_bera, jarque_bera_p, case when jarque_bera_p < 0.001 then 'MODERATE' when jarque_bera_p < 0.05 then 'MILD' else 'NONE' end"),
+]
+
+
+@query(
+    "mod33_diagnostic_severities",
+    "with report as (" + " union all ".join(f"select product, {cols} from ({ORACLE[name]})" for name, cols in _PARTS) + """)
+  select product, test, 'residuals' as subject, statistic, p_value, severity, severity <> 'NONE' as violated from report""",
+)
+def mod33_severities(spark, sf):
+    return r6(dg.severity_report(t.weekly_model(spark, sf), K, "date", "y", ["own"]), "statistic", "p_value")
+
+
+@query(
+    "mod35_inflation_severities",
+    f"""select product, feature as subject, vif as statistic, case when vif > 20 then 'SEVERE' when vif > 10 then 'MODERATE' when vif > 5 then 'MILD' else 'NONE' end as severity,
+   vif > 10 as violated from ({ORACLE['mod35_variance_inflation']})""",
+)
+def mod35_severities(spark, sf):
+    out = dg.severity_report(t.weekly_model(spark, sf), K, "date", "y", ["own", "comp", "tax"]).where("test = 'variance_inflation'")
+    return r6(out.select("product", "subject", "statistic", "severity", "violated"), "statistic")
+
+
 @query(
     "mod37_residual_tests",
     f"""with {SPLIT}, f as (select product, regr_slope(y, own) as b, regr_intercept(y, own) as a from split where role='train' group by 1),

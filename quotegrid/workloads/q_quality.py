@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quotegrid.operators import calendar as cal
@@ -9,12 +11,13 @@ from quotegrid.operators import forecast as fc
 from quotegrid.operators import joins as jon
 from quotegrid.operators import leakage as lk
 from quotegrid.operators import quality as dq
+from quotegrid.operators import schemas
 from quotegrid.operators import validation_log as vlog
 from quotegrid.operators import windows as win
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.q_forecast import CI_B, ORIGINS, SPLIT, rolling_replicates, split
 from quotegrid.workloads.q_models import FITS, LONG, NAMED, RN, fits, named_coefficients, r6
-from quotegrid.workloads.q_scan_filter import weekly_sales
+from quotegrid.workloads.q_scan_filter import WSALES, weekly_sales
 from quotegrid.workloads.registry import query, scratch
 from quotegrid.workloads.sqltext import content_sql, draw_sql, schema_hash_sql
 from quotegrid.workloads.tables import xsum
@@ -151,6 +154,71 @@ def dq06(spark, sf):
     )
 
 
+DATASETS = schemas.named_schemas(t.OWN)
+_WEEKS = """weeks as (select date, sum(sales) as sales from ws group by 1),
+  final as (select date, sales, case when sales > 50000000 then 900.0 else 10.0 end as "Spread", sales::varchar as sales_log from weeks)"""
+
+
+def _named_frames(spark, sf):
+    """The five datasets from the given tables; the last one breaks several rules."""
+    o = t.table(spark, sf, "orders")
+    signed = F.col("o_orderdate").cast("date")
+    days = o.groupBy(signed.alias("date")).agg(F.sum("o_totalprice").alias("sales"))
+    weeks = weekly_sales(spark, sf).groupBy("date").agg(F.sum("sales").alias("sales"))
+    spread = F.when(F.col("sales") > 50_000_000, 900.0).otherwise(10.0)
+    return {
+        "sales_data": o.select(
+            signed.alias("application_signed_date"), F.date_add(signed, 30).alias("contract_issue_date"),
+            F.col("o_orderpriority").alias("product_name"), (F.col("o_totalprice") - 1000).alias("sales_amount"),
+        ),
+        "time_series_data": days.where(F.dayofmonth("date") < 20),
+        "competitive_rates": t.rate_wide(spark, sf),
+        "weekly_aggregated": weeks,
+        "final_dataset": weeks.select("date", "sales", spread.alias("Spread"), F.col("sales").cast("string").alias("sales_log")),
+    }
+
+
+def _check_sql(dataset: str, rows: list[tuple[str, str | None, str, str]], source: str) -> str:
+    return " union all ".join(
+        f"select '{dataset}' as dataset, '{check}' as \"check\", {'null' if c is None else repr(c)} as column_name, ({n})::bigint as n_violations, '{level}' as severity" + ("" if n.isdigit() else f" from {source}")
+        for check, c, n, level in rows
+    )
+
+
+def _schema_sql() -> str:
+    size = lambda low, high: [("not_empty", None, "(count(*) = 0)::int", "error")] + [
+        (name, None, f"(count(*) {op} {bound})::int", "error") for name, op, bound in (("min_rows", "<", low), ("max_rows", ">", high)) if bound
+    ]
+    there = lambda cols: [("required", c, "0", "error") for c in cols]
+    kind = lambda cols, wrong=(): [("kind", c, "1" if c in wrong else "0", "warning") for c in cols]
+    out = lambda c, low, high=None: ("range", c, f"count(*) filter (where \"{c}\" < {low}" + (f" or \"{c}\" > {high})" if high else ")"), "error")
+    sets = [
+        ("sales_data", size(1000, None) + there(["application_signed_date", "contract_issue_date", "product_name", "sales_amount"])
+         + kind(["application_signed_date", "contract_issue_date", "sales_amount"]) + [out("sales_amount", 0, 100000000)], "sd"),
+        ("time_series_data", size(100, 3000) + there(["date", "sales"]) + kind(["date", "sales"]) + [out("sales", 0), ("date_continuity", "date", "count(*) filter (where gap > 10)", "warning")], "ts"),
+        ("competitive_rates", size(1000, None) + there(["date", t.OWN]) + kind(["date", t.OWN]) + [out(t.OWN, 0.001, 0.2)], "rwide"),
+        ("weekly_aggregated", size(50, 500) + there(["date", "sales"]) + kind(["date", "sales"]) + [out("sales", 0)], "weeks"),
+        ("final_dataset", size(150, 180) + there(["date", "sales", "Spread", "sales_log"]) + kind(["date", "sales", "Spread", "sales_log"], ["sales_log"])
+         + [out("sales", 0), out("Spread", -500, 500), ("min_features", None, "1", "error")], "final"),
+    ]
+    return " union all ".join(_check_sql(*s) for s in sets)
+
+
+@query(
+    "dq06_named_schemas",
+    f"""with {t.RATE_WIDE}, {WSALES}, {_WEEKS},
+  sd as (select cast(o_orderdate as date) as application_signed_date, cast(o_orderdate as date) + 30 as contract_issue_date, o_orderpriority as product_name, o_totalprice - 1000 as sales_amount from orders),
+  td as (select cast(o_orderdate as date) as date, sum(o_totalprice) as sales from orders group by 1),
+  ts as (select *, date_diff('day', lag(date) over (order by date), date) as gap from td where day(date) < 20)
+  {_schema_sql()}""",
+)
+def dq06_named(spark, sf):
+    found = [
+        schemas.check_schema(df, DATASETS[name]).withColumn("dataset", F.lit(name)) for name, df in _named_frames(spark, sf).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), found).select("dataset", "check", "column_name", "n_violations", "severity")
+
+
 CHECKS = {
     "date": dq.ColumnCheck("date", nullable=False),
     "value": dq.ColumnCheck("double", nullable=False, ge=0, le=80),

@@ -121,3 +121,106 @@ def test_scan_pushes_filter_and_prunes_columns(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)]" in plan
     assert "ReadSchema: struct<o_totalprice:double,o_orderpriority:string>" in plan
+
+
+# ---------------------------------------------------------------- content hashes, logs, named schemas
+def test_content_hash_is_of_the_rows_not_their_order(spark):
+    from quotegrid.operators import content
+
+    rows = [(i % 40, f"v{i % 7}", i / 8, D(2024, 1, 1 + i % 20)) for i in range(200)] + [(None, None, None, None), (1, "v1", float("nan"), None)]
+    df = spark.createDataFrame(rows, "a int, b string, c double, d date")
+    one = content.content_hash(df.repartition(7)).first()
+    assert one == content.content_hash(df.orderBy(F.desc("a"))).first() and one["n_rows"] == 202
+    assert content.content_hash(df.union(df.limit(1))).first()["n_duplicates"] == one["n_duplicates"] + 1
+    changed = df.withColumn("b", F.when(F.col("a") == 3, "x").otherwise(F.col("b")))
+    assert content.content_hash(changed).first()["content_hash"] != one["content_hash"]
+    empty = content.content_hash(df.limit(0)).first()
+    assert (empty["n_rows"], empty["n_duplicates"]) == (0, 0)
+    shifted = spark.createDataFrame([("a", None), (None, "a")], "x string, y string")
+    assert content.content_hash(shifted.limit(1)).first()["content_hash"] != content.content_hash(shifted.offset(1)).first()["content_hash"]
+
+
+def test_one_changed_row_touches_one_range(spark):
+    from quotegrid.operators import content
+    from quotegrid.operators.joins import compare_tables
+
+    a = spark.range(200_000).select("id", (F.col("id") * 0.5).alias("v"), F.when(F.col("id") % 9 != 0, F.lit(1.0)).alias("w"))
+    b = a.withColumn("v", F.when(F.col("id") == 77, F.col("v") + 0.25).otherwise(F.col("v")))
+    assert content.differing_ranges(a, a.repartition(3), ["id"], ["v", "w"]).count() == 0
+    assert content.differing_ranges(a, b, ["id"], ["v", "w"]).count() == 1
+    left, right = content.differing_rows(a, b, ["id"], ["v", "w"])
+    assert left.count() == right.count() < 200
+    got = {r["column_name"]: r for r in compare_tables(a, b, ["id"], ["v", "w"], 1e-9).collect()}
+    assert got["v"]["max_abs_diff"] == 0.25 and not got["v"]["equal"] and got["w"]["equal"]
+    fewer = {r["column_name"]: r for r in compare_tables(a, b.where("id < 199000"), ["id"], ["v"], 1e-9).collect()}
+    assert fewer["v"]["only_left"] == 1000 and fewer["v"]["only_right"] == 0
+    nothing = {r["column_name"]: r for r in compare_tables(a, a, ["id"], ["v"], 0.0).collect()}
+    assert nothing["v"]["equal"] and nothing["v"]["max_abs_diff"] == 0
+
+
+def test_missing_keys_meet_in_a_comparison(spark):
+    from quotegrid.operators.joins import compare_tables
+
+    a = spark.createDataFrame([(None, 1.0), ("x", 2.0)], "k string, v double")
+    b = spark.createDataFrame([(None, 1.5), ("x", 2.0)], "k string, v double")
+    r = compare_tables(a, b, ["k"], ["v"], 1e-9).first()
+    assert (r["only_left"], r["only_right"], r["max_abs_diff"]) == (0, 0, 0.5)
+
+
+def test_log_keeps_one_entry_a_version(spark, table, tmp_path):
+    from quotegrid.operators import validation_log as log
+
+    path = f"{tmp_path}/log"
+    rules = [dq.negative_values("value", allowed=1)]
+    assert log.read(spark, path, "t") is None and log.history(spark, path, "t") is None
+    assert log.checkpoint(table, "date", rules, path, "t", 1).first()["status"] == "BASELINE"
+    assert log.checkpoint(table.where("value < 5"), "date", rules, path, "t", 2).first()["status"] == "WARNINGS"
+    assert log.checkpoint(table, "date", rules, path, "t", 2).first()["status"] == "PASSED"  # run again: replaced
+    log.checkpoint(table, "date", rules, path, "other", 7)
+    for version in range(3, 9):
+        log.checkpoint(table, "date", rules, path, "t", version)
+    assert [r["version"] for r in log.history(spark, path, "t", 3).orderBy("version").collect()] == [6, 7, 8]
+    assert log.before(spark, path, "t", 2).first()["status"] == "BASELINE" and log.before(spark, path, "t", 1) is None
+
+
+def test_schema_versions_report_changes_and_compatibility(spark, table, tmp_path):
+    from quotegrid.operators import validation_log as log
+
+    path = f"{tmp_path}/schemas"
+    whole = table.where("date is not null")
+    assert log.schema_version(whole, path, "t", 1).count() == 0
+    changes = {r["column_name"]: (r["change"], r["breaking"]) for r in log.schema_version(table.drop("status"), path, "t", 2).collect()}
+    assert changes == {"status": ("removed", True), "date": ("became_nullable", True), "value": ("became_nullable", True)}
+    back = {r["column_name"]: r["change"] for r in log.schema_version(whole, path, "t", 3).collect()}
+    assert back == {"status": "added", "date": "became_required", "value": "became_required"}
+    got = {r["version"]: r for r in log.schema_history(spark, path, "t").collect()}
+    assert got[1]["schema_hash"] == got[3]["schema_hash"] and got[1]["content_hash"] == got[3]["content_hash"]
+    assert got[1]["compatibility"] is None and abs(got[2]["compatibility"] - 2 / 3) < 1e-12 and got[2]["n_columns"] == 2
+
+
+def test_named_schemas_find_violations(spark):
+    from quotegrid.operators import schemas
+
+    named = schemas.named_schemas("own")
+    assert set(named) == {"sales_data", "time_series_data", "competitive_rates", "weekly_aggregated", "final_dataset"}
+    days = [(D(2024, 1, 1) + dt.timedelta(days=i + (15 if i > 60 else 0)), -1.0 if i == 5 else 2.0) for i in range(120)]
+    df = spark.createDataFrame(days, "date date, sales double")
+    broken = lambda df, name: {(r["check"], r["column_name"]): r["n_violations"] for r in schemas.check_schema(df, named[name]).where("n_violations > 0").collect()}
+    assert broken(df, "time_series_data") == {("range", "sales"): 1, ("date_continuity", "date"): 1}
+    assert broken(df.where("sales > 0"), "final_dataset") == {("min_rows", None): 1, ("required", "Spread"): 1, ("required", "sales_log"): 1, ("min_features", None): 1}
+    assert broken(df.select(F.col("date").cast("string").alias("date"), "sales").limit(0), "weekly_aggregated") == {("not_empty", None): 1, ("min_rows", None): 1, ("kind", "date"): 1}
+    checks = schemas.check_schema(df, named["time_series_data"]).withColumn("dataset", F.lit("x"))
+    assert tuple(schemas.verdicts(checks).first()) == ("x", 1, 1, False)
+
+
+def test_severities(spark):
+    from quotegrid.functions import grades
+
+    def of(test, *values):
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+        return [r["s"] for r in df.select("i", grades.severity(test, "v").alias("s")).orderBy("i").collect()]
+
+    assert of("durbin_watson", 0.9, 1.2, 2.0, 2.6, 3.1) == ["SEVERE", "MODERATE", "NONE", "MODERATE", "SEVERE"]
+    assert of("ljung_box", 0.0005, 0.005, 0.03, 0.2) == ["SEVERE", "MODERATE", "MILD", "NONE"]
+    assert of("jarque_bera", 0.0005, 0.005, 0.06) == ["MODERATE", "MILD", "NONE"]
+    assert of("variance_inflation", 30, 12, 7, 2) == ["SEVERE", "MODERATE", "MILD", "NONE"]
