@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from quotegrid.functions.exprs import half_even, ladder
 from quotegrid.operators.gram import gram_tiles, pair_correlations
 from quotegrid.operators.quantiles import exact_quantiles
-from quotegrid.operators.windows import series_window
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, decimals: int = 2) -> DataFrame:
-    """Percent of the grand total. The window runs over the grouped rows, not the raw ones."""
+    """Percent of the grand total, which is one row."""
     grouped = df.groupBy(*keys).agg(F.sum(value).alias("total"))
-    grand = F.sum("total").over(series_window())
+    grand = grouped.agg(F.sum("total")).scalar()
     return grouped.withColumn("share_pct", half_even(F.col("total") / grand * 100, decimals))
 
 

@@ -184,7 +184,8 @@ def mod24(spark, sf):
 CI_B = 1000
 _POISSON = X.poisson_thresholds()
 #: forecasts of every origin and replicate from running sums; weights grow with the row instead of decaying, and are scaled back
-ORIGINS = f"""{RN}, reps as (select product, date, own, y, rn, r, {draw_sql('rn', 'r')} // {X.DRAW_MODULUS} as u from rows_, (select unnest(range(1, {CI_B + 1})) as r)),
+def origins_sql(target: str) -> str:
+    return f"""{RN}, reps as (select product, date, own, {target} as y, rn, r, {draw_sql('rn', 'r')} // {X.DRAW_MODULUS} as u from rows_, (select unnest(range(1, {CI_B + 1})) as r)),
   counted as (select *, power(0.98, -rn) * case {' '.join(f'when u < {b} then {k}' for k, b in enumerate(_POISSON))} else {len(_POISSON)} end as w from reps),
   sums as (select product, date, r, rn, own, y, {', '.join(f'sum({e}) over before as {n}' for n, e in (('sw', 'w'), ('sx', 'w*own'), ('sy', 'w*y'), ('sxx', 'w*own*own'), ('sxy', 'w*own*y')))}
    from counted window before as (partition by product, r order by rn rows between unbounded preceding and 1 preceding)),
@@ -192,6 +193,9 @@ ORIGINS = f"""{RN}, reps as (select product, date, own, y, rn, r, {draw_sql('rn'
   p as (select product, date, r, exp(y) as actual, exp(my + cxy/(cxx + 1)*(own - mx)) as pred from origin)"""
 
 
+ORIGINS = origins_sql("y")
+
+
 @query(
     "mod25_forecast_intervals",
     f"""with {ORIGINS}, q as (select product, date, quantile_cont(pred, [0.025, 0.25, 0.5, 0.75, 0.975]) as q from p group by 1,2)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quotegrid.plans.backtest import weighted_error_path
+from quotegrid.plans.backtest import backtest_report, weighted_error_path
 from quotegrid.plans.pricing import price_table
 from quotegrid.plans.selection import select_models
 from quotegrid.plans.weekly_features import WeeklyConfig, build_weekly_features
 from quotegrid.workloads import tables as t
-from quotegrid.workloads.q_forecast import ENSEMBLE_B, ROLL, SCEN, rolling
+from quotegrid.workloads.q_forecast import ENSEMBLE_B, ROLL, SCEN, origins_sql, rolling
 from quotegrid.workloads.q_models import BCOLS, BLOCK_SCORE, BOOT_MODELS, RULES, Z95, block_sql, r6
 from quotegrid.workloads.q_scan_filter import WEIGHTS, weights_wide
-from quotegrid.workloads.registry import query
+from quotegrid.workloads.registry import ORACLE, query
 from quotegrid.workloads.sqltext import Fit, moments_sql, rnd
 from quotegrid.workloads.tables import xavg, xsum
 
@@ -135,6 +135,20 @@ def plan_price_table(spark, sf):
     return price_table(wm, scenarios, K, "date", "y", ["own"], "own", ["comp"], replicates=ENSEMBLE_B)
 
 
+@query(
+    "plan_backtest_report",
+    f"""with {origins_sql('ln(sales)')}, q as (select product, date, any_value(actual) as actual, quantile_cont(pred, [0.025, 0.975]) as q from p group by 1,2),
+  held as (select product, count(*) as n_forecasts, avg((actual between q[1] and q[2])::int) as coverage, avg((q[2] - q[1])/actual) as relative_width from q group by 1)
+  select m.*, n_forecasts, round(coverage, 6) as coverage, round(relative_width, 6) as relative_width, abs(coverage - 0.95) <= 3*sqrt(0.95*0.05/n_forecasts) as calibrated
+  from ({ORACLE['mod21_model_vs_benchmark']}) m join held on m.product = held.product""",
+)
+def plan_backtest_report(spark, sf):
+    out = backtest_report(t.weekly_model(spark, sf), K, "date", "sales", ["own"])
+    cols = ["model_mape", "benchmark_mape", "mape_improvement_pct"]
+    out = r6(r6(out, *cols, "coverage", "relative_width"), "r2_improvement_pct", decimals=4)
+    return out.select("product", *cols, "r2_improvement_pct", "model_outperforms", "n_forecasts", "coverage", "relative_width", "calibrated")
+
+
 @query(
     "plan_backtest_error_path",
     f"""with {ROLL}, e as (select product, date, y_true, abs(y_true - y_predict)/y_true as ape from fr),
