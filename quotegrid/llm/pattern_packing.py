@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,7 @@ class ByteTokens:
 def _pieces(rank_file: str, size: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = ByteTokens(rank_file)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -81,8 +83,9 @@ def _pieces(rank_file: str, size: int, end_id: int):
                 first = len(ids) % size or size
                 cuts = [0, *range(first, len(ids) + 1, size)]
                 for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    rows.append((doc_id, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
+                    rows.append((number, doc_id, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())))
+                    number += 1
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
 
     return run
 
@@ -259,9 +262,10 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    schema = f"row bigint, doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = stage(texts.mapInPandas(_pieces(rank_file, size, end_id), schema), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # by a number of their own, so that repeated rows are dealt out, too
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     counts = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     # at most size x salts rows; the histogram itself has at most ``size`` rows
     before = counts.withColumn(
@@ -269,7 +273,7 @@ def pack(
         F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)),
     ).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     plan = plan_packing({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("inside", F.row_number().over(inside) - 1).join(before, ["length", "salt"])
     out = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     return ranked.select(

@@ -890,3 +890,12 @@ def test_packing_takes_long_white_space(spark):
     want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for doc_id, text in ((1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000 + "b")):
         assert sum(r["length"] for r in out if r["doc_id"] == doc_id) == len(want.encode(text, add_special_tokens=False).ids) + 1
+
+
+def test_repeated_rows_are_ranked_in_many_tasks(spark):
+    docs = spark.range(30_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same few words").alias("text"))
+    out = pattern_packing.pack(docs, RANKS).cache()
+    r = out.agg(F.count("*"), F.sum("length"), F.countDistinct("sequence_id", "offset")).first()
+    assert r[0] == 30_000 and r[2] == 30_000
+    full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert full.where("n > 2048 or n <> end").count() == 0 and full.count() <= r[1] / 2048 + 120
