@@ -4,7 +4,7 @@
    the front; what is left (fewer tokens than a window) is an *item*. Ids of items are written, 2 or 4 bytes each.
 2. The terms of the index are the token ids, so statistics over all items have at most one number for each entry of the
    vocabulary: document frequencies and the mean length go to the driver as ``VOCABULARY`` numbers at most.
-3. Items are sorted by their two heaviest terms (range-partitioned, ties spread, so copies are dealt out too) and cut into
+3. Items are sorted by their two rarest terms (range-partitioned, ties spread, so copies are dealt out too) and cut into
    shards of ``SHARD`` neighbouring items. Each shard has its own inverted index.
 4. In a shard the next unused item is a seed. Its index returns all unused items by BM25 score, those without a common
    term last, and they fill the seed's window in this order. The one that does not fit is cut, and its rest is the next seed.
@@ -108,18 +108,20 @@ def statistics(items: DataFrame) -> Statistics:
     return Statistics(np.log1p((total - df + 0.5) / (df + 0.5)), max(tokens, 1) / max(total, 1))
 
 
-def _heaviest(shared: Broadcast):
-    """Adds the two heaviest terms of every item; -1 where there is no second."""
+def _rarest(shared: Broadcast):
+    """Adds the two rarest terms of every item; -1 where there is no second."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stats: Statistics = shared.value
+        idf = shared.value.idf
         for batch in (whole.iloc[at : at + FRAME] for whole in batches for at in range(0, len(whole), FRAME)):
             best = np.full((len(batch), 2), -1, dtype=np.int64)
             for k, (raw, length) in enumerate(zip(batch["ids"], batch["length"])):
-                terms, counts = np.unique(_ids(raw, length), return_counts=True)
-                weight = stats.weights(terms, counts, float(length))
-                top = np.argsort(-weight, kind="stable")[:2]
-                best[k, : len(top)] = terms[top]
+                ids = _ids(raw, length)
+                weight = idf[ids]
+                first = ids[weight.argmax()]
+                weight[ids == first] = -1.0
+                second = weight.argmax()
+                best[k] = first, ids[second] if weight[second] >= 0 else -1
             yield batch.assign(t1=best[:, 0], t2=best[:, 1])
 
     return run
@@ -280,7 +282,7 @@ def pack(
     items = cut.where("ids is not null").select("item", "doc_id", "doc_tokens", "start", "length", "ids")
     stats = spark.sparkContext.broadcast(statistics(items))
     order = ["t1", "t2", "tie", "item"]
-    keyed = items.mapInPandas(_heaviest(stats), f"item bigint, doc_id {kind}, doc_tokens bigint, start bigint, length bigint, ids binary, t1 bigint, t2 bigint")
+    keyed = items.mapInPandas(_rarest(stats), f"item bigint, doc_id {kind}, doc_tokens bigint, start bigint, length bigint, ids binary, t1 bigint, t2 bigint")
     dealt = keyed.withColumn("tie", F.xxhash64("item")).repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
     out = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     packed = dealt.select("doc_id", "doc_tokens", "start", "length", "ids").mapInPandas(_pack(stats, size, shard), out)
