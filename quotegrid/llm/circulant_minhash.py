@@ -34,6 +34,7 @@ from quotegrid.llm.common import (
     MULT,
     UnionFind,
     components,
+    free_name,
     mix64,
     save,
     shared_count,
@@ -272,16 +273,17 @@ def keep_one(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_c
     """
     where = verdict.schema["kept"].metadata.get(MARKS)
     digest = _digest(text_col)
+    own_id, own_digest = (free_name(n, docs.columns) for n in ("__id", "__digest"))
     if where is None:
-        kept = verdict.where(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-        named = docs.join(kept, F.col(id_col).cast("bigint") == F.col("__id"), "left_semi")
+        kept = verdict.where(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias(own_id)).distinct()
+        named = docs.join(kept, F.col(id_col).cast("bigint") == F.col(own_id), "left_semi")
     else:
         marks = docs.sparkSession.read.parquet(where).where("doc_id is not null")
         # texts without words are in no group: one row for each id
         alone = F.when(F.col("group").isNull(), F.col("doc_id"))
         kept = marks.groupBy("group", alone.alias("alone")).agg(F.min(F.struct("doc_id", "digest")).alias("head"))
-        kept = kept.select(F.col("head.doc_id").alias("__id"), F.col("head.digest").alias("__digest"))
-        named = docs.join(kept, (F.col(id_col).cast("bigint") == F.col("__id")) & (digest == F.col("__digest")), "left_semi")
+        kept = kept.select(F.col("head.doc_id").alias(own_id), F.col("head.digest").alias(own_digest))
+        named = docs.join(kept, (F.col(id_col).cast("bigint") == F.col(own_id)) & (digest == F.col(own_digest)), "left_semi")
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
     one = named.groupBy(F.col(id_col).cast("bigint"), digest).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rest).alias("row"))
     return one.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

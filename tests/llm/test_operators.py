@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quotegrid.llm import (
+    bm25_packing,
     bpe_count,
     circulant_minhash,
     collision_ann,
@@ -23,6 +24,7 @@ from quotegrid.llm import (
     pattern_packing,
     pii_bootstrap,
     poisson_mix,
+    son_phrases,
     sorted_projection,
     url_reputation,
 )
@@ -899,3 +901,19 @@ def test_repeated_rows_are_ranked_in_many_tasks(spark):
     assert r[0] == 30_000 and r[2] == 30_000
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert full.where("n > 2048 or n <> end").count() == 0 and full.count() <= r[1] / 2048 + 120
+
+
+def test_operators_take_columns_of_any_name(spark, odd):
+    names = ["copy", "shuffle_key", "__id", "__n", "__hash", "__key", "row", "salt", "lang_pred", "shard", "t1", "item", "x", "h", "size", "word"]
+    wide = odd.withColumns({n: F.lit(n) for n in names})
+    same = lambda f: sorted(map(repr, f(wide).collect())) == sorted(map(repr, f(odd).collect()))
+    assert same(lambda d: bpe_count.token_counts(d, WORDS))
+    assert same(lambda d: lang_ecoc.identify(d, lang_ecoc.learn(d)))
+    assert same(lambda d: pattern_packing.pack(d, RANKS).groupBy("doc_id", "piece", "ids_crc32").count())
+    assert same(lambda d: cotraining.score_quality(d, cotraining.QualityModel(None, None)))
+    assert same(lambda d: pii_bootstrap.find(d)) and same(lambda d: circulant_minhash.near_duplicates(d))
+    assert same(lambda d: bm25_packing.pack(d, RANKS).groupBy("doc_id").agg(F.sum("length"))) and same(lambda d: son_phrases.collocations(d, support=2))
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0], 1) for i in range(12)], "vec_id bigint, embedding array<double>, label int")
+    more = vectors.withColumns({n: F.lit(n) for n in ["members", "component", "h1", "vec", "turn", "width", "block", "is_query"]})
+    for f in (sorted_projection.near_vectors, lambda d: collision_ann.nearest(d, F.col("vec_id") % 5 == 0)):
+        assert sorted(map(repr, f(vectors).collect())) == sorted(map(repr, f(more).collect()))

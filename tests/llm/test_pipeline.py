@@ -78,3 +78,15 @@ def test_stages_take_odd_rows_and_empty_tables(spark, sf):
                 assert out.columns == odd.columns
             out.count()
             docs = out
+
+
+def test_stages_take_columns_of_any_name(spark, sf):
+    names = ["copy", "shuffle_key", "__id", "__n", "__hash", "__key", "__t", "__digest", "__spans", "doc", "key", "row", "id", "group", "component_id"]
+    odd = spark.createDataFrame(ODD, DOC).withColumns({n: F.lit(n) for n in names})
+    docs = odd
+    for k, (name, apply) in enumerate(corpus_pipeline.STAGES):
+        out = stage(apply(spark, docs, sf), name)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == odd.columns and out.where(" or ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0
+        assert out.count() > 0
+        docs = out
