@@ -73,3 +73,25 @@ def severity(test: str, value: str | Column) -> Column:
     if test == "variance_inflation":
         return ladder(c, INFLATION_SEVERITY, "NONE", ">")
     return ladder(c, NORMALITY_SEVERITY if test == "jarque_bera" else P_SEVERITY, "NONE", "<")
+
+
+# Fixed values: (bound on the variation of R2 over folds, bound on its mean, class).
+CV_QUALITY = [(0.1, 0.4, "EXCELLENT"), (0.2, 0.3, "GOOD"), (0.3, 0.2, "ACCEPTABLE")]
+# Share of passed checks -> (confidence, ready).
+READINESS = [(1.0, "HIGH", True), (0.75, "MODERATE", True), (0.5, "LOW", False)]
+
+
+def cv_quality(variation: str | Column, mean: str | Column) -> Column:
+    out = F.when(col(mean).isNull(), "FAILED")
+    for bound, least, label in CV_QUALITY:
+        out = out.when((col(variation) < bound) & (col(mean) > least), label)
+    return out.otherwise("POOR")
+
+
+def readiness(share: Column) -> dict[str, Column]:
+    confidence = ready = None
+    for bound, label, yes in READINESS:
+        hit = share >= bound
+        confidence = F.when(hit, label) if confidence is None else confidence.when(hit, label)
+        ready = F.when(hit, F.lit(yes)) if ready is None else ready.when(hit, F.lit(yes))
+    return {"confidence_level": confidence.otherwise("VERY LOW"), "production_ready": ready.otherwise(F.lit(False))}

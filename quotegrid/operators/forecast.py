@@ -243,3 +243,43 @@ def generalization_gap(train: DataFrame, test: DataFrame, on: Sequence[str], met
             "worse_than_mean": F.coalesce(failed, F.lit(False)),
         }
     )
+
+
+def cv_summary(folds: DataFrame, keys: Sequence[str], r2: str = "r_squared") -> DataFrame:
+    """Per series: folds, those with a score, mean and variation of R2, and the class of both."""
+    mean = F.avg(r2)
+    out = folds.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_folds"), F.count(r2).alias("successful_folds"), mean.alias("average_r2"),
+        (F.stddev_pop(r2) / F.abs(F.nullif(mean, F.lit(0.0)))).alias("r2_variation"),
+    )
+    rate = F.col("successful_folds") / F.col("total_folds")
+    return out.withColumn("success_rate", rate).withColumn("cv_quality", grades.cv_quality(F.coalesce("r2_variation", F.lit(float("inf"))), "average_r2"))
+
+
+def production_readiness(
+    train: DataFrame,
+    test: DataFrame,
+    residuals: DataFrame,
+    on: Sequence[str],
+    min_test_r2: float = 0.3,
+    max_test_mape: float = 25.0,
+    max_r2_loss_pct: float = 30.0,
+    max_bias: float = 0.1,
+) -> DataFrame:
+    """Four checks of a fitted model per series: test R2, test MAPE, loss of R2, clean residuals; and what they amount to.
+
+    ``train`` and ``test`` come from :func:`regression_metrics`; ``residuals`` has ``mean`` and ``heteroscedastic``.
+    """
+    gap = generalization_gap(train, test, on, ["r_squared", "mape"])
+    j = gap.join(residuals.select(*on, "mean", "heteroscedastic"), list(on))
+    checks = {
+        "test_r2_ok": F.col("test_r_squared") >= min_test_r2,
+        "test_mape_ok": F.col("test_mape") <= max_test_mape,
+        "generalization_ok": F.coalesce("r_squared_relative_gap_pct", F.lit(0.0)) <= max_r2_loss_pct,
+        "residuals_ok": (F.abs("mean") <= max_bias) & ~F.col("heteroscedastic"),
+    }
+    j = j.withColumns({name: F.coalesce(check, F.lit(False)) for name, check in checks.items()})
+    passed = sum((F.col(name).cast("int") for name in checks), F.lit(0))
+    j = j.withColumn("checks_passed", passed)
+    share = F.col("checks_passed") / len(checks)
+    return j.withColumns(grades.readiness(share)).select(*on, *checks, "checks_passed", "confidence_level", "production_ready")

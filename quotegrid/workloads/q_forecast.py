@@ -325,6 +325,42 @@ def mod33_severities(spark, sf):
     return r6(dg.severity_report(t.weekly_model(spark, sf), K, "date", "y", ["own"]), "statistic", "p_value")
 
 
+@query(
+    "mod18_cv_quality",
+    f"""with f as ({ORACLE['mod18_expanding_window_cv']}), g as (select product, count(*) as total_folds, count(r_squared) as successful_folds, avg(r_squared) as a,
+   stddev_pop(r_squared)/abs(nullif(avg(r_squared), 0)) as v from f group by 1)
+  select product, total_folds, successful_folds, round(a, 6) + 0.0 as average_r2, round(v, 6) as r2_variation, successful_folds / total_folds as success_rate,
+   case when a is null then 'FAILED' when v < 0.1 and a > 0.4 then 'EXCELLENT' when v < 0.2 and a > 0.3 then 'GOOD' when v < 0.3 and a > 0.2 then 'ACCEPTABLE' else 'POOR' end as cv_quality from g""",
+)
+def mod18_quality(spark, sf):
+    return r6(fc.cv_summary(mod18(spark, sf), K), "average_r2", "r2_variation")
+
+
+@query(
+    "mod27_production_readiness",
+    f"""with {SPLIT}, fit as (select product, regr_slope(y, own) as b, regr_intercept(y, own) as a from split where role='train' group by 1),
+  pr as (select split.product, role, y as y_, a + b*own as p_ from split join fit on split.product = fit.product),
+  m as (select product, role, {METRIC_SQL} from pr group by 1,2),
+  j as (select a.product, a.r_squared as r0, b.r_squared as r1, b.mape as m1, bi.bias, bp.p_value < 0.05 as het from m a join m b on a.product = b.product and a.role='train' and b.role='test'
+   join (select product, avg(y_ - p_) as bias from pr where role='test' group by 1) bi on bi.product = a.product
+   join (select product, p_value from ({ORACLE['mod34_heteroscedasticity']}) where test = 'breusch_pagan') bp on bp.product = a.product),
+  c as (select product, r1 >= 0.3 as test_r2_ok, m1 <= 25 as test_mape_ok, coalesce(case when abs(r0) > 1e-10 then (r0 - r1)/r0*100 end, 0) <= 30 as generalization_ok, abs(bias) <= 0.1 and not het as residuals_ok from j),
+  n as (select *, test_r2_ok::integer + test_mape_ok::integer + generalization_ok::integer + residuals_ok::integer as checks_passed from c)
+  select *, case when checks_passed = 4 then 'HIGH' when checks_passed >= 3 then 'MODERATE' when checks_passed >= 2 then 'LOW' else 'VERY LOW' end as confidence_level, checks_passed >= 3 as production_ready from n""",
+)
+def mod27_readiness(spark, sf):
+    fitted = dg.residuals(split(spark, sf).where("role = 'train'"), K, "y", ["own"])
+    coef = mo.fit_models(mo.moment_blocks(split(spark, sf).where("role = 'train'"), K, ["own", "y"]), K, ["own", "y"], [("m", ["own"])])
+    test = split(spark, sf).where("role = 'test'").join(coef.select("product", F.col("coef").alias("c")), K)
+    test = test.withColumn("fitted", F.col("c")[0] + F.col("c")[1] * F.col("own"))
+    bias = test.groupBy(*K).agg(F.avg(F.col("y") - F.col("fitted")).alias("mean"))
+    spread = dg.heteroscedasticity(res(spark, sf), K, ["own"]).where("test = 'breusch_pagan'")
+    residuals = bias.join(spread.select(*K, (F.col("p_value") < 0.05).alias("heteroscedastic")), K)
+    return fc.production_readiness(
+        fc.regression_metrics(fitted, K, "y", "fitted"), fc.regression_metrics(test, K, "y", "fitted"), residuals, K
+    )
+
+
 @query(
     "mod35_inflation_severities",
     f"""select product, feature as subject, vif as statistic, case when vif > 20 then 'SEVERE' when vif > 10 then 'MODERATE' when vif > 5 then 'MILD' else 'NONE' end as severity,

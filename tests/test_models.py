@@ -435,3 +435,17 @@ def test_unbounded_scenario_lists_are_refused(spark):
 
     with pytest.raises(ValueError):
         joins.scenario_grid(spark.range(3), spark.range(20), max_rows=10)
+
+
+def test_cv_quality_and_readiness_classes(spark):
+    folds = spark.createDataFrame([("a", 0.5), ("a", 0.52), ("b", 0.3), ("b", 0.5), ("c", None), ("c", 0.1)], "k string, r_squared double")
+    got = {r["k"]: (r["cv_quality"], r["successful_folds"], r["success_rate"]) for r in fc.cv_summary(folds, ["k"]).collect()}
+    assert got == {"a": ("EXCELLENT", 2, 1.0), "b": ("ACCEPTABLE", 2, 1.0), "c": ("POOR", 1, 0.5)}
+    none = spark.createDataFrame([("d", None)], "k string, r_squared double")
+    assert fc.cv_summary(none, ["k"]).first()["cv_quality"] == "FAILED"
+    cols = "k string, r_squared double, mape double"
+    train = spark.createDataFrame([("a", 0.8, 5.0), ("b", 0.8, 5.0), ("c", 0.8, 5.0), ("d", 0.8, 5.0)], cols)
+    test = spark.createDataFrame([("a", 0.7, 9.0), ("b", 0.7, 9.0), ("c", 0.4, 9.0), ("d", 0.1, 90.0)], cols)
+    res = spark.createDataFrame([("a", 0.01, False), ("b", 0.01, True), ("c", 0.3, False), ("d", None, None)], "k string, mean double, heteroscedastic boolean")
+    got = {r["k"]: (r["checks_passed"], r["confidence_level"], r["production_ready"]) for r in fc.production_readiness(train, test, res, ["k"]).collect()}
+    assert got == {"a": (4, "HIGH", True), "b": (3, "MODERATE", True), "c": (2, "LOW", False), "d": (0, "VERY LOW", False)}
