@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import exprs as X
 from quotegrid.functions import linear
-from quotegrid.operators.moments import _key_ddl, centre, parallelism, ridge_fits, weighted_blocks
+from quotegrid.operators.moments import _key_ddl, centre, parallelism, ridge_fits
 from quotegrid.operators.windows import numbered
 
 
@@ -100,15 +100,72 @@ def poisson_blocks(
 ) -> DataFrame:
     """Poisson(1) replicates over raw rows of any number.
 
-    No row numbers, no join: a row decides its own counts, partial aggregation
-    reduces each task to at most keys x replicates blocks before the shuffle, so a
-    hot key costs nothing extra.
+    No row numbers: a row decides its own counts, and a task adds them up for all replicates of the keys that it meets,
+    so a hot key costs nothing extra and only keys x replicates sums a task are shuffled.
     """
-    rows = centre(df.select(*keys, row_id, *columns, *([weight] if weight else [])), keys, list(columns), raw=True)
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = X.with_draw(drawn, row_id, "replicate", "__draw")
-    drawn = drawn.withColumn("__count", X.poisson_one("__draw")).where(F.col("__count") > 0)
-    return weighted_blocks(drawn, [*keys, "replicate"], columns, weight, "__count")
+    cols, key_list = list(columns), list(keys)
+    rows = centre(df.select(*keys, row_id, *cols, *([weight] if weight else [])), keys, cols, raw=True)
+    p, reps = len(cols), np.arange(1, replicates + 1)
+    width = 2 + 1 + p + p * p  # n, sum of c ln w, then weighted sums of 1, columns, products
+    most = max(1, DRAWN // (replicates * width))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def handed() -> pd.DataFrame:
+            return pd.DataFrame([(*k, v[0], v[1].tobytes()) for k, v in held.items()], columns=[*key_list, "centre", "sums"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            groups = batch.groupby(key_list, dropna=False, sort=False).indices.values() if key_list else [np.arange(len(batch))]
+            values = batch[cols].to_numpy(float)
+            w = batch[weight].to_numpy(float) if weight else np.ones(len(batch))
+            ids = batch[row_id].to_numpy(dtype=np.int64)
+            for every in groups:
+                key = tuple(None if v is None or v != v else v for v in (batch[k].iloc[every[0]] for k in key_list))
+                if key not in held:
+                    held[key] = [list(batch["__centre"].iloc[every[0]]), np.zeros((replicates, width))]
+                for lo in range(0, len(every), max(1, DRAWN // replicates)):
+                    at = every[lo : lo + max(1, DRAWN // replicates)]
+                    z, c = values[at], poisson_counts(ids[at], reps)
+                    products = np.concatenate((np.ones((len(at), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(at), -1)), axis=1)
+                    held[key][1][:, :2] += c @ np.column_stack((np.ones(len(at)), np.log(w[at])))
+                    held[key][1][:, 2:] += (c * w[at]) @ products
+            if len(held) > most:
+                yield handed()
+                held.clear()
+        if held:
+            yield handed()
+
+    def blocks(key: tuple, middle: list, sums: np.ndarray) -> pd.DataFrame:
+        some = sums[:, 0] > 0
+        sw, total = sums[some, 2], sums[some, 3:]
+        mean = total[:, :p] / sw[:, None]
+        cov = total[:, p:].reshape(-1, p, p) / sw[:, None, None] - mean[:, :, None] * mean[:, None, :]
+        out = pd.DataFrame({"replicate": reps[some].astype("int32"), "n": sums[some, 0], "sw": sw, "slw": sums[some, 1]})
+        out["mean"], out["cov"] = list(mean + np.asarray(middle)), list(cov.reshape(len(out), -1))
+        for k, v in zip(key_list, key):
+            out[k] = v
+        return out[[*key_list, "replicate", "n", "sw", "slw", "mean", "cov"]]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, middle, total = None, None, None
+        for batch in batches:
+            for *mine, centre_, raw in zip(*(batch[c] for c in (*key_list, "centre", "sums"))):
+                key = tuple(None if v is None or v != v else v for v in mine)
+                if key != held:
+                    if held is not None:
+                        yield blocks(held, middle, total)
+                    held, middle, total = key, centre_, np.zeros((replicates, width))
+                total += np.frombuffer(raw).reshape(replicates, width)
+        if held is not None:
+            yield blocks(held, middle, total)
+
+    parts = rows.mapInPandas(gather, _key_ddl(df, keys) + "centre array<double>, sums binary")
+    dealt = parts.repartition(parallelism(df), *keys).sortWithinPartitions(*keys) if key_list else parts.repartition(1)
+    ddl = "replicate int, n double, sw double, slw double, mean array<double>, cov array<double>"
+    return dealt.mapInPandas(add, _key_ddl(df, keys) + ddl)
 
 
 # ---------------------------------------------------------------- bagged ridge

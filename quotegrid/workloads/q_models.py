@@ -256,9 +256,12 @@ def mod07_packed(spark, sf):
     )
 
 
+POISSON_B = 1000
+
+
 @query(
     "mod07_poisson_ensemble_raw_rows",
-    f"""with {t.SALES}, r as (select unnest(range(1, 9)) as r), d as (select product, r, ln(premium) as y, epoch(date)/86400/1000 as x,
+    f"""with {t.SALES}, r as (select unnest(range(1, {POISSON_B + 1})) as r), d as (select product, r, ln(premium) as y, epoch(date)/86400/1000 as x,
     {draw_sql('o_orderkey', 'r')} as u from sales, r),
   c as (select *, case {' '.join(f'when u // {X.DRAW_MODULUS} < {b} then {k}' for k, b in enumerate(X.poisson_thresholds()))} else {len(X.poisson_thresholds())} end as c from d),
   m as (select product, r, sum(c) as n, sum(c*x)/sum(c) as mx, sum(c*y)/sum(c) as my from c where c > 0 group by 1,2),
@@ -270,7 +273,7 @@ def mod07_poisson(spark, sf):
     s = t.sales(spark, sf).select(
         "product", "o_orderkey", (F.unix_date("date") / 1000).alias("x"), F.log("premium").alias("y")
     )
-    blocks = bs.poisson_blocks(s, K, "o_orderkey", ["x", "y"], 8)
+    blocks = bs.poisson_blocks(s, K, "o_orderkey", ["x", "y"], POISSON_B)
     return _two(mo.ridge_fits(blocks, ["product", "replicate"], ["x", "y"], ["x"], 1.0), "product", "replicate", "n_obs")
 
 

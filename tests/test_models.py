@@ -449,3 +449,19 @@ def test_cv_quality_and_readiness_classes(spark):
     res = spark.createDataFrame([("a", 0.01, False), ("b", 0.01, True), ("c", 0.3, False), ("d", None, None)], "k string, mean double, heteroscedastic boolean")
     got = {r["k"]: (r["checks_passed"], r["confidence_level"], r["production_ready"]) for r in fc.production_readiness(train, test, res, ["k"]).collect()}
     assert got == {"a": (4, "HIGH", True), "b": (3, "MODERATE", True), "c": (2, "LOW", False), "d": (0, "VERY LOW", False)}
+
+
+def test_poisson_blocks_equal_counts_row_by_row(spark, panel, monkeypatch):
+    df, arrays = panel
+    rows = df.withColumn("w", F.lit(0.5) + F.col("t") / 100).repartition(4)
+    want = {}
+    for k, z in arrays.items():
+        c = bs.poisson_counts(np.arange(len(z)), np.arange(1, 8))
+        w = c * (0.5 + np.arange(len(z)) / 100)
+        want |= {(k, r + 1): (c[r].sum(), w[r].sum(), *np.average(z[:, [0, 4]], axis=0, weights=w[r])) for r in range(7)}
+    for drawn in (1 << 22, 40):
+        monkeypatch.setattr(bs, "DRAWN", drawn)
+        got = {(r["k"], r["replicate"]): (r["n"], r["sw"], *r["mean"]) for r in bs.poisson_blocks(rows, ["k"], "t", ["x1", "y"], 7, "w").collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert bs.poisson_blocks(rows.limit(0), ["k"], "t", ["x1", "y"], 7).count() == 0
+    assert bs.poisson_blocks(rows, [], "t", ["x1", "y"], 3).count() == 3
