@@ -187,13 +187,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of them, so stars around component minima remain. Only aggregates and equi-joins; each round is a
     written table. Empty input gives an empty result.
     """
-    spark = edges.sparkSession
-    now = stage(
-        edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
-        .where("a <> b")
-        .mapInPandas(_local_forest, "a bigint, b bigint"),
-        "edges",
-    )
+    # written first: edges that Python made would keep a second Python worker beside this one in every task
+    found = stage(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b"), "found")
+    now = stage(found.mapInPandas(_local_forest, "a bigint, b bigint"), "edges")
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
