@@ -83,11 +83,11 @@ def type_consistency(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
 def outlier_percentage(df: DataFrame, columns: Sequence[str] | None = None, fence: float = 1.5) -> DataFrame:
     """Share of values outside the interquartile fences, pooled over numeric columns with 4+ values.
 
-    First pass: exact quartiles of all columns at once. Second pass: conditional counts.
+    First pass: exact quartiles of all columns at once, whose names are the keys. Second pass: conditional counts.
     """
     cols = list(columns or [f.name for f in df.schema.fields if is_numeric(f)])
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "__col", "__val")
-    q = exact_quantiles(long, "__val", [0.25, 0.75], ["__col"])
+    q = exact_quantiles(long, "__val", [0.25, 0.75], ["__col"], few_keys=True)
     pick = lambda c, p: F.max(F.when((F.col("__col") == c) & (F.col("q") == p), F.col("value")))
     fences = q.agg(*[pick(c, p).alias(f"__{i}_{s}") for i, c in enumerate(cols) for s, p in (("a", 0.25), ("b", 0.75))])
     counted = df.crossJoin(F.broadcast(fences))  # one row

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quotegrid.operators.subsets import beside
+from quotegrid.operators.subsets import beside, beside_hot
 
 
 def _present(value: str) -> Column:
@@ -25,10 +25,12 @@ def _present(value: str) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 20_000
+    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 20_000, few_keys: bool = False
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per key and probability (``q``, ``value``).
 
+    ``few_keys``: the caller knows that the keys are a fixed few, so brackets are broadcast and no row is moved.
+
     The sketch's ranks are off by at most ``1 / accuracy`` of the rows; a bracket reaches that far and three rows
     on either side, in steps of powers of four. The smallest and largest value bracket the ends.
     """
@@ -61,8 +63,9 @@ def exact_quantiles(
             for p in probs
         ]
     )
-    # one row per key
-    bracketed = beside(rows, stats.select(*keys, "__total", targets.alias("__t")), keys)
+    # one row per key; a task neither sorts nor gathers the rows of a key
+    brackets = stats.select(*keys, "__total", targets.alias("__t"))
+    bracketed = beside(rows, F.broadcast(brackets), keys) if few_keys else beside_hot(rows, brackets, keys)
     # a row below a bracket only counts; partial sums leave one such row per task
     inside = bracketed.select(*keys, "__total", "__v", F.explode("__t").alias("t")).where(F.col("__v") <= F.col("t.hi"))
     counts = inside.groupBy(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quotegrid.operators import leakage as lk
 from quotegrid.operators import quality as dq
 from quotegrid.operators.filters import require_non_empty
+from quotegrid.operators.quantiles import exact_quantiles
+from quotegrid.operators.subsets import beside_hot
 from quotegrid.plans.pricing import reject_lag_zero
 from quotegrid.sources import scan, sinks
 
@@ -224,3 +226,36 @@ def test_severities(spark):
     assert of("ljung_box", 0.0005, 0.005, 0.03, 0.2) == ["SEVERE", "MODERATE", "MILD", "NONE"]
     assert of("jarque_bera", 0.0005, 0.005, 0.06) == ["MODERATE", "MILD", "NONE"]
     assert of("variance_inflation", 30, 12, 7, 2) == ["SEVERE", "MODERATE", "MILD", "NONE"]
+
+
+def test_outliers_neither_sort_nor_gather_a_column(spark, table, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dq.outlier_percentage(table)
+        out.explain()
+        assert "SortMergeJoin" not in capsys.readouterr().out
+        got = out.first()
+        assert got["n_values"] == 102 and got["n_outliers"] == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_of_a_hot_key_meet_its_row_in_many_tasks(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 100 == 0, None).otherwise(F.lit("a")).alias("k"), F.col("id").cast("double").alias("v"))
+    one = rows.groupBy("k").agg(F.max("v").alias("top"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        met = beside_hot(rows, one, ["k"])
+        assert met.columns == ["k", "v", "top"]
+        shares = met.groupBy("k", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("top").alias("top")).collect()
+        quartiles = {r["k"]: r["value"] for r in exact_quantiles(rows, "v", [0.5], ["k"], accuracy=100).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in shares if r["k"] == "a") == 1980 and sum(r["n"] for r in shares if r["k"] is None) == 20
+    assert {(r["k"], r["top"]) for r in shares} == {("a", 1999.0), (None, 1900.0)}
+    assert max(r["n"] for r in shares) < 1000
+    assert quartiles == {"a": 1000.0, None: 950.0}
