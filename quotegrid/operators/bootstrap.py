@@ -21,6 +21,8 @@ from quotegrid.operators.windows import numbered
 
 #: numbers that a task draws at once, and replicates of one chunk at most
 DRAWN, CHUNK = 1 << 22, 125
+#: Poisson counts made at once: their arithmetic stays in a core's cache
+CACHED = 1 << 15
 
 
 def replicate_blocks(
@@ -101,10 +103,12 @@ def poisson_blocks(
     """Poisson(1) replicates over raw rows of any number.
 
     No row numbers: a row decides its own counts, and a task adds them up for all replicates of the keys that it meets,
-    so a hot key costs nothing extra and only keys x replicates sums a task are shuffled.
+    so a hot key costs nothing extra and only keys x replicates sums a task are shuffled. Rows are dealt out by themselves
+    first: a row costs as many draws as there are replicates, however few files or keys the rows come from.
     """
     cols, key_list = list(columns), list(keys)
     rows = centre(df.select(*keys, row_id, *cols, *([weight] if weight else [])), keys, cols, raw=True)
+    rows = rows.repartition(parallelism(df), *[c for c in rows.columns if c != "__centre"])
     p, reps = len(cols), np.arange(1, replicates + 1)
     width = 2 + 1 + p + p * p  # n, sum of c ln w, then weighted sums of 1, columns, products
     most = max(1, DRAWN // (replicates * width))
@@ -128,10 +132,11 @@ def poisson_blocks(
                     held[key] = [list(batch["__centre"].iloc[every[0]]), np.zeros((replicates, width))]
                 for lo in range(0, len(every), max(1, DRAWN // replicates)):
                     at = every[lo : lo + max(1, DRAWN // replicates)]
-                    z, c = values[at], poisson_counts(ids[at], reps)
-                    products = np.concatenate((np.ones((len(at), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(at), -1)), axis=1)
-                    held[key][1][:, :2] += c @ np.column_stack((np.ones(len(at)), np.log(w[at])))
-                    held[key][1][:, 2:] += (c * w[at]) @ products
+                    z, v = values[at], w[at, None]
+                    products = np.concatenate((np.ones((len(at), 1)), np.log(v), v, v * z, v * (z[:, :, None] * z[:, None, :]).reshape(len(at), -1)), axis=1)
+                    step = max(1, CACHED // len(at))
+                    for first in range(0, replicates, step):
+                        held[key][1][first : first + step] += poisson_counts(ids[at], reps[first : first + step]) @ products
             if len(held) > most:
                 yield handed()
                 held.clear()
@@ -280,5 +285,40 @@ def block_draws(n: int, replicates: np.ndarray, size: int, overlap: bool = True)
 
 
 def poisson_counts(rows: np.ndarray, replicates: np.ndarray) -> np.ndarray:
-    """counts[replicate, row] of Poisson(1) variables, as ``exprs.poisson_one`` makes them."""
-    return np.searchsorted(np.array(X.poisson_thresholds()), _draw_parts(rows, replicates)[0], side="right").astype(float)
+    """counts[replicate, row] of Poisson(1) variables, as ``exprs.poisson_one`` makes them.
+
+    The first part of the draw of :func:`_draw_parts`, by shifts instead of divisions: the modulus is 2^31 - 1, so the high
+    bits of a number are added to its low ones. Only the last step needs the remainder itself.
+    """
+    m, bits = np.uint64(X.DRAW_MODULUS), np.uint64(31)
+    i = (rows.astype(np.int64)[None, :] % X.DRAW_MODULUS).astype(np.uint64)
+    r = (replicates.astype(np.int64)[:, None] % X.DRAW_MODULUS).astype(np.uint64)
+    # below 2^32, so its square has 64 bits at most
+    x = i * np.uint64(X.DRAW_ROW) % m + (r * np.uint64(X.DRAW_REPLICATE) + np.uint64(X.DRAW_OFFSET)) % m
+    high = np.empty_like(x)
+
+    def fold() -> None:
+        np.right_shift(x, bits, out=high)
+        np.bitwise_and(x, m, out=x)
+        np.add(x, high, out=x)
+
+    np.multiply(x, x, out=x)
+    x += i + np.uint64(1)
+    fold()
+    np.multiply(x, np.uint64(X.DRAW_MIX), out=x)
+    x += r * np.uint64(7) + np.uint64(3)
+    fold()
+    np.multiply(x, x, out=x)
+    x += r + np.uint64(1)
+    fold()
+    fold()
+    # below two moduli now; where it is below one, the difference wraps to a larger number
+    np.subtract(x, m, out=high)
+    draw = np.minimum(x, high, out=x).astype(np.int32)
+    bounds = np.array(X.poisson_thresholds())
+    counts = np.zeros(draw.shape, dtype=np.int8)
+    for bound in bounds[:6].astype(np.int32):
+        counts += draw >= bound
+    far = np.nonzero(counts == 6)
+    counts[far] = np.searchsorted(bounds, draw[far], side="right")
+    return counts.astype(float)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +33,29 @@ def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parallelism(df), *keys)
 
 
+def beside(rows: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has one row for each key; a missing key meets a missing key."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(one))  # one row
+    renamed = one.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return rows.join(renamed, same).drop(*[f"__k_{k}" for k in keys])
+
+
+def beside_hot(rows: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`beside` for raw rows of which a few keys may hold most.
+
+    A salt made of the row itself deals a key's rows to many tasks, and ``one`` is there once for each salt. Nothing after the join
+    takes a key's rows to lie together, so partial sums are made before they are gathered.
+    """
+    if not keys:
+        return beside(rows, one, keys)
+    salts = parallelism(rows)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return beside(salted, each, [*keys, "__salt"]).drop("__salt")
+
+
 # ---------------------------------------------------------------- blocks
 def moment_blocks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """n, mean and covariance of ``columns`` (target last) per key; complete rows expected."""
@@ -53,11 +77,11 @@ def centre(df: DataFrame, keys: Sequence[str], columns: Sequence[str], raw: bool
     """Subtract per-key means and keep them; sums of products then lose no digits.
 
     Calendar-bounded series take the mean from a window (one pass, the partitioning is
-    needed anyway); ``raw`` rows join a first aggregate, so a hot key is never gathered.
+    needed anyway); ``raw`` rows join a first aggregate by a salt too, so a hot key is never gathered.
     """
     if raw:
         means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__mu_{c}") for c in columns])
-        joined = df.join(means, list(keys)) if keys else df.crossJoin(F.broadcast(means))
+        joined = beside_hot(df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.lit(True))), means, keys)
     else:
         joined = df.withColumns({f"__mu_{c}": F.avg(c).over(series_window(keys)) for c in columns})
     rest = [c for c in df.columns if c not in columns]

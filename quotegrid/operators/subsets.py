@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import linear
 from quotegrid.functions.exprs import nan_to_null
-from quotegrid.operators.moments import FIT_SCHEMA, _key_ddl, _nan_free, numbered_folds, parallelism
+from quotegrid.operators.moments import FIT_SCHEMA, _key_ddl, _nan_free, beside, beside_hot, numbered_folds, parallelism
 
 PER_RANGE = 256
 
@@ -139,29 +139,6 @@ def pattern_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], gro
     return parts.repartition(parallelism(df), *names).sortWithinPartitions(*names).mapInPandas(add, ddl)
 
 
-def beside(rows: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` with the columns of ``one``, which has one row for each key; a missing key meets a missing key."""
-    if not keys:
-        return rows.crossJoin(F.broadcast(one))  # one row
-    renamed = one.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    return rows.join(renamed, same).drop(*[f"__k_{k}" for k in keys])
-
-
-def beside_hot(rows: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """:func:`beside` for raw rows of which a few keys may hold most.
-
-    A salt made of the row itself deals a key's rows to many tasks, and ``one`` is there once for each salt. Nothing after the join
-    takes a key's rows to lie together, so partial sums are made before they are gathered.
-    """
-    if not keys:
-        return beside(rows, one, keys)
-    salts = parallelism(rows)
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return beside(salted, each, [*keys, "__salt"]).drop("__salt")
-
-
 def _key(values: Sequence) -> tuple:
     """A key that equals itself, also where pandas made NaN of a missing number."""
     return tuple(None if v is None or v != v else v for v in values)

@@ -465,3 +465,29 @@ def test_poisson_blocks_equal_counts_row_by_row(spark, panel, monkeypatch):
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     assert bs.poisson_blocks(rows.limit(0), ["k"], "t", ["x1", "y"], 7).count() == 0
     assert bs.poisson_blocks(rows, [], "t", ["x1", "y"], 3).count() == 3
+
+
+def test_poisson_counts_follow_the_draws(spark):
+    rng = np.random.default_rng(3)
+    m = X.DRAW_MODULUS
+    rows = np.concatenate(([0, 1, -5, m - 1, m, m + 1, 2**62], rng.integers(-(2**62), 2**62, 3000)))
+    reps = np.concatenate(([0, 1, m - 1, m, 2**40], rng.integers(0, 2**40, 300)))
+    want = np.searchsorted(np.array(X.poisson_thresholds()), bs._draw_parts(rows, reps)[0], side="right")
+    assert (bs.poisson_counts(rows, reps) == want).all() and want.max() > 6
+
+
+def test_poisson_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    rows = spark.range(4000).coalesce(1).select("id", F.lit("a").alias("k"), F.col("id").cast("double").alias("y"))
+    seen = []
+    frame = type(rows)
+    before = frame.mapInPandas
+
+    def noted(self, *args, **kwargs):
+        seen.append(self.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        return before(self, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInPandas", noted)
+    out = bs.poisson_blocks(rows, ["k"], "id", ["y"], 5).collect()
+    assert len(out) == 5 and len(seen[0]) > 1 and max(r["count"] for r in seen[0]) < 1000
+    c = bs.poisson_counts(np.arange(4000), np.arange(1, 6))
+    assert {r["replicate"]: r["n"] for r in out} == {i + 1: c[i].sum() for i in range(5)}
