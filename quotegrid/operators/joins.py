@@ -16,8 +16,26 @@ from pyspark.sql import functions as F
 from quotegrid.functions.exprs import nan_to_null, quarter_label
 from quotegrid.operators import content
 from quotegrid.operators.calendar import fill_gaps
+from quotegrid.operators.moments import parallelism
 from quotegrid.operators.windows import trailing_mean
 
+#: rows that a task sorts and groups, about
+ROWS_A_TASK = 1 << 19
+
+
+def dealt_by_size(frames: Sequence[DataFrame], keys: Sequence[str]) -> list[DataFrame]:
+    """``frames`` dealt out by ``keys`` to as many tasks as their rows ask for, for a join whose rows are grouped in the same tasks.
+
+    Sorting two sides and grouping every joined row holds a whole partition; the session's number of partitions knows nothing of
+    the size, and AQE puts partitions together by their bytes on the wire. Counting reads the footers of the files only. Tables
+    of one task's rows are left as they are.
+    """
+    rows = sum(f.count() for f in frames)
+    if rows <= ROWS_A_TASK:
+        return list(frames)
+    tasks = max(parallelism(frames[0]), -(-rows // ROWS_A_TASK))
+    return [f.repartition(tasks, *keys) for f in frames]
+
 
 def left_join_chain(base: DataFrame, others: Sequence[DataFrame], on: Sequence[str], distinct: bool = False) -> DataFrame:
     out = reduce(lambda left, right: left.join(right, list(on), "left"), others, base)

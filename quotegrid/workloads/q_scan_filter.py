@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quotegrid.functions import exprs as X
 from quotegrid.operators import filters as flt
+from quotegrid.operators import joins as jon
 from quotegrid.sources import scan, sinks
 from quotegrid.workloads import tables as t
 from quotegrid.workloads.registry import query, scratch
@@ -340,6 +341,7 @@ def flt12(spark, sf):
 def flt13(spark, sf):
     o = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("a"))
     li = t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("b"))
+    li, o = jon.dealt_by_size([li, o], ["l_orderkey"])
     return (
         flt.day_difference(li.join(o, "l_orderkey"), "a", "b", "processing_days")
         .groupBy("l_orderkey", "l_linenumber", "processing_days")

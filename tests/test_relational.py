@@ -19,6 +19,7 @@ from quotegrid.operators import setops
 from quotegrid.operators import topk
 from quotegrid.operators import windows as win
 from quotegrid.sources import scan
+from quotegrid.workloads.catalog import QUERIES
 
 D = dt.date
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -270,3 +271,21 @@ def test_momentum_and_stability_ranks(spark):
     s = spark.createDataFrame([("m1", 80.0, 10.0), ("m2", 80.0, 12.0), ("m3", 20.0, 11.0)], "m string, st double, aic double")
     r = {x["m"]: (x["stability_rank"], x["aic_rank"], x["combined_rank"]) for x in stability.stability_ranks(s, [], "st", "aic").collect()}
     assert r == {"m1": (1.5, 1.0, 1.25), "m2": (1.5, 3.0, 2.25), "m3": (3.0, 2.0, 2.5)}
+
+
+def test_day_differences_are_dealt_out_by_size(spark, tmp_path, monkeypatch):
+    days = spark.range(3000).select(F.col("id").alias("o_orderkey"), F.lit(dt.date(2024, 1, 1)).alias("o_orderdate"))
+    days.union(days.limit(1)).union(spark.sql("select cast(null as bigint), date'2024-01-01'")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(9000).select(
+        (F.col("id") % 3000).alias("l_orderkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"), F.lit(dt.date(2024, 1, 8)).alias("l_shipdate")
+    )
+    lines.union(spark.sql("select cast(null as bigint), 1, date'2024-01-08'")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {}
+    for most in (1 << 19, 500):
+        monkeypatch.setattr(jon, "ROWS_A_TASK", most)
+        out = QUERIES["flt13_day_difference"](spark, str(tmp_path)).withColumn("p", F.spark_partition_id()).collect()
+        got[most] = sorted((r["l_orderkey"], r["l_linenumber"], r["processing_days"], r["n"]) for r in out)
+        if most == 500:
+            tasks = [r["p"] for r in out]
+            assert len(set(tasks)) > 16 and max(map(tasks.count, set(tasks))) <= 500
+    assert got[500] == got[1 << 19] and sum(r[3] for r in got[500]) == 9003 and {r[2] for r in got[500]} == {7}
